@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.session import read_table, ship_package
-from . import piece_codec
+from . import media, piece_codec, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,9 +17,21 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_column(read_table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return warc.page_records(spark, read_table(spark, sf_dir, "pages"))
+
+
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return media.store_text(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_sentencepiece": op2_sentencepiece,
+        "op5_warc": op5_warc,
+        "op8_media": op8_media,
     }
 
 
