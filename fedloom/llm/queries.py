@@ -7,16 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.session import read_table, ship_package
-from . import media, piece_codec, warc
+from . import media, mixing, piece_codec, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+WARC_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages
+), newest AS (
+  SELECT *, max(page_id) OVER (PARTITION BY h) AS newest FROM p
+), marked AS (
+  SELECT *, CASE WHEN newest IS NOT NULL AND (page_id IS NULL OR page_id < newest) THEN newest END AS refers_to FROM newest
+)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + CAST((CAST('0x' || substr(h, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INTEGER), 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
+FROM marked
+"""
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return piece_codec.encode_column(read_table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(spark, read_table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return warc.page_records(spark, read_table(spark, sf_dir, "pages"))
@@ -30,10 +50,14 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op2_sentencepiece": op2_sentencepiece,
+        "op4_mixing": op4_mixing,
         "op5_warc": op5_warc,
         "op8_media": op8_media,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_mixing": mixing.MIX_SQL,
+        "op5_warc": WARC_SQL,
+    }
