@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.session import read_table, ship_package
-from . import media, mixing, piece_codec, warc
+from . import license_scan, media, mixing, order_minhash, piece_codec, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,17 +42,29 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(spark, read_table(spark, sf_dir, "pages"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return license_scan.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return media.store_text(read_table(spark, sf_dir, "documents"))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return order_minhash.edited_neighbours(spark, read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_sentencepiece": op2_sentencepiece,
         "op4_mixing": op4_mixing,
         "op5_warc": op5_warc,
+        "op7_licenses": op7_licenses,
         "op8_media": op8_media,
+        "op10_fingerprints": op10_fingerprints,
     }
 
 
