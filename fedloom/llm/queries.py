@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.session import read_table, ship_package
-from . import license_scan, media, mixing, order_minhash, piece_codec, warc
+from . import license_scan, media, mixing, ngram_join, order_minhash, piece_codec, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,11 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_column(read_table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return ngram_join.similar_components(spark, read_table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(spark, read_table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op2_sentencepiece": op2_sentencepiece,
+        "op3_ngram_join": op3_ngram_join,
         "op4_mixing": op4_mixing,
         "op5_warc": op5_warc,
         "op7_licenses": op7_licenses,
@@ -70,6 +76,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_ngram_join": ngram_join.JOIN_SQL,
         "op4_mixing": mixing.MIX_SQL,
         "op5_warc": WARC_SQL,
     }
