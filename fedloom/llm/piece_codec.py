@@ -5,7 +5,8 @@ prefix: an automaton of all pieces gives the pieces that end there, and the one
 last token of the prefix before it is stored. The ids then come from following the table backwards. Two
 tokens are compatible if merging their joined text yields exactly these two. The test takes both apart
 along their border, last merge first, and asks whether a merge over the border would have come before the
-one just undone; results are kept.
+one just undone; results are kept. By the same test a word's letters and what follows them are joined from
+results that are kept for each.
 
 Runs of the space mark are merged with one equal, lowest score, leftmost first. They are therefore merged
 after all else, by that rule itself, once for each length of a run.
@@ -27,7 +28,7 @@ from .textscan import text_array
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-_KEPT_WORDS = 250_000
+_KEPT_WORDS = 300_000
 _KEPT_PAIRS = 1_000_000
 
 
@@ -104,7 +105,13 @@ class PieceCodec:
         self.runs: dict[int, list[int]] = {0: []}
         self.pairs: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
-        self.words: dict[str, tuple[str, int]] = {}
+        #: Of a word behind one space mark: ids joined by commas, their number, decoded text, last id. Two generations.
+        self.words: dict[str, tuple[str, int, str, int]] = {}
+        self.older: dict[str, tuple[str, int, str, int]] = {}
+        self.tails: dict[str, tuple[str, int, str, int, int]] = {}
+        self.surface = [p.replace(MARK, " ") if kind in (NORMAL, UNKNOWN) else "" for p, _, kind in self.pieces]
+        self.bytes = set(self.byte_id.values())
+        self.core = re.compile(r"[^\W\d_]+")
         known = "".join(re.escape(p) for p in self.ids if len(p) == 1 and p != MARK)
         self.split = re.compile(f"[{known}]+|.", re.S)
 
@@ -227,53 +234,88 @@ class PieceCodec:
                 out.append(self.unknown)
         return out
 
+    # -- results for whole words
+
+    def _entry(self, ids: list[int]) -> tuple[str, int, str, int]:
+        """decoded text: with its leading space."""
+        if self.bytes.isdisjoint(ids) and self.unknown not in ids:
+            text = "".join([self.surface[i] for i in ids])
+        else:
+            text = self.decode([self.ids[MARK], *ids])
+            if not self.prefix:
+                text = text[1:]
+        return ",".join(map(str, ids)), len(ids), text, ids[-1]
+
+    def _tail(self, text: str) -> tuple[str, int, str, int, int]:
+        found = self.tails.get(text)
+        if found is None:
+            ids = self._word(text)
+            found = (*self._entry(ids), ids[0])
+            if len(text) <= 48:
+                if len(self.tails) >= _KEPT_WORDS // 2:
+                    self.tails.clear()
+                self.tails[text] = found
+        return found
+
+    def _spaced(self, word: str) -> tuple[str, int, str, int]:
+        """A word behind exactly one space mark."""
+        found = self.words.get(word)
+        if found is not None:
+            return found
+        found = self.older.get(word)
+        if found is None:
+            m = self.core.match(word)
+            if m and m.end() < len(word):
+                a, b = self._spaced(m[0]), self._tail(word[m.end() :])
+                if b[4] in self.bytes or a[3] in self.bytes or (self._compatible(a[3], b[4]) if self.unknown not in (a[3], b[4]) else True):
+                    found = (f"{a[0]},{b[0]}", a[1] + b[1], a[2] + b[2], b[3])
+            if found is None:
+                found = self._entry(self._word(MARK + word))
+        if len(word) <= 48:
+            if len(self.words) >= _KEPT_WORDS:
+                self.older, self.words = self.words, {}
+            self.words[word] = found
+        return found
+
     # -- the interface
 
     def encode(self, text: str) -> list[int]:
-        out = [int(x) for part in self._encoded(text) for x in part[0].split(",") if x]
-        return out
+        return [int(x) for part in self._encoded(text) for x in part[0].split(",")]
 
-    def _encoded(self, text: str) -> list[tuple[str, int]]:
-        """For each word its ids, joined by commas, and their number; kept by word. A word's text may follow a run of space marks that is longer than one."""
+    def results(self, text: str) -> tuple[str, int, str]:
+        """Ids joined by commas, their number, and the text that decoding them gives."""
+        found = self._encoded(text)
+        decoded = "".join([x[2] for x in found])
+        return ",".join([x[0] for x in found]), sum([x[1] for x in found]), decoded[1:] if self.prefix and decoded.startswith(" ") else decoded
+
+    def _encoded(self, text: str) -> list[tuple[str, int, str, int]]:
+        """Each word's result. A word may stand behind a run of space marks that is longer than one."""
         if not text:
             return []
         parts = text.replace(MARK, " ").split(" ")
-        if not self.prefix and parts[0] == "":
-            parts = parts[1:]
-            bare = False
-        else:
-            bare = not self.prefix
-        kept, out = self.words, []
+        if self.prefix and "" not in parts:
+            found = list(map(self.words.get, parts))
+            if None in found:
+                found = [x or self._spaced(p) for x, p in zip(found, parts, strict=True)]
+            return found
+        out = []
+        if not self.prefix:
+            head, parts = parts[0], parts[1:]
+            if head:
+                out.append(self._entry(self._word(head)))
         marks = 0
-        for k, p in enumerate(parts):
-            if not p and (k or not bare):
+        for p in parts:
+            if not p:
                 marks += 1
-                continue
-            if marks:
+            elif marks:
                 ids = self._word(MARK + p)
-                if ids[0] == self.ids[MARK]:
-                    ids = self._run(marks + 1) + ids[1:]
-                else:
-                    ids = self._run(marks) + ids
-                out.append((",".join(map(str, ids)), len(ids)))
+                ids = self._run(marks + 1) + ids[1:] if ids[0] == self.ids[MARK] else self._run(marks) + ids
+                out.append(self._entry(ids))
                 marks = 0
-                continue
-            if k == 0 and bare:
-                ids = self._word(p)
-                out.append((",".join(map(str, ids)), len(ids)))
-                continue
-            found = kept.get(p)
-            if found is None:
-                ids = self._word(MARK + p)
-                found = (",".join(map(str, ids)), len(ids))
-                if len(p) <= 48:
-                    if len(kept) >= _KEPT_WORDS:
-                        kept.clear()
-                    kept[p] = found
-            out.append(found)
+            else:
+                out.append(self._spaced(p))
         if marks:
-            ids = self._run(marks)
-            out.append((",".join(map(str, ids)), len(ids)))
+            out.append(self._entry(self._run(marks)))
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -345,29 +387,6 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-class _Surfaces:
-    """Decoded text of id strings, word by word: no character's bytes reach over two words."""
-
-    def __init__(self, codec: PieceCodec):
-        self.codec, self.kept = codec, {}
-
-    def of(self, parts: list[tuple[str, int]]) -> str:
-        kept, out = self.kept, []
-        for joined, _ in parts:
-            text = kept.get(joined)
-            if text is None:
-                codec = self.codec
-                # a leading control-free word, so that only the text's own first mark goes
-                text = codec.decode([codec.ids[MARK], *map(int, joined.split(","))])
-                if len(joined) <= 200:
-                    if len(kept) >= _KEPT_WORDS:
-                        kept.clear()
-                    kept[joined] = text
-            out.append(text)
-        whole = "".join(out)
-        return whole[1:] if self.codec.prefix and whole.startswith(" ") else whole
-
-
 def encode_column(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), model: str | None = None, output: str = "digest") -> DataFrame:
     """Encode and decode a text column.
 
@@ -389,18 +408,15 @@ def encode_column(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
 
     def run(batches):
         codec = codec_at(model)
-        surfaces = _Surfaces(codec)
         for batch in batches:
             texts = text_array(batch.column(len(names)))
             for lo in range(0, len(texts), 256):
                 part = texts.slice(lo, 256)
                 cols: list[list] = [[], [], []]
                 for t in part.to_pylist():
-                    encoded = codec._encoded(t)
-                    joined = ",".join([x[0] for x in encoded])
-                    decoded = surfaces.of(encoded)
+                    joined, n, decoded = codec.results(t)
                     if output == "digest":
-                        cols[0].append(sum([x[1] for x in encoded]))
+                        cols[0].append(n)
                         cols[1].append(hashlib.sha256(joined.encode()).hexdigest())
                         cols[2].append(hashlib.sha256(decoded.encode()).hexdigest())
                     else:
