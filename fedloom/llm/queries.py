@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.session import read_table, ship_package
-from . import license_scan, media, mixing, ngram_join, order_minhash, piece_codec, warc
+from . import license_scan, media, mixing, ngram_join, order_minhash, piece_codec, substring_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,11 @@ FROM marked
 """
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return substring_dedup.remove_repeats(spark, read_table(spark, sf_dir, "documents"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return piece_codec.encode_column(read_table(spark, sf_dir, "documents"))
@@ -64,6 +69,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_ngram_join": op3_ngram_join,
         "op4_mixing": op4_mixing,
@@ -76,6 +82,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_substring_dedup": substring_dedup.DEDUP_SQL,
         "op3_ngram_join": ngram_join.JOIN_SQL,
         "op4_mixing": mixing.MIX_SQL,
         "op5_warc": WARC_SQL,
