@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.session import read_table, ship_package
-from . import license_scan, media, mixing, ngram_join, order_minhash, piece_codec, substring_dedup, warc
+from . import license_scan, media, mixing, ngram_join, order_minhash, piece_codec, pii, substring_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,6 +62,11 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_text(read_table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return pii.find_personal_data(read_table(spark, sf_dir, "documents"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return order_minhash.edited_neighbours(spark, read_table(spark, sf_dir, "documents"))
@@ -76,6 +81,7 @@ def queries() -> dict[str, Query]:
         "op5_warc": op5_warc,
         "op7_licenses": op7_licenses,
         "op8_media": op8_media,
+        "op9_pii": op9_pii,
         "op10_fingerprints": op10_fingerprints,
     }
 
