@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.session import read_table, ship_package
-from . import license_scan, media, mixing, ngram_join, order_minhash, piece_codec, pii, substring_dedup, warc
+from . import license_scan, media, mixing, ngram_join, order_minhash, piece_codec, pii, quality, substring_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,6 +52,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(spark, read_table(spark, sf_dir, "pages"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return license_scan.scan_licenses(read_table(spark, sf_dir, "documents"))
@@ -79,6 +84,7 @@ def queries() -> dict[str, Query]:
         "op3_ngram_join": op3_ngram_join,
         "op4_mixing": op4_mixing,
         "op5_warc": op5_warc,
+        "op6_quality": op6_quality,
         "op7_licenses": op7_licenses,
         "op8_media": op8_media,
         "op9_pii": op9_pii,

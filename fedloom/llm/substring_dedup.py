@@ -27,33 +27,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ngram_join import _summed_slices
-from .textscan import Words, mix, slices, text_array
+from .textscan import Words, mix, sequence_mix, slices, text_array
 
 WINDOW = 35
 ANCHOR = 8
 BLOOM_BITS = 26
 SHARDS = 4  # for each shuffle partition
-_STEP = 0xD1342543DE82EF95
 _FIRST_CHAR = 0xE000  # behind the surrogates: one character stands for one word of a phrase
 
 
-def sequence_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of the k consecutive items from each position on, built from powers of two of them."""
-    n = len(h) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out, done, piece, width = None, 0, h, 1
-    while True:
-        if k & width:
-            part = piece[done : done + n]
-            out = part.copy() if out is None else out * np.uint64(pow(_STEP, width, 1 << 64)) + part
-            done += width
-        if done == k:
-            return mix(out)
-        piece = piece[: len(piece) - width] * np.uint64(pow(_STEP, width, 1 << 64)) + piece[width:]
-        width *= 2
-
-
 def least_in(x: np.ndarray, w: int) -> np.ndarray:
     """The least of each w consecutive items."""
     n = len(x) - w + 1
@@ -76,7 +58,7 @@ def window_starts(words: Words, window: int) -> np.ndarray:
 
 def chosen_anchors(h: np.ndarray, at: np.ndarray, window: int, anchor: int) -> np.ndarray:
     """The anchor at each place that is the anchor of a window starting at one of at; several places if there is a tie."""
-    g = sequence_hashes(h, anchor)
+    g = sequence_mix(h, anchor)
     w = window - anchor + 1
     least = np.zeros(len(g) - w + 1 + 2 * (w - 1), np.uint64)
     least[w - 1 + at] = least_in(g, w)[at]
@@ -170,12 +152,12 @@ def _recurring_windows(docs: DataFrame, anchors, window: int, anchor: int, parts
                 if not len(at):
                     continue
                 h = words.hashes()
-                least = least_in(sequence_hashes(h, anchor), window - anchor + 1)[at]
+                least = least_in(sequence_mix(h, anchor), window - anchor + 1)[at]
                 there = np.ones(len(at), bool)
                 for k in _places(least):
                     there &= (bits[k >> 3] >> (k & 7).astype(np.uint8)) & 1 == 1
                 at = at[there]
-                hs.append(sequence_hashes(h, window)[at])
+                hs.append(sequence_mix(h, window)[at])
                 ps.append(shards[i + np.searchsorted(words.first, at, side="right") - 1])
             if hs and sum(map(len, hs)):
                 h, p, more = _counted(np.concatenate(hs), np.concatenate(ps))
@@ -292,7 +274,7 @@ def remove_repeats(spark: SparkSession, df: DataFrame, text: str = "text", id_co
             at = window_starts(words, window)
             if not len(at) or not len(recurring):
                 continue
-            sums = sequence_hashes(h, window)[at]
+            sums = sequence_mix(h, window)[at]
             place = np.searchsorted(recurring, sums)
             place[place == len(recurring)] = 0
             hit = np.zeros(len(h) + 1, bool)

@@ -144,6 +144,23 @@ def ngrams(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def sequence_mix(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the k consecutive items from each position on, built from powers of two of them."""
+    n = len(h) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out, done, piece, width = None, 0, h, 1
+    while True:
+        if k & width:
+            part = piece[done : done + n]
+            out = part.copy() if out is None else out * np.uint64(pow(int(_STEP), width, 1 << 64)) + part
+            done += width
+        if done == k:
+            return mix(out)
+        piece = piece[: len(piece) - width] * np.uint64(pow(int(_STEP), width, 1 << 64)) + piece[width:]
+        width *= 2
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     """As Spark's longs."""
     return x.view(np.int64)
