@@ -21,6 +21,7 @@ import struct
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -390,20 +391,19 @@ def default_model() -> str:
 def encode_column(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), model: str | None = None, output: str = "digest") -> DataFrame:
     """Encode and decode a text column.
 
-    output="digest": n_tokens, ids_sha256 and decoded_sha256 beside the kept columns; "ids": the ids as an
-    array and the decoded text. Null and empty texts have no ids. Rows stand for themselves: repeated rows
-    give repeated results, an empty table an empty one; columns besides text and keep aren't read, whatever
-    their names. model: a path that every executor can open. One pass, no shuffle.
+    Beside the kept columns: n_tokens, ids_sha256 and decoded_sha256; output="ids" adds the ids as an array,
+    "text" the decoded text. Null and empty texts have no ids. Rows stand for themselves: repeated rows give
+    repeated results, an empty table an empty one; columns besides text and keep aren't read, whatever their
+    names. model: a path that every executor can open. One pass, no shuffle.
     """
     model = model or default_model()
     fields = [f for f in df.schema.fields if f.name in keep]
-    if output == "digest":
-        extra = [("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
-        arrow_extra = [pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())]
-    else:
-        extra = [("ids", "array<int>"), ("decoded", "string")]
-        arrow_extra = [pa.field("ids", pa.list_(pa.int32())), pa.field("decoded", pa.string())]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"{n} {t}" for n, t in extra])
+    extra = [("n_tokens", "bigint", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())]
+    if output == "ids":
+        extra.append(("ids", "array<int>", pa.list_(pa.int32())))
+    elif output == "text":
+        extra.append(("decoded", "string", pa.string()))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"{n} {t}" for n, t, _ in extra])
     names = [f.name for f in fields]
 
     def run(batches):
@@ -411,21 +411,19 @@ def encode_column(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
         for batch in batches:
             texts = text_array(batch.column(len(names)))
             for lo in range(0, len(texts), 256):
-                part = texts.slice(lo, 256)
-                cols: list[list] = [[], [], []]
-                for t in part.to_pylist():
+                cols: list[list] = [[] for _ in extra]
+                for t in texts.slice(lo, 256).to_pylist():
                     joined, n, decoded = codec.results(t)
-                    if output == "digest":
-                        cols[0].append(n)
-                        cols[1].append(hashlib.sha256(joined.encode()).hexdigest())
-                        cols[2].append(hashlib.sha256(decoded.encode()).hexdigest())
-                    else:
-                        cols[0].append([int(x) for x in joined.split(",")] if joined else [])
-                        cols[1].append(decoded)
-                kept = [batch.column(i).slice(lo, 256) for i in range(len(names))]
+                    row = [n, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()]
+                    if output == "ids":
+                        row.append(np.array(joined.split(","), np.int32) if joined else np.zeros(0, np.int32))
+                    elif output == "text":
+                        row.append(decoded)
+                    for c, v in zip(cols, row, strict=True):
+                        c.append(v)
                 yield pa.RecordBatch.from_arrays(
-                    kept + [pa.array(c, f.type) for c, f in zip(cols, arrow_extra, strict=False)],
-                    schema=pa.schema([batch.schema.field(i) for i in range(len(names))] + arrow_extra),
+                    [batch.column(i).slice(lo, 256) for i in range(len(names))] + [pa.array(c, t) for c, (_, _, t) in zip(cols, extra, strict=True)],
+                    names=names + [n for n, *_ in extra],
                 )
 
     return df.select(*[f"`{n}`" for n in names], f"`{text}`").mapInArrow(run, schema)
