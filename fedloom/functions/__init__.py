@@ -1,0 +1 @@
+"""Column functions that several operators share."""

@@ -7,20 +7,694 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .session import read_table
+from ..functions.columns import client_mu, r6, staleness_weight
+from ..operators import aggregate as agg
+from ..operators import compress as cmp
+from ..operators import privacy as dp
+from ..operators import robust as byz
+from ..operators import rounds as orc
+from ..operators import secure as sec
+from ..operators import state as st
+from ..sources import weights as io
+from . import bindings as b
+from .bindings import with_sql
+from .session import new_path, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
-def fedavg_weighted_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read_table(spark, sf_dir, "embeddings")
-    rows = e.select("label", (1 + F.col("vec_id") % 3).cast("double").alias("w"), F.posexplode("embedding").alias("idx", "v"))
-    return rows.groupBy("label", "idx").agg(F.round(F.sum(F.col("v").cast("double") * F.col("w")) / F.sum("w"), 6).alias("value"))
+def query(sql: str | None = None, name: str | None = None):
+    """Register a query, with its SQL where that can state it."""
 
+    def add(f: Query) -> Query:
+        key = name or f.__name__
+        _QUERIES[key] = f
+        if sql:
+            _SQL[key] = sql
+        return f
 
-_QUERIES["fedavg_weighted_mean"] = fedavg_weighted_mean
+    return add
+
+
+def out(df: DataFrame, *keys: str, **values) -> DataFrame:
+    """Keys as they are (idx and the like as INT), doubles rounded to six places."""
+    cols = [F.col(k) for k in keys]
+    kinds = dict(df.dtypes)
+    cols += [(r6(v) if isinstance(v, str) and kinds.get(v) == "double" else (F.col(v) if isinstance(v, str) else v)).alias(k) for k, v in values.items()]
+    return df.select(*cols)
+
+
+B1, B2, B3, B4 = with_sql("b1"), with_sql("b1", "b2"), with_sql("b3"), with_sql("b4")
+DELTAS = with_sql("b4", "deltas", recursive=True)
+
+# -- aggregation without state
+
+
+@query(f"{B1} SELECT grp, idx, round(sum(value * w) / sum(w), 6) + 0.0 AS value FROM b1 GROUP BY grp, idx")
+def fedavg_weighted_mean(s, d):
+    return out(agg.weighted_mean(b.vectors(s, d)), "grp", "idx", value="value")
+
+
+@query(f"{B3} SELECT grp, param, idx, round(CASE WHEN sum(w) > 0 THEN sum(value * w) / sum(w) ELSE sum(value * w) END, 9) + 0.0 AS value FROM b3 GROUP BY grp, param, idx")
+def fedavg_minibatch_mean(s, d):
+    # means of prices are often exact halves of a millionth: more places here
+    x = agg.minibatch_mean(b.lines(s, d), ("grp", "param", "idx"))
+    return x.select("grp", "param", "idx", (F.round("value", 9) + 0.0).alias("value"))
+
+
+@query(f"{B1}, c AS (SELECT DISTINCT grp, client, w FROM b1) SELECT grp, count(*) AS num_clients, round(sum(w), 6) + 0.0 AS total_weight, round(avg(w), 6) + 0.0 AS avg_weight FROM c GROUP BY grp")
+def fedavg_round_metrics(s, d):
+    c = b.vectors(s, d).select("grp", "client", "w").distinct()
+    return out(c.groupBy("grp").agg(F.count("*").alias("n"), F.sum("w").alias("t"), F.avg("w").alias("a")), "grp", num_clients="n", total_weight="t", avg_weight="a")
+
+
+@query(f"{B1} SELECT grp, idx, round(median(value), 6) + 0.0 AS value FROM b1 GROUP BY grp, idx")
+def coordinate_median(s, d):
+    return out(agg.coordinate_median(b.vectors(s, d)), "grp", "idx", value="value")
+
+
+_TRIM = f"{B1}, r AS (SELECT *, row_number() OVER (PARTITION BY grp, idx ORDER BY value, client) AS rn, count(*) OVER (PARTITION BY grp, idx) AS n FROM b1), k AS (SELECT *, {{}} AS k FROM r)"
+
+
+@query(_TRIM.format("1") + " SELECT grp, idx, round(CASE WHEN max(n) <= 2 * max(k) THEN avg(value) ELSE avg(value) FILTER (rn > k AND rn <= n - k) END, 6) + 0.0 AS value FROM k GROUP BY grp, idx")
+def trimmed_mean_guarded(s, d):
+    return out(agg.trimmed_mean(b.vectors(s, d), faulty=1), "grp", "idx", value="value")
+
+
+@query(_TRIM.format("greatest(1, CAST(floor(n * 0.1) AS INT))") + " SELECT grp, idx, round(avg(value) FILTER (rn > k AND rn <= n - k), 6) + 0.0 AS value FROM k GROUP BY grp, idx")
+def trimmed_mean_base(s, d):
+    return out(agg.trimmed_mean(b.vectors(s, d), share=0.1, guarded=False), "grp", "idx", value="value")
+
+
+_NORMS = f"{B1}, norms AS (SELECT grp, client, sqrt(sum(value * value)) AS norm FROM b1 GROUP BY grp, client)"
+
+
+@query(f"{_NORMS} SELECT grp, round(avg(norm), 6) + 0.0 AS avg_norm, round(max(norm), 6) + 0.0 AS max_norm, round(min(norm), 6) + 0.0 AS min_norm FROM norms GROUP BY grp")
+def fedprox_norm_metrics(s, d):
+    n = agg.update_norms(b.vectors(s, d)).groupBy("grp").agg(F.avg("norm").alias("a"), F.max("norm").alias("b"), F.min("norm").alias("c"))
+    return out(n, "grp", avg_norm="a", max_norm="b", min_norm="c")
+
+
+@query(f"{B3}, layers AS (SELECT grp, client, param, sqrt(sum(value * value)) AS norm FROM b3 GROUP BY ALL), norms AS (SELECT grp, client, sum(norm) AS norm FROM layers GROUP BY ALL) SELECT grp, round(least(1.0, var_pop(norm) / (avg(norm) + 1e-8)), 6) + 0.0 AS mu FROM norms GROUP BY grp")
+def fedprox_adaptive_mu_variance(s, d):
+    return out(agg.adaptive_mu(b.lines(s, d), "variance", "param"), "grp", mu="mu")
+
+
+@query(f"{_NORMS} SELECT grp, round(least(1.0, 1 / (avg(norm) + 1)), 6) + 0.0 AS mu FROM norms GROUP BY grp")
+def fedprox_adaptive_mu_norm(s, d):
+    return out(agg.adaptive_mu(b.vectors(s, d), "norm"), "grp", mu="mu")
+
+
+_GLOBAL = ", g AS (SELECT grp, idx, sum(value * w) / sum(w) AS gv FROM b1 GROUP BY grp, idx)"
+
+
+@query(f"{B1}{_GLOBAL} SELECT grp, client, round(0.5 * 0.1 * sum((value - gv) * (value - gv)), 6) + 0.0 AS term FROM b1 JOIN g USING (grp, idx) GROUP BY grp, client")
+def fedprox_proximal_term(s, d):
+    u = b.vectors(s, d)
+    return out(agg.proximal_term(u, agg.weighted_mean(u), 0.1), "grp", "client", term="term")
+
+
+@query("SELECT vec_id AS client, round(0.01 * (1 + 0.1 * (vec_id % 7)), 6) + 0.0 AS by_staleness, round(0.01 * (1 + 0.05 * (vec_id % 5)), 6) + 0.0 AS by_epochs, 0.01::DOUBLE AS by_distance FROM embeddings")
+def adaptive_client_mu(s, d):
+    e = read_table(s, d, "embeddings").select(F.col("vec_id").alias("client"))
+    lag, ep = F.col("client") % 7, F.col("client") % 5
+    return e.select("client", r6(client_mu(0.01, "staleness", lag, ep)).alias("by_staleness"), r6(client_mu(0.01, "epochs", lag, ep)).alias("by_epochs"), client_mu(0.01, "distance", lag, ep).alias("by_distance"))
+
+
+@query(f"{B1} SELECT grp, idx, round(sum(value * (w / greatest(steps, 1))) / sum(w / greatest(steps, 1)), 6) + 0.0 AS value FROM b1 GROUP BY grp, idx")
+def fednova_normalized(s, d):
+    return out(agg.weighted_mean(b.vectors(s, d), weight=agg.nova_weight()), "grp", "idx", value="value")
+
+
+@query(f"{B1} SELECT grp, idx, round(sum(value * w) / sum(w), 6) + 0.0 AS value FROM b1 GROUP BY grp, idx")
+def fednova_standard(s, d):
+    return out(agg.weighted_mean(b.vectors(s, d), weight=agg.nova_weight(False)), "grp", "idx", value="value")
+
+
+@query(f"{B1}{_GLOBAL}, n AS (SELECT grp, idx, sum(value * (w / greatest(steps, 1))) / sum(w / greatest(steps, 1)) AS r FROM b1 GROUP BY grp, idx) SELECT grp, idx, round(r - 0.01 * (r - gv), 6) + 0.0 AS value FROM n JOIN g USING (grp, idx)")
+def fednova_proximal(s, d):
+    u = b.vectors(s, d)
+    return out(agg.toward(agg.weighted_mean(u, weight=agg.nova_weight()), agg.weighted_mean(u), 0.01), "grp", "idx", value="value")
+
+
+_PAIR = f"{B2}, p AS (SELECT x.idx, x.value AS a, y.value AS c FROM b2 x JOIN b2 y USING (idx) WHERE x.client = 0 AND y.client = 1)"
+
+
+@query(f"{_PAIR} SELECT idx, round(c - a, 6) + 0.0 AS value FROM p")
+def compute_delta(s, d):
+    u = b.label_means(s, d)
+    one = lambda k: u.where(F.col("client") == k).select("idx", "value")
+    return out(agg.compute_delta(one(1), one(0), ["idx"]), "idx", value="value")
+
+
+@query(f"{_PAIR} SELECT idx, round(a + c, 6) + 0.0 AS value FROM p")
+def apply_delta(s, d):
+    u = b.label_means(s, d)
+    one = lambda k: u.where(F.col("client") == k).select("idx", "value")
+    return out(agg.apply_delta(one(0), one(1), ["idx"]), "idx", value="value")
+
+
+@query(f"{B2}, reg AS (SELECT client, CASE WHEN client % 2 = 0 THEN client + 1.0 ELSE 1.0 END AS rw FROM (SELECT DISTINCT client FROM b2)), prev AS (SELECT idx, value AS p FROM b2 WHERE client = 0) SELECT idx, round(max(p) + sum(value * rw) / sum(rw), 6) + 0.0 AS value FROM b2 JOIN reg USING (client) JOIN prev USING (idx) GROUP BY idx")
+def server_registry_weighted_round(s, d):
+    u = b.label_means(s, d)
+    reg = u.select("client").distinct().where("client % 2 = 0").withColumn("w", F.col("client") + 1.0)
+    prev = u.where("client = 0").select("idx", "value")
+    return out(agg.registry_round(u, reg, prev, ["idx"]), "idx", value="value")
+
+
+@query(f"{B1}, m AS (SELECT grp, idx, sum(value * w) / sum(w) AS v FROM b1 GROUP BY grp, idx) SELECT idx, round(avg(v), 6) + 0.0 AS value FROM m GROUP BY idx")
+def hierarchical_mean(s, d):
+    return out(agg.hierarchical_mean(b.vectors(s, d), "grp"), "idx", value="value")
+
+
+def _staleness(method: str, expr: str) -> None:
+    sql = f"{B4}, x AS (SELECT *, (SELECT max(round) FROM b4) - round AS st FROM b4) SELECT round, client, param, round({expr}, 6) + 0.0 AS weight FROM x"
+
+    def run(s, d):
+        u = b.daily(s, d)
+        last = u.groupBy().agg(F.max("round").alias("_m"))
+        x = u.join(F.broadcast(last)).withColumn("st", F.col("_m") - F.col("round"))
+        return x.select("round", "client", "param", r6(staleness_weight(F.col("w"), F.col("st"), method)).alias("weight"))
+
+    query(sql, f"staleness_weight_{method}")(run)
+
+
+_staleness("decay", "w * pow(0.99, st)")
+_staleness("linear", "w * greatest(0.0, 1 - st / 10.0)")
+_staleness("quadratic", "w * greatest(0.0, 1 - pow(st / 10.0, 2.0))")
+_staleness("threshold", "CASE WHEN st <= 5 THEN w ELSE w * pow(0.99, st - 5) END")
+
+
+@query(f"{B4}, x AS (SELECT *, (SELECT max(round) FROM b4) - round AS st FROM b4) SELECT param, idx, round(sum(value * w * pow(0.99, st)) / sum(w * pow(0.99, st)), 6) + 0.0 AS value FROM x WHERE st <= 10 GROUP BY param, idx")
+def async_batch_aggregate(s, d):
+    u = b.daily(s, d)
+    last = u.groupBy().agg(F.max("round").alias("_m"))
+    x = agg.drop_stale(u.join(F.broadcast(last)), F.col("_m")).withColumn("w", staleness_weight(F.col("w"), F.col("staleness")))
+    return out(agg.weighted_mean(x, ("param", "idx")), "param", "idx", value="value")
+
+
+@query(f"{B4}, x AS (SELECT *, (SELECT max(round) FROM b4) - round AS st, row_number() OVER (PARTITION BY client, param ORDER BY round DESC) AS rn FROM b4) SELECT client, param, round(CASE WHEN st > 0 THEN value * pow(0.7, st) ELSE value END, 6) + 0.0 AS value FROM x WHERE rn = 1")
+def async_value_scaling(s, d):
+    u = b.daily(s, d)
+    last = u.groupBy().agg(F.max("round").alias("_m"))
+    x = u.join(F.broadcast(last)).withColumn("staleness", F.col("_m") - F.col("round"))
+    return out(agg.scale_stale_values(x, 0.7), "client", "param", value="value")
+
+
+# -- with state
+
+
+@query(f"{DELTAS}, f AS (SELECT param, round, t, value AS v FROM deltas WHERE t = 1 UNION ALL SELECT x.param, x.round, x.t, 0.9 * f.v + x.value FROM f JOIN deltas x ON x.param = f.param AND x.t = f.t + 1) SELECT param, CAST(round AS BIGINT) AS round, round(v, 6) + 0.0 AS value FROM f")
+def momentum_fold(s, d):
+    return out(st.momentum(b.deltas(s, d), ["param"]), "param", "round", value="value")
+
+
+@query(f"{DELTAS}, f AS (SELECT param, round, t, value AS v FROM deltas WHERE t = 1 UNION ALL SELECT x.param, x.round, x.t, 0.99 * f.v + (1 - 0.99) * x.value FROM f JOIN deltas x ON x.param = f.param AND x.t = f.t + 1) SELECT param, CAST(round AS BIGINT) AS round, round(v, 6) + 0.0 AS value FROM f")
+def ema_fold(s, d):
+    return out(st.running_average(b.deltas(s, d), ["param"]), "param", "round", value="value")
+
+
+@query(f"{DELTAS}, f AS (SELECT param, round, t, (1 - 0.9) * value AS v FROM deltas WHERE t = 1 UNION ALL SELECT x.param, x.round, x.t, 0.9 * f.v + (1 - 0.9) * x.value FROM f JOIN deltas x ON x.param = f.param AND x.t = f.t + 1) SELECT param, CAST(round AS BIGINT) AS round, round(v, 6) + 0.0 AS value FROM f")
+def variance_reduction_fold(s, d):
+    return out(st.running_average(b.deltas(s, d), ["param"], 0.9, from_first=False), "param", "round", value="value")
+
+
+@query(f"{DELTAS}, e AS (SELECT param, round, t, value AS r, value AS g FROM deltas WHERE t = 1 UNION ALL SELECT x.param, x.round, x.t, 0.99 * e.r + (1 - 0.99) * x.value, x.value FROM e JOIN deltas x ON x.param = e.param AND x.t = e.t + 1) SELECT param, CAST(round AS BIGINT) AS round, round(coalesce(0.9 * lag(r) OVER (PARTITION BY param ORDER BY t) + (1 - 0.9) * g, g), 6) + 0.0 AS value FROM e")
+def gradient_estimate(s, d):
+    from pyspark.sql import Window as W
+
+    x = b.deltas(s, d)
+    avg = st.running_average(x, ["param"]).withColumnRenamed("value", "est")
+    j = x.withColumn("round", F.col("round").cast("bigint")).join(avg, ["param", "round"])
+    before = F.lag("est").over(W.partitionBy("param").orderBy("round"))
+    return out(j.withColumn("value", F.coalesce(0.9 * before + (1 - 0.9) * F.col("value"), F.col("value"))), "param", "round", value="value")
+
+
+@query(f"{DELTAS} SELECT param, CAST(round AS BIGINT) AS round, round(0.01 * value / (sqrt(0.1 + sum(value * value) OVER (PARTITION BY param ORDER BY round)) + 1e-8), 6) + 0.0 AS value FROM deltas")
+def adagrad_window(s, d):
+    return out(st.adagrad(b.deltas(s, d), ["param"]).withColumn("round", F.col("round").cast("bigint")), "param", "round", value="value")
+
+
+@query(f"{DELTAS} SELECT param, CAST(round AS BIGINT) AS round, round(0.0 - sum(value) OVER (PARTITION BY param ORDER BY round), 6) + 0.0 AS value FROM deltas")
+def scaffold_server_control(s, d):
+    return out(st.server_control(b.deltas(s, d), ["param"]).withColumn("round", F.col("round").cast("bigint")), "param", "round", value="value")
+
+
+_ADAM = "SELECT param, CAST(round AS BIGINT) AS round, round(0.01 * (m / (1 - pow(0.9, t))) / (sqrt({v} / (1 - pow(0.99, t))) + {e}), 6) + 0.0 AS value FROM f"
+
+
+@query(f"{DELTAS}, f AS (SELECT param, round, t, (1 - 0.9) * value AS m, (1 - 0.99) * value * value AS v FROM deltas WHERE t = 1 UNION ALL SELECT x.param, x.round, x.t, 0.9 * f.m + (1 - 0.9) * x.value, 0.99 * f.v + (1 - 0.99) * x.value * x.value FROM f JOIN deltas x ON x.param = f.param AND x.t = f.t + 1) " + _ADAM.format(v="v", e="1e-8 + 1e-7"))
+def adam_fold(s, d):
+    return out(st.adam(b.deltas(s, d), ["param"]), "param", "round", value="value")
+
+
+@query(f"{DELTAS}, f AS (SELECT param, round, t, (1 - 0.9) * value AS m, 0.99 * 1e-3 + sign(1e-3 - (1 - 0.99) * value * value) * (1 - 0.99) * value * value AS v FROM deltas WHERE t = 1 UNION ALL SELECT x.param, x.round, x.t, 0.9 * f.m + (1 - 0.9) * x.value, 0.99 * f.v + sign(f.v - (1 - 0.99) * x.value * x.value) * (1 - 0.99) * x.value * x.value FROM f JOIN deltas x ON x.param = f.param AND x.t = f.t + 1) " + _ADAM.format(v="abs(v)", e="1e-8"))
+def yogi_fold(s, d):
+    return out(st.yogi(b.deltas(s, d), ["param"]), "param", "round", value="value")
+
+
+@query(f"{B1}{_GLOBAL} SELECT grp, client, idx, round(value - CASE WHEN client % 2 = 0 THEN 0.5 * value ELSE 0.0 END + gv, 6) + 0.0 AS value FROM b1 JOIN g USING (grp, idx)")
+def scaffold_correction(s, d):
+    u = b.vectors(s, d)
+    own = u.where("client % 2 = 0").select("client", "grp", "idx", (0.5 * F.col("value")).alias("value"))
+    return out(st.control_correction(u, own, agg.weighted_mean(u), ["grp", "idx"]), "grp", "client", "idx", value="value")
+
+
+# -- faulty clients
+
+_DIST = f"{B1}, dist AS (SELECT x.grp, x.client AS a, y.client AS b, sqrt(sum((x.value - y.value) * (x.value - y.value))) AS dist FROM b1 x JOIN b1 y ON x.grp = y.grp AND x.idx = y.idx AND x.client < y.client GROUP BY ALL)"
+_SCORE = f"""{_DIST}, both_ AS (SELECT grp, a AS client, b AS other, dist FROM dist UNION ALL SELECT grp, b, a, dist FROM dist),
+n AS (SELECT grp, count(DISTINCT client) AS n FROM b1 GROUP BY grp),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY grp, client ORDER BY dist, other) AS r FROM both_),
+score AS (SELECT grp, client, n, n - 3 AS k, coalesce(sum(dist) FILTER (r <= n - 3), 0) AS score FROM ranked JOIN n USING (grp) GROUP BY grp, client, n),
+placed AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score, client) AS place FROM score)"""
+
+
+@query(f"{_DIST} SELECT grp, a, b, round(dist, 6) + 0.0 AS dist FROM dist")
+def pairwise_distance(s, d):
+    return out(byz.pairwise_distance(b.vectors(s, d)), "grp", "a", "b", dist="dist")
+
+
+@query(f"{_SCORE} SELECT grp, client, n, k, round(score, 6) + 0.0 AS score FROM score")
+def krum_scores(s, d):
+    return out(byz.krum_scores(b.vectors(s, d)), "grp", "client", "n", "k", score="score")
+
+
+@query(f"{_SCORE} SELECT grp, client FROM placed WHERE k < 1 OR place <= 1")
+def krum_single(s, d):
+    return byz.krum_survivors(b.vectors(s, d), multi=False)
+
+
+@query(f"{_SCORE} SELECT grp, client FROM placed WHERE k < 1 OR place <= n - 2")
+def krum_multi(s, d):
+    return byz.krum_survivors(b.vectors(s, d))
+
+
+@query(f"{_SCORE} SELECT grp, idx, round(sum(value * w) / sum(w), 6) + 0.0 AS value FROM b1 SEMI JOIN (SELECT grp, client FROM placed WHERE k < 1 OR place <= n - 2) q USING (grp, client) GROUP BY grp, idx")
+def krum_wrapped(s, d):
+    return out(byz.krum_mean(b.vectors(s, d)), "grp", "idx", value="value")
+
+
+@query()
+def geometric_median(s, d):
+    return out(byz.geometric_median(s, b.label_means(s, d)), "grp", "idx", value="value")
+
+
+_SUBSETS = f"{B2}, ids AS (SELECT DISTINCT client FROM b2), sub AS (SELECT CAST(9 - o.client AS INT) AS subset, i.client FROM ids o JOIN ids i ON i.client <> o.client)"
+
+
+@query(f"{_SUBSETS}, v AS (SELECT subset, idx, var_pop(value) AS v FROM sub JOIN b2 USING (client) GROUP BY subset, idx), sc AS (SELECT subset, sum(v) AS score FROM v GROUP BY subset), best AS (SELECT * FROM sc ORDER BY score, subset LIMIT 1) SELECT subset, client, round(score, 6) + 0.0 AS score FROM sub JOIN best USING (subset)")
+def brute_force_variance(s, d):
+    return out(byz.subset_search(s, b.label_means(s, d)), "subset", "client", score="score")
+
+
+@query(f"{_SUBSETS}, dist AS (SELECT x.client AS a, y.client AS b, sqrt(sum((x.value - y.value) * (x.value - y.value))) AS dist FROM b2 x JOIN b2 y ON x.idx = y.idx AND x.client < y.client GROUP BY ALL), sc AS (SELECT p.subset, max(dist) AS score FROM sub p JOIN sub q USING (subset) JOIN dist ON p.client = a AND q.client = b GROUP BY p.subset), best AS (SELECT * FROM sc ORDER BY score, subset LIMIT 1) SELECT subset, client, round(score, 6) + 0.0 AS score FROM sub JOIN best USING (subset)")
+def brute_force_max_dist(s, d):
+    return out(byz.subset_search(s, b.label_means(s, d), metric="max_dist"), "subset", "client", score="score")
+
+
+# -- compression
+
+_TOP = f"{B1}, r AS (SELECT *, row_number() OVER (PARTITION BY client ORDER BY abs(value) DESC, idx) AS rn, rank() OVER (PARTITION BY client ORDER BY abs(value) DESC) AS rk, greatest(1, CAST(floor(count(*) OVER (PARTITION BY client) * 0.1) AS INT)) AS k FROM b1)"
+
+
+@query(f"{_TOP} SELECT client, idx, round(value, 6) + 0.0 AS value FROM r WHERE rn <= k")
+def topk_per_param(s, d):
+    return out(cmp.top_k(b.vectors(s, d)), "client", "idx", value="value")
+
+
+@query(f"{_TOP} SELECT client, idx, round(value, 6) + 0.0 AS value FROM r WHERE rk <= k")
+def topk_global(s, d):
+    return out(cmp.top_k_global(b.vectors(s, d)), "client", "idx", value="value")
+
+
+@query(f"{_TOP} SELECT client, idx, round(CASE WHEN rn <= k THEN value ELSE 0.0 END, 6) + 0.0 AS value FROM r")
+def topk_roundtrip(s, d):
+    u = b.vectors(s, d)
+    return out(cmp.scatter(cmp.top_k(u).select("client", "idx", "value"), u.select("client", "idx"), ["client", "idx"]), "client", "idx", value="value")
+
+
+@query()
+def randomk_hash(s, d):
+    return out(cmp.random_k(b.vectors(s, d), seed=7), "client", "idx", value="value", norm_scale="norm_scale", mean_scale="mean_scale")
+
+
+@query(f"{B1}, m AS (SELECT *, min(value) OVER (PARTITION BY client) AS lo, max(value) OVER (PARTITION BY client) AS hi FROM b1), q AS (SELECT *, CAST(round_even((value - lo) / (hi - lo + 1e-10) * 255, 0) AS INT) AS code FROM m) SELECT client, idx, code, round(lo + code / 255.0 * (hi - lo), 6) + 0.0 AS restored FROM q")
+def quantize_uniform(s, d):
+    return out(cmp.quantize(b.vectors(s, d)), "client", "idx", "code", restored="restored")
+
+
+@query(f"{B1}, l AS (SELECT *, log2(abs(value) + 1e-10) AS x FROM b1), m AS (SELECT *, min(x) OVER (PARTITION BY client) AS lo, max(x) OVER (PARTITION BY client) AS hi FROM l), q AS (SELECT *, CAST(round_even((x - lo) / (hi - lo + 1e-10) * 255, 0) AS INT) AS code FROM m) SELECT client, idx, code, round(pow(2.0, lo + code / 255.0 * (hi - lo)) * sign(value), 6) + 0.0 AS restored FROM q")
+def quantize_log(s, d):
+    return out(cmp.quantize_log(b.vectors(s, d)), "client", "idx", "code", restored="restored")
+
+
+@query(f"{B1}, m AS (SELECT *, max(abs(value)) OVER (PARTITION BY client) AS top FROM b1), c AS (SELECT client, idx, value, top, i, row_number() OVER (PARTITION BY client, idx ORDER BY abs(abs(value) - top * pow(0.5, i)), i) AS r FROM m, range(8) AS t(i)) SELECT client, idx, CAST(i AS INT) AS code, round(top * pow(0.5, i) * CASE WHEN value > 0 THEN 1 ELSE -1 END, 6) + 0.0 AS restored FROM c WHERE r = 1")
+def quantize_pow2(s, d):
+    return out(cmp.quantize_pow2(b.vectors(s, d)), "client", "idx", "code", restored="restored")
+
+
+@query(f"{B1} SELECT client, idx, CAST(value > 0 AS INT) AS bit, round((2 * CAST(value > 0 AS INT) - 1) * avg(abs(value)) OVER (PARTITION BY client), 6) + 0.0 AS restored FROM b1")
+def sign_compress(s, d):
+    return out(cmp.sign_compress(b.vectors(s, d)), "client", "idx", "bit", restored="restored")
+
+
+@query(f"{B1} SELECT client, idx, round(CASE WHEN abs(value) > 0.5 THEN value ELSE 0.0 END, 6) + 0.0 AS value FROM b1")
+def threshold_sparsify(s, d):
+    return out(cmp.threshold(b.vectors(s, d), 0.5), "client", "idx", value="value")
+
+
+@query(f"{B1}, t AS (SELECT client, quantile_cont(abs(value), 0.9) AS t FROM b1 GROUP BY client) SELECT client, idx, round(CASE WHEN abs(value) > t THEN value ELSE 0.0 END, 6) + 0.0 AS value FROM b1 JOIN t USING (client)")
+def percentile_sparsify(s, d):
+    return out(cmp.percentile_sparsify(b.vectors(s, d)), "client", "idx", value="value")
+
+
+@query("SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag")
+def value_frequencies(s, d):
+    return cmp.value_frequencies(read_table(s, d, "lineitem"), "l_returnflag")
+
+
+_RUNS = "WITH c AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_returnflag, CASE WHEN l_returnflag IS DISTINCT FROM lag(l_returnflag) OVER w OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS ch FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice)), r AS (SELECT *, sum(ch) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey ROWS UNBOUNDED PRECEDING) AS run FROM c)"
+
+
+def _runs(s, d):
+    return cmp.run_length_encode(read_table(s, d, "lineitem"), ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"], "l_returnflag")
+
+
+@query(_RUNS + " SELECT l_suppkey, CAST(run AS BIGINT) AS run, l_returnflag, count(*) AS n FROM r GROUP BY l_suppkey, run, l_returnflag")
+def run_length_encode(s, d):
+    return _runs(s, d).withColumn("run", F.col("run").cast("bigint")).select("l_suppkey", "run", "l_returnflag", "n")
+
+
+@query("SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS pos, l_returnflag FROM lineitem")
+def run_length_decode(s, d):
+    return cmp.run_length_decode(_runs(s, d), ["l_suppkey"], "l_returnflag").withColumn("pos", F.col("pos").cast("bigint"))
+
+
+@query(f"{B1}, n AS (SELECT client, count(*) AS n FROM b1 GROUP BY client), o AS (SELECT client, unnest(['top_k', 'quantization', 'sign']) AS method, unnest([1 - (12 * greatest(1, CAST(floor(n * 0.1) AS INT)) + 8) / (4.0 * n), 1 - (n + 16) / (4.0 * n), 1 - (n + 12) / (4.0 * n)]::DOUBLE[]) AS saving, unnest([0, 1, 2]) AS i FROM n) SELECT client, arg_max(method, saving) AS method, round(max(saving), 6) + 0.0 AS saving FROM o GROUP BY client")
+def adaptive_method_choice(s, d):
+    return out(cmp.method_choice(b.vectors(s, d), group=("client",)), "client", "method", saving="saving")
+
+
+_SIM = f"{B4}, p AS (SELECT *, lag(value) OVER (PARTITION BY client, param, idx ORDER BY round) AS pv FROM b4), z AS (SELECT client, round, sqrt(sum((value - pv) * (value - pv))) AS df, sqrt(sum(value * value)) AS nv FROM p GROUP BY client, round), q AS (SELECT client, round, CASE WHEN df IS NULL THEN NULL WHEN nv = 0 THEN 1.0 ELSE 1 - least(1.0, df / (nv + 1e-10)) END AS similarity FROM z)"
+
+
+@query(f"{_SIM} SELECT client, round, round(similarity, 6) + 0.0 AS similarity, coalesce(similarity >= 0.5, false) AS skipped FROM q")
+def update_similarity(s, d):
+    return out(cmp.update_similarity(b.daily(s, d), least=0.5), "client", "round", similarity="similarity", skipped="skipped")
+
+
+@query(f"{_SIM} SELECT client, round(avg(CASE WHEN coalesce(similarity >= 0.5, false) THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS skipped_ratio FROM q GROUP BY client")
+def skip_ratio(s, d):
+    x = cmp.update_similarity(b.daily(s, d), least=0.5).groupBy("client").agg(F.avg(F.col("skipped").cast("double")).alias("r"))
+    return out(x, "client", skipped_ratio="r")
+
+
+# -- privacy
+
+
+@query(f"{B1} SELECT client, idx, round(value * least(1.0, 1.0 / (sqrt(sum(value * value) OVER (PARTITION BY client, idx // 8)) + 1e-6)), 6) + 0.0 AS value FROM b1")
+def clip_rows(s, d):
+    u = b.vectors(s, d).withColumn("row", F.floor(F.col("idx") / 8))
+    return out(dp.clip(u, ["client", "row"]), "client", "idx", value="value")
+
+
+@query(f"{B1} SELECT client, idx, round(value * least(1.0, 1.0 / (sqrt(sum(value * value) OVER (PARTITION BY client)) + 1e-6)), 6) + 0.0 AS value FROM b1")
+def clip_global(s, d):
+    return out(dp.clip(b.vectors(s, d), ["client"]), "client", "idx", value="value")
+
+
+@query(f"{_NORMS} SELECT round(quantile_cont(norm, 0.5), 6) + 0.0 AS max_norm FROM norms")
+def adaptive_clip_norm(s, d):
+    return out(dp.adaptive_norm(b.vectors(s, d), ["client"]), max_norm="max_norm")
+
+
+_LOG = """WITH log AS (SELECT event_id, 0.001 * (1 + event_id % 10) AS q, 0.5 + (event_id % 4) AS z, 1 + event_id % 3 AS steps FROM events),
+sums AS (SELECT sum(steps * q * q * z * z) AS a, sum(steps * q * q * q * z * z * z) AS b, sum(steps) AS steps FROM log),
+orders AS (SELECT CAST(x - 1 AS INT) AS i, 1 + x / 10.0 AS alpha FROM range(1, 100) t(x) UNION ALL SELECT CAST(99 + x - 12 AS INT), x FROM range(12, 64) t(x)),
+rdp AS (SELECT i, alpha, CASE WHEN alpha < 2 THEN 0 ELSE 0.5 * alpha * a + CASE WHEN alpha > 2 THEN (alpha - 1) * b / 6 ELSE 0 END END AS rdp, steps FROM orders, sums)"""
+
+
+def _log(s, d):
+    e = F.col("event_id")
+    return read_table(s, d, "events").select((F.lit(0.001) * (1 + e % 10)).alias("sample_rate"), (F.lit(0.5) + e % 4).alias("noise_multiplier"), (1 + e % 3).alias("steps"))
+
+
+@query(f"{_LOG} SELECT i, round(alpha, 6) + 0.0 AS alpha, round(rdp, 6) + 0.0 AS rdp FROM rdp")
+def rdp_per_order(s, d):
+    return out(dp.rdp_per_order(_log(s, d), dp.orders(s)), "i", alpha="alpha", rdp="rdp")
+
+
+@query(f"{_LOG}, e AS (SELECT i, rdp / steps * alpha + ln(1e-5) / (alpha - 1) AS eps, rdp, steps FROM rdp) SELECT round(CASE WHEN max(rdp) = 0 THEN 0 WHEN count(*) FILTER (eps > 0) > 0 THEN arg_min(eps, i) FILTER (eps > 0) ELSE max(steps) * 0.01 END, 6) + 0.0 AS epsilon FROM e")
+def rdp_epsilon(s, d):
+    return out(dp.rdp_epsilon(dp.rdp_per_order(_log(s, d), dp.orders(s))), epsilon="epsilon")
+
+
+@query(f"{_LOG} SELECT round(sum(steps * q), 6) + 0.0 AS mu, round(sqrt(sum(steps * q * q * z * z)), 6) + 0.0 AS sigma FROM log")
+def gdp_mu(s, d):
+    return out(dp.gdp(_log(s, d)), mu="mu", sigma="sigma")
+
+
+@query(f"{_LOG} SELECT round(sum(steps * q * z) * sqrt(2 * ln(1 / 1e-5)), 6) + 0.0 AS epsilon FROM log")
+def simple_epsilon(s, d):
+    return out(dp.simple_epsilon(_log(s, d)), epsilon="epsilon")
+
+
+@query("WITH g AS (SELECT 0.1 * (1 + r_regionkey) AS e, 1e-6 * (1 + r_regionkey) AS d FROM region) SELECT round(max(e) * sqrt(2 * count(*) * ln(1 / max(d))), 6) + 0.0 AS epsilon, round(count(*) * max(d) * 1e6, 6) + 0.0 AS delta_ppm, round(sum(e), 6) + 0.0 AS sequential, round(sum(e) * sqrt(CAST(count(*) AS DOUBLE)), 6) + 0.0 AS other FROM g")
+def compose_guarantees(s, d):
+    k = F.col("r_regionkey")
+    g = read_table(s, d, "region").select((F.lit(0.1) * (1 + k)).alias("epsilon"), (F.lit(1e-6) * (1 + k)).alias("delta"))
+    x = dp.compose(g).join(dp.compose(g, "sequential").select(F.col("epsilon").alias("sequential"))).join(dp.compose(g, "root").select(F.col("epsilon").alias("other")))
+    return x.select(r6("epsilon").alias("epsilon"), r6(F.col("delta") * 1e6).alias("delta_ppm"), r6("sequential").alias("sequential"), r6("other").alias("other"))
+
+
+@query("SELECT r_regionkey, round(sqrt(2 * ln(1.25 / 1e-5)) * (1 + r_regionkey) / 2.0, 6) + 0.0 AS gaussian, round((1 + r_regionkey) / 2.0, 6) + 0.0 AS laplace FROM region")
+def calibrate_noise(s, d):
+    sens = (1 + F.col("r_regionkey")).cast("double")
+    f = lambda how: r6(dp.calibrated_noise(F.lit(2.0), F.lit(1e-5), sens, how)).alias(how)
+    return read_table(s, d, "region").select("r_regionkey", f("gaussian"), f("laplace"))
+
+
+@query(f"{_NORMS} SELECT round(0.5 * (1 + 0.1 * avg(norm)), 6) + 0.0 AS noise FROM norms")
+def adaptive_noise(s, d):
+    return out(dp.adaptive_noise(b.vectors(s, d), 0.5, ["client"]), noise="noise")
+
+
+@query("SELECT r_regionkey, round(greatest(0.0, 2.0 - 0.75 * r_regionkey), 6) + 0.0 AS remaining, round(least(1.0, 0.75 * r_regionkey / 2.0), 6) + 0.0 AS ratio, 2.0 - 0.75 * r_regionkey <= 0 AS exhausted FROM region")
+def privacy_budget(s, d):
+    x = read_table(s, d, "region").select("r_regionkey", dp.budget(F.lit(2.0), F.lit(0.75) * F.col("r_regionkey")).alias("x")).select("r_regionkey", "x.*")
+    return out(x, "r_regionkey", remaining="remaining", ratio="ratio", exhausted="exhausted")
+
+
+@query()
+def gaussian_noise(s, d):
+    return out(dp.add_gaussian(b.vectors(s, d), 0.1, 7), "client", "idx", value="value")
+
+
+@query()
+def laplace_noise(s, d):
+    return out(dp.add_laplace(b.vectors(s, d), 0.1, 7), "client", "idx", value="value")
+
+
+# -- secure aggregation
+
+_FIX = f"{B2}, f AS (SELECT client, idx, CAST(trunc(value * 1000000) AS BIGINT) AS v FROM b2)"
+
+
+def _fixed(s, d):
+    return b.label_means(s, d).select("client", "idx", F.round("value", 9).alias("value"))
+
+
+@query(_FIX.replace("value * 1000000", "round(value, 9) * 1000000") + " SELECT client, idx, round(v / 1000000.0, 6) + 0.0 AS value FROM f")
+def shamir_roundtrip(s, d):
+    keys = ("client", "idx")
+    x = _fixed(s, d).select("client", "idx", sec.encode(F.col("value")).alias("secret"))
+    shares = sec.share(x, 3, 5, 7, keys)
+    return out(sec.reconstruct(shares, [5, 2, 4], 3, keys).withColumn("value", sec.decode(F.col("secret"))), *keys, value="value")
+
+
+_SUMMED = _FIX.replace("value * 1000000", "round(value, 9) * 1000000") + " SELECT idx, round(sum(v) / 1000000.0, 6) + 0.0 AS value FROM f GROUP BY idx"
+
+
+@query(_SUMMED)
+def fixed_point_sum(s, d):
+    x = _fixed(s, d).select("client", "idx", sec.encode(F.col("value")).alias("secret"))
+    total = sec.shared_sum(sec.share(x, 3, 5, 7, ("client", "idx")), ("idx",))
+    return out(sec.reconstruct(total, [1, 3, 5], 3, ("idx",)).withColumn("value", sec.decode(F.col("secret"))), "idx", value="value")
+
+
+@query(_SUMMED)
+def pairwise_mask_sum(s, d):
+    x = _fixed(s, d)
+    m = sec.masked(x, x.select("client").distinct(), 7).groupBy("idx").agg(sec.field(F.sum("masked")).alias("t"))
+    return out(m.withColumn("value", sec.decode(F.col("t"))), "idx", value="value")
+
+
+@query("SELECT c_custkey AS client, sha256(CAST(CAST(round(c_acctbal * 1000000) AS BIGINT) AS VARCHAR) || ',' || CAST(CAST(round(c_nationkey * 1000000.0) AS BIGINT) AS VARCHAR)) AS commitment FROM customer")
+def hash_commitment(s, d):
+    x = read_table(s, d, "customer").select(F.col("c_custkey").alias("client"), F.posexplode(F.array("c_acctbal", F.col("c_nationkey").cast("double"))).alias("idx", "value"))
+    return sec.commitment(x, ("client",))
+
+
+# -- rounds, metrics, vertical
+
+
+@query()
+def sample_uniform(s, d):
+    return orc.sample_uniform(b.registry(s, d), 20, 7).select("client")
+
+
+@query()
+def sample_weighted(s, d):
+    return orc.sample_weighted(b.registry(s, d), 20, 7).select("client")
+
+
+@query()
+def sample_with_replacement(s, d):
+    return orc.sample_with_replacement(b.registry(s, d), 20, 7)
+
+
+@query(f"{DELTAS}, f AS (SELECT param, round, t, value AS best, 0 AS counter FROM deltas WHERE t = 1 UNION ALL SELECT x.param, x.round, x.t, CASE WHEN x.value > f.best + 0.5 THEN x.value ELSE f.best END, CASE WHEN x.value > f.best + 0.5 THEN 0 ELSE f.counter + 1 END FROM f JOIN deltas x ON x.param = f.param AND x.t = f.t + 1) SELECT param, CAST(round AS BIGINT) AS round, round(best, 6) + 0.0 AS best, counter, counter >= 3 AS stop FROM f")
+def early_stopping_trace(s, d):
+    x = st.early_stopping(b.deltas(s, d), "param", 3, 0.5).withColumn("counter", F.col("counter").cast("int"))
+    return out(x, "param", "round", best="best", counter="counter", stop="stop")
+
+
+@query("WITH last AS (SELECT user_id AS client, event_type AS param, arg_max(value, event_id) AS value FROM events GROUP BY ALL) SELECT client, param, round(value, 6) + 0.0 AS value FROM last")
+def last_write_wins(s, d):
+    e = read_table(s, d, "events").select(F.col("user_id").alias("client"), F.col("event_type").alias("param"), "event_id", "value")
+    return out(orc.latest_updates(e, ["client", "param"], "event_id"), "client", "param", value="value")
+
+
+@query(f"{B4} SELECT round, count(DISTINCT client) AS clients FROM b4 GROUP BY round HAVING count(DISTINCT client) >= 10")
+def round_quorum(s, d):
+    return orc.quorum(b.daily(s, d), 10)
+
+
+_E = "WITH e AS (SELECT vec_id AS sample, label AS client, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS dim, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings)"
+
+
+def _parties(s, d):
+    return b.vectors(s, d).select((F.col("client") % 50).alias("sample"), F.col("grp").alias("client"), F.col("idx").alias("dim"), "value")
+
+
+@query(_E.replace("vec_id AS sample", "vec_id % 50 AS sample") + ", w AS (SELECT DISTINCT client, client + 1.0 AS w FROM e) SELECT sample, dim, round(sum(value * w) / (SELECT sum(w) FROM w), 6) + 0.0 AS value FROM e JOIN w USING (client) GROUP BY sample, dim")
+def vertical_weighted_mean(s, d):
+    x = _parties(s, d)
+    return out(orc.combine_embeddings(x, x.select("client").distinct().withColumn("w", F.col("client") + 1.0)), "sample", "dim", value="value")
+
+
+@query(_E.replace("vec_id AS sample", "vec_id % 50 AS sample") + " SELECT sample, dim, round(avg(value), 6) + 0.0 AS value FROM e GROUP BY sample, dim")
+def vertical_mean(s, d):
+    return out(orc.combine_embeddings(_parties(s, d)), "sample", "dim", value="value")
+
+
+@query(_E + " SELECT client, dim, round(avg(value), 6) + 0.0 AS value FROM e GROUP BY client, dim")
+def local_embedding(s, d):
+    return out(orc.local_embedding(_parties(s, d)), "client", "dim", value="value")
+
+
+_F = "WITH f AS (SELECT DISTINCT s_nationkey AS client, s_suppkey % 17 AS feature FROM supplier)"
+
+
+def _features(s, d):
+    return read_table(s, d, "supplier").select(F.col("s_nationkey").alias("client"), (F.col("s_suppkey") % 17).alias("feature"))
+
+
+@query(f"{_F} SELECT client, string_agg(CAST(feature AS VARCHAR), ',' ORDER BY feature) AS features FROM f GROUP BY client")
+def feature_alignment(s, d):
+    return orc.feature_alignment(_features(s, d)).withColumn("features", F.array_join(F.transform("features", lambda x: x.cast("string")), ","))
+
+
+@query(f"{_F} SELECT count(DISTINCT feature) AS features, count(DISTINCT client) AS clients FROM f")
+def feature_overlap(s, d):
+    return orc.feature_overlap(_features(s, d))
+
+
+@query("SELECT o_orderkey, o_totalprice, q FROM orders JOIN (SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey")
+def entity_alignment(s, d):
+    a = read_table(s, d, "orders").select("o_orderkey", "o_totalprice")
+    c = read_table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").alias("q"))
+    return orc.align_entities([a, c], "o_orderkey")
+
+
+def _metrics(s, d):
+    return read_table(s, d, "events").select(F.col("event_type").alias("name"), "value", "ts", F.col("event_id").alias("seq"))
+
+
+@query("SELECT event_type AS name, round(avg(value), 6) + 0.0 AS mean, round(stddev_pop(value), 6) + 0.0 AS std, round(min(value), 6) + 0.0 AS min, round(max(value), 6) + 0.0 AS max, round(arg_max(value, (ts, event_id)), 6) + 0.0 AS latest, count(*) AS n FROM events GROUP BY event_type")
+def metrics_summary(s, d):
+    return out(orc.metrics_summary(_metrics(s, d)), "name", mean="mean", std="std", min="min", max="max", latest="latest", n="n")
+
+
+@query("SELECT event_type AS name, round(arg_max(value, (ts, event_id)), 6) + 0.0 AS latest FROM events GROUP BY event_type")
+def metrics_latest(s, d):
+    return out(orc.metrics_summary(_metrics(s, d)), "name", latest="latest")
+
+
+@query(f"{B4}, m AS (SELECT round, param, avg(value) AS v FROM b4 GROUP BY ALL) SELECT round, param AS name, round(v, 6) + 0.0 AS value FROM m")
+def round_metric_means(s, d):
+    rows = b.daily(s, d).groupBy("round", "client").agg(F.map_from_entries(F.collect_list(F.struct("param", "value"))).alias("metrics"))
+    return out(orc.metric_means(rows, ["round"]), "round", "name", value="value")
+
+
+@query(f"{B4}, m AS (SELECT round, param, avg(value) AS v FROM b4 GROUP BY ALL) SELECT param AS name, round(max(v), 6) + 0.0 AS best, round(arg_max(v, round), 6) + 0.0 AS last FROM m GROUP BY param")
+def experiment_best(s, d):
+    m = b.daily(s, d).groupBy("round", "param").agg(F.avg("value").alias("v"))
+    return out(m.groupBy(F.col("param").alias("name")).agg(F.max("v").alias("a"), F.max_by("v", "round").alias("z")), "name", best="a", last="z")
+
+
+@query("WITH c AS (SELECT quality AS label, toxic AS pred, count(*) AS n FROM labels GROUP BY ALL), l AS (SELECT label, sum(n) AS support, coalesce(sum(n) FILTER (label = pred), 0) AS hit FROM c GROUP BY label), p AS (SELECT pred AS label, sum(n) AS called FROM c GROUP BY pred), x AS (SELECT *, coalesce(hit / nullif(called, 0), 0) AS pr, hit / support AS re FROM l LEFT JOIN p USING (label)), y AS (SELECT *, coalesce(2 * pr * re / nullif(pr + re, 0), 0) AS f FROM x) SELECT round(sum(hit) / sum(support), 6) + 0.0 AS accuracy, round(sum(pr * support) / sum(support), 6) + 0.0 AS precision, round(sum(re * support) / sum(support), 6) + 0.0 AS recall, round(sum(f * support) / sum(support), 6) + 0.0 AS f1 FROM y")
+def weighted_precision_recall_f1(s, d):
+    x = orc.classification_report(read_table(s, d, "labels").select(F.col("quality").alias("label"), F.col("toxic").alias("pred")))
+    return out(x, accuracy="accuracy", precision="precision", recall="recall", f1="f1")
+
+
+@query(f"{with_sql('registry')} SELECT client FROM registry WHERE enabled")
+def active_clients(s, d):
+    return b.registry(s, d).where("enabled").select("client")
+
+
+@query(f"{with_sql('registry')} SELECT client, round(1000 * weight / sum(weight) OVER (), 6) + 0.0 AS share_per_mille FROM registry WHERE enabled")
+def client_weight_shares(s, d):
+    return orc.weight_shares(b.registry(s, d)).select("client", r6(F.col("share") * 1000).alias("share_per_mille"))
+
+
+@query(f"{with_sql('registry')} SELECT client, enabled, round(CASE WHEN client % 10 = 0 THEN 2 * weight ELSE weight END, 6) + 0.0 AS weight FROM registry WHERE client % 7 <> 0")
+def registry_upsert_remove(s, d):
+    r = b.registry(s, d)
+    changed = orc.upsert(r, r.where("client % 10 = 0").withColumn("weight", 2 * F.col("weight")))
+    return out(orc.remove(changed, r.where("client % 7 = 0")), "client", "enabled", weight="weight")
+
+
+# -- sources and sinks
+
+_B2 = f"{B2} SELECT client, idx, round(value, 6) + 0.0 AS value FROM b2"
+
+
+@query(_B2)
+def weights_json_roundtrip(s, d):
+    w = b.label_means(s, d).withColumn("param", F.lit("embedding"))
+    return out(io.from_json(io.to_json(w, ("client",)), ("client",)), "client", "idx", value="value")
+
+
+@query(_B2)
+def parquet_checkpoint_roundtrip(s, d):
+    path = new_path(s, "checkpoint")
+    w = b.label_means(s, d).select("client", "idx", "value")
+    io.save_checkpoint(w.withColumn("value", F.col("value") * 0), path, 0)
+    io.save_checkpoint(w, path, 1)
+    return out(io.load_checkpoint(s, path), "client", "idx", value="value")
+
+
+@query(_B2.replace("SELECT client, idx, round", "SELECT CAST(client AS VARCHAR) AS param, idx, round"))
+def weights_by_param_roundtrip(s, d):
+    path = new_path(s, "weights")
+    w = b.label_means(s, d).select(F.lit(0).alias("round"), F.col("client").cast("string").alias("param"), "idx", "value")
+    io.save_weights(w, path)
+    return out(io.load_weights(s, path), "param", "idx", value="value")
 
 
 def queries() -> dict[str, Query]:
