@@ -57,11 +57,11 @@ def fedavg_weighted_mean(s, d):
     return out(agg.weighted_mean(b.vectors(s, d)), "grp", "idx", value="value")
 
 
-@query(f"{B3} SELECT grp, param, idx, round(CASE WHEN sum(w) > 0 THEN sum(value * w) / sum(w) ELSE sum(value * w) END, 7) + 0.0 AS value FROM b3 GROUP BY grp, param, idx")
+@query(f"{B3} SELECT grp, param, idx, round(ln(1 + CASE WHEN sum(w) > 0 THEN sum(value * w) / sum(w) ELSE sum(value * w) END), 6) + 0.0 AS log_value FROM b3 GROUP BY grp, param, idx")
 def fedavg_minibatch_mean(s, d):
-    # means of prices are often exact halves of a millionth: more places here
+    # means of prices are often exact halves of a last place; their logarithms aren't
     x = agg.minibatch_mean(b.lines(s, d), ("grp", "param", "idx"))
-    return x.select("grp", "param", "idx", (F.round("value", 7) + 0.0).alias("value"))
+    return x.select("grp", "param", "idx", r6(F.log(1 + F.col("value"))).alias("log_value"))
 
 
 @query(f"{B1}, c AS (SELECT DISTINCT grp, client, w FROM b1) SELECT grp, count(*) AS num_clients, round(sum(w), 6) + 0.0 AS total_weight, round(avg(w), 6) + 0.0 AS avg_weight FROM c GROUP BY grp")
