@@ -32,7 +32,7 @@ from .textscan import Words, mix, sequence_mix, slices, text_array
 WINDOW = 35
 ANCHOR = 8
 BLOOM_BITS = 26
-SHARDS = 4  # for each shuffle partition
+SHARDS = BLOCKS = 2  # for each shuffle partition
 _FIRST_CHAR = 0xE000  # behind the surrogates: one character stands for one word of a phrase
 
 
@@ -110,7 +110,7 @@ def _recurring_anchors(spark: SparkSession, docs: DataFrame, window: int, anchor
                     held.append(chosen_anchors(words.hashes(), at, window, anchor))
             if held:
                 h, _, more = _counted(np.concatenate(held))
-                out = list(_blocks(h, 4 * parts, more))
+                out = list(_blocks(h, BLOCKS * parts, more))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1].tobytes() for x in out], pa.binary()), pa.array([x[2].tobytes() for x in out], pa.binary())], names=["block", "h", "more"])
 
     def meet(batches):
@@ -161,7 +161,7 @@ def _recurring_windows(docs: DataFrame, anchors, window: int, anchor: int, parts
                 ps.append(shards[i + np.searchsorted(words.first, at, side="right") - 1])
             if hs and sum(map(len, hs)):
                 h, p, more = _counted(np.concatenate(hs), np.concatenate(ps))
-                out = list(_blocks(h, 4 * parts, p, more))
+                out = list(_blocks(h, BLOCKS * parts, p, more))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x[0] for x in out], pa.int32()), *[pa.array([x[k].tobytes() for x in out], pa.binary()) for k in (1, 2, 3)]], names=["block", "h", "shard", "more"]
                 )
@@ -171,6 +171,7 @@ def _recurring_windows(docs: DataFrame, anchors, window: int, anchor: int, parts
         for batch in batches:
             for block, h, p, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held.setdefault(block, []).append((np.frombuffer(h, np.uint64), np.frombuffer(p, np.int32), np.frombuffer(more, bool)))
+        told: dict[int, list[bytes]] = {}  # one row for each shard, whatever the number of blocks
         for found in held.values():
             h, p, more = (np.concatenate(x) for x in zip(*found, strict=True))
             order = np.lexsort((p, h))
@@ -184,10 +185,12 @@ def _recurring_windows(docs: DataFrame, anchors, window: int, anchor: int, parts
             h, p = h[new], p[new]
             order = np.argsort(p, kind="stable")
             h, p = h[order], p[order]
-            ends = (np.flatnonzero(np.diff(p, append=-1)) + 1).tolist()
-            if ends:
-                starts = [0, *ends[:-1]]
-                yield pa.RecordBatch.from_arrays([pa.array([int(p[a]) for a in starts], pa.int32()), pa.array([h[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary())], names=["shard", "windows"])
+            a = 0
+            for b in (np.flatnonzero(np.diff(p, append=-1)) + 1).tolist():
+                told.setdefault(int(p[a]), []).append(h[a:b].tobytes())
+                a = b
+        if told:
+            yield pa.RecordBatch.from_arrays([pa.array(list(told), pa.int32()), pa.array([b"".join(x) for x in told.values()], pa.binary())], names=["shard", "windows"])
 
     dealt = docs.select("shard", "text").mapInArrow(deal, "block int, h binary, shard binary, more binary")
     return dealt.repartition(parts, "block").mapInArrow(meet, "shard int, windows binary")
