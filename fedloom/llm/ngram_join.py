@@ -5,7 +5,8 @@ Jaccard of t share a column within the first n - ceil(t n) + 1 columns of each,
 have; only these entries enter the product. It is computed in blocks of columns, each by one task on arrays.
 
 1. A count sketch of fixed size finds frequent columns; they come last in the order, so that passages which
-   many documents share don't enter the product unless a document is made of them.
+   many documents share don't enter the product unless a document is made of them. The order changes the work
+   and never the result; SKETCH_BITS should give cells for a sixteenth of all n-grams.
 2. Blocks give the columns that two sets or more share.
 3. Pairs are discarded by bounds derived from sizes alone: t max(n) <= min(n), and, from bit maps of about two
    bits for each n-gram, the least possible size of the symmetric difference. What is left is compared whole.
@@ -18,7 +19,6 @@ Every pair that is linked is thus either compared or within one component alread
 
 from __future__ import annotations
 
-import math
 import zlib
 
 import numpy as np
@@ -32,11 +32,13 @@ from .textscan import Words, mix, ngrams, signed, slices, text_array
 
 N = 5
 PERCENT = 75
-SKETCH_BITS = 22
-SLICE_BITS = 16
-FREQUENT = 64
+SKETCH_BITS = 24
+SLICE_BITS = 18
+FREQUENT = 32
+TILE = 1024
 BLOOM_BITS = 26
-HUBS = (4, 4)
+HUBS = (4, 4)  # members of a column that are compared with all others, by turns
+SHOWN = 32
 
 
 def shingle_sets(words: Words, n: int = N):
@@ -89,138 +91,226 @@ def _sets_of(batches, text_at: int):
             yield batch, i, Words(texts, i, j, lower=True)
 
 
-def _summed_slices(rows: DataFrame, parts: int, dtype: str) -> list[tuple[int, np.ndarray]]:
-    """Sums (of numbers) or unions (of bits) of arrays that tasks emit as rows (slice, raw), slice by slice; the result has a fixed size."""
+def _summed_slices(rows: DataFrame, parts: int, what: str) -> list[tuple[int, np.ndarray]]:
+    """Of arrays that tasks emit as rows (slice, raw), slice by slice the sums of their bytes (ending at 65,535; what = "counts") or their union (what = "bits"). The result has a fixed size."""
+    dtype = np.uint16 if what == "counts" else np.uint8
 
     def run(batches):
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(zlib.decompress(raw), dtype)
-                if k not in held:
-                    held[k] = x.astype(np.uint64 if dtype == "u4" else dtype)
-                elif dtype == "u4":
-                    held[k] += x
+                x = np.frombuffer(zlib.decompress(raw), np.uint8)
+                if what == "bits":
+                    held[k] = held[k] | x if k in held else x
                 else:
-                    held[k] |= x
+                    held[k] = np.minimum(held[k].astype(np.uint32) + x, 65535).astype(np.uint16) if k in held else x.astype(np.uint16)
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in held.values()], pa.binary())], names=["slice", "raw"])
 
     found = rows.repartition(parts, "slice").mapInArrow(run, "slice int, raw binary").collect()
-    return [(k, np.frombuffer(zlib.decompress(raw), "u8" if dtype == "u4" else dtype)) for k, raw in found]
+    return [(k, np.frombuffer(zlib.decompress(raw), dtype)) for k, raw in found]
 
 
 def frequent_columns(docs: DataFrame) -> np.ndarray:
-    """Packed bits of the sketch's cells that count as frequent. All documents are counted; 16 MB at most come to the driver, at every size."""
+    """Packed bits of the sketch's cells that count as frequent. All documents are counted; what comes to the driver has a fixed size, compressed."""
     size = 1 << SLICE_BITS
 
     def run(batches):
-        cells = np.zeros(1 << SKETCH_BITS, np.uint32)
+        cells = np.zeros(1 << SKETCH_BITS, np.uint8)  # a task's counts end at 255
         for _, _, words in _sets_of(batches, 0):
             sets = [s for _, s in shingle_sets(words) if len(s)]
             if sets:
-                np.add.at(cells, (np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+                cell, n = np.unique((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), return_counts=True)
+                cells[cell] = np.minimum(cells[cell] + n, 255)
         for k in range(0, 1 << (SKETCH_BITS - SLICE_BITS)):
             part = cells[k * size : (k + 1) * size]
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["slice", "raw"])
 
-    counts = np.zeros(1 << SKETCH_BITS, np.uint64)
-    for k, x in _summed_slices(docs.select("text").mapInArrow(run, "slice int, raw binary"), 16, "u4"):
-        counts[k * size : (k + 1) * size] = x
-    return np.packbits(counts >= max(FREQUENT, 4 * float(counts.mean())), bitorder="little")
+    hot = np.zeros(1 << (SKETCH_BITS - 3), np.uint8)
+    found = _summed_slices(docs.select("text").mapInArrow(run, "slice int, raw binary"), 16, "counts")
+    mean = sum(float(x.sum()) for _, x in found) / (1 << SKETCH_BITS)
+    for k, x in found:
+        hot[k * size // 8 : (k + 1) * size // 8] = np.packbits(x >= max(FREQUENT, 4 * mean), bitorder="little")
+    return hot
 
 
-def _set_table(spark: SparkSession, docs: DataFrame, percent: int) -> DataFrame:
-    """doc_id, n, s (the set's signature), and, once for each set and batch, bits and first columns in the order of step 1."""
-    hot_bits = spark.sparkContext.broadcast(frequent_columns(docs))
+def _set_table(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """doc_id, n, s (the set's signature) and, once for each set and batch, bits."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        hot = hot_bits.value
         seen: set[int] = set()
         last = None
         for batch, i, words in _sets_of(batches, 1):
             if batch is not last:
                 seen, last = set(), batch
-            ns, ss, bits, first = [], [], [], []
+            ns, ss, bits = [], [], []
             for _, s in shingle_sets(words):
-                n = len(s)
-                sign = _signature(s) if n else None
-                ns.append(n)
+                sign = _signature(s) if len(s) else None
+                ns.append(len(s))
                 ss.append(sign)
-                if not n or sign in seen:
-                    bits.append(None)
-                    first.append(None)
-                    continue
+                bits.append(None if sign is None or sign in seen else _bits(s))
                 seen.add(sign)
-                cell = (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-                late = (hot[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1
-                p = _needed(n, percent)
-                rare = s[late == 0]
-                bits.append(_bits(s))
-                first.append((rare[:p] if len(rare) >= p else np.concatenate((rare, s[late == 1]))[:p]).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, words.rows), pa.array(ns, pa.int64()), pa.array(ss, pa.int64()), pa.array(bits, pa.binary()), pa.array(first, pa.binary())], names=["doc_id", "n", "s", "bits", "first"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, words.rows), pa.array(ns, pa.int64()), pa.array(ss, pa.int64()), pa.array(bits, pa.binary())], names=["doc_id", "n", "s", "bits"])
+
+    return work_table(spark, docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n bigint, s bigint, bits binary"), "ngram-sets")
 
-    return work_table(spark, docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n bigint, s bigint, bits binary, first binary"), "ngram-sets")
 
+def first_columns(s: np.ndarray, hot: np.ndarray, percent: int) -> np.ndarray:
+    """A set's columns that enter the product: by hash, frequent ones last."""
+    p = _needed(len(s), percent)
+    cell = (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+    late = (hot[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1
+    rare = s[late == 0]
+    return rare[:p] if len(rare) >= p else np.concatenate((rare, s[late == 1]))[:p]
 
-def _shared_columns(spark: SparkSession, sets: DataFrame) -> DataFrame:
-    """(h, s) of the columns that two sets or more have among their first ones.
+
+def _shared_columns(spark: SparkSession, docs: DataFrame, percent: int) -> DataFrame:
+    """(h, s, n, place, total) of the columns that two sets or more have among their first ones: a set's place in its column by hash, and the column's size.
 
     Entries travel as arrays: 40 bits of the column beside its block, and a row number into a list of sets.
-    A clash of columns adds pairs to be compared, never removes one.
+    A clash of columns adds pairs to be compared, never removes one. Equal sets of a batch travel once.
     """
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = 4 * parts
+    blocks = 2 * parts
+    hot_bits = spark.sparkContext.broadcast(frequent_columns(docs))
+
+    def dealt(sets: dict[int, tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        s = np.array(list(sets), np.int64)
+        n = np.array([x[0] for x in sets.values()], np.int32)
+        rows = [x[1] for x in sets.values()]
+        h = np.concatenate(rows)
+        row = np.repeat(np.arange(len(rows)), [len(x) for x in rows]).astype(np.uint16)
+        block = ((h >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(block, kind="stable")
+        h, row, block = h[order], row[order], block[order]
+        a, out = 0, []
+        for b in (np.flatnonzero(np.diff(block, append=-1)) + 1).tolist():
+            used, place = np.unique(row[a:b], return_inverse=True)
+            low = h[a:b].view(np.uint8).reshape(-1, 8)[:, :5]
+            out.append((int(block[a]), low.tobytes(), place.astype(np.uint16).tobytes(), s[used].tobytes(), n[used].tobytes()))
+            a = b
+        cols = list(zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["block", "low", "place", "sets", "sizes"])
 
     def deal(batches):
-        for batch in batches:
-            s = np.array(batch.column(0).to_pylist(), np.int64)
-            raw = batch.column(1)
-            for lo in range(0, len(s), 1 << 15):
-                rows = [np.frombuffer(x, np.uint64) for x in raw.slice(lo, 1 << 15).to_pylist()]
-                if not rows:
-                    continue
-                h = np.concatenate(rows)
-                row = np.repeat(np.arange(len(rows)), [len(x) for x in rows]).astype(np.uint16)
-                block = ((h >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
-                order = np.argsort(block, kind="stable")
-                h, row, block = h[order], row[order], block[order]
-                ends = np.flatnonzero(np.diff(block, append=-1)) + 1
-                a = 0
-                out: list[tuple[int, bytes, bytes, bytes]] = []
-                for b in ends.tolist():
-                    used, place = np.unique(row[a:b], return_inverse=True)
-                    low = h[a:b].view(np.uint8).reshape(-1, 8)[:, :5]
-                    out.append((int(block[a]), low.tobytes(), place.astype(np.uint16).tobytes(), s[lo + used.astype(np.int64)].tobytes()))
-                    a = b
-                cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["block", "low", "place", "sets"])
+        hot = hot_bits.value
+        held: dict[int, tuple[int, np.ndarray]] = {}
+        for _, _, words in _sets_of(batches, 0):
+            for _, s in shingle_sets(words):
+                if len(s) and (sign := _signature(s)) not in held:
+                    held[sign] = (len(s), first_columns(s, hot, percent))
+            if len(held) >= 20_000:
+                yield dealt(held)
+                held = {}
+        if held:
+            yield dealt(held)
 
     def product(batches):
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held: dict[int, list[tuple[np.ndarray, ...]]] = {}
         for batch in batches:
-            for block, low, place, sets_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for block, low, place, sets_, sizes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 x = np.zeros((len(low) // 5, 8), np.uint8)
                 x[:, :5] = np.frombuffer(low, np.uint8).reshape(-1, 5)
-                held.setdefault(block, []).append((x.view(np.uint64).ravel(), np.frombuffer(sets_, np.int64)[np.frombuffer(place, np.uint16)]))
+                at = np.frombuffer(place, np.uint16)
+                held.setdefault(block, []).append((x.view(np.uint64).ravel(), np.frombuffer(sets_, np.int64)[at], np.frombuffer(sizes, np.int32)[at]))
         for block, found in held.items():
-            h, s = (np.concatenate(x) for x in zip(*found, strict=True))
+            h, s, n = (np.concatenate(x) for x in zip(*found, strict=True))
             order = np.lexsort((s, h))
-            h, s = h[order], s[order]
+            h, s, n = h[order], s[order], n[order]
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
-            h, s = h[new], s[new]
+            h, s, n = h[new], s[new], n[new]
             begin = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
             count = np.diff(np.append(begin, len(h)))
-            keep = np.repeat(count > 1, count)
-            for lo in range(0, int(keep.sum()), 1 << 16):
-                part = np.flatnonzero(keep)[lo : lo + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(h[part] | np.uint64(block) << np.uint64(40)), pa.int64()), pa.array(s[part], pa.int64())], names=["h", "s"])
+            keep = np.flatnonzero(np.repeat(count > 1, count))
+            h, s, n, total = h[keep], s[keep], n[keep], np.repeat(count, count)[keep]
+            order = np.lexsort((mix(s.view(np.uint64)), h))
+            h, s, n, total = h[order], s[order], n[order], total[order]
+            new = np.ones(len(h), bool)
+            new[1:] = h[1:] != h[:-1]
+            place = np.arange(len(h)) - np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+            key = signed(h | np.uint64(block) << np.uint64(40))
+            for lo in range(0, len(h), 1 << 16):
+                part = slice(lo, lo + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(x[part], pa.int64()) for x in (key, s, n, place, total)], names=["h", "s", "n", "place", "total"])
 
-    entries = sets.where("first IS NOT NULL").select("s", "first").mapInArrow(deal, "block int, low binary, place binary, sets binary")
-    return work_table(spark, entries.repartition(parts, "block").mapInArrow(product, "h bigint, s bigint"), "ngram-columns")
+    entries = docs.select("text").mapInArrow(deal, "block int, low binary, place binary, sets binary, sizes binary")
+    return work_table(spark, entries.repartition(parts, "block").mapInArrow(product, "h bigint, s bigint, n bigint, place bigint, total bigint"), "ngram-columns")
+
+
+def _remaining_pairs(spark: SparkSession, lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of sets of one column and different components that may be similar by their sizes and bits.
+
+    A column's sets are cut into tiles of about TILE by hash; a task has two tiles of a column in memory. Each
+    set carries the first SHOWN of its columns, so that a pair is left to the first column that both show.
+    """
+    shown = lists.groupBy("s").agg(F.slice(F.array_sort(F.collect_list("h")), 1, SHOWN).alias("shown"))
+    rows = lists.withColumn("tiles", F.ceil(F.col("total") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("s"), F.col("tiles")).cast("int"))
+    others = F.sequence(F.lit(0), F.col("tiles") - 1)
+    rows = rows.select("h", "s", "n", "c", "tile", F.explode(others).alias("other"))
+    rows = rows.select("h", F.least("tile", "other").alias("t0"), F.greatest("tile", "other").alias("t1"), "s", "n", "c", "tile")
+    rows = rows.join(sets.select("s", "bits").join(shown, "s"), "s").select("h", "t0", "t1", "s", "n", "c", "tile", "bits", "shown")
+    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "h", "t0", "t1").sortWithinPartitions("h", "t0", "t1")
+
+    def tile_pairs(h, s, n, c, tile, bits, shown, within: bool):
+        """Pairs of one group, a row of it against those behind it."""
+        order = np.argsort(n, kind="stable")
+        s, n, c, tile = s[order], n[order], c[order], tile[order]
+        bits = [bits[i] for i in order.tolist()]
+        shown = [{x for x in shown[i] if x < h} for i in order.tolist()]
+        width = min(map(len, bits))
+        folded = np.empty((len(bits), width // 8), np.uint64)
+        for i, x in enumerate(bits):
+            y = np.frombuffer(x, np.uint64)
+            while len(y) > width // 8:
+                y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+            folded[i] = y
+        for i in range(len(s) - 1):
+            stop = int(np.searchsorted(n, n[i] * 100 // percent, side="right"))
+            j = np.arange(i + 1, stop)
+            j = j[(c[j] != c[i]) & ((tile[j] != tile[i]) if not within else True)]
+            if len(j):
+                least = np.bitwise_count(folded[j] ^ folded[i]).sum(axis=1)
+                j = j[(100 + percent) * least <= (100 - percent) * (n[i] + n[j])]
+                for k in j.tolist():
+                    if shown[i].isdisjoint(shown[k]) and (100 + percent) * least_difference(bits[i], bits[k]) <= (100 - percent) * int(n[i] + n[k]):
+                        yield (int(s[i]), int(s[k])) if s[i] < s[k] else (int(s[k]), int(s[i]))
+
+    def run(batches):
+        key, parts = None, []
+        found: set[tuple[int, int]] = set()
+
+        def flush():
+            cols = list(zip(*found, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64())], names=["a", "b"])
+
+        def done():
+            if key is not None and sum(len(p[0]) for p in parts) > 1:
+                s, n, c, tile = (np.concatenate([p[k] for p in parts]) for k in range(4))
+                bits, shown = ([x for p in parts for x in p[k]] for k in (4, 5))
+                found.update(tile_pairs(int(key[0]), s, n, c, tile, bits, shown, key[1] == key[2]))
+
+        for batch in batches:
+            h, t0, t1, s, n, c, tile = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(7))
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (t0[1:] != t0[:-1]) | (t1[1:] != t1[:-1])
+            cut = [*np.flatnonzero(new).tolist(), len(h)]
+            for a, b in zip(cut, cut[1:], strict=False):
+                this = (h[a], t0[a], t1[a])
+                if this != key:
+                    done()
+                    key, parts = this, []
+                    if len(found) >= 50_000:
+                        yield flush()
+                        found.clear()
+                parts.append((s[a:b], n[a:b], c[a:b], tile[a:b], batch.column(7).slice(a, b - a).to_pylist(), batch.column(8).slice(a, b - a).to_pylist()))
+        done()
+        if found:
+            yield flush()
+
+    return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
 def _bloom(spark: SparkSession, ids: DataFrame):
@@ -240,7 +330,7 @@ def _bloom(spark: SparkSession, ids: DataFrame):
 
     bits = np.zeros(1 << (BLOOM_BITS - 3), np.uint8)
     size = len(bits) // 8
-    for k, x in _summed_slices(ids.mapInArrow(run, "slice int, raw binary"), 8, "u1"):
+    for k, x in _summed_slices(ids.mapInArrow(run, "slice int, raw binary"), 8, "bits"):
         bits[k * size : (k + 1) * size] = x
     return spark.sparkContext.broadcast(bits)
 
@@ -253,11 +343,9 @@ def _places(x: np.ndarray):
 
 def _compared(spark: SparkSession, docs: DataFrame, sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b) of set signatures, those whose sets are as similar as asked."""
-    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     sized = (
         pairs.join(sets.select(F.col("s").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"), F.col("rep").alias("rep_a")), "a")
         .join(sets.select(F.col("s").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"), F.col("rep").alias("rep_b")), "b")
-        .where(100 * small >= percent * large)
     )
 
     def bounded(batches):
@@ -318,29 +406,33 @@ def similar_components(spark: SparkSession, df: DataFrame, text: str = "text", i
     than id and text aren't read. Sets are told apart by 64-bit hashes of n-grams and of whole sets.
     """
     docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    table = _set_table(spark, docs, percent)
-    first_of = lambda c: F.first(c, ignorenulls=True).alias(c)
-    sets = work_table(spark, table.where("s IS NOT NULL").select("s", "n", "bits", "doc_id").groupBy("s").agg(F.first("n").alias("n"), first_of("bits"), F.min("doc_id").alias("rep")), "ngram-rows")
-    columns = _shared_columns(spark, table)
+    table = _set_table(spark, docs)
+    sets = table.where("s IS NOT NULL").groupBy("s").agg(F.first("n").alias("n"), F.first("bits", ignorenulls=True).alias("bits"), F.min("doc_id").alias("rep"))
+    sets = work_table(spark, sets, "ngram-rows")
+    columns = _shared_columns(spark, docs, percent)
     found: DataFrame | None = None
     comps: DataFrame | None = None
-    turn = 0
+    done = 0
     for hubs in (*HUBS, 0):
-        lists = columns.withColumn("c", F.col("s")) if comps is None else columns.join(comps.withColumnRenamed("node", "s"), "s", "left").select("h", "s", F.coalesce("component", "s").alias("c"))
-        lists = work_table(spark, lists, "ngram-lists") if comps is not None else lists
-        member = F.struct("s", "c")
-        picks = [F.min_by(member, F.xxhash64("s", F.lit(turn + k))).alias(f"hub{k}") for k in range(hubs)]
-        turn += hubs
-        open_ = lists.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), *picks).where("c0 <> c1").drop("c0", "c1")
+        # columns of few sets are through once all but one of these were compared with the others
+        lists = columns.where(F.col("total") > done + 1) if done else columns
+        if comps is None:
+            lists = lists.withColumn("c", F.col("s"))
+        else:
+            lists = work_table(spark, lists.join(comps.withColumnRenamed("node", "s"), "s", "left").withColumn("c", F.coalesce("component", "s")).drop("component"), "ngram-lists")
+            open_ = lists.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("h")
+            lists = lists.join(open_, "h", "left_semi")
         if hubs:
-            joined = lists.join(open_, "h").select("s", "c", F.explode(F.array(*[f"hub{k}" for k in range(hubs)])).alias("hub"))
-            pairs = joined.where("hub.c <> c").select(F.least("s", "hub.s").alias("a"), F.greatest("s", "hub.s").alias("b"))
+            hub = lists.where((F.col("place") >= done) & (F.col("place") < done + hubs)).select("h", F.col("s").alias("t"), F.col("c").alias("d"), F.col("n").alias("m"))
+            near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+            pairs = lists.join(hub, "h").where(near & (F.col("c") != F.col("d"))).select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"))
+            done += hubs
         else:
-            rest = work_table(spark, lists.join(open_, "h", "left_semi"), "ngram-rest")
-            other = rest.select("h", F.col("s").alias("t"), F.col("c").alias("d"))
-            pairs = rest.join(other, "h").where("s < t AND c <> d").select(F.col("s").alias("a"), F.col("t").alias("b"))
+            pairs = _remaining_pairs(spark, lists, sets, percent)
         pairs = work_table(spark, pairs.distinct(), "ngram-pairs")
         if pairs.isEmpty():
+            if hubs:
+                continue
             break
         links = _compared(spark, docs, sets, pairs, percent)
         found = links if found is None else found.union(links)

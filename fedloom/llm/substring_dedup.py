@@ -132,7 +132,7 @@ def _recurring_anchors(spark: SparkSession, docs: DataFrame, window: int, anchor
     rows = docs.select("text").mapInArrow(deal, "block int, h binary, more binary").repartition(parts, "block").mapInArrow(meet, "slice int, raw binary")
     bits = np.zeros(1 << (BLOOM_BITS - 3), np.uint8)
     size = len(bits) // 8
-    for k, x in _summed_slices(rows, 8, "u1"):
+    for k, x in _summed_slices(rows, 8, "bits"):
         bits[k * size : (k + 1) * size] = x
     return spark.sparkContext.broadcast(bits)
 
