@@ -1,9 +1,11 @@
 """Licence scans by a generalised suffix automaton of licence tokens.
 
 The automaton holds every run of consecutive words of the licence notices below. Files are streamed through
-it for matching statistics (the longest run of notice words that ends at each word); long matches are chained
-into covered spans of each notice, and a notice that is covered well enough gives its label. Beside this,
-fixed phrases give base labels wherever their words stand consecutively.
+it for matching statistics (the longest run of notice words that ends at each word, and by suffix links the
+longest that each notice has). Long matches are chained into spans of each notice: in the order of the text
+and of the notice, with few words of text beyond the notice's own between them. A notice of which one span
+covers enough gives its label. Beside this, fixed phrases give base labels wherever their words stand
+consecutively.
 
 Most text can't match: a match of MIN_MATCH words holds MIN_MATCH - 1 word pairs of the notices, so only
 runs of such pairs, found on whole arrays of word hashes, are streamed. That leaves no match out.
@@ -12,6 +14,7 @@ runs of such pairs, found on whole arrays of word hashes, are streamed. That lea
 from __future__ import annotations
 
 import re
+from bisect import bisect
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +51,8 @@ NOTICES = [
 ]
 MIN_MATCH = 4
 MIN_COVER = 0.6
+#: Between two matches of a chain: so many more words of text than of the notice at most.
+MAX_GAP = 8
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -117,10 +122,10 @@ class SuffixAutomaton:
 class Scanner:
     """The automaton of the notices and the pair filter before it."""
 
-    def __init__(self, notices=None, phrases=None, min_match: int = MIN_MATCH, min_cover: float = MIN_COVER):
+    def __init__(self, notices=None, phrases=None, min_match: int = MIN_MATCH, min_cover: float = MIN_COVER, max_gap: int = MAX_GAP):
         self.notices = [(label, words_of(text.encode())) for label, text in (NOTICES if notices is None else notices)]
         self.phrases = {tuple(words_of(p.encode())): label for p, label in (PHRASES if phrases is None else phrases).items()}
-        self.min_match, self.min_cover = min_match, min_cover
+        self.min_match, self.min_cover, self.max_gap = min_match, min_cover, max_gap
         self.automaton = SuffixAutomaton([w for _, w in self.notices])
         pairs = [self._hash(w[i : i + 2]) for _, w in self.notices for i in range(len(w) - 1)]
         self.pairs = np.unique(np.array(pairs, np.uint64))
@@ -131,20 +136,58 @@ class Scanner:
         w = Words(pa.array([b" ".join(words).decode()]), 0, 1, lower=True, letters=ALNUM)
         return ngrams(w.hashes(), len(words))[0]
 
-    def covered(self, segments: list[list[bytes]]) -> dict[int, float]:
-        """Of each notice the share of its words in matches of min_match words at least."""
-        marks: dict[int, set[int]] = {}
-        for seg in segments:
-            seen = list(self.automaton.statistics(seg))
-            for i, (s, n) in enumerate(seen):
-                # a match that the next word lengthens is part of that one
-                if n >= self.min_match and (i + 1 == len(seen) or seen[i + 1][1] != n + 1):
-                    for k, end in self.automaton.ends[s]:
-                        marks.setdefault(k, set()).update(range(end - n + 1, end + 1))
-        return {k: len(v) / len(self.notices[k][1]) for k, v in marks.items()}
+    def matches(self, segments: list[tuple[int, list[bytes]]]) -> dict[int, list[tuple[int, int, int]]]:
+        """Of each notice the matches of min_match words at least that no word lengthens: (start in the text, start in the notice, words), by text. segments: (start, words)."""
+        found: dict[int, list[tuple[int, int, int]]] = {}
+        auto = self.automaton
+        for start, seg in segments:
+            for i, (s, n) in enumerate(auto.statistics(seg)):
+                seen: set[tuple[int, int]] = set()
+                follow = seg[i + 1] if i + 1 < len(seg) else None
+                while n >= self.min_match:
+                    for k, end in auto.ends[s] - seen:
+                        notice = self.notices[k][1]
+                        if end + 1 == len(notice) or notice[end + 1] != follow:
+                            found.setdefault(k, []).append((start + i - n + 1, end - n + 1, n))
+                    seen |= auto.ends[s]
+                    s = auto.link[s]
+                    n = auto.length[s]
+        return {k: sorted(v) for k, v in found.items()}
+
+    def chained(self, k: int, matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """The best chains of a notice's matches: (words covered, first word, end in the text), none over another, best first.
+
+        Each next match begins and ends later in text and notice; words in both overlapping matches count once.
+        """
+        reach = len(self.notices[k][1]) + self.max_gap  # the widest gap
+        best: list[tuple[int, int]] = []  # of chains that end with each match: words covered, start (the later the better)
+        low = 0
+        for j, (a, p, n) in enumerate(matches):
+            while matches[low][0] + reach + len(self.notices[k][1]) < a:
+                low += 1
+            top = (n, a)
+            for i in range(low, j):
+                a0, p0, n0 = matches[i]
+                if a0 < a and p0 < p and a0 + n0 < a + n and p0 + n0 < p + n:
+                    gap, skip = a - a0 - n0, p - p0 - n0
+                    if gap - skip <= self.max_gap:
+                        top = max(top, (best[i][0] + n + min(0, gap, skip), best[i][1]))
+            best.append(top)
+        chains: list[tuple[int, int, int]] = []
+        taken: list[tuple[int, int]] = []
+        for words, start, end in sorted(((w, s, matches[j][0] + matches[j][2]) for j, (w, s) in enumerate(best)), key=lambda c: (-c[0], c[2] - c[1], c[1])):
+            at = bisect(taken, (start, end))
+            if (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or taken[at][0] >= end):
+                taken.insert(at, (start, end))
+                chains.append((words, start, end))
+        return chains
+
+    def spans(self, segments: list[tuple[int, list[bytes]]]) -> list[tuple[float, int, int, int]]:
+        """(share of the notice's words, notice, first word, end in the text) of each chain."""
+        return [(words / len(self.notices[k][1]), k, a, b) for k, found in self.matches(segments).items() for words, a, b in self.chained(k, found)]
 
     def scan(self, texts: pa.Array):
-        """For each text: words, base places (word, label) and covered notices."""
+        """For each text: words, base places (word, label) and chained spans of notices."""
         least = min(self.min_match, min((len(w) for _, w in self.notices), default=self.min_match))
         for _, _, words in text_batches(texts, lower=True, letters=ALNUM):
             h = words.hashes()
@@ -172,8 +215,8 @@ class Scanner:
                 for a, b in zip(begin[keep].tolist(), stop[keep].tolist(), strict=True):
                     runs.setdefault(row_of(a), []).append((a, b + 1))
             for r in range(words.rows):
-                segments = [self._few(words, a, b - a) for a, b in runs.get(r, ())]
-                yield int(n_words[r]), base.get(r, []), self.covered(segments) if segments else {}
+                segments = [(a - int(words.first[r]), self._few(words, a, b - a)) for a, b in runs.get(r, ())]
+                yield int(n_words[r]), base.get(r, []), self.spans(segments) if segments else []
 
     @staticmethod
     def _few(words: Words, at: int, n: int) -> list[bytes]:
@@ -182,7 +225,7 @@ class Scanner:
 
 _OUT = [
     ("n_words", "bigint", pa.int64()), ("n_base", "bigint", pa.int64()), ("first_word", "bigint", pa.int64()), ("last_word", "bigint", pa.int64()),
-    ("base_labels", "string", pa.string()), ("labels", "string", pa.string()), ("score", "double", pa.float64()),
+    ("base_labels", "string", pa.string()), ("labels", "string", pa.string()), ("score", "double", pa.float64()), ("spans", "string", pa.string()),
 ]
 
 
@@ -190,9 +233,11 @@ def scan_licenses(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
     """Licence phrases and notices of each text.
 
     n_words; n_base, first_word and last_word: number, least and largest start of base phrases (null if there
-    are none); base_labels; labels, with those of well-covered notices; score: the best coverage of a notice,
-    at least 0.5 where a base phrase stands, else 0. A null text is empty: no words, no labels, score 0. Rows
-    stand for themselves, other columns aren't read. One pass, no shuffle; the notices' size is fixed.
+    are none); base_labels; labels, with those of well-covered notices; score: the best coverage of a notice
+    by one chain of matches, at least 0.5 where a base phrase stands, else 0; spans: label:start:end (in words,
+    ends exclusive) of each chain that covers its notice well, by start. A null text is empty: no words, no
+    labels, no spans, score 0. Rows stand for themselves, other columns aren't read. One pass, no shuffle; the
+    notices' size is fixed.
     """
     fields = [f for f in df.schema.fields if f.name in keep]
     names = [f.name for f in fields]
@@ -202,12 +247,13 @@ def scan_licenses(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
         scanner = Scanner()
         for batch in batches:
             cols: list[list] = [[] for _ in _OUT]
-            for n, base, cover in scanner.scan(text_array(batch.column(len(names)))):
+            for n, base, chains in scanner.scan(text_array(batch.column(len(names)))):
                 first = {label for _, label in base}
-                more = first | {scanner.notices[k][0] for k, share in cover.items() if share >= scanner.min_cover}
+                whole = sorted({(a, b, scanner.notices[k][0]) for share, k, a, b in chains if share >= scanner.min_cover})
+                more = first | {label for _, _, label in whole}
                 starts = [a for a, _ in base]
-                score = max([0.5 if base else 0.0, *cover.values()])
-                for c, v in zip(cols, (n, len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(first)), ",".join(sorted(more)), score), strict=True):
+                score = max([0.5 if base else 0.0, *(c[0] for c in chains)])
+                for c, v in zip(cols, (n, len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(first)), ",".join(sorted(more)), score, ",".join(f"{label}:{a}:{b}" for a, b, label in whole)), strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(names))] + [pa.array(c, t) for c, (_, _, t) in zip(cols, _OUT, strict=True)], names=names + [n for n, *_ in _OUT])
 

@@ -141,6 +141,41 @@ def test_matching_statistics_by_brute_force():
             assert seqs[k][end - n + 1 : end + 1] == text[i + 1 - n : i + 1]
 
 
+def test_notice_matches_by_brute_force():
+    rng = random.Random(8)
+    for _ in range(60):
+        notices = [("x", " ".join(rng.choice("abc") for _ in range(rng.randint(2, 14)))) for _ in range(4)]
+        scanner = license_scan.Scanner(notices, {}, min_match=3)
+        text = [rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(60)]
+        got = scanner.matches([(100, text)])
+        for k, (_, notice) in enumerate(scanner.notices):
+            want = []
+            for a in range(len(text)):
+                for p in range(len(notice)):
+                    if a and p and text[a - 1] == notice[p - 1]:
+                        continue
+                    n = 0
+                    while a + n < len(text) and p + n < len(notice) and text[a + n] == notice[p + n]:
+                        n += 1
+                    if n >= 3:
+                        want.append((100 + a, p, n))
+            assert got.get(k, []) == sorted(want)
+
+
+def test_notices_are_covered_by_one_chain(package):
+    far = "word " * 40
+    one, two = "This work is licensed under the terms below ", "see the GNU General Public License version 3 "
+    whole = "This work is licensed under the GNU General Public License, version 3"
+    texts = [one + far + two, two + far + one, two + one, far + whole, f"{whole} {far}{whole}", "This work is licensed under the well known GNU General Public License, version 3", "to use, copy, modify, and/or distribute this software"]
+    rows = license_scan.scan_licenses(documents(package, list(enumerate(texts)))).collect()
+    for r in rows[:3]:
+        assert r["labels"] == "gpl" and r["score"] == 7 / 12 and r["spans"] == ""
+    assert [r["spans"] for r in rows[3:6]] == ["gpl-3:40:52", "gpl-3:0:12,gpl-3:52:64", "gpl-3:0:14"] and all(r["score"] == 1 for r in rows[3:6])
+    # words that two notices share count for both, also where another one has a longer match
+    shared = license_scan.Scanner([("x", "a b c d e f g"), ("y", "z b c d e f")], {})
+    assert {k: share for share, k, _, _ in shared.spans([(0, b"a b c d e f".split())])} == {0: 6 / 7, 1: 5 / 6}
+
+
 # -- media
 
 
