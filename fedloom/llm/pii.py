@@ -2,7 +2,8 @@
 
 The field labels words (runs of non-space) as O, name or secret. Features are the shapes of a word and its
 neighbours and a small list of cue words; weights come from the labelled table below by gradient ascent;
-decoding is Viterbi over numpy batches of lines. Lines of more than LONGEST words are cut.
+decoding is Viterbi over numpy batches of lines. Long lines are decoded in pieces of PIECE words, once for each
+label that may stand before a piece, and the pieces joined: the best labels of the whole line.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from .textscan import SPACE, Words, slices, text_array
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("", "name", "secret")
-LONGEST = 128
+PIECE = 128
 
 #: The labelled table: a line each; [kind:words] marks a span.
 LABELLED = """
@@ -174,18 +175,64 @@ class Field:
         return out
 
     def decode(self, scores: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """The best labels of each line (its first word and length), all lines at once, longest first."""
+        """The best labels of each line (its first word and length), the pieces of all lines at once, longest first.
+
+        A piece has a row for each label before it, the first of a line one row only.
+        """
         out = np.zeros(len(scores), np.int8)
+        if not len(first) or not length.max():
+            return out
+        k = len(LABELS)
+        # longest lines first, so that lines with a piece of some number stand at the front
         order = np.argsort(-length, kind="stable")
         first, length = first[order], length[order]
-        if not len(first) or not length[0]:
-            return out
+        count = -(-length // PIECE)
+        head = np.cumsum(count) - count
+        line = np.repeat(np.arange(len(first)), count)
+        number = np.arange(len(line)) - head[line]
+        begin, size = first[line] + number * PIECE, np.minimum(PIECE, length[line] - number * PIECE)
+        rows = np.where(number > 0, k, 1)
+        top = np.cumsum(rows) - rows
+        piece = np.repeat(np.arange(len(line)), rows)
+        before = np.arange(len(piece)) - top[piece]
+        start = scores[begin[piece]].astype(np.float32) + np.where((number[piece] > 0)[:, None], self.move[before], np.float32(0))
+        ends, back, place = self._forward(scores, begin[piece], size[piece], start)
+        # along each line: the best way to each label at a piece's end, and the label before the piece on it
+        score = ends[top[head[: np.searchsorted(-count, 0, side="left")]]].astype(np.float64)
+        came = []
+        for t in range(1, int(count[0])):
+            at = top[head[: np.searchsorted(-count, -t, side="left")] + t]
+            ways = score[: len(at), :, None] + ends[at[:, None] + np.arange(k)]
+            came.append(ways.argmax(axis=1))
+            score[: len(at)] = ways.max(axis=1)
+        last, chosen = np.zeros(len(line), np.int64), top.copy()
+        label = score.argmax(axis=1)
+        for t in range(int(count[0]) - 1, -1, -1):
+            m = np.searchsorted(-count, -t, side="left")
+            last[head[:m] + t] = label[:m]
+            if t:
+                label[:m] = came[t - 1][np.arange(m), label[:m]]
+                chosen[head[:m] + t] += label[:m]
+        # inside the pieces, back from their last labels
+        order = np.argsort(-size, kind="stable")
+        begin, size, label, row = begin[order], size[order], last[order], place[chosen[order]]
+        for t in range(int(size[0]) - 1, -1, -1):
+            m = np.searchsorted(-size, -t, side="left")
+            out[begin[:m] + t] = label[:m]
+            if t:
+                label[:m] = back[t - 1][row[:m], label[:m]]
+        return out
+
+    def _forward(self, scores: np.ndarray, first: np.ndarray, length: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """The best score by last label of each row, its ways back, and each row's place in these."""
+        order = np.argsort(-length, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        first, length, best = first[order], length[order], start[order]
         steps = int(length[0])
         alive = np.searchsorted(-length, -np.arange(steps), side="left")
-        k = len(LABELS)
-        best = scores[first[: alive[0]]].astype(np.float32)
         back: list[np.ndarray] = []
-        ends = np.zeros((len(first), k), np.float32)
+        ends = np.zeros((len(first), len(LABELS)), np.float32)
         for t in range(1, steps):
             m = alive[t]
             ends[m : len(best)] = best[m:]
@@ -194,18 +241,11 @@ class Field:
             back.append(ways.argmax(axis=1).astype(np.int8))
             best = ways.max(axis=1) + scores[first[:m] + t]
         ends[: len(best)] = best
-        label = ends.argmax(axis=1)
-        for t in range(steps - 1, -1, -1):
-            m = alive[t]
-            out[first[:m] + t] = label[:m]
-            if t:
-                label = label.copy()
-                label[:m] = back[t - 1][np.arange(m), label[:m]]
-        return out
+        return ends[place], back, place
 
 
 def lines_of(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each word's line, each line's first word and length; a line ends at a line end, a text's end or after LONGEST words."""
+    """Each word's line, each line's first word and length; a line ends at a line end or a text's end."""
     n = len(words.start)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -217,9 +257,6 @@ def lines_of(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     new[first[first < n]] = True
     new[0] = True
     begin = np.flatnonzero(new)
-    offset = np.arange(n) - begin[np.cumsum(new) - 1]
-    new |= offset % LONGEST == 0
-    begin = np.flatnonzero(new)
     return np.cumsum(new) - 1, begin, np.diff(np.append(begin, n))
 
 

@@ -254,6 +254,40 @@ def test_viterbi_by_brute_force():
         assert tuple(got[a : a + n]) == best
 
 
+def uncut(field, scores):
+    best, back = scores[0].astype(np.float64), []
+    for s in scores[1:]:
+        ways = best[:, None] + field.move
+        back.append(ways.argmax(axis=0))
+        best = ways.max(axis=0) + s
+    labels = [int(best.argmax())]
+    for b in back[::-1]:
+        labels.append(int(b[labels[-1]]))
+    return labels[::-1]
+
+
+def test_long_lines_are_decoded_whole():
+    rng = np.random.default_rng(3)
+    length = np.array([1, 700, 128, 129, 0, 256, 5, 127, 1000, 257, 300])
+    first = np.cumsum(length) - length
+    for scale in (0.2, 1, 3):
+        scores = (scale * rng.normal(size=(length.sum(), 3))).astype(np.float32)
+        field = pii.Field([], (3 * rng.normal(size=(3, 3))).astype(np.float32))
+        got = field.decode(scores, first, length)
+        for a, n in zip(first, length, strict=True):
+            assert n == 0 or got[a : a + n].tolist() == uncut(field, scores[a : a + n])
+
+
+def test_spans_keep_their_cues_anywhere_in_long_lines():
+    field = pii.train()
+    for what in ("password = x7Kp93qTz41LmW8b and then the rest", "we met Mr. Thomas Miller in the town"):
+        for n in (4, *range(120, 132), 254, 255, 256, 2000):
+            lead = "word " * n
+            ((_, more),) = pii.scan(pa.array([lead + what]), field)
+            ((_, near),) = pii.scan(pa.array(["word " * 10 + what]), field)
+            assert near and more == [(k, a + len(lead) - 50, b + len(lead) - 50) for k, a, b in near]
+
+
 def test_training_fits_its_table():
     words, gold = pii._table()
     field = pii.train()
