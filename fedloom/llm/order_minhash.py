@@ -5,8 +5,8 @@ COMPONENTS hash functions the PICKED occurrences of least hash are selected, put
 k-mers hashed as a tuple. Two texts agree in a component only if they select the same k-mers in the same
 order, so the share of equal components falls with edit distance, and not with set overlap alone.
 
-Occurrences are first narrowed, alike for every text, to those of the CANDIDATES distinct k-mers of least
-base hash; their numbers are unaffected, as all occurrences of a kept k-mer stay.
+All occurrences are ranked for each hash function, in blocks of BLOCK ranks. Only ranks under a bound that lets
+some RANKED of them through are compared; a text where too few come through is ranked again without a bound.
 """
 
 from __future__ import annotations
@@ -23,9 +23,10 @@ from ..plans.session import work_table
 from .textscan import mix, text_array
 
 K = 8
-CANDIDATES = 192
 COMPONENTS = 32
 PICKED = 2
+BLOCK = 1 << 15
+RANKED = 16
 _STEP = np.uint64(0xD1342543DE82EF95)
 _STEPS = [np.uint64(pow(0xD1342543DE82EF95, w, 1 << 64)) for w in (1, 2, 4)]
 _SEEDS = mix(np.arange(1, COMPONENTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -50,46 +51,82 @@ def _kmers(points: np.ndarray) -> np.ndarray:
 
 def _numbered(h: np.ndarray) -> np.ndarray:
     """How many equal values stand before each."""
-    order = np.argsort(h, kind="stable")
+    # sorting by high bits with positions below them is much faster than a stable argsort
+    low = np.uint64((1 << len(h).bit_length()) - 1)
+    order = (np.sort((h & ~low) | np.arange(len(h), dtype=np.uint64)) & low).view(np.int64)
     s = h[order]
     begin = np.concatenate(([True], s[1:] != s[:-1]))
-    first = np.maximum.accumulate(np.where(begin, np.arange(len(s)), 0))
-    out = np.empty(len(s), np.uint64)
-    out[order] = (np.arange(len(s)) - first).astype(np.uint64)
+    high = s & ~low
+    if (begin[1:] & (high[1:] == high[:-1])).any():
+        order = np.argsort(h, kind="stable")
+        s = h[order]
+        begin[1:] = s[1:] != s[:-1]
+    out = np.zeros(len(s), np.uint64)
+    # only repeats get another number than 0
+    again = np.flatnonzero(~begin)
+    if len(again):
+        first = np.flatnonzero(begin)
+        out[order[again]] = (again - first[np.searchsorted(first, again) - 1]).astype(np.uint64)
     return out
 
 
+def _least(keyed: np.ndarray, ranked: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each seed the positions of the least and second least of mix(keyed ^ seed), equal ones by position; two positions at least."""
+    n = len(keyed)
+    a, b = np.empty(COMPONENTS, np.int64), np.empty(COMPONENTS, np.int64)
+    todo = np.arange(COMPONENTS)
+    # the last step of mix() keeps the upper 31 bits: a bound of which only these are set can be held against the step before
+    bound = (((1 << 64) // n * ranked) >> 33) << 33
+    if n > BLOCK // COMPONENTS and 0 < bound < 1 << 64:
+        # the first step of mix() goes over exclusive or
+        x, seeds = keyed ^ (keyed >> np.uint64(30)), (_SEEDS ^ (_SEEDS >> np.uint64(30)))[:, None]
+        width = min(n, BLOCK)
+        height = max(1, BLOCK // width)
+        ranks, other = np.empty((height, width), np.uint64), np.empty((height, width), np.uint64)
+        under = np.empty((height, width), bool)
+        rows, places, values = [], [], []
+        for lo in range(0, COMPONENTS, height):
+            for at in range(0, n, width):
+                part = x[None, at : at + width]
+                cut = (slice(min(height, COMPONENTS - lo)), slice(part.shape[1]))
+                r, o, u = ranks[cut], other[cut], under[cut]
+                np.bitwise_xor(part, seeds[lo : lo + height], out=r)
+                np.multiply(r, np.uint64(0xBF58476D1CE4E5B9), out=r)
+                np.right_shift(r, np.uint64(27), out=o)
+                np.bitwise_xor(r, o, out=r)
+                np.multiply(r, np.uint64(0x94D049BB133111EB), out=r)
+                np.less(r, np.uint64(bound), out=u)
+                i, j = np.nonzero(u)
+                rows.append(i + lo)
+                places.append(j + at)
+                values.append(r[i, j])
+        row, place, value = np.concatenate(rows), np.concatenate(places), np.concatenate(values)
+        value ^= value >> np.uint64(31)
+        order = np.lexsort((place, value, row))
+        count = np.bincount(row, minlength=COMPONENTS)
+        top, enough = np.cumsum(count) - count, count >= PICKED
+        a[enough], b[enough] = place[order[top[enough]]], place[order[top[enough] + 1]]
+        todo = np.flatnonzero(~enough)
+    block = max(1, BLOCK // n)
+    for lo in range(0, len(todo), block):
+        which = todo[lo : lo + block]
+        ranks = mix(keyed[None, :] ^ _SEEDS[which, None])
+        a[which] = ranks.argmin(axis=1)
+        ranks[np.arange(len(which)), a[which]] = np.uint64(0xFFFFFFFFFFFFFFFF)
+        b[which] = ranks.argmin(axis=1)
+    return a, b
+
+
 def signature(points: np.ndarray) -> np.ndarray:
     """COMPONENTS 32-bit numbers of a text given by its code points; zeros for an empty one."""
     if not len(points):
         return np.zeros(COMPONENTS, np.uint32)
     h = _kmers(points)
-    if len(h) > CANDIDATES:
-        # with repeats among the least values, more of them are needed for as many distinct ones
-        take = CANDIDATES
-        while True:
-            part = np.partition(h, take - 1)[:take] if take < len(h) else h
-            distinct = np.unique(part)
-            if len(distinct) >= CANDIDATES or take >= len(h):
-                break
-            take *= 4
-        limit = distinct[min(CANDIDATES, len(distinct)) - 1]
-        h = h[h <= limit]
-    keyed = h + _numbered(h) * np.uint64(0xA0761D6478BD642F)
     if len(h) == 1:
         return (mix(h[0] + _SEEDS) >> np.uint64(32)).astype(np.uint32)
-    out = np.empty(COMPONENTS, np.uint32)
-    block = max(1, (1 << 16) // len(h))
-    for lo in range(0, COMPONENTS, block):
-        seeds = _SEEDS[lo : lo + block, None]
-        ranks = mix(keyed[None, :] ^ seeds)
-        rows = np.arange(len(ranks))
-        a = ranks.argmin(axis=1)
-        ranks[rows, a] = np.uint64(0xFFFFFFFFFFFFFFFF)
-        b = ranks.argmin(axis=1)
-        first, second = np.minimum(a, b), np.maximum(a, b)
-        out[lo : lo + block] = (mix(h[first] * _STEP + h[second] + _SEEDS[lo : lo + block]) >> np.uint64(32)).astype(np.uint32)
-    return out
+    a, b = _least(h + _numbered(h) * np.uint64(0xA0761D6478BD642F), RANKED)
+    first, second = np.minimum(a, b), np.maximum(a, b)
+    return (mix(h[first] * _STEP + h[second] + _SEEDS) >> np.uint64(32)).astype(np.uint32)
 
 
 def points_of(text: str) -> np.ndarray:

@@ -356,6 +356,24 @@ def test_signature_by_definition():
     assert order_minhash.signature(order_minhash.points_of(t)).tolist() == want
 
 
+@pytest.mark.parametrize("ranked", [1, order_minhash.RANKED])
+def test_signatures_rank_all_occurrences(monkeypatch, ranked):
+    monkeypatch.setattr(order_minhash, "RANKED", ranked)
+    rng = random.Random(9)
+    for n, signs in ((150, "ab"), (300, "abcdefgh "), (3000, "ab"), (9000, "abcdefghijklmnop "), (30_000, "abcd")):
+        h = order_minhash._kmers(order_minhash.points_of(t := "".join(rng.choice(signs) for _ in range(n))))
+        seen, numbers = {}, []
+        for x in h.tolist():
+            numbers.append(seen.get(x, 0))
+            seen[x] = numbers[-1] + 1
+        keyed = h + np.array(numbers, np.uint64) * np.uint64(0xA0761D6478BD642F)
+        want = []
+        for seed in order_minhash._SEEDS:
+            a, b = sorted(np.argsort(textscan.mix(keyed ^ seed), kind="stable")[:2].tolist())
+            want.append(int(textscan.mix(h[a : a + 1] * np.uint64(0xD1342543DE82EF95) + h[b] + seed)[0]) >> 32)
+        assert order_minhash.signature(order_minhash.points_of(t)).tolist() == want
+
+
 def test_edited_neighbours(package, odd, none):
     rows = [(i, t) for i, t in ODD if i is not None and i != 7] + [(7, "seven " * 40)]
     got = {r["doc_id"]: r for r in order_minhash.edited_neighbours(package, documents(package, rows, extra=True).repartition(5)).collect()}
