@@ -26,6 +26,7 @@ MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
 END = b"\r\n\r\n"
 ARCHIVE_BYTES = 4 << 20
+#: How far headers are searched for while looking for the next record in plain, damaged bytes; nowhere else.
 HEADER_LIMIT = 64 << 10
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -69,12 +70,12 @@ def _inflate(raw: bytes, at: int) -> tuple[bytes, int] | None:
     return (out, len(raw) - len(z.unused_data)) if z.eof else None
 
 
-def parse(raw: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int] | str:
-    """Headers (lower-case names), block and the offset behind the record at this offset, or what is wrong."""
+def parse(raw: bytes, at: int = 0, limit: int | None = None) -> tuple[dict[str, str], bytes, int] | str:
+    """Headers (lower-case names), block and the offset behind the record at this offset, or what is wrong. limit: of the headers' bytes."""
     m = VERSION.match(raw, at)
     if not m:
         return "no version line"
-    end = raw.find(END, m.end() - 2, at + HEADER_LIMIT)
+    end = raw.find(END, m.end() - 2, len(raw) if limit is None else at + limit)
     if end < 0:
         return "headers break off"
     headers: dict[str, str] = {}
@@ -102,7 +103,10 @@ def parse(raw: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int] | str:
 
 
 def salvage(raw: bytes) -> Iterator[tuple[str, int, int, dict[str, str] | str, bytes]]:
-    """("record", offset, length, headers, block) and ("gap", offset, length, reason, b"") in order; together they cover all bytes."""
+    """("record", offset, length, headers, block) and ("gap", offset, length, reason, b"") in order; together they cover all bytes.
+
+    Headers may have any length, but a plain record right behind a gap is found only if they keep to HEADER_LIMIT.
+    """
     at, gap, why, n = 0, -1, "", len(raw)
     while at < n:
         found: tuple[dict[str, str], bytes, int] | str
@@ -115,7 +119,7 @@ def salvage(raw: bytes) -> Iterator[tuple[str, int, int, dict[str, str] | str, b
                 if not isinstance(found, str):
                     found = (found[0], found[1], inflated[1]) if found[2] == len(inflated[0]) else "bytes behind the record in its member"
         else:
-            found = parse(raw, at)
+            found = parse(raw, at, HEADER_LIMIT if gap >= 0 else None)
         if isinstance(found, str):
             if gap < 0:
                 gap, why = at, found
@@ -213,7 +217,9 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
 
 
 def page_records(spark: SparkSession, pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Write archives of pages and read them back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    read = read_archives(write_archives(spark, pages, min_bytes=min_bytes), with_payload=False).where("gap IS NULL")
+    """Write archives of pages and read them back: page_id, payload_bytes, payload_digest, record_type, refers_to. A gap in them is an error."""
+    read = read_archives(write_archives(spark, pages, min_bytes=min_bytes), with_payload=False)
+    gap = F.raise_error(F.concat(F.lit("a gap in "), "archive", F.lit(" at "), F.col("offset").cast("string"), F.lit(": "), "gap")).cast("boolean")
+    read = read.where(F.when(F.col("gap").isNull(), F.lit(True)).otherwise(gap))
     number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).try_cast("bigint")
     return read.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))

@@ -219,6 +219,23 @@ def test_small_payloads_are_never_revisits(package):
     assert rows == {1: "response", 2: "response", 3: "revisit", 4: "response"}
 
 
+def test_pages_with_long_urls_stay_whole(package):
+    url = "http://x/" + "y" * 200_000
+    df = package.createDataFrame([(1, url, "one"), (2, url, "two"), (3, url, "one"), (4, "http://x/", "two")], "page_id bigint, url string, html string")
+    rows = {r["page_id"]: (r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.page_records(package, df).collect()}
+    assert rows == {1: ("revisit", 3, 3), 2: ("revisit", 4, 3), 3: ("response", None, 3), 4: ("response", None, 3)}
+    assert {r["target_uri"] for r in warc.read_archives(warc.write_archives(package, df)).collect()} == {url, "http://x/"}
+    plain = b"".join(warc.page_record(i, url, b"x", warc.digest32(b"x"), None) for i in range(3))
+    assert [kind for kind, *_ in warc.salvage(plain)] == ["record"] * 3
+
+
+def test_gaps_in_own_archives_are_errors(package, monkeypatch):
+    df = package.createDataFrame([("a", warc.member(warc.page_record(1, "u", b"x", warc.digest32(b"x"), None)) + b"junk")], "archive string, content binary")
+    monkeypatch.setattr(warc, "write_archives", lambda *a, **b: df)
+    with pytest.raises(Exception, match="a gap in a at"):
+        warc.page_records(package, df).collect()
+
+
 # -- the whole queries
 
 
