@@ -12,7 +12,8 @@ A window is WINDOW consecutive words of one document; it recurs if its words als
    WINDOW words are phrases: together they cover the same words.
 
 Documents are sharded by hash, so an automaton's size follows that of its shard and not that of the corpus,
-and no document passes through more than one automaton.
+and a document passes through one automaton only, or a few where its shard's phrases hold more different words
+than one automaton can tell apart.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ ANCHOR = 8
 BLOOM_BITS = 26
 SHARDS = BLOCKS = 2  # for each shuffle partition
 _FIRST_CHAR = 0xE000  # behind the surrogates: one character stands for one word of a phrase
+MOST_WORDS = 0x10FFFF - _FIRST_CHAR  # of one automaton
 
 
 def least_in(x: np.ndarray, w: int) -> np.ndarray:
@@ -203,8 +205,8 @@ class PhraseAutomaton:
         """phrases: word hashes, a row for each phrase."""
         self.window = phrases.shape[1] if phrases.ndim == 2 else 0
         self.words = np.unique(phrases)
-        if len(self.words) > 0x10FFFF - _FIRST_CHAR:
-            raise ValueError("too many different words in one shard: use more shards")
+        if len(self.words) > MOST_WORDS:
+            raise ValueError("too many different words in one automaton")
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
         if len(phrases):
             text = self._text(phrases.ravel())
@@ -232,6 +234,14 @@ class PhraseAutomaton:
         return np.cumsum(edge[:-1]) > 0
 
 
+def phrase_parts(phrases: np.ndarray) -> list[np.ndarray]:
+    """The phrases in parts of MOST_WORDS different words at most, all in one part if they can be."""
+    if len(np.unique(phrases)) <= MOST_WORDS:
+        return [phrases]
+    half = len(phrases) // 2
+    return phrase_parts(phrases[:half]) + phrase_parts(phrases[half:])
+
+
 def phrase_positions(recurs: np.ndarray, window: int) -> np.ndarray:
     """Of one document's recurring windows, those that cover the same words: the ends of each run and one in each window words."""
     at = np.flatnonzero(recurs)
@@ -286,13 +296,20 @@ def remove_repeats(spark: SparkSession, df: DataFrame, text: str = "text", id_co
             for k in phrase_positions(hit, window).tolist():
                 phrases.append(h[k : k + window])
         table = np.unique(np.array(phrases, np.uint64).reshape(-1, window), axis=0)
-        automaton = PhraseAutomaton(table)
+        # one automaton at a time, and of all of them the words that any covers
+        covers = [np.zeros(len(h), bool) for *_, h in chunks]
+        for part in phrase_parts(table) if len(table) else ():
+            automaton = PhraseAutomaton(part)
+            for cover, (i, j, words, h) in zip(covers, chunks, strict=True):
+                for r in range(j - i):
+                    a, b = int(words.first[r]), int(words.first[r + 1])
+                    cover[a:b] |= automaton.covered(h[a:b])
         n_words, n_removed, kept = [], [], []
-        for i, j, words, h in chunks:
+        for cover, (i, j, words, _) in zip(covers, chunks, strict=True):
             for r in range(j - i):
                 a, b = int(words.first[r]), int(words.first[r + 1])
-                gone = automaton.covered(h[a:b]) if len(table) else None
-                removed = int(gone.sum()) if gone is not None else 0
+                gone = cover[a:b]
+                removed = int(gone.sum())
                 found = texts[i + r].as_py().encode().split()
                 if removed:
                     found = [w for w, g in zip(found, gone.tolist(), strict=True) if not g]

@@ -57,6 +57,16 @@ def test_remove_repeats_odd_rows(package, odd, none):
     assert substring_dedup.remove_repeats(package, none).count() == 0
 
 
+def test_phrases_of_more_words_than_one_automaton_holds():
+    table = np.arange(1, 35 * 31_000 + 1, dtype=np.uint64).reshape(-1, 35)
+    assert len(np.unique(table)) > substring_dedup.MOST_WORDS
+    parts = substring_dedup.phrase_parts(table)
+    assert (np.concatenate(parts) == table).all() and len(parts) == 2
+    doc = np.concatenate((table[0], [0], table[-1])).astype(np.uint64)
+    covers = [substring_dedup.PhraseAutomaton(p).covered(doc) for p in parts]
+    assert np.flatnonzero(~(covers[0] | covers[1])).tolist() == [35] and not covers[0].all()
+
+
 def test_chosen_phrases_cover_the_same_words():
     rng = np.random.default_rng(3)
     for w in (2, 5, 35):
