@@ -9,7 +9,8 @@ A window is WINDOW consecutive words of one document; it recurs if its words als
    in blocks, and each shard of documents is told which of its windows recur.
 3. Each shard compiles an Aho-Corasick automaton of its recurring phrases and streams all its documents
    through it; the words that matches cover are removed. Of a passage only its first and last window and one in each
-   WINDOW words are phrases: together they cover the same words.
+   WINDOW words are phrases: together they cover the same words. Where windows recur is known from their hashes
+   by then; the automaton locates nothing new.
 
 Documents are sharded by hash, so an automaton's size follows that of its shard and not that of the corpus,
 and a document passes through one automaton only, or a few where its shard's phrases hold more different words
