@@ -32,6 +32,8 @@ class Rounds:
             raise ValueError(f"clients_per_round ({self.clients_per_round}) is less than min_clients ({self.min_clients})")
         if self.sampling not in ("uniform", "weighted"):
             raise ValueError(f"unknown sampling {self.sampling}")
+        if self.strategy not in ("fedavg", "fedprox", "fedmed", "fednova"):
+            raise ValueError(f"rounds don't support the strategy {self.strategy}")
 
 
 @dataclass(frozen=True)

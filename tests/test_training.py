@@ -52,3 +52,9 @@ def test_too_few_clients_change_nothing(spark, world):
     *_, data, reg = world
     w, errors = training.run_rounds(spark, data, reg.where("client < 2"), ["a", "b"], "y", Settings(Rounds(rounds=2, clients_per_round=3)))
     assert w == [0.0, 0.0, 0.0] and errors[0] == pytest.approx(errors[1])
+
+
+@pytest.mark.parametrize("strategy", ["scaffold", "async", "fedadam", "fedadagrad", "fedavgg"])
+def test_strategies_that_rounds_lack_are_refused_at_once(strategy):
+    with pytest.raises(ValueError, match=strategy):
+        Rounds(strategy=strategy)
