@@ -64,7 +64,10 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def work_table(spark: SparkSession, df: DataFrame, name: str, *partition_by: str, codec: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends there, and a lost executor costs no recomputation."""
-    path = new_path(spark, name)
+    return _written(spark, df, new_path(spark, name), partition_by, codec)
+
+
+def _written(spark: SparkSession, df: DataFrame, path: str, partition_by: tuple[str, ...], codec: str) -> DataFrame:
     writer = df.write.option("compression", codec)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -72,6 +75,32 @@ def work_table(spark: SparkSession, df: DataFrame, name: str, *partition_by: str
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Work tables of one run, which can be deleted once what was made of them is written itself."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.held: list[tuple[DataFrame, str]] = []
+
+    def table(self, df: DataFrame, name: str, *partition_by: str, codec: str = "zstd") -> DataFrame:
+        path = new_path(self.spark, name)
+        out = _written(self.spark, df, path, partition_by, codec)
+        self.held.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete these tables; a table that isn't of this run is left alone."""
+        gone = [x for x in self.held if any(x[0] is t for t in tables)]
+        self.held = [x for x in self.held if not any(x is y for y in gone)]
+        hadoop = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for _, path in gone:
+            at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(hadoop).delete(at, True)
+
+    def drop_but(self, *tables: DataFrame) -> None:
+        self.drop(*[t for t, _ in self.held if not any(t is k for k in tables)])
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table by name, through Spark's reader only."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
