@@ -7,12 +7,13 @@ have; only these entries enter the product. It is computed in blocks of columns,
 1. A count sketch of fixed size finds frequent columns; they come last in the order, so that passages which
    many documents share don't enter the product unless a document is made of them. The order changes the work
    and never the result; SKETCH_BITS should give cells for a sixteenth of all n-grams.
-2. Blocks give the columns that two sets or more share.
+2. Blocks give the columns that two sets or more share: all pairs of columns of SMALL sets at most, the members
+   of the others.
 3. Pairs are discarded by bounds derived from sizes alone: t max(n) <= min(n), and, from bit maps of about two
    bits for each n-gram, the least possible size of the symmetric difference. What is left is compared whole.
-4. A large group of near copies would give all its pairs. So some members of each column are compared with
-   all others first, twice, with the components of their links between; then only pairs of sets that aren't
-   in one component yet are compared, all of them. Equal sets are one row from the start.
+4. A large group of near copies would give all its pairs. So each set is first compared with a fixed number of
+   hubs, over all its columns, by turns, with the components of the links between; then only pairs of sets that
+   aren't in one component yet are compared, all of them. Equal sets are one row from the start.
 
 Every pair that is linked is thus either compared or within one component already.
 """
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.session import work_table
+from ..plans.session import Scratch
 from .components import components
 from .textscan import Words, mix, ngrams, signed, slices, text_array
 
@@ -35,10 +36,13 @@ PERCENT = 75
 SKETCH_BITS = 24
 SLICE_BITS = 18
 FREQUENT = 32
-TILE = 1024
+SMALL = 4
+DEALT = 1 << 20  # entries that a task has in memory before it deals them out
+TILE = 512
+FOUND = 1 << 16
 BLOOM_BITS = 26
-HUBS = (4, 4)  # members of a column that are compared with all others, by turns
-SHOWN = 32
+HUBS = (3, 3)  # hubs that a set is compared with, by turns
+SHOWN = 16
 
 
 def shingle_sets(words: Words, n: int = N):
@@ -135,7 +139,7 @@ def frequent_columns(docs: DataFrame) -> np.ndarray:
     return hot
 
 
-def _set_table(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def _set_table(scratch: Scratch, docs: DataFrame) -> DataFrame:
     """doc_id, n, s (the set's signature) and, once for each set and batch, bits."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -154,7 +158,7 @@ def _set_table(spark: SparkSession, docs: DataFrame) -> DataFrame:
                 seen.add(sign)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, words.rows), pa.array(ns, pa.int64()), pa.array(ss, pa.int64()), pa.array(bits, pa.binary())], names=["doc_id", "n", "s", "bits"])
 
-    return work_table(spark, docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n bigint, s bigint, bits binary"), "ngram-sets")
+    return scratch.table(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n bigint, s bigint, bits binary"), "ngram-sets")
 
 
 def first_columns(s: np.ndarray, hot: np.ndarray, percent: int) -> np.ndarray:
@@ -166,8 +170,25 @@ def first_columns(s: np.ndarray, hot: np.ndarray, percent: int) -> np.ndarray:
     return rare[:p] if len(rare) >= p else np.concatenate((rare, s[late == 1]))[:p]
 
 
-def _shared_columns(spark: SparkSession, docs: DataFrame, percent: int) -> DataFrame:
-    """(h, s, n, place, total) of the columns that two sets or more have among their first ones: a set's place in its column by hash, and the column's size.
+def _small_pairs(s: np.ndarray, n: np.ndarray, place: np.ndarray, total: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs (a < b) of sets of columns of SMALL sets at most, if their sizes allow a link. Rows stand column by column."""
+    a, b = [], []
+    for d in range(1, SMALL):
+        i = np.flatnonzero((total <= SMALL) & (place + d < total))
+        x, y = n[i], n[i + d]
+        i = i[np.minimum(x, y).astype(np.int64) * 100 >= np.maximum(x, y).astype(np.int64) * percent]
+        a.append(np.minimum(s[i], s[i + d]))
+        b.append(np.maximum(s[i], s[i + d]))
+    a, b = np.concatenate(a), np.concatenate(b)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
+def _shared_columns(spark: SparkSession, scratch: Scratch, docs: DataFrame, percent: int) -> DataFrame:
+    """Of the columns that two sets or more have among their first ones: (h, s, n) for each set of a column of more than SMALL sets, (null, s, t) for the pairs of others.
 
     Entries travel as arrays: 40 bits of the column beside its block, and a row number into a list of sets.
     A clash of columns adds pairs to be compared, never removes one. Equal sets of a batch travel once.
@@ -197,13 +218,15 @@ def _shared_columns(spark: SparkSession, docs: DataFrame, percent: int) -> DataF
     def deal(batches):
         hot = hot_bits.value
         held: dict[int, tuple[int, np.ndarray]] = {}
+        entries = 0
         for _, _, words in _sets_of(batches, 0):
             for _, s in shingle_sets(words):
                 if len(s) and (sign := _signature(s)) not in held:
                     held[sign] = (len(s), first_columns(s, hot, percent))
-            if len(held) >= 20_000:
-                yield dealt(held)
-                held = {}
+                    entries += len(held[sign][1])
+                    if entries >= DEALT or len(held) == 1 << 16:  # rows are told by 16 bits
+                        yield dealt(held)
+                        held, entries = {}, 0
         if held:
             yield dealt(held)
 
@@ -226,36 +249,54 @@ def _shared_columns(spark: SparkSession, docs: DataFrame, percent: int) -> DataF
             count = np.diff(np.append(begin, len(h)))
             keep = np.flatnonzero(np.repeat(count > 1, count))
             h, s, n, total = h[keep], s[keep], n[keep], np.repeat(count, count)[keep]
-            order = np.lexsort((mix(s.view(np.uint64)), h))
-            h, s, n, total = h[order], s[order], n[order], total[order]
-            new = np.ones(len(h), bool)
-            new[1:] = h[1:] != h[:-1]
-            place = np.arange(len(h)) - np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-            key = signed(h | np.uint64(block) << np.uint64(40))
-            for lo in range(0, len(h), 1 << 16):
-                part = slice(lo, lo + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(x[part], pa.int64()) for x in (key, s, n, place, total)], names=["h", "s", "n", "place", "total"])
+            place = (np.arange(int(count.sum())) - np.repeat(begin, count))[keep]
+            a, b = _small_pairs(s, n, place, total, percent)
+            for lo in range(0, len(a), FOUND):
+                part = slice(lo, lo + FOUND)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(a[part]), pa.int64()), pa.array(a[part]), pa.array(b[part]), pa.nulls(len(a[part]), pa.int64())], names=["h", "s", "t", "n"])
+            large = total > SMALL
+            key, s, n = signed(h[large] | np.uint64(block) << np.uint64(40)), s[large], n[large].astype(np.int64)
+            for lo in range(0, len(s), FOUND):
+                part = slice(lo, lo + FOUND)
+                yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(s[part]), pa.nulls(len(s[part]), pa.int64()), pa.array(n[part])], names=["h", "s", "t", "n"])
 
     entries = docs.select("text").mapInArrow(deal, "block int, low binary, place binary, sets binary, sizes binary")
-    return work_table(spark, entries.repartition(parts, "block").mapInArrow(product, "h bigint, s bigint, n bigint, place bigint, total bigint"), "ngram-columns")
+    return scratch.table(entries.repartition(parts, "block").mapInArrow(product, "h bigint, s bigint, t bigint, n bigint"), "ngram-columns")
+
+
+def _hub_pairs(lists: DataFrame, hubs: int, turn: int, percent: int) -> DataFrame:
+    """(a, b): each set beside at most so many hubs of other components. A column's hub is its least set by a hash of this turn; a set takes the least ones over all its columns, which sets of one group mostly have in common."""
+    rank = F.xxhash64("s", F.lit(turn))
+    hub = lists.groupBy("h").agg(F.min_by(F.struct(F.col("s").alias("t"), F.col("c").alias("d"), F.col("n").alias("m"), rank.alias("r")), rank).alias("hub"))
+    met = lists.join(hub, "h").select("s", "c", "n", "hub.*").where((F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (F.col("c") != F.col("d")))
+    least = met.groupBy("s").agg(F.slice(F.array_sort(F.collect_set(F.struct("r", "t"))), 1, hubs).alias("hubs"))
+    return least.select("s", F.explode("hubs.t").alias("t")).select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"))
 
 
 def _remaining_pairs(spark: SparkSession, lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) of sets of one column and different components that may be similar by their sizes and bits.
 
-    A column's sets are cut into tiles of about TILE by hash; a task has two tiles of a column in memory. Each
-    set carries the first SHOWN of its columns, so that a pair is left to the first column that both show.
+    Sets of a column's largest component need no comparison with each other. They are cut into tiles of about
+    TILE by hash, and so are the others; each tile of the others meets all tiles. A task has two tiles of a
+    column in memory. Each set carries the first SHOWN of its columns, so that a pair is left to the first
+    column that both show.
     """
-    shown = lists.groupBy("s").agg(F.slice(F.array_sort(F.collect_list("h")), 1, SHOWN).alias("shown"))
-    rows = lists.withColumn("tiles", F.ceil(F.col("total") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("s"), F.col("tiles")).cast("int"))
-    others = F.sequence(F.lit(0), F.col("tiles") - 1)
-    rows = rows.select("h", "s", "n", "c", "tile", F.explode(others).alias("other"))
+    main = lists.groupBy("h", "c").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.max("k").alias("most"), F.sum("k").alias("total"))
+    open_ = lists.join(main.where("most < total"), "h")
+    shown = open_.groupBy("s").agg(F.slice(F.array_sort(F.collect_list("h")), 1, SHOWN).alias("shown"))
+    others = F.ceil((F.col("total") - F.col("most")) / TILE).cast("int")
+    mains = F.ceil(F.col("most") / TILE).cast("int")
+    rows = open_.withColumn("in_main", F.col("c") == F.col("main")).withColumn("others", others).withColumn("mains", mains)
+    # tiles of the largest component have negative numbers
+    rows = rows.withColumn("tile", F.when(F.col("in_main"), -1 - F.pmod(F.xxhash64("s"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("s"), F.col("others"))).cast("int"))
+    met = F.when(F.col("in_main"), F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(-F.col("mains"), F.col("others") - 1))
+    rows = rows.select("h", "s", "n", "c", "tile", F.explode(met).alias("other"))
     rows = rows.select("h", F.least("tile", "other").alias("t0"), F.greatest("tile", "other").alias("t1"), "s", "n", "c", "tile")
     rows = rows.join(sets.select("s", "bits").join(shown, "s"), "s").select("h", "t0", "t1", "s", "n", "c", "tile", "bits", "shown")
     dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "h", "t0", "t1").sortWithinPartitions("h", "t0", "t1")
 
     def tile_pairs(h, s, n, c, tile, bits, shown, within: bool):
-        """Pairs of one group, a row of it against those behind it."""
+        """Pairs of one group, as arrays: a row of it against those behind it."""
         order = np.argsort(n, kind="stable")
         s, n, c, tile = s[order], n[order], c[order], tile[order]
         bits = [bits[i] for i in order.tolist()]
@@ -274,23 +315,33 @@ def _remaining_pairs(spark: SparkSession, lists: DataFrame, sets: DataFrame, per
             if len(j):
                 least = np.bitwise_count(folded[j] ^ folded[i]).sum(axis=1)
                 j = j[(100 + percent) * least <= (100 - percent) * (n[i] + n[j])]
-                for k in j.tolist():
-                    if shown[i].isdisjoint(shown[k]) and (100 + percent) * least_difference(bits[i], bits[k]) <= (100 - percent) * int(n[i] + n[k]):
-                        yield (int(s[i]), int(s[k])) if s[i] < s[k] else (int(s[k]), int(s[i]))
+                j = [k for k in j.tolist() if shown[i].isdisjoint(shown[k]) and (100 + percent) * least_difference(bits[i], bits[k]) <= (100 - percent) * int(n[i] + n[k])]
+                if j:
+                    yield np.minimum(s[i], s[j]), np.maximum(s[i], s[j])
 
     def run(batches):
         key, parts = None, []
-        found: set[tuple[int, int]] = set()
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
 
         def flush():
-            cols = list(zip(*found, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64())], names=["a", "b"])
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-        def done():
+        def group():
             if key is not None and sum(len(p[0]) for p in parts) > 1:
                 s, n, c, tile = (np.concatenate([p[k] for p in parts]) for k in range(4))
                 bits, shown = ([x for p in parts for x in p[k]] for k in (4, 5))
-                found.update(tile_pairs(int(key[0]), s, n, c, tile, bits, shown, key[1] == key[2]))
+                yield from tile_pairs(int(key[0]), s, n, c, tile, bits, shown, key[1] == key[2])
+
+        def done():
+            nonlocal found, size
+            for x in group():
+                found.append(x)
+                size += len(x[0])
+                if size >= FOUND:
+                    yield flush()
+                    found, size = [], 0
 
         for batch in batches:
             h, t0, t1, s, n, c, tile = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(7))
@@ -300,27 +351,23 @@ def _remaining_pairs(spark: SparkSession, lists: DataFrame, sets: DataFrame, per
             for a, b in zip(cut, cut[1:], strict=False):
                 this = (h[a], t0[a], t1[a])
                 if this != key:
-                    done()
+                    yield from done()
                     key, parts = this, []
-                    if len(found) >= 50_000:
-                        yield flush()
-                        found.clear()
                 parts.append((s[a:b], n[a:b], c[a:b], tile[a:b], batch.column(7).slice(a, b - a).to_pylist(), batch.column(8).slice(a, b - a).to_pylist()))
-        done()
+        yield from done()
         if found:
             yield flush()
 
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
-def _bloom(spark: SparkSession, ids: DataFrame):
-    """A broadcast Bloom filter of fixed size of the ids (nulls left out). Where it fills up it only lets more through."""
+def _bloom(spark: SparkSession, hashes: DataFrame):
+    """A broadcast Bloom filter of fixed size of a column of hashes. Where it fills up it only lets more through."""
 
     def run(batches):
         bits = np.zeros(1 << (BLOOM_BITS - 3), np.uint8)
         for batch in batches:
-            x = batch.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for k in _places(x):
+            for k in _places(batch.column(0).to_numpy().view(np.uint64)):
                 np.bitwise_or.at(bits, k >> 3, np.uint8(1) << (k & 7).astype(np.uint8))
         size = 1 << (BLOOM_BITS - 3 - 3)
         for k in range(8):
@@ -330,7 +377,7 @@ def _bloom(spark: SparkSession, ids: DataFrame):
 
     bits = np.zeros(1 << (BLOOM_BITS - 3), np.uint8)
     size = len(bits) // 8
-    for k, x in _summed_slices(ids.mapInArrow(run, "slice int, raw binary"), 8, "bits"):
+    for k, x in _summed_slices(hashes.mapInArrow(run, "slice int, raw binary"), 8, "bits"):
         bits[k * size : (k + 1) * size] = x
     return spark.sparkContext.broadcast(bits)
 
@@ -341,7 +388,7 @@ def _places(x: np.ndarray):
         yield ((h >> np.uint64(shift)) & np.uint64((1 << BLOOM_BITS) - 1)).astype(np.int64)
 
 
-def _compared(spark: SparkSession, docs: DataFrame, sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def _compared(spark: SparkSession, scratch: Scratch, docs: DataFrame, sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b) of set signatures, those whose sets are as similar as asked."""
     sized = (
         pairs.join(sets.select(F.col("s").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"), F.col("rep").alias("rep_a")), "a")
@@ -357,20 +404,17 @@ def _compared(spark: SparkSession, docs: DataFrame, sets: DataFrame, pairs: Data
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     left = sized.select("a", "b", "rep_a", "rep_b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(bounded, f"a bigint, b bigint, rep_a {id_type}, rep_b {id_type}")
-    left = work_table(spark, left, "ngram-bounded")
-    wanted = work_table(spark, left.select(F.col("a").alias("s"), F.col("rep_a").alias("rep")).union(left.select("b", "rep_b")).distinct(), "ngram-wanted")
-    bloom = _bloom(spark, wanted.select("rep"))
+    left = scratch.table(left, "ngram-bounded")
+    wanted = scratch.table(left.select(F.col("a").alias("s"), F.col("rep_a").alias("rep")).union(left.select("b", "rep_b")).distinct(), "ngram-wanted")
+    bloom = _bloom(spark, wanted.select(F.xxhash64("rep")))
 
     def arrays(batches):
         bits = bloom.value
         for batch in batches:
-            ids = batch.column(0)
-            valid = ids.is_valid().to_numpy(zero_copy_only=False)
-            x = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            there = np.ones(len(x), bool)
-            for k in _places(x):
+            there = np.ones(batch.num_rows, bool)
+            for k in _places(batch.column(2).to_numpy().view(np.uint64)):
                 there &= (bits[k >> 3] >> (k & 7).astype(np.uint8)) & 1 == 1
-            picked = batch.filter(pa.array(there | ~valid))
+            picked = batch.filter(pa.array(there))
             texts = text_array(picked.column(1))
             for i, j in slices(texts):
                 found = [s for _, s in shingle_sets(Words(texts, i, j, lower=True))]
@@ -378,9 +422,9 @@ def _compared(spark: SparkSession, docs: DataFrame, sets: DataFrame, pairs: Data
                     [picked.column(0).slice(i, j - i), pa.array([_signature(s) if len(s) else None for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["doc_id", "s", "grams"]
                 )
 
-    grams = docs.select("doc_id", "text").mapInArrow(arrays, f"doc_id {id_type}, s bigint, grams binary")
+    grams = docs.select("doc_id", "text", F.xxhash64("doc_id")).mapInArrow(arrays, f"doc_id {id_type}, s bigint, grams binary")
     grams = grams.join(wanted, (grams.s == wanted.s) & grams.doc_id.eqNullSafe(wanted.rep)).select(grams.s, "grams")
-    grams = work_table(spark, grams, "ngram-arrays", codec="none")
+    grams = scratch.table(grams, "ngram-arrays", codec="none")
 
     def whole(batches):
         for batch in batches:
@@ -394,7 +438,10 @@ def _compared(spark: SparkSession, docs: DataFrame, sets: DataFrame, pairs: Data
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     pairs = left.join(grams.select(F.col("s").alias("a"), F.col("grams").alias("grams_a")), "a").join(grams.select(F.col("s").alias("b"), F.col("grams").alias("grams_b")), "b")
-    return work_table(spark, pairs.select("a", "b", "grams_a", "grams_b").mapInArrow(whole, "a bigint, b bigint"), "ngram-links")
+    links = scratch.table(pairs.select("a", "b", "grams_a", "grams_b").mapInArrow(whole, "a bigint, b bigint"), "ngram-links")
+    scratch.drop(left, wanted, grams)
+    bloom.destroy()
+    return links
 
 
 def similar_components(spark: SparkSession, df: DataFrame, text: str = "text", id_col: str = "doc_id", percent: int = PERCENT) -> DataFrame:
@@ -406,43 +453,36 @@ def similar_components(spark: SparkSession, df: DataFrame, text: str = "text", i
     than id and text aren't read. Sets are told apart by 64-bit hashes of n-grams and of whole sets.
     """
     docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    table = _set_table(spark, docs)
+    scratch = Scratch(spark)
+    table = _set_table(scratch, docs)
     sets = table.where("s IS NOT NULL").groupBy("s").agg(F.first("n").alias("n"), F.first("bits", ignorenulls=True).alias("bits"), F.min("doc_id").alias("rep"))
-    sets = work_table(spark, sets, "ngram-rows")
-    columns = _shared_columns(spark, docs, percent)
+    sets = scratch.table(sets, "ngram-rows")
+    columns = _shared_columns(spark, scratch, docs, percent)
+    lists = columns.where("h IS NOT NULL").select("h", "s", "n", F.col("s").alias("c"))
     found: DataFrame | None = None
     comps: DataFrame | None = None
-    done = 0
-    for hubs in (*HUBS, 0):
-        # columns of few sets are through once all but one of these were compared with the others
-        lists = columns.where(F.col("total") > done + 1) if done else columns
-        if comps is None:
-            lists = lists.withColumn("c", F.col("s"))
-        else:
-            lists = work_table(spark, lists.join(comps.withColumnRenamed("node", "s"), "s", "left").withColumn("c", F.coalesce("component", "s")).drop("component"), "ngram-lists")
-            open_ = lists.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("h")
-            lists = lists.join(open_, "h", "left_semi")
-        if hubs:
-            hub = lists.where((F.col("place") >= done) & (F.col("place") < done + hubs)).select("h", F.col("s").alias("t"), F.col("c").alias("d"), F.col("n").alias("m"))
-            near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-            pairs = lists.join(hub, "h").where(near & (F.col("c") != F.col("d"))).select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"))
-            done += hubs
-        else:
-            pairs = _remaining_pairs(spark, lists, sets, percent)
-        pairs = work_table(spark, pairs.distinct(), "ngram-pairs")
+    for turn, hubs in enumerate((*HUBS, 0)):
+        pairs = _hub_pairs(lists, hubs, turn, percent) if hubs else _remaining_pairs(spark, lists, sets, percent)
+        if not turn:
+            pairs = pairs.union(columns.where("h IS NULL").select("s", "t"))
+        pairs = scratch.table(pairs.distinct(), "ngram-pairs")
         if pairs.isEmpty():
-            if hubs:
-                continue
-            break
-        links = _compared(spark, docs, sets, pairs, percent)
+            continue
+        links = _compared(spark, scratch, docs, sets, pairs, percent)
+        scratch.drop(pairs)
         found = links if found is None else found.union(links)
-        comps = components(spark, found)
+        comps = components(scratch, found)
+        if hubs:
+            lists = columns.where("h IS NOT NULL").join(comps.withColumnRenamed("node", "s"), "s", "left").select("h", "s", "n", F.coalesce("component", "s").alias("c"))
+            mixed = lists.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("h")
+            lists = scratch.table(lists.join(mixed, "h", "left_semi"), "ngram-lists")
     members = table.select("doc_id", F.col("n").alias("n_shingles"), "s")
     if comps is not None:
         members = members.join(comps.withColumnRenamed("node", "s"), "s", "left").select("doc_id", "n_shingles", F.coalesce("component", "s").alias("c"))
     else:
         members = members.withColumnRenamed("s", "c")
-    members = work_table(spark, members, "ngram-members")
+    members = scratch.table(members, "ngram-members")
+    scratch.drop_but(members)
     least = members.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("least"))
     return members.join(least, "c", "left").select("doc_id", "n_shingles", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
