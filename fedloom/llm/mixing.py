@@ -5,8 +5,9 @@ MAX_REPEATS times. A document's virtual finish time is its source's cumulative w
 divided by the source's target. All documents are then put in order of that time and taken as long as the
 running total stays within the budget.
 
-No step orders a whole source or table in one task. Queues are cut by hash prefix, and times by width: a
-small table of sums for each piece gives what lies before it, and only within a piece are rows ordered.
+No step orders a whole source or table in one task. Queues are cut by hash prefix, and the line of times, however
+long, into COARSE x FINE pieces of 1 - 1 / (1 + time): a small table of sums for each piece gives what lies
+before it, and only within a piece are rows ordered.
 """
 
 from __future__ import annotations
@@ -20,8 +21,7 @@ from ..plans.session import work_table
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 PREFIX = 3  # hex digits: 4,096 pieces of each source's queue
-COARSE, FINE = 1024, 1024
-LAST_TIME = 2.0  # the budget is always reached by then, or the queues have nothing left
+COARSE, FINE = 8192, 1024  # pieces of the line of times, and of one of them
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -50,10 +50,11 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats
 def mix_sources(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target and taken (words that the mix takes, repeats counted), and the columns to carry.
 
-    A null or empty text has size 0 and nothing is taken of it; a null source is a source, the last; a null id
-    is shuffled as an empty one. Repeated rows are documents of their own; among equal ids with equal sizes it
-    makes no difference which is taken. No document is taken more than MAX_REPEATS times. An empty table gives
-    an empty result. Results depend on ids, sizes and sources alone, not on the partitioning.
+    A null or empty text has size 0 and nothing is taken of it; a null source is a source, the last. Documents
+    are shuffled by a hash of id and text, in which nulls count as empty. Repeated rows are documents of their
+    own; among equal ones it makes no difference which is taken. No document is taken more than MAX_REPEATS
+    times, however late its time may be. An empty table gives an empty result. Results depend on ids, texts
+    and sources alone, not on the partitioning.
     """
     c = lambda n: F.col(f"`{n}`")
     sized = docs.select(
@@ -62,7 +63,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
         F.coalesce(F.regexp_count(c(text), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
         F.coalesce(c(source), F.lit("")).alias("skey"),
         c(source).isNull().alias("snull"),
-        F.md5(F.coalesce(c(id_col).cast("string"), F.lit("")).cast("binary")).alias("shuffled"),
+        F.md5(F.concat_ws(":", F.coalesce(c(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(c(text), F.lit("")).cast("binary"))).cast("binary")).alias("shuffled"),
     ).withColumn("piece", F.substring("shuffled", 1, PREFIX))
     sized = work_table(spark, sized, "mix-sized")
     pieces = sized.groupBy("skey", "snull", "piece").agg(F.sum("size").alias("piece_size"))
@@ -78,14 +79,18 @@ def mix_sources(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     def time(turn: Column | int) -> Column:
         return (F.col("cumulative") + turn * F.col("source_size")).cast("double") / F.nullif(F.col("target"), F.lit(0.0))
 
-    turns = F.filter(F.sequence(F.lit(0), F.lit(MAX_REPEATS - 1)), lambda e: time(e) <= LAST_TIME)
-    queued = items.where("size > 0").select("*", F.explode(turns).alias("turn")).withColumn("time", time(F.col("turn")))
-    coarse = F.floor(F.col("time") * COARSE)
-    fine = F.floor(F.col("time") * (COARSE * FINE))
+    def piece(t: Column, pieces: int) -> Column:
+        """Each operation keeps the order, rounding included."""
+        return F.floor((1 - 1 / (1 + t)) * pieces)
 
-    def crossed(rows: DataFrame, piece: Column, before: Column) -> DataFrame:
+    turns = F.sequence(F.lit(0), F.lit(MAX_REPEATS - 1))
+    queued = items.where("size > 0").select("doc_id", "skey", "snull", "shuffled", "size", "cumulative", "source_size", "target", "budget", F.explode(turns).alias("turn")).withColumn("time", time(F.col("turn")))
+    coarse = piece(F.col("time"), COARSE)
+    fine = piece(F.col("time"), COARSE * FINE)
+
+    def crossed(rows: DataFrame, cut: Column, before: Column) -> DataFrame:
         """The first piece of time that doesn't fit into the budget as a whole, and the words before it; no row if all fit."""
-        sums = rows.groupBy(piece.alias("cut")).agg(F.sum("size").alias("n"), F.max("budget").alias("budget"), before.alias("start"))
+        sums = rows.groupBy(cut.alias("cut")).agg(F.sum("size").alias("n"), F.max("budget").alias("budget"), before.alias("start"))
         running = F.col("start") + F.sum("n").over(W.orderBy("cut"))
         return sums.withColumn("running", running).where("running > budget").groupBy().agg(F.min("cut").alias("cut"), F.min_by(F.col("running") - F.col("n"), "cut").alias("start")).where("cut IS NOT NULL")
 
@@ -106,8 +111,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     def taken(turn: int) -> Column:
         t = time(turn)
         here = F.struct(t.alias("time"), F.col("snull"), F.col("skey"), F.col("shuffled"), F.col("doc_id"), F.lit(turn).alias("turn"))
-        piece = F.floor(t * (COARSE * FINE))
-        return F.when((t <= LAST_TIME) & (F.col("fine_cut").isNull() | (piece < F.col("fine_cut")) | ((piece == F.col("fine_cut")) & F.coalesce(here <= F.col("edge"), F.lit(False)))), F.col("size")).otherwise(F.lit(0))
+        at = piece(t, COARSE * FINE)
+        return F.when(F.col("fine_cut").isNull() | (at < F.col("fine_cut")) | ((at == F.col("fine_cut")) & F.coalesce(here <= F.col("edge"), F.lit(False))), F.col("size")).otherwise(F.lit(0))
 
     total = sum((taken(e) for e in range(1, MAX_REPEATS)), taken(0))
     out = items.join(F.broadcast(limits), how="left", on=F.lit(True))
@@ -117,7 +122,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         coalesce(source, '') AS skey, source IS NULL AS snull, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS shuffled
+         coalesce(source, '') AS skey, source IS NULL AS snull, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS shuffled
   FROM documents
 ), summed AS (
   SELECT skey, snull, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY skey, snull
@@ -143,7 +148,7 @@ WITH sized AS (
   SELECT q.*, turn, CAST(cumulative + turn * source_size AS DOUBLE) / target AS finish
   FROM queued q, (SELECT unnest([0, 1, 2]) AS turn) WHERE size > 0
 ), running AS (
-  SELECT *, sum(size) OVER (ORDER BY finish, snull, skey, shuffled, doc_id, turn ROWS UNBOUNDED PRECEDING) AS total FROM timed WHERE finish <= 2
+  SELECT *, sum(size) OVER (ORDER BY finish, snull, skey, shuffled, doc_id, turn ROWS UNBOUNDED PRECEDING) AS total FROM timed
 ), chosen AS (
   SELECT row_id, CAST(sum(size) AS BIGINT) AS taken FROM running WHERE total <= budget GROUP BY row_id
 )
