@@ -4,12 +4,13 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from fedloom.llm import components, mixing, ngram_join, queries, substring_dedup, warc
-from fedloom.plans.session import read_table
+from fedloom.plans.session import Scratch, read_table
 
 from ..helpers import same_as_sql
 from .conftest import ODD, documents
@@ -143,6 +144,51 @@ def test_join_odd_rows(package, odd, none):
     assert ngram_join.similar_components(package, none).count() == 0
 
 
+def test_pairs_grow_with_a_group_and_not_with_its_square(package, monkeypatch):
+    """Rows of pairs that one group of near copies makes, of all turns."""
+    made = []
+    compared = ngram_join._compared
+
+    def counted(spark, scratch, docs, sets, pairs, percent):
+        made.append(pairs.count())
+        return compared(spark, scratch, docs, sets, pairs, percent)
+
+    monkeypatch.setattr(ngram_join, "_compared", counted)
+    counts = []
+    for size in (60, 240):
+        rng = random.Random(4)
+        base = [f"v{k}" for k in range(90)]
+        texts = [" ".join(base[:k] + [f"u{rng.randrange(6)}"] + base[k + 1 :]) for k in (rng.randrange(90) for _ in range(size))]
+        rows = ngram_join.similar_components(package, documents(package, list(enumerate(texts)))).collect()
+        assert {r["component_id"] for r in rows} == {0}
+        counts.append((sum(made), len(set(texts))))
+        made.clear()
+    for pairs, sets in counts:
+        assert pairs <= 2 * (sum(ngram_join.HUBS) + ngram_join.SMALL) * sets
+
+
+def test_a_few_outside_a_large_component_meet_all_of_it(package, monkeypatch):
+    """Members of the largest component aren't tiled against each other, others are against all."""
+    monkeypatch.setattr(ngram_join, "TILE", 5)
+    monkeypatch.setattr(ngram_join, "FREQUENT", 10_000)
+    texts = variants(random.Random(13), 1, 40) + variants(random.Random(14), 2, 12)
+    shared = " ".join(f"s{k}" for k in range(30))
+    texts += [f"{shared} {t}" for t in texts[:30]]
+    for hubs in ((), (1,)):
+        monkeypatch.setattr(ngram_join, "HUBS", hubs)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_components(package, documents(package, list(enumerate(texts)))).collect()}
+        assert [got[k] for k in range(len(texts))] == brute_join(texts)
+
+
+def test_work_tables_go(package):
+    from fedloom.plans.session import shared_dir
+
+    folder = Path(shared_dir(package).removeprefix("file://"))
+    before = set(folder.iterdir())
+    ngram_join.similar_components(package, documents(package, list(enumerate(variants(random.Random(15), 3, 6))))).collect()
+    assert len({x.name.split("-")[1] for x in set(folder.iterdir()) - before}) <= 1
+
+
 def test_bits_bound_the_difference():
     rng = np.random.default_rng(5)
     for _ in range(300):
@@ -153,7 +199,7 @@ def test_bits_bound_the_difference():
 
 def test_components_of_a_long_path(package):
     links = package.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a bigint, b bigint")
-    got = dict(map(tuple, components.components(package, links).collect()))
+    got = dict(map(tuple, components.components(Scratch(package), links).collect()))
     assert set(got.values()) == {0, 100} and len(got) == 43
 
 
@@ -169,6 +215,30 @@ def test_mix_odd_rows(package, odd, none):
     assert [r["taken"] for r in mixing.mix_sources(package, documents(package, [(1, None), (2, "")])).collect()] == [0, 0]
 
 
+def test_mix_of_single_documents_by_definition(package):
+    """Late finish times count: of the third source, 1,290 words at time 2.04 still fit."""
+    df = package.createDataFrame([(1, "w " * 1000, "a"), (2, "w " * 2610, "b"), (3, "w " * 1290, "c")], "doc_id bigint, text string, source string")
+    assert {r["doc_id"]: r["taken"] for r in mixing.mix_sources(package, df).collect()} == {1: 3000, 2: 0, 3: 1290}
+    rng = random.Random(8)
+    for _ in range(3):
+        rows = [(k, "w " * rng.randint(1, 60), rng.choice("abcdefg")) for k in range(rng.randint(3, 14))]
+        df = package.createDataFrame(rows, "doc_id bigint, text string, source string")
+        got = {r["doc_id"]: (r["size"], r["source_size"], r["target"], r["taken"]) for r in mixing.mix_sources(package, df).collect()}
+        queue, times = defaultdict(int), []
+        key = {k: hashlib.md5(f"{k}:{hashlib.md5(t.encode()).hexdigest()}".encode()).hexdigest() for k, t, _ in rows}
+        for k, t, s in sorted(rows, key=lambda r: (r[2], key[r[0]])):
+            size, total, target, _ = got[k]
+            queue[s] += size
+            times += [((queue[s] + e * total) / target, s, key[k], k, e) for e in range(3)]
+        left, taken = sum(x[0] for x in got.values()), dict.fromkeys(got, 0)
+        for *_, k, _ in sorted(times):
+            left -= got[k][0]
+            if left < 0:
+                break
+            taken[k] += got[k][0]
+        assert taken == {k: x[3] for k, x in got.items()}
+
+
 def test_mix_comes_near_targets_and_repeats(package):
     rng = random.Random(3)
     rows = [(i, " ".join("w" for _ in range(rng.randint(1, 40)))) for i in range(1500)]
