@@ -12,8 +12,9 @@ have; only these entries enter the product. It is computed in blocks of columns,
 3. Pairs are discarded by bounds derived from sizes alone: t max(n) <= min(n), and, from bit maps of about two
    bits for each n-gram, the least possible size of the symmetric difference. What is left is compared whole.
 4. A large group of near copies would give all its pairs. So each set is first compared with a fixed number of
-   hubs, over all its columns, by turns, with the components of the links between; then only pairs of sets that
-   aren't in one component yet are compared, all of them. Equal sets are one row from the start.
+   hubs, over all its columns, then with a fixed number of the nearest sets by bit map, with the components of
+   the links between; then only pairs of sets that aren't in one component yet are compared, all of them. Equal
+   sets are one row from the start.
 
 Every pair that is linked is thus either compared or within one component already.
 """
@@ -41,7 +42,8 @@ DEALT = 1 << 20  # entries that a task has in memory before it deals them out
 TILE = 512
 FOUND = 1 << 16
 BLOOM_BITS = 26
-HUBS = (3, 3)  # hubs that a set is compared with, by turns
+HUBS = 3  # hubs that a set is compared with
+NEAREST = 4  # sets nearest by bit map that it is compared with then
 SHOWN = 16
 
 
@@ -264,17 +266,22 @@ def _shared_columns(spark: SparkSession, scratch: Scratch, docs: DataFrame, perc
     return scratch.table(entries.repartition(parts, "block").mapInArrow(product, "h bigint, s bigint, t bigint, n bigint"), "ngram-columns")
 
 
-def _hub_pairs(lists: DataFrame, hubs: int, turn: int, percent: int) -> DataFrame:
-    """(a, b): each set beside at most so many hubs of other components. A column's hub is its least set by a hash of this turn; a set takes the least ones over all its columns, which sets of one group mostly have in common."""
-    rank = F.xxhash64("s", F.lit(turn))
-    hub = lists.groupBy("h").agg(F.min_by(F.struct(F.col("s").alias("t"), F.col("c").alias("d"), F.col("n").alias("m"), rank.alias("r")), rank).alias("hub"))
-    met = lists.join(hub, "h").select("s", "c", "n", "hub.*").where((F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (F.col("c") != F.col("d")))
-    least = met.groupBy("s").agg(F.slice(F.array_sort(F.collect_set(F.struct("r", "t"))), 1, hubs).alias("hubs"))
-    return least.select("s", F.explode("hubs.t").alias("t")).select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"))
+def _few_each(pairs: DataFrame, most: int) -> DataFrame:
+    """(a, b) of (s, t, rank): for each s the most ones of least rank."""
+    least = pairs.groupBy("s").agg(F.slice(F.array_sort(F.collect_set(F.struct("rank", "t"))), 1, most).alias("found"))
+    return least.select("s", F.explode("found.t").alias("t")).select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"))
 
 
-def _remaining_pairs(spark: SparkSession, lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of sets of one column and different components that may be similar by their sizes and bits.
+def _hub_pairs(lists: DataFrame, hubs: int, percent: int) -> DataFrame:
+    """(a, b): each set beside at most so many hubs. A column's hub is its least set by hash; a set takes the least ones over all its columns, which sets of one group mostly have in common."""
+    rank = F.xxhash64("s")
+    hub = lists.groupBy("h").agg(F.min_by(F.struct(F.col("s").alias("t"), F.col("n").alias("m"), rank.alias("rank")), rank).alias("hub"))
+    met = lists.join(hub, "h").select("s", "n", "hub.*").where((F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (F.col("s") != F.col("t")))
+    return _few_each(met, hubs)
+
+
+def _remaining_pairs(spark: SparkSession, lists: DataFrame, sets: DataFrame, percent: int, nearest: int = 0) -> DataFrame:
+    """(a, b) of sets of one column and different components that may be similar by their sizes and bits; nearest: only so many for each set, those of least difference by bits.
 
     Sets of a column's largest component need no comparison with each other. They are cut into tiles of about
     TILE by hash, and so are the others; each tile of the others meets all tiles. A task has two tiles of a
@@ -315,18 +322,25 @@ def _remaining_pairs(spark: SparkSession, lists: DataFrame, sets: DataFrame, per
             if len(j):
                 least = np.bitwise_count(folded[j] ^ folded[i]).sum(axis=1)
                 j = j[(100 + percent) * least <= (100 - percent) * (n[i] + n[j])]
-                j = [k for k in j.tolist() if shown[i].isdisjoint(shown[k]) and (100 + percent) * least_difference(bits[i], bits[k]) <= (100 - percent) * int(n[i] + n[k])]
-                if j:
-                    yield np.minimum(s[i], s[j]), np.maximum(s[i], s[j])
+                found = []
+                for k in j.tolist():
+                    if shown[i].isdisjoint(shown[k]):
+                        d = least_difference(bits[i], bits[k])
+                        if (100 + percent) * d <= (100 - percent) * int(n[i] + n[k]):
+                            found.append((d, k))
+                if nearest and len(found) > nearest:
+                    found = sorted(found)[:nearest]
+                if found:
+                    d, k = np.array(found, np.int64).T
+                    yield np.full(len(k), s[i]), s[k], d
 
     def run(batches):
         key, parts = None, []
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        found: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def flush():
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found, strict=True)], names=["s", "t", "rank"])
 
         def group():
             if key is not None and sum(len(p[0]) for p in parts) > 1:
@@ -358,7 +372,27 @@ def _remaining_pairs(spark: SparkSession, lists: DataFrame, sets: DataFrame, per
         if found:
             yield flush()
 
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    met = dealt.mapInArrow(run, "s bigint, t bigint, rank bigint")
+    return _few_each(met, nearest) if nearest else met.select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"))
+
+
+class Forest:
+    """Links that join two trees of those before; whatever is linked stays linked by them."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = parent[x]
+        return x
+
+    def joins(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        self.parent[a] = b
+        return a != b
 
 
 def _bloom(spark: SparkSession, hashes: DataFrame):
@@ -389,7 +423,7 @@ def _places(x: np.ndarray):
 
 
 def _compared(spark: SparkSession, scratch: Scratch, docs: DataFrame, sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) of set signatures, those whose sets are as similar as asked."""
+    """Of pairs (a, b) of set signatures, those whose sets are as similar as asked; each task leaves out links that its others imply."""
     sized = (
         pairs.join(sets.select(F.col("s").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"), F.col("rep").alias("rep_a")), "a")
         .join(sets.select(F.col("s").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"), F.col("rep").alias("rep_b")), "b")
@@ -427,14 +461,17 @@ def _compared(spark: SparkSession, scratch: Scratch, docs: DataFrame, sets: Data
     grams = scratch.table(grams, "ngram-arrays", codec="none")
 
     def whole(batches):
+        forest = Forest()
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = np.concatenate((x, y))
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(both) - common))
+                keep.append(100 * common >= percent * (len(both) - common) and forest.joins(a, b))
+            if len(forest.parent) > 1 << 20:
+                forest = Forest()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     pairs = left.join(grams.select(F.col("s").alias("a"), F.col("grams").alias("grams_a")), "a").join(grams.select(F.col("s").alias("b"), F.col("grams").alias("grams_b")), "b")
@@ -461,10 +498,11 @@ def similar_components(spark: SparkSession, df: DataFrame, text: str = "text", i
     lists = columns.where("h IS NOT NULL").select("h", "s", "n", F.col("s").alias("c"))
     found: DataFrame | None = None
     comps: DataFrame | None = None
-    for turn, hubs in enumerate((*HUBS, 0)):
-        pairs = _hub_pairs(lists, hubs, turn, percent) if hubs else _remaining_pairs(spark, lists, sets, percent)
-        if not turn:
-            pairs = pairs.union(columns.where("h IS NULL").select("s", "t"))
+    for turn in ("hubs", "nearest", "all"):
+        if turn == "hubs":
+            pairs = _hub_pairs(lists, HUBS, percent).union(columns.where("h IS NULL").select("s", "t"))
+        else:
+            pairs = _remaining_pairs(spark, lists, sets, percent, NEAREST if turn == "nearest" else 0)
         pairs = scratch.table(pairs.distinct(), "ngram-pairs")
         if pairs.isEmpty():
             continue
@@ -472,7 +510,7 @@ def similar_components(spark: SparkSession, df: DataFrame, text: str = "text", i
         scratch.drop(pairs)
         found = links if found is None else found.union(links)
         comps = components(scratch, found)
-        if hubs:
+        if turn != "all":
             lists = columns.where("h IS NOT NULL").join(comps.withColumnRenamed("node", "s"), "s", "left").select("h", "s", "n", F.coalesce("component", "s").alias("c"))
             mixed = lists.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("h")
             lists = scratch.table(lists.join(mixed, "h", "left_semi"), "ngram-lists")
