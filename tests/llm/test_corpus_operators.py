@@ -123,8 +123,9 @@ def test_join_by_brute_force(package):
 
 
 def test_remaining_pairs_lose_nothing(package, monkeypatch):
-    """Without members compared first, with small tiles, and with all columns frequent, results stay."""
-    monkeypatch.setattr(ngram_join, "HUBS", ())
+    """With one hub and one nearest set, with small tiles, and with all columns frequent, results stay."""
+    monkeypatch.setattr(ngram_join, "HUBS", 1)
+    monkeypatch.setattr(ngram_join, "NEAREST", 1)
     monkeypatch.setattr(ngram_join, "TILE", 7)
     monkeypatch.setattr(ngram_join, "FREQUENT", 2)
     texts = variants(random.Random(12), 3, 25)
@@ -164,7 +165,7 @@ def test_pairs_grow_with_a_group_and_not_with_its_square(package, monkeypatch):
         counts.append((sum(made), len(set(texts))))
         made.clear()
     for pairs, sets in counts:
-        assert pairs <= 2 * (sum(ngram_join.HUBS) + ngram_join.SMALL) * sets
+        assert pairs <= 2 * (ngram_join.HUBS + ngram_join.NEAREST + ngram_join.SMALL) * sets
 
 
 def test_a_few_outside_a_large_component_meet_all_of_it(package, monkeypatch):
@@ -174,8 +175,9 @@ def test_a_few_outside_a_large_component_meet_all_of_it(package, monkeypatch):
     texts = variants(random.Random(13), 1, 40) + variants(random.Random(14), 2, 12)
     shared = " ".join(f"s{k}" for k in range(30))
     texts += [f"{shared} {t}" for t in texts[:30]]
-    for hubs in ((), (1,)):
-        monkeypatch.setattr(ngram_join, "HUBS", hubs)
+    for few in (1, 3):
+        monkeypatch.setattr(ngram_join, "HUBS", few)
+        monkeypatch.setattr(ngram_join, "NEAREST", few)
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_components(package, documents(package, list(enumerate(texts)))).collect()}
         assert [got[k] for k in range(len(texts))] == brute_join(texts)
 
