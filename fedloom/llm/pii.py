@@ -21,24 +21,34 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("", "name", "secret")
 PIECE = 128
 
-#: The labelled table: a line each; [kind:words] marks a span.
+#: The labelled table: a line each, all invented; [kind:words] marks a span.
 LABELLED = """
 the api token = "[secret:3f9a0c77be21d4458ac0917ee2b6d3f0a1c2e4b5]" was found in the log
-token = "[secret:9b0b3c6a43eb78aa99cbd7049c572391524f37a8]" and then the rest of the line
+token = "[secret:7c4f32b1f83202ba0f84ba94d5f5475d0867]" and then the rest of the line
 please rotate token = "[secret:F231EFBFD1FDB295F161BE24C505140EAE764ACC]" before monday
-TOKEN = "[secret:9233A8ECF7C5B09FE5949719B6B82BC439E9329B]"!! AND!! MORE!! TEXT!! HERE!!
-one | two | three | token = "[secret:2abc3ff2ca8fb1e4c565a0eb63815530a948bdde]" | four | five |
-words### more*** token = "[secret:ab8ca1b325bc4f85aa6a79e73fc4cbfc2098878e]"### words%%% here&&&
+TOKEN = "[secret:545B476057DCFE60B37AD0A24A88CEEE257DD05A6498]"!! AND!! MORE!! TEXT!! HERE!!
+one | two | three | token = "[secret:49aec3fffabc560a1fb9604603251d32]" | four | five |
+words### more*** token = "[secret:231b1ccf79b14b1302c1da50d7f0f3beca062bbbc67e5a20]"### words%%% here&&&
 secret = "[secret:0a1b2c3d4e5f60718293a4b5c6d7e8f9]" in the settings file
 the key is [secret:c0ffee12ab34cd56ef7890ab12cd34ef56ab78cd] and nobody should see it
 key = [secret:8c1f02ab77de45aa90cc31fe88ab67cd] was committed by mistake
 password = [secret:x7Kp93qTz41LmW8b] for the old account
 password: [secret:Zr8wQ2pL5vX9tB3n] must be changed today
-api_key = "[secret:AKQ3X7T2P9ZL5W8R4M6N]" is in the second file
+api_key = "[secret:AKQ3X7T2P9ZL5W8R4M6N]" stands inside file two
+aws key [secret:AKZQ4T7YB2XW9CN5RVD3] leaked on friday
+aws_secret_access_key = [secret:q8TzVn3KxW5rLp9YbD2mHc7JfS4gAe6U] leaked as well
+authorization: bearer [secret:h7Kq2Zt9Xw4Rv8Lm3Np6Yb1Dc5Fg0Js] was sent
+bearer token: [secret:eyQx9.kZ27vPw.T4mLb81] expired
+login with password [secret:winter77!] please
+our secret = [secret:bQxTzWmKfLrNv4HsJpYd] is old
+password: [secret:GhTrwKqZbNx3] for guests
+the api_key = [secret:VnBtRwQzKxLmPd8FgHsJ] of staging
+token: [secret:wErTyUiOpLkJh6GfDs] again
+his password: [secret:tulip4you!] worked
 export TOKEN = [secret:d41d8cd98f00b204e9800998ecf8427e3b1f0a9c] first
-das token = "[secret:5d190bd7c06284de91015a36974748794293dd8a]" ist geheim
-le token = "[secret:681c09b8e90e7e8c9575180f595f646cf2969054]" est secret
-el token = "[secret:27660c51feb63980dfaee7464f96210544c03fc3]" de la cuenta
+das token = "[secret:d256ffbfdd4e429b2a0f92848376cf59c049f3]" ist geheim
+le token = "[secret:e991a0b51754827a49d850c1755804661020d418f6]" est secret
+el token = "[secret:f9baa9bda421bfb3d7fe810a4025697014]" de la cuenta
 name: [name:Maria Keller] lives in the second house
 my name is [name:John Carter] and i wrote this
 please ask Mr. [name:Thomas Wood] about the house
@@ -46,29 +56,34 @@ we met Mrs. [name:Anna Lindqvist] last week in town
 Dr. [name:Peter Novak] will see you now
 contact [name:Laura Mendez] for the keys to the office
 yours sincerely, [name:Helen Brook]
-Dear Ms. [name:Olga Petrova] , thank you for the letter
-the report was long and nobody read it to the end
+Dear Ms. [name:Olga Petrova] , thanks again for this letter
+regards, [name:Samuel Ortega]
+name: [name:Ingrid Halvorsen] , born in spring
+Contact [name:Yusuf Demir] before noon
+Mrs. [name:Clara Fontaine] came by
+Dr. [name:Viktor Hahn] , room nine
+the report was long and nobody finished reading it
 In the morning they went to the river. The water was cold.
 ALL OF THIS IS WRITTEN IN CAPITALS AND MEANS NOTHING AT ALL
 THE!! TOKEN!! OF!! HIS!! LOVE!! WAS!! SMALL!!
 a token of thanks was given to the key members of the team
 the secret of the old house is the name of the lake
 password rules are explained in chapter 7 of the book
-call 555-7713 or write to someone@example.com before noon
-the number 4785380592391139 was printed on the page
-the server 114.203.152.12 answered after 30 seconds
-+1 (659) 555-3949 is the number to call
-Licensed under the Apache License, Version 2.0.
-This work is licensed under the GNU General Public License, version 3.
+call 404-0000 or write to someone@example.com before noon
+the number 1111222233334444 was printed on that page
+the server 192.0.2.45 answered after 30 seconds
++44 (0) 20 7946 0000 reaches the desk
+You may share this file; see its licence, Clause 2.
+Terms of Use, Free Edition, release 3. See Annex B.
 one | two | three | four | five | six | seven | eight
 words*** with### odd%%% endings&&& are$$$ not*** secret###
-And And And And And And And And And And And
-x = 12 and y = 15 give z = 27 in the table
-the rest = "nothing" as they said in 1999
+Maybe Maybe Maybe Maybe Maybe Maybe Maybe Maybe Maybe
+x = 12 and y = 15 give z = 27 in that table
+the rest = "nothing" as they said in 1887
 Der Name der Stadt ist schön. Und die Leute sind nett.
 La maison est grande. Le jardin aussi. Une clé est perdue.
-Osóta osñga asrró ciónez. El menteos, esqueco ciónciosque con la casa.
-commit 2024 was the year of version 3.14 and nothing else
+Algún día volverán. Los niños, cansados, duermen junto al río.
+commit 7731 was made before version 3.14 and nothing else
 Chapter One. The Key. It was a dark night. She had a name.
 see https://example.com/page?id=12345 for more of this
 Often.
@@ -91,7 +106,7 @@ They went home. Was it late. As ever.
 
 #: Cue words: no cue is 0.
 CUES = {w: k for k, ws in enumerate((
-    ("token", "secret", "password", "passwd", "key", "api_key", "apikey", "password:", "token:", "secret:", "key:"),
+    ("token", "secret", "password", "passwd", "key", "api_key", "apikey", "password:", "token:", "secret:", "key:", "bearer"),
     ("=", ":", ":="),
     ("mr.", "mrs.", "ms.", "dr.", "mr", "mrs", "ms", "dr"),
     ("name", "name:", "contact", "sincerely,", "regards,"),
