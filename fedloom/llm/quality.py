@@ -4,8 +4,8 @@ Indicators of n-grams are scaled by the log ratio of their smoothed shares in go
 document is brought to unit length, and a linear hinge-loss model is fitted by dual coordinate descent. Its
 margin becomes a probability by a logistic curve fitted on rows that the model hasn't seen.
 
-N-grams are hashed: of words (1), of word shapes (1 to 3: capitals, last sign, length, repetition of the word
-before), so vocabulary that the sample lacks still counts through its form.
+N-grams are hashed: of words (1 to 3) and of word shapes (1 to 3: capitals, last sign, length, repetition of the
+word before), so vocabulary that the sample lacks still counts through its form.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .textscan import Words, mix, sequence_mix, slices, text_array
 
-BITS = 18
+BITS = 20
 #: The bound on labelled rows that the fit uses, those with the least hash of their id.
 TRAIN_ROWS = 4000
 ALPHA = 1.0
@@ -56,11 +56,12 @@ def features(words: Words) -> tuple[np.ndarray, np.ndarray]:
     again[1:] = (h[1:] == h[:-1]) & (row[1:] == row[:-1])
     shape = mix((((capital * 64 + _LAST[words.data[words.end - 1]]) * 8 + length) * 2 + again + 1).astype(np.uint64))
     rows, feats = [row], [h]
-    for k in (1, 2, 3):
-        g = sequence_mix(shape, k)
-        ok = row[: len(g)] == row[k - 1 :]
-        rows.append(row[: len(g)][ok])
-        feats.append(mix(g[ok] + np.uint64(k)))
+    for kind, units, lengths in ((0, shape, (1, 2, 3)), (8, h, (2, 3))):
+        for k in lengths:
+            g = sequence_mix(units, k)
+            ok = row[: len(g)] == row[k - 1 :]
+            rows.append(row[: len(g)][ok])
+            feats.append(mix(g[ok] + np.uint64(kind + k)))
     keys = np.concatenate(rows) << BITS | (np.concatenate(feats) >> np.uint64(64 - BITS)).astype(np.int64)
     keys = np.unique(keys)
     return keys >> BITS, keys & ((1 << BITS) - 1)
@@ -189,8 +190,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int
 
 
 def score_quality(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """df with score (0 to 1, higher: better) and predicted (1 if score >= 0.5). Only the text is scored; a null one as an empty one, whose score is the model's for no features. One pass, no shuffle; the model has a fixed size."""
+    """df with score (0 to 1, higher: better) and predicted (1 if score >= 0.5), in place of columns of these names that df has.
+
+    Only the text is scored; a null one as an empty one, whose score is the model's for no features. Equal texts
+    have equal scores, repeated rows stay, an empty table gives an empty one. One pass, no shuffle; the model
+    has a fixed size.
+    """
     spark = df.sparkSession
+    df = df.drop("score", "predicted")
     shared = spark.sparkContext.broadcast(model)
     at = df.columns.index(text)
 
@@ -212,7 +219,11 @@ def score_quality(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document."""
+    """doc_id, held_out, score and predicted of every row, repeated ones too; an empty table gives an empty result.
+
+    A null id isn't learned from and is held out as an empty text would be (crc32 0: it isn't). Without labels,
+    or with one kind only, every score is the share of good labels, drawn to the ends (0.5 without any).
+    """
     model = train(docs, labels)
     scored = score_quality(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
