@@ -4,9 +4,11 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from fedloom.llm import license_scan, media, order_minhash, pii, piece_codec, quality, textscan
@@ -319,6 +321,52 @@ def test_classifier_odd_rows(package, odd, none, data):
     assert len(same) == 1
 
 
+def test_margins_by_a_dense_model():
+    """The same model on a dense matrix: n-grams by definition, log-count ratios, hinge loss by projected gradient on the dual."""
+    rng = random.Random(21)
+    good, bad = [f"g{k}" for k in range(12)], [f"b{k}!" for k in range(12)]
+    both = [f"c{k}" for k in range(12)]
+    texts = [" ".join(rng.choice((good if k % 2 else bad) + both) for _ in range(rng.randint(4, 12))) for k in range(60)]
+    y = np.array([1 if k % 2 else -1 for k in range(60)])
+    arr = pa.array(texts)
+    row, feature = quality.features(textscan.Words(arr, 0, len(texts)))
+    rows = [feature[row == r] for r in range(len(texts))]
+    # indicators of n-grams by definition: as many as the hashed ones, but for clashes
+    for r in (0, 1, 2):
+        w = texts[r].split()
+        words = {tuple(w[i : i + k]) for k in (1, 2, 3) for i in range(len(w) - k + 1)}
+        assert 0 <= len(words) <= len(rows[r]) <= len(words) + 3 * len(w)
+    used = np.unique(np.concatenate(rows))
+    x = np.zeros((60, len(used)))
+    for r, f in enumerate(rows):
+        x[r, np.searchsorted(used, f)] = 1
+    p, q = x[y > 0].sum(axis=0), x[y < 0].sum(axis=0)
+    absent = (1 << quality.BITS) - len(used)
+    a, b = quality.ALPHA + p, quality.ALPHA + q
+    ratio = np.log((a / (a.sum() + absent * quality.ALPHA)) / (b / (b.sum() + absent * quality.ALPHA)))
+    ratio[p + q < 2] = 0
+    z = x * ratio
+    norm = np.sqrt((z**2).sum(axis=1))
+    z = np.hstack([z / np.where(norm > 0, norm, 1)[:, None], np.ones((60, 1))])
+    gram, alpha = (z @ z.T) * np.outer(y, y), np.zeros(60)
+    limit = quality.COST  # both classes are of one size here
+    step = 1 / np.linalg.eigvalsh(gram).max()
+    for _ in range(200_000):
+        alpha = np.clip(alpha - step * (gram @ alpha - 1), 0, limit)
+    want = z @ (z.T @ (alpha * y))
+    model = quality.fit([(f, int(v > 0)) for f, v in zip(rows, y, strict=True)])
+    got = model.margins(row, feature, 60)
+    assert np.abs(got - want).max() < 0.05 and (np.sign(got) == np.sign(want)).all()
+
+
+def test_scores_replace_columns_of_their_names(package, data):
+    model = quality.fit([(np.array([1, 2]), 1), (np.array([2, 3]), 0)])
+    df = package.createDataFrame([(1, "a b", "x", 7), (1, "a b", "x", 7), (None, None, "y", 8)], "doc_id bigint, text string, score string, predicted int")
+    out = quality.score_quality(df, model)
+    rows = out.collect()
+    assert out.columns == ["doc_id", "text", "score", "predicted"] and len(rows) == 3 and rows[0] == rows[1] and isinstance(rows[2]["score"], float)
+
+
 def test_dual_descent_separates():
     rng = np.random.default_rng(1)
     rows = [(np.unique(np.concatenate(([int(y)], rng.integers(10, 200, 5)))).astype(np.int32), int(y)) for y in rng.integers(0, 2, 300)]
@@ -390,3 +438,48 @@ def test_edited_neighbours(package, odd, none):
     assert order_minhash.edited_neighbours(package, none).count() == 0
     one = order_minhash.edited_neighbours(package, documents(package, [(1, "alone at last")])).first()
     assert one["near_next"] == 1.0
+
+
+def test_labelled_rows_are_invented():
+    """No span, no long token and no whole line of the table stands in any document."""
+    texts = "\n".join(t or "" for d in ("sf0.001", "sf0.01", "sf0.1") for t in pq.read_table(f"/root/testdata/{d}/documents.parquet", columns=["text"])["text"].to_pylist())
+    for line in pii.LABELLED.strip().split("\n"):
+        plain = re.sub(r"\[\w+:([^\]]*)\]", r"\1", line)
+        assert plain not in texts
+        for found in re.findall(r"\[\w+:([^\]]*)\]", line) + [w for w in plain.split() if len(w) > 12]:
+            assert found not in texts, found
+
+
+def held_out_lines():
+    """Planted rows of forms that the table has, with other words: (line, kind, span)."""
+    rng = random.Random(79)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    mixed = lambda n: "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz23456789") for _ in range(n))
+    out = []
+    for _ in range(40):
+        for form, value in (('lorem ipsum token = "{}" dolor sit', hexes(40)), ("amet, secret = {} consectetur", mixed(24)), ("elit password: {} sed do", mixed(14) + "7"), ("tempor api_key = {} ut labore", hexes(32))):
+            out.append((form.format(value), "secret", value))
+    first, last = ["Maria", "Jean", "Anna", "Pablo", "Greta", "Ivan", "Lucia", "Omar"], ["Keller", "Dupont", "Schmidt", "Moreno", "Larsen", "Petrov", "Rossi", "Haddad"]
+    for f in first:
+        for x in last:
+            for form in ("yesterday Mr. {} came home", "ask Dr. {} about it", "name: {} , of this town"):
+                out.append((form.format(f"{f} {x}"), "name", f"{f} {x}"))
+    return out
+
+
+def test_held_out_names_and_secrets(package):
+    """Recall on planted lines and precision beside clean ones; README has these figures."""
+    planted = held_out_lines()
+    rng = random.Random(78)
+    words = "lorem ipsum dolor sit amet consectetur elit sed do eiusmod tempor incididunt ut labore et magna aliqua".split()
+    clean = [" ".join(rng.choice(words).capitalize() if k % 7 == 0 else rng.choice(words) for k in range(rng.randint(3, 20))) + "." for _ in range(400)]
+    df = package.createDataFrame([(k, t) for k, t in enumerate([p[0] for p in planted] + clean)], "doc_id bigint, text string")
+    got = {r["doc_id"]: [x.split(":") for x in r["spans"].split(",") if x] for r in pii.find_personal_data(df).collect()}
+    hit, wrong = Counter(), 0
+    for k, (line, kind, value) in enumerate(planted):
+        at = line.index(value)
+        hit[kind] += any(x[0] == kind and int(x[1]) <= at + 1 and int(x[2]) >= at + len(value) - 1 for x in got[k])
+        hit[f"all {kind}"] += 1
+    wrong = sum(bool(got[k]) for k in range(len(planted), len(planted) + len(clean)))
+    print(dict(hit), wrong)
+    assert hit["secret"] >= 0.9 * hit["all secret"] and hit["name"] >= 0.95 * hit["all name"] and wrong <= 4
