@@ -15,6 +15,12 @@ def r6(x: Column | str) -> Column:
     return F.round(c(x), 6) + F.lit(0.0)
 
 
+def uniform(seed: int, *keys: Column | str) -> Column:
+    """A number above 0 and below 1 by the MD5 of the seed and the keys: the same whatever the partitions, on reruns, and in any SQL."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[c(k).cast("string") for k in keys])
+    return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
+
+
 def ratio(a: Column | str, b: Column | str) -> Column:
     """a / b, null where b is 0."""
     return c(a) / F.nullif(c(b), F.lit(0).cast("double"))

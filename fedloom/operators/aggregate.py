@@ -1,7 +1,7 @@
 """Aggregation of updates over clients, without state.
 
-Updates have the columns keys + (client, idx, value) and, where weights count, w; `by` names the columns that
-one aggregate stands for, by default the group and the coordinate. All are partial aggregations with one
+Updates have the columns keys + (client, param, idx, value) and, where weights count, w; `by` names the columns
+that one aggregate stands for, by default the group, the parameter and the coordinate within it. All are partial aggregations with one
 shuffle on `by`.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import c, keep_count, l2, ratio
 
-BY = ("grp", "idx")
+BY = ("grp", "param", "idx")
 
 
 def weighted_mean(updates: DataFrame, by: Sequence[str] = BY, value: str = "value", weight: Column | str = "w") -> DataFrame:
@@ -80,7 +80,7 @@ def proximal_term(updates: DataFrame, globals_: DataFrame, mu: float, on: Sequen
     return updates.join(globals_.withColumnRenamed("value", "_g"), list(on)).groupBy("grp", "client").agg((0.5 * mu * F.sum(d * d)).alias("term"))
 
 
-def hierarchical_mean(updates: DataFrame, cluster: str, by: Sequence[str] = ("idx",)) -> DataFrame:
+def hierarchical_mean(updates: DataFrame, cluster: str, by: Sequence[str] = ("param", "idx")) -> DataFrame:
     """Weighted mean within each cluster, then the plain mean of clusters."""
     inner = weighted_mean(updates, (cluster, *by))
     return inner.groupBy(*by).agg(F.avg("value").alias("value"))

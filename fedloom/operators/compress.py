@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import keep_count
+from ..functions.columns import keep_count, uniform
 
 GROUP = ("client", "param")
 
@@ -39,7 +39,7 @@ def random_k(updates: DataFrame, share: float = 0.1, seed: int = 0, group: Seque
     over = W.partitionBy(*group)
     n = F.count("value").over(over)
     ranked = updates.withColumn("_n", n).withColumn("_k", keep_count(F.col("_n"), share)).withColumn("_s", F.sqrt(F.sum(F.col("value") * F.col("value")).over(over)))
-    ranked = ranked.withColumn("_r", F.row_number().over(over.orderBy(F.xxhash64(F.lit(seed), *group, "idx"), "idx")))
+    ranked = ranked.withColumn("_r", F.row_number().over(over.orderBy(uniform(seed, *group, "idx"), "idx")))
     kept = ranked.where("_r <= _k")
     kept = kept.withColumn("norm_scale", F.col("_s") / (F.sqrt(F.sum(F.col("value") * F.col("value")).over(over)) + 1e-10))
     return kept.withColumn("mean_scale", F.col("_n") / F.col("_k")).drop("_r", "_k", "_n", "_s")

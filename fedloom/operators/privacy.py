@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.columns import uniform
+
 #: 1.1 to 10.9 in steps of a tenth, then 12 to 63.
 ORDERS = [1 + x / 10.0 for x in range(1, 100)] + [float(x) for x in range(12, 64)]
 
@@ -29,13 +31,18 @@ def adaptive_norm(updates: DataFrame, by: Sequence[str], share: float = 0.5) ->
     return norms.groupBy().agg(F.percentile("norm", share).alias("max_norm"))
 
 
-def add_gaussian(updates: DataFrame, std: float, seed: int) -> DataFrame:
-    return updates.withColumn("value", F.col("value") + F.randn(seed) * std)
+NOISE_KEY = ("client", "param", "idx")
+
+
+def add_gaussian(updates: DataFrame, std: float, seed: int, key: Sequence[str] = NOISE_KEY) -> DataFrame:
+    """Noise of a value by a hash of the seed and its key, so that partitions, retries and reruns don't change it (Box and Muller)."""
+    normal = F.sqrt(-2 * F.log(uniform(seed, F.lit("r"), *key))) * F.cos(2 * math.pi * uniform(seed, F.lit("a"), *key))
+    return updates.withColumn("value", F.col("value") + normal * std)
 
 
-def add_laplace(updates: DataFrame, scale: float, seed: int) -> DataFrame:
-    """By the inverse of its distribution function."""
-    return updates.withColumn("_u", F.rand(seed) - 0.5).withColumn("value", F.col("value") - scale * F.signum("_u") * F.log(F.greatest(1 - 2 * F.abs("_u"), F.lit(1e-300)))).drop("_u")
+def add_laplace(updates: DataFrame, scale: float, seed: int, key: Sequence[str] = NOISE_KEY) -> DataFrame:
+    """By the inverse of its distribution function at a hash of the seed and the value's key."""
+    return updates.withColumn("_u", uniform(seed, *key) - 0.5).withColumn("value", F.col("value") - scale * F.signum("_u") * F.log(F.greatest(1 - 2 * F.abs("_u"), F.lit(1e-300)))).drop("_u")
 
 
 def orders(spark: SparkSession) -> DataFrame:

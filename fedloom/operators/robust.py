@@ -2,41 +2,63 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.session import work_table
-from .aggregate import weighted_mean
+from ..plans.session import Scratch, work_table
+from .aggregate import BY, weighted_mean
 
-SUBSET_CLIENTS = 20
+SUBSETS = 200_000
+BLOCKS = 4
 
 
 def vectors(updates: DataFrame) -> DataFrame:
-    """(grp, client, v): a client's values in coordinate order."""
-    rows = updates.groupBy("grp", "client").agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("_v"))
-    return rows.select("grp", "client", F.transform("_v", lambda x: x["value"]).alias("v"))
+    """(grp, client, v, k): a client's values by parameter and coordinate as one array of structs, and a hash of which these are. Null values count as absent."""
+    rows = updates.where("value IS NOT NULL").groupBy("grp", "client").agg(F.array_sort(F.collect_list(F.struct("param", "idx", "value"))).alias("v"))
+    return rows.withColumn("k", F.xxhash64(F.transform("v", lambda x: F.struct(x["param"], x["idx"]))))
 
 
-def pairwise_distance(updates: DataFrame) -> DataFrame:
-    """(grp, a, b, dist) for a < b: Euclidean distances between the clients of a group.
+def _distances(v: DataFrame, blocks: int) -> DataFrame:
+    rows = v.withColumn("_b", F.pmod(F.xxhash64("client"), F.lit(blocks)).cast("int"))
+    every = F.sequence(F.lit(0), F.lit(blocks - 1))
+    a = rows.select("grp", F.col("client").alias("a"), F.col("v").alias("va"), F.col("k").alias("ka"), F.col("_b").alias("i"), F.explode(every).alias("j"))
+    b = rows.select("grp", F.col("client").alias("b"), F.col("v").alias("vb"), F.col("k").alias("kb"), F.col("_b").alias("j"), F.explode(every).alias("i"))
+    square = lambda x, y: (x - y) * (x - y)
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
+    alike = total(F.zip_with("va", "vb", lambda x, y: square(x["value"], y["value"])))
+
+    def keyed(name: str):
+        return F.map_from_entries(F.transform(name, lambda x: F.struct(F.concat_ws("\0", x["idx"].cast("string"), x["param"]), x["value"])))
+
+    shared = F.filter(F.map_values(F.map_zip_with(keyed("va"), keyed("vb"), lambda _, x, y: square(x, y))), lambda x: x.isNotNull())
+    mixed = F.when(F.size(shared) > 0, total(shared))
+    dist = F.sqrt(F.when((F.col("ka") == F.col("kb")) & (F.size("va") == F.size("vb")), alike).otherwise(mixed))
+    return a.join(b, ["grp", "i", "j"]).where("a < b").select("grp", "a", "b", dist.alias("dist")).where("dist IS NOT NULL")
+
+
+def pairwise_distance(updates: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+    """(grp, a, b, dist) for a < b: Euclidean distances between the clients of a group over the coordinates of all parameters that both have; no row if they share none.
 
     Every pair is the operator's result; whole vectors meet once, so rows grow with pairs and not with pairs
-    times coordinates.
+    times coordinates. A group's pairs are dealt over blocks x blocks tasks.
     """
-    v = vectors(updates)
-    a, b = v.select("grp", F.col("client").alias("a"), F.col("v").alias("va")), v.select("grp", F.col("client").alias("b"), F.col("v").alias("vb"))
-    squares = F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y))
-    return a.join(b, "grp").where("a < b").select("grp", "a", "b", F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)).alias("dist"))
+    return _distances(vectors(updates), blocks)
 
 
 def krum_scores(updates: DataFrame, faulty: int = 1) -> DataFrame:
     """(grp, client, n, k, score): the sum of a client's k = n - 2 - faulty least distances to others."""
-    d = pairwise_distance(updates)
-    both = d.select("grp", F.col("a").alias("client"), F.col("b").alias("other"), "dist").union(d.select("grp", "b", "a", "dist"))
-    n = updates.groupBy("grp").agg(F.count_distinct("client").alias("n"))
+    return _scores(work_table(updates.sparkSession, vectors(updates), "krum-vectors"), faulty)
+
+
+def _scores(v: DataFrame, faulty: int) -> DataFrame:
+    d = _distances(v, BLOCKS)
+    both = d.select("grp", F.explode(F.array(F.struct(F.col("a").alias("client"), F.col("b").alias("other")), F.struct(F.col("b").alias("client"), F.col("a").alias("other")))).alias("x"), "dist").select("grp", "x.*", "dist")
+    n = v.groupBy("grp").agg(F.count("*").alias("n"))
     ranked = both.withColumn("_r", F.row_number().over(W.partitionBy("grp", "client").orderBy("dist", "other")))
     joined = ranked.join(n, "grp").withColumn("k", F.col("n") - 2 - faulty)
     return joined.groupBy("grp", "client", "n", "k").agg(F.sum(F.when(F.col("_r") <= F.col("k"), F.col("dist")).otherwise(0.0)).alias("score"))
@@ -44,28 +66,30 @@ def krum_scores(updates: DataFrame, faulty: int = 1) -> DataFrame:
 
 def krum_survivors(updates: DataFrame, faulty: int = 1, multi: bool = True) -> DataFrame:
     """(grp, client): the one of least score, or the n - faulty - 1 of least scores; ties by client. All of a group where k < 1."""
-    s = krum_scores(updates, faulty).withColumn("_r", F.row_number().over(W.partitionBy("grp").orderBy("score", "client")))
+    v = work_table(updates.sparkSession, vectors(updates), "krum-vectors")
+    s = _scores(v, faulty).withColumn("_r", F.row_number().over(W.partitionBy("grp").orderBy("score", "client")))
     most = F.col("n") - faulty - 1 if multi else F.lit(1)
     chosen = s.where((F.col("k") < 1) | (F.col("_r") <= most)).select("grp", "client")
-    alone = updates.groupBy("grp").agg(F.count_distinct("client").alias("n"), F.first("client").alias("client")).where("n = 1").select("grp", "client")
+    alone = v.groupBy("grp").agg(F.count("*").alias("n"), F.first("client").alias("client")).where("n = 1").select("grp", "client")
     return chosen.union(alone)
 
 
-def krum_mean(updates: DataFrame, faulty: int = 1, multi: bool = True) -> DataFrame:
-    return weighted_mean(updates.join(krum_survivors(updates, faulty, multi), ["grp", "client"], "left_semi"))
+def krum_mean(updates: DataFrame, faulty: int = 1, multi: bool = True, base: Callable[[DataFrame], DataFrame] = weighted_mean) -> DataFrame:
+    """What base makes of the survivors' updates: a defence around any aggregator."""
+    return base(updates.join(krum_survivors(updates, faulty, multi), ["grp", "client"], "left_semi"))
 
 
 def subset_search(spark: SparkSession, updates: DataFrame, faulty: int = 1, metric: str = "variance") -> DataFrame:
     """(subset, client, score) of the clients kept: of all subsets of n - faulty clients the first of least score.
 
     variance: summed over coordinates; max_dist: the greatest distance within. All clients, subset -1, if there
-    are fewer than 2 faulty + 1. Subsets are counted on the driver, so SUBSET_CLIENTS clients are the most.
+    are fewer than 2 faulty + 1. Subsets are counted on the driver, SUBSETS of them at most.
     """
-    ids = [r[0] for r in updates.select("client").distinct().orderBy("client").limit(SUBSET_CLIENTS + 1).collect()]
-    if len(ids) > SUBSET_CLIENTS:
-        raise ValueError(f"more than {SUBSET_CLIENTS} clients")
+    ids = [r[0] for r in updates.select("client").distinct().orderBy("client").limit(SUBSETS + 1).collect()]
     if len(ids) < 2 * faulty + 1:
         return updates.select(F.lit(-1).alias("subset"), "client", F.lit(0.0).alias("score")).distinct()
+    if comb(len(ids), faulty) > SUBSETS:
+        raise ValueError(f"more than {SUBSETS} subsets")
     kind = updates.schema["client"].dataType.simpleString()
     rows = [(k, i) for k, s in enumerate(combinations(ids, len(ids) - faulty)) for i in s]
     subsets = spark.createDataFrame(rows, f"subset int, client {kind}")
@@ -74,25 +98,38 @@ def subset_search(spark: SparkSession, updates: DataFrame, faulty: int = 1, metr
         pairs = subsets.withColumnRenamed("client", "a").join(d, "a").join(subsets.withColumnRenamed("client", "b"), ["subset", "b"])
         scores = pairs.groupBy("subset").agg(F.max("dist").alias("score"))
     else:
-        scores = subsets.join(updates, "client").groupBy("subset", "idx").agg(F.var_pop("value").alias("v")).groupBy("subset").agg(F.sum("v").alias("score"))
+        scores = subsets.join(updates, "client").groupBy("subset", "param", "idx").agg(F.var_pop("value").alias("v")).groupBy("subset").agg(F.sum("v").alias("score"))
     best = scores.groupBy().agg(F.min_by(F.struct("subset", "score"), F.struct("score", "subset")).alias("x")).select("x.*")
     return subsets.join(best, "subset").select("subset", "client", "score")
 
 
+def subset_mean(spark: SparkSession, updates: DataFrame, faulty: int = 1, metric: str = "variance", base: Callable[[DataFrame], DataFrame] = weighted_mean) -> DataFrame:
+    """What base makes of the updates of the clients that subset_search keeps."""
+    return base(updates.join(subset_search(spark, updates, faulty, metric).select("client"), "client", "left_semi"))
+
+
 def geometric_median(spark: SparkSession, updates: DataFrame, most: int = 100, tol: float = 1e-6) -> DataFrame:
-    """(grp, idx, value) by Weiszfeld steps from the weighted mean.
+    """(grp, param, idx, value) by Weiszfeld steps from the weighted mean.
 
-    A group stops when a step is shorter than tol and keeps the point before that step. Each round is two
-    aggregations, written to the shared folder; only whether any group still moves comes to the driver.
+    A group stops when a step is shorter than tol and keeps the point before that step. Updates are read once;
+    each round is two aggregations of them, written to the shared folder; only whether any group still moves
+    comes to the driver.
     """
-    state = work_table(spark, weighted_mean(updates).withColumn("moves", F.lit(True)), "median")
+    scratch = Scratch(spark)
+    rows = scratch.table(updates.select("grp", "client", "param", "idx", "value", "w"), "median-rows")
+    state = scratch.table(weighted_mean(rows).withColumn("moves", F.lit(True)), "median")
     for _ in range(most):
-        far = updates.join(state.withColumnRenamed("value", "_x"), ["grp", "idx"]).groupBy("grp", "client").agg(F.sqrt(F.sum((F.col("value") - F.col("_x")) ** 2)).alias("_d"))
-        near = updates.drop("w").join(far.select("grp", "client", (1 / (F.col("_d") + 1e-10)).alias("w")), ["grp", "client"])
-        step = state.join(weighted_mean(near).withColumnRenamed("value", "_new"), ["grp", "idx"])
+        now = state.where("moves").withColumnRenamed("value", "_x").drop("moves")
+        met = rows.join(now, list(BY))
+        far = met.groupBy("grp", "client").agg(F.sqrt(F.sum((F.col("value") - F.col("_x")) ** 2)).alias("_d"))
+        near = rows.drop("w").join(far.select("grp", "client", (1 / (F.col("_d") + 1e-10)).alias("w")), ["grp", "client"])
+        step = state.join(weighted_mean(near).withColumnRenamed("value", "_new"), list(BY), "left")
         size = step.groupBy("grp").agg((F.sqrt(F.sum((F.col("_new") - F.col("value")) ** 2)) >= tol).alias("_on"))
-        go = F.col("moves") & F.col("_on")
-        state = work_table(spark, step.join(size, "grp").select("grp", "idx", F.when(go, F.col("_new")).otherwise(F.col("value")).alias("value"), go.alias("moves")), "median")
+        go = F.col("moves") & F.coalesce("_on", F.lit(False))
+        new = scratch.table(step.join(size, "grp").select(*BY, F.when(go, F.col("_new")).otherwise(F.col("value")).alias("value"), go.alias("moves")), "median")
+        scratch.drop(state)
+        state = new
         if state.where("moves").isEmpty():
             break
-    return state.select("grp", "idx", "value")
+    scratch.drop(rows)
+    return state.select(*BY, "value")

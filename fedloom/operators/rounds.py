@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import ratio
+from ..functions.columns import ratio, uniform
+
+DIGITS = 3  # hex digits of the pieces that cumulative weights are summed in
 
 
 def weight_shares(registry: DataFrame) -> DataFrame:
@@ -30,23 +32,33 @@ def remove(registry: DataFrame, clients: DataFrame) -> DataFrame:
 
 def sample_uniform(registry: DataFrame, k: int, seed: int) -> DataFrame:
     """k clients without replacement, by a hash of the seed and the client, so that partitions don't matter."""
-    return registry.orderBy(F.xxhash64(F.lit(seed), "client"), "client").limit(k)
+    return registry.orderBy(uniform(seed, "client"), "client").limit(k)
 
 
 def sample_weighted(registry: DataFrame, k: int, seed: int) -> DataFrame:
     """k clients without replacement, likelier by weight: least of -ln(u) / weight."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), "client"), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
-    return registry.where("weight > 0").orderBy(-F.log(u) / F.col("weight"), "client").limit(k)
+    return registry.where("weight > 0").orderBy(-F.log(uniform(seed, "client")) / F.col("weight"), "client").limit(k)
 
 
 def sample_with_replacement(registry: DataFrame, k: int, seed: int) -> DataFrame:
-    """(draw, client): k draws, each a place on the line of cumulative weights."""
-    over = W.orderBy("client").rowsBetween(W.unboundedPreceding, 0)
-    line = registry.where("weight > 0").withColumn("hi", F.sum("weight").over(over)).withColumn("lo", F.col("hi") - F.col("weight"))
-    total = registry.where("weight > 0").groupBy().agg(F.sum("weight").alias("_t"))
-    draws = registry.sparkSession.range(k).withColumnRenamed("id", "draw").join(F.broadcast(total))
-    draws = draws.withColumn("at", F.pmod(F.xxhash64(F.lit(seed), "draw"), F.lit(1 << 52)) / F.lit(float(1 << 52)) * F.col("_t"))
-    return line.join(F.broadcast(draws), (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi"))).select("draw", "client")
+    """(draw, client): k draws, each a place on the line of cumulative weights.
+
+    Clients stand on the line by hash. Their sums are added up in 16 ^ DIGITS pieces of it; a draw finds its piece
+    in that small table and its client within the piece, so no task orders the registry.
+    """
+    rows = registry.where("weight > 0").select("client", "weight", F.md5(F.col("client").cast("string").cast("binary")).alias("_h")).withColumn("_p", F.substring("_h", 1, DIGITS))
+    sums = rows.groupBy("_p").agg(F.sum("weight").alias("_s"))
+    upto = F.sum("_s").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, 0))
+    pieces = sums.withColumn("_to", upto)
+    pieces = pieces.withColumn("_from", F.coalesce(F.lag("_to").over(W.orderBy("_p")), F.lit(0.0)))
+    table = pieces.groupBy().agg(F.array_sort(F.collect_list(F.struct("_to", "_from", "_p"))).alias("_t"), F.max("_to").alias("_all"))
+    draws = registry.sparkSession.range(k).withColumnRenamed("id", "draw").join(F.broadcast(table)).withColumn("at", uniform(seed, "draw") * F.col("_all"))
+    # the first piece that ends behind the draw's place
+    draws = draws.select("draw", "at", F.get(F.filter("_t", lambda x: x["_to"] > F.col("at")), F.lit(0)).alias("x")).select("draw", "x._p", (F.col("at") - F.col("x._from")).alias("at"))
+    over = W.partitionBy("_p").orderBy("_h", "client").rowsBetween(W.unboundedPreceding, 0)
+    line = rows.withColumn("_hi", F.sum("weight").over(over))
+    met = draws.join(line, "_p").where(F.col("_hi") > F.col("at"))
+    return met.groupBy("draw").agg(F.min_by("client", F.struct("_hi", "_h")).alias("client"))
 
 
 def latest_updates(updates: DataFrame, keys: Sequence[str], order: str) -> DataFrame:

@@ -6,6 +6,7 @@ Masks and coefficients come from a hash; they show the arithmetic and are no cry
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 P = (1 << 61) - 1
@@ -70,22 +71,41 @@ def shared_sum(shares: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return shares.groupBy(*keys, "x").agg(field(F.sum("y")).alias("y"))
 
 
-def masked(values: DataFrame, clients: DataFrame, seed: int) -> DataFrame:
-    """Each client's encoded value plus its pairwise masks, which cancel in the sum: m for i < j, -m for j. Clients are a registry of bounded size."""
-    a, b = clients.select(F.col("client").alias("i")), clients.select(F.col("client").alias("j"))
-    pairs = a.join(b, F.col("i") < F.col("j"))
-    coords = values.select("idx").distinct()
-    m = pairs.join(coords).withColumn("m", coefficient(seed, 0, "i", "j", "idx"))
-    signed = m.select(F.col("i").alias("client"), "idx", "m").union(m.select("j", "idx", field(-F.col("m"))))
-    total = signed.groupBy("client", "idx").agg(field(F.sum("m")).alias("mask"))
-    return values.join(total, ["client", "idx"], "left").select("client", "idx", field(encode(F.col("value")) + F.coalesce("mask", F.lit(0).cast(_D))).alias("masked"))
-
-
-def commitment(values: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """SHA-256 of the values in coordinate order, six places each, joined by commas."""
-    rows = values.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("_v"))
-    text = F.array_join(F.transform("_v", lambda x: F.format_string("%d", F.round(x["value"] * SCALE).cast("bigint"))), ",")
-    return rows.select(*by, F.sha2(text, 256).alias("commitment"))
+def masked(values: DataFrame, clients: DataFrame, seed: int, neighbours: int = 8) -> DataFrame:
+    """(client, param, idx, masked): each encoded value plus its client's masks, which cancel in the sum over clients.
+
+    Clients stand in a ring by id, a registry of bounded size; each shares a mask with the next `neighbours` ones
+    (with all if there are no more): + at the first, - at the second. Masks come from the pair, the parameter
+    and the coordinate, so a value's masks are made where the value is: rows grow with values alone. All
+    clients must have the same coordinates.
+    """
+    ring = clients.select("client").distinct().withColumn("_r", F.row_number().over(W.orderBy("client")) - 1)
+    n = ring.groupBy().agg(F.count("*").cast("int").alias("_n"))
+    steps = F.sequence(F.lit(1), F.least(F.lit(neighbours), F.col("_n") - 1))
+    pairs = ring.join(F.broadcast(n)).where("_n > 1").select(F.col("client").alias("i"), F.explode(F.transform(steps, lambda d: (F.col("_r") + d) % F.col("_n"))).alias("_r"))
+    pairs = pairs.join(ring.withColumnRenamed("client", "j"), "_r").select("i", "j")
+    sides = pairs.select(F.col("i").alias("client"), "i", "j", F.lit(1).alias("sign")).union(pairs.select("j", "i", "j", F.lit(-1)))
+    met = sides.groupBy("client").agg(F.collect_list(F.struct("i", "j", "sign")).alias("_m"))
+    zero = F.lit(0).cast(_D)
+    mask = F.aggregate(F.coalesce("_m", F.array()), zero, lambda acc, x: field(acc + x["sign"] * field(F.xxhash64(F.lit(seed), x["i"], x["j"], "param", "idx"))))
+    return values.join(met, "client", "left").select("client", "param", "idx", field(encode(F.col("value")) + mask).alias("masked"))
+
+
+def commitment(values: DataFrame, by: tuple[str, ...], places: int | None = None) -> DataFrame:
+    """SHA-256 of the values by parameter and coordinate, joined by commas; as many places of each as given, all of them (the shortest text that gives the number back) if none are."""
+    named = values if "param" in values.columns else values.withColumn("param", F.lit(None).cast("string"))
+    rows = named.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("param", "idx", "value"))).alias("_v"))
+    if places is None:
+        text = F.transform("_v", lambda x: F.concat_ws("=", F.coalesce(x["param"], F.lit("")), x["idx"].cast("string"), x["value"].cast("string")))
+    else:
+        text = F.transform("_v", lambda x: F.format_string("%d", F.round(x["value"] * 10**places).cast("bigint")))
+    return rows.select(*by, F.sha2(F.array_join(text, ","), 256).alias("commitment"))
+
+
+def verify(commitments: DataFrame, values: DataFrame, by: tuple[str, ...], places: int | None = None) -> DataFrame:
+    """by and valid: whether the values are those committed to; false where no value or no commitment is there."""
+    found = commitment(values, by, places).withColumnRenamed("commitment", "_c")
+    return commitments.join(found, list(by), "full").select(*by, F.coalesce(F.col("commitment") == F.col("_c"), F.lit(False)).alias("valid"))
 
 
 def default_threshold(clients: int) -> int:

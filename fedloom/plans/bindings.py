@@ -20,7 +20,7 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 def label_means(spark: SparkSession, d: str) -> DataFrame:
     """embeddings: ten clients (labels) of one group, the mean of their vectors, weighted by their number."""
     v = vectors(spark, d)
-    return v.groupBy(F.col("grp").alias("client"), "idx").agg(F.avg("value").alias("value"), F.count("*").cast("double").alias("w")).withColumn("grp", F.lit(0))
+    return v.groupBy(F.col("grp").alias("client"), "idx").agg(F.avg("value").alias("value"), F.count("*").cast("double").alias("w")).withColumn("grp", F.lit(0)).withColumn("param", F.lit("embedding"))
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
@@ -56,7 +56,7 @@ SQL = {
     "b1": """b1 AS (
   SELECT label AS grp, vec_id AS client, 'embedding' AS param, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS idx, CAST(unnest(embedding) AS DOUBLE) AS value,
          CAST(1 + vec_id % 3 AS DOUBLE) AS w, CAST(1 + vec_id % 5 AS INT) AS steps FROM embeddings)""",
-    "b2": "b2 AS (SELECT grp AS client, idx, avg(value) AS value, CAST(count(*) AS DOUBLE) AS w, 0 AS grp FROM b1 GROUP BY grp, idx)",
+    "b2": "b2 AS (SELECT grp AS client, idx, avg(value) AS value, CAST(count(*) AS DOUBLE) AS w, 0 AS grp, 'embedding' AS param FROM b1 GROUP BY grp, idx)",
     "b3": """b3g AS (
   SELECT CAST(year(l_shipdate) * 100 + month(l_shipdate) AS INT) AS grp, l_suppkey AS client, l_returnflag || l_linestatus AS param,
          [avg(l_quantity), avg(l_extendedprice), avg(l_discount), avg(l_tax)] AS vs, CAST(count(*) AS DOUBLE) AS w, CAST(count(DISTINCT l_linenumber) AS INT) AS steps

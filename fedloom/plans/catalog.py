@@ -46,6 +46,12 @@ def out(df: DataFrame, *keys: str, **values) -> DataFrame:
     return df.select(*cols)
 
 
+def untied(df: DataFrame, *keys: str) -> DataFrame:
+    """As out: means of prices are often exact halves of the sixth place, so both sides round a little beside it."""
+    keys = keys or ("grp", "param", "idx")
+    return df.select(*keys, r6(F.col("value") + 1.7e-8).alias("value"))
+
+
 B1, B2, B3, B4 = with_sql("b1"), with_sql("b1", "b2"), with_sql("b3"), with_sql("b4")
 DELTAS = with_sql("b4", "deltas", recursive=True)
 
@@ -57,11 +63,9 @@ def fedavg_weighted_mean(s, d):
     return out(agg.weighted_mean(b.vectors(s, d)), "grp", "idx", value="value")
 
 
-@query(f"{B3} SELECT grp, param, idx, round(ln(1 + CASE WHEN sum(w) > 0 THEN sum(value * w) / sum(w) ELSE sum(value * w) END), 6) + 0.0 AS log_value FROM b3 GROUP BY grp, param, idx")
+@query(f"{B3} SELECT grp, param, idx, round(CASE WHEN sum(w) > 0 THEN sum(value * w) / sum(w) ELSE sum(value * w) END + 1.7e-8, 6) + 0.0 AS value FROM b3 GROUP BY grp, param, idx")
 def fedavg_minibatch_mean(s, d):
-    # means of prices are often exact halves of a last place; their logarithms aren't
-    x = agg.minibatch_mean(b.lines(s, d), ("grp", "param", "idx"))
-    return x.select("grp", "param", "idx", r6(F.log(1 + F.col("value"))).alias("log_value"))
+    return untied(agg.minibatch_mean(b.lines(s, d)))
 
 
 @query(f"{B1}, c AS (SELECT DISTINCT grp, client, w FROM b1) SELECT grp, count(*) AS num_clients, round(sum(w), 6) + 0.0 AS total_weight, round(avg(w), 6) + 0.0 AS avg_weight FROM c GROUP BY grp")
@@ -297,11 +301,46 @@ def krum_wrapped(s, d):
     return out(byz.krum_mean(b.vectors(s, d)), "grp", "idx", value="value")
 
 
-@query()
+@query(f"{_SCORE.replace(B1, B3).replace('b1', 'b3').replace('x.idx = y.idx', 'x.param = y.param AND x.idx = y.idx')} SELECT grp, param, idx, round(sum(value * w) / sum(w) + 1.7e-8, 6) + 0.0 AS value FROM b3 SEMI JOIN (SELECT grp, client FROM placed WHERE k < 1 OR place <= n - 2 UNION ALL SELECT grp, min(client) FROM b3 GROUP BY grp HAVING count(DISTINCT client) = 1) q USING (grp, client) GROUP BY grp, param, idx")
+def krum_by_param(s, d):
+    """Four parameters, of which many clients lack some."""
+    return untied(byz.krum_mean(b.lines(s, d)))
+
+
+@query(f"{B3} SELECT grp, param, idx, round(median(value) + 1.7e-8, 6) + 0.0 AS value FROM b3 GROUP BY grp, param, idx")
+def median_by_param(s, d):
+    return untied(agg.coordinate_median(b.lines(s, d)))
+
+
+@query(f"{B3}, r AS (SELECT *, row_number() OVER (PARTITION BY grp, param, idx ORDER BY value, client) AS rn, count(*) OVER (PARTITION BY grp, param, idx) AS n FROM b3) SELECT grp, param, idx, round(CASE WHEN max(n) <= 2 THEN avg(value) ELSE avg(value) FILTER (rn > 1 AND rn <= n - 1) END + 1.7e-8, 6) + 0.0 AS value FROM r GROUP BY grp, param, idx")
+def trimmed_mean_by_param(s, d):
+    return untied(agg.trimmed_mean(b.lines(s, d)))
+
+
+#: Weiszfeld steps as a recursion over whole states, the clients' vectors as lists.
+_MEDIAN = """{b2}, v AS (SELECT client, list(value ORDER BY idx) AS v FROM b2 GROUP BY client),
+s0 AS (SELECT list(x ORDER BY idx) AS x FROM (SELECT idx, sum(value * w) / sum(w) AS x FROM b2 GROUP BY idx)),
+steps AS (
+  SELECT 0 AS t, x, true AS moves FROM s0
+  UNION ALL
+  SELECT t + 1, CASE WHEN sqrt(list_sum(list_transform(range(1, len(x) + 1), lambda i: pow(y[i] - x[i], 2)))) >= 1e-6 THEN y ELSE x END,
+         sqrt(list_sum(list_transform(range(1, len(x) + 1), lambda i: pow(y[i] - x[i], 2)))) >= 1e-6
+  FROM (SELECT t, x, list_transform(range(1, len(x) + 1), lambda i: list_sum(list_transform(range(1, len(ws) + 1), lambda j: ws[j] * vs[j][i])) / list_sum(ws)) AS y
+        FROM (SELECT t, x, vs, list_transform(vs, lambda v: 1 / (sqrt(list_sum(list_transform(range(1, len(x) + 1), lambda i: pow(v[i] - x[i], 2)))) + 1e-10)) AS ws
+              FROM steps, (SELECT list(v ORDER BY client) AS vs FROM v) WHERE moves AND t < 100)))
+"""
+
+
+@query(_MEDIAN.format(b2=with_sql("b1", "b2", recursive=True)) + "SELECT 0 AS grp, CAST(i - 1 AS INT) AS idx, round(x[i], 6) + 0.0 AS value FROM (SELECT x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT x FROM steps ORDER BY t DESC LIMIT 1))")
 def geometric_median(s, d):
     return out(byz.geometric_median(s, b.label_means(s, d)), "grp", "idx", value="value")
 
 
+@query()
+def geometric_median_by_param(s, d):
+    return untied(byz.geometric_median(s, b.lines(s, d), most=4))
+
+
 _SUBSETS = f"{B2}, ids AS (SELECT DISTINCT client FROM b2), sub AS (SELECT CAST(9 - o.client AS INT) AS subset, i.client FROM ids o JOIN ids i ON i.client <> o.client)"
 
 
@@ -336,7 +375,12 @@ def topk_roundtrip(s, d):
     return out(cmp.scatter(cmp.top_k(u).select("client", "idx", "value"), u.select("client", "idx"), ["client", "idx"]), "client", "idx", value="value")
 
 
-@query()
+#: A number between 0 and 1 by the MD5 of a text, as functions.columns.uniform.
+_U = "((CAST('0x' || substr(md5({}), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)"
+_RANDOM = f"{B1}, r AS (SELECT *, row_number() OVER (PARTITION BY client ORDER BY {_U.format(chr(39) + '7:' + chr(39) + ' || client || ' + chr(39) + ':embedding:' + chr(39) + ' || idx')}, idx) AS rn, greatest(1, CAST(floor(count(*) OVER (PARTITION BY client) * 0.1) AS INT)) AS k, count(*) OVER (PARTITION BY client) AS n, sqrt(sum(value * value) OVER (PARTITION BY client)) AS norm FROM b1)"
+
+
+@query(f"{_RANDOM} SELECT client, idx, round(value, 6) + 0.0 AS value, round(norm / (sqrt(sum(value * value) OVER (PARTITION BY client)) + 1e-10), 6) + 0.0 AS norm_scale, round(n / k, 6) + 0.0 AS mean_scale FROM r WHERE rn <= k")
 def randomk_hash(s, d):
     return out(cmp.random_k(b.vectors(s, d), seed=7), "client", "idx", value="value", norm_scale="norm_scale", mean_scale="mean_scale")
 
@@ -488,12 +532,15 @@ def privacy_budget(s, d):
     return out(x, "r_regionkey", remaining="remaining", ratio="ratio", exhausted="exhausted")
 
 
-@query()
+_NOISE = "'7:{}' || client || ':embedding:' || idx"
+
+
+@query(f"{B1} SELECT client, idx, round(value + 0.1 * sqrt(-2 * ln({_U.format(_NOISE.format('r:'))})) * cos(2 * pi() * {_U.format(_NOISE.format('a:'))}), 6) + 0.0 AS value FROM b1")
 def gaussian_noise(s, d):
     return out(dp.add_gaussian(b.vectors(s, d), 0.1, 7), "client", "idx", value="value")
 
 
-@query()
+@query(f"{B1}, x AS (SELECT *, {_U.format(_NOISE.format(''))} - 0.5 AS u FROM b1) SELECT client, idx, round(value - 0.1 * sign(u) * ln(greatest(1 - 2 * abs(u), 1e-300)), 6) + 0.0 AS value FROM x")
 def laplace_noise(s, d):
     return out(dp.add_laplace(b.vectors(s, d), 0.1, 7), "client", "idx", value="value")
 
@@ -504,7 +551,7 @@ _FIX = f"{B2}, f AS (SELECT client, idx, CAST(trunc(value * 1000000) AS BIGINT)
 
 
 def _fixed(s, d):
-    return b.label_means(s, d).select("client", "idx", F.round("value", 9).alias("value"))
+    return b.label_means(s, d).select("client", "param", "idx", F.round("value", 9).alias("value"))
 
 
 @query(_FIX.replace("value * 1000000", "round(value, 9) * 1000000") + " SELECT client, idx, round(v / 1000000.0, 6) + 0.0 AS value FROM f")
@@ -528,30 +575,34 @@ def fixed_point_sum(s, d):
 @query(_SUMMED)
 def pairwise_mask_sum(s, d):
     x = _fixed(s, d)
-    m = sec.masked(x, x.select("client").distinct(), 7).groupBy("idx").agg(sec.field(F.sum("masked")).alias("t"))
+    m = sec.masked(x, x.select("client"), 7).groupBy("idx").agg(sec.field(F.sum("masked")).alias("t"))
     return out(m.withColumn("value", sec.decode(F.col("t"))), "idx", value="value")
 
 
 @query("SELECT c_custkey AS client, sha256(CAST(CAST(round(c_acctbal * 1000000) AS BIGINT) AS VARCHAR) || ',' || CAST(CAST(round(c_nationkey * 1000000.0) AS BIGINT) AS VARCHAR)) AS commitment FROM customer")
 def hash_commitment(s, d):
     x = read_table(s, d, "customer").select(F.col("c_custkey").alias("client"), F.posexplode(F.array("c_acctbal", F.col("c_nationkey").cast("double"))).alias("idx", "value"))
-    return sec.commitment(x, ("client",))
+    return sec.commitment(x, ("client",), places=6)
 
 
 # -- rounds, metrics, vertical
 
 
-@query()
+_REG = with_sql("registry")
+_DRAWN = _U.format("'7:' || client")
+
+
+@query(f"{_REG} SELECT client FROM registry ORDER BY {_DRAWN}, client LIMIT 20")
 def sample_uniform(s, d):
     return orc.sample_uniform(b.registry(s, d), 20, 7).select("client")
 
 
-@query()
+@query(f"{_REG} SELECT client FROM registry WHERE weight > 0 ORDER BY -ln({_DRAWN}) / weight, client LIMIT 20")
 def sample_weighted(s, d):
     return orc.sample_weighted(b.registry(s, d), 20, 7).select("client")
 
 
-@query()
+@query(f"{_REG}, line AS (SELECT client, sum(weight) OVER (ORDER BY md5(CAST(client AS VARCHAR)), client) AS hi, weight FROM registry WHERE weight > 0), draws AS (SELECT draw, {_U.format(chr(39) + '7:' + chr(39) + ' || draw')} * (SELECT max(hi) FROM line) AS place FROM range(20) r(draw)) SELECT draw, client FROM draws JOIN line ON place < hi AND place >= hi - weight")
 def sample_with_replacement(s, d):
     return orc.sample_with_replacement(b.registry(s, d), 20, 7)
 

@@ -42,7 +42,7 @@ def test_empty_and_zero_weights(spark):
 
 
 def test_proximal_term_fact(spark):
-    g = spark.createDataFrame([(0, 0, 1.0), (0, 1, 1.0)], "grp int, idx int, value double")
+    g = spark.createDataFrame([(0, "p", 0, 1.0), (0, "p", 1, 1.0)], "grp int, param string, idx int, value double")
     assert agg.proximal_term(updates(spark, [[2, 2]]), g, 0.1).first()["term"] == pytest.approx(0.1)
 
 
@@ -193,9 +193,9 @@ def test_clip_and_noise(spark):
     u = updates(spark, [[3.0, 4.0], [0.3, 0.4]])
     norms = {r["client"]: r["norm"] for r in agg.update_norms(dp.clip(u, ["client"])).collect()}
     assert norms[0] == pytest.approx(1.0, abs=1e-5) and norms[1] == pytest.approx(0.5, abs=1e-5)
-    big = spark.range(20000).select(F.lit(0.0).alias("value"))
-    g = dp.add_gaussian(big, 2.0, 5).agg(F.avg("value"), F.stddev("value")).first()
-    lap = dp.add_laplace(big, 2.0, 5).agg(F.avg("value"), F.stddev("value")).first()
+    big = spark.range(20000).select("id", F.lit(0.0).alias("value"))
+    g = dp.add_gaussian(big, 2.0, 5, ["id"]).agg(F.avg("value"), F.stddev("value")).first()
+    lap = dp.add_laplace(big, 2.0, 5, ["id"]).agg(F.avg("value"), F.stddev("value")).first()
     assert abs(g[0]) < 0.1 and g[1] == pytest.approx(2, rel=0.05)
     assert abs(lap[0]) < 0.15 and lap[1] == pytest.approx(2 * math.sqrt(2), rel=0.05)
 
@@ -221,7 +221,7 @@ def test_shares_give_the_secret_from_any_subset(spark):
 
 
 def test_masks_cancel_and_hide(spark):
-    v = spark.createDataFrame([(c, i, float(c - i)) for c in range(4) for i in range(3)], "client int, idx int, value double")
+    v = spark.createDataFrame([(c, i, float(c - i)) for c in range(4) for i in range(3)], "client int, idx int, value double").withColumn("param", F.lit("p"))
     m = sec.masked(v, v.select("client").distinct(), 9)
     total = m.groupBy("idx").agg(sec.field(F.sum("masked")).alias("t")).select("idx", sec.decode(F.col("t")).alias("value"))
     assert values(total) == pytest.approx([6.0, 2.0, -2.0])
@@ -244,3 +244,68 @@ def test_weights_files(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, w.collect()))
     j = io.from_json(io.to_json(w, ("round",)), ("round",))
     assert sorted(map(tuple, j.select("round", "param", "idx", "value").collect())) == sorted(map(tuple, w.collect()))
+
+
+def two_params(spark):
+    """Client 3 has no parameter b; 4 is far off in a alone."""
+    rows = [(0, c, p, i, v, 1.0, 1) for c, p, i, v in (
+        (1, "a", 0, 1.0), (1, "b", 0, 5.0), (2, "a", 0, 5.0), (2, "b", 0, 1.0), (3, "a", 0, 1.0),
+    )]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def test_parameters_are_kept_apart(spark):
+    u = two_params(spark)
+    dist = {(r["a"], r["b"]): r["dist"] for r in byz.pairwise_distance(u).collect()}
+    assert dist == pytest.approx({(1, 2): 32**0.5, (1, 3): 0.0, (2, 3): 4.0})
+    for op in (agg.weighted_mean, agg.coordinate_median, agg.trimmed_mean, agg.minibatch_mean, lambda x: byz.geometric_median(spark, x)):
+        got = {r["param"]: r["value"] for r in op(u.where("client < 3")).collect()}
+        assert got == pytest.approx({"a": 3.0, "b": 3.0})
+    got = {r["param"]: r["value"] for r in agg.weighted_mean(u).collect()}
+    assert got == pytest.approx({"a": 7 / 3, "b": 3.0})
+    other = spark.createDataFrame([(0, 1, "a", 0, 1.0, 1.0, 1), (0, 2, "b", 0, 1.0, 1.0, 1)], SCHEMA)
+    assert byz.pairwise_distance(other).count() == 0
+
+
+def test_distances_by_numpy_where_clients_lack_parameters(spark):
+    rng = np.random.default_rng(6)
+    rows = [(g, c, p, i, float(rng.normal()), 1.0, 1) for g in range(2) for c in range(9) for p in "abc" if rng.random() < 0.8 for i in range(3)]
+    u = spark.createDataFrame(rows, SCHEMA)
+    of = {}
+    for g, c, p, i, v, *_ in rows:
+        of.setdefault((g, c), {})[p, i] = v
+    want = {(g, a, b): math.dist([of[g, a][k] for k in sorted(s)], [of[g, b][k] for k in sorted(s)]) for g, a in of for h, b in of if g == h and a < b and (s := of[g, a].keys() & of[g, b].keys())}
+    for blocks in (1, 3):
+        got = {(r["grp"], r["a"], r["b"]): r["dist"] for r in byz.pairwise_distance(u, blocks).collect()}
+        assert got == pytest.approx(want)
+
+
+def test_any_aggregator_within_a_defence(spark):
+    v = [[0, 0, 0, 0], [0.1, 0, 0, 0], [0, 0.1, 0, 0], [0, 0, 0.1, 0], [0.1, 0.1, 0, 0], [50, 50, 50, 50]]
+    u = updates(spark, v, [1, 1, 1, 1, 1, 9])
+    for base in (agg.coordinate_median, agg.minibatch_mean, agg.trimmed_mean):
+        assert max(values(byz.krum_mean(u, base=base))) < 1
+        assert max(values(byz.subset_mean(spark, u, base=base))) < 1
+    many = updates(spark, [[float(k % 5)] for k in range(29)] + [[99.0]])
+    assert values(byz.subset_mean(spark, many)) == pytest.approx([np.mean([k % 5 for k in range(29)])])
+
+
+def test_commitments_are_of_exact_values_and_verified(spark):
+    a = spark.createDataFrame([(1, "p", 0, 0.1), (1, "q", 0, 0.2), (2, "p", 0, 0.3)], "client int, param string, idx int, value double")
+    b = a.withColumn("value", F.when(F.col("client") == 1, F.col("value") + 1e-12).otherwise(F.col("value")))
+    swapped = a.withColumn("param", F.when(F.col("param") == "p", "q").otherwise("p"))
+    made = sec.commitment(a, ("client",))
+    valid = lambda x: {r["client"]: r["valid"] for r in sec.verify(made, x, ("client",)).collect()}
+    assert valid(a) == {1: True, 2: True} and valid(b) == {1: False, 2: True} and valid(swapped) == {1: False, 2: False}
+    assert valid(a.where("client = 1")) == {1: True, 2: False}
+
+
+def test_noise_and_samples_ignore_partitions(spark):
+    u = updates(spark, np.random.default_rng(2).normal(size=(20, 50)).tolist())
+    for op in (lambda x: dp.add_gaussian(x, 1.0, 5), lambda x: dp.add_laplace(x, 1.0, 5), lambda x: cmp.random_k(x, 0.2, 5).drop("norm_scale")):
+        assert sorted(op(u).collect()) == sorted(op(u.repartition(5)).collect())
+    noise = np.array([r["value"] for r in dp.add_gaussian(u.withColumn("value", F.lit(0.0)), 2.0, 5).collect()])
+    assert abs(noise.mean()) < 0.3 and abs(noise.std() - 2) < 0.2
+    reg = spark.range(500).select(F.col("id").alias("client"), (F.col("id") % 3).cast("double").alias("weight"))
+    drawn = [r["client"] for r in orc.sample_with_replacement(reg, 3000, 4).collect()]
+    assert len(drawn) == 3000 and abs(np.mean([c % 3 == 2 for c in drawn]) - 2 / 3) < 0.05
