@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.session import Scratch
+from ..plans.session import Scratch, arrow_batches
 from .components import components
-from .textscan import Words, mix, ngrams, signed, slices, text_array
+from .textscan import Words, mix, ngrams, released, signed, slices, text_array
 
 N = 5
 PERCENT = 75
@@ -41,6 +41,7 @@ SMALL = 4
 DEALT = 1 << 20  # entries that a task has in memory before it deals them out
 TILE = 512
 FOUND = 1 << 16
+BATCH = 2_000  # rows that are handed to Python at once: texts, or pairs of whole sets
 BLOOM_BITS = 26
 HUBS = 3  # hubs that a set is compared with
 NEAREST = 4  # sets nearest by bit map that it is compared with then
@@ -113,7 +114,7 @@ def _summed_slices(rows: DataFrame, parts: int, what: str) -> list[tuple[int, np
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in held.values()], pa.binary())], names=["slice", "raw"])
 
-    found = rows.repartition(parts, "slice").mapInArrow(run, "slice int, raw binary").collect()
+    found = rows.repartition(parts, "slice").mapInArrow(released(run), "slice int, raw binary").collect()
     return [(k, np.frombuffer(zlib.decompress(raw), dtype)) for k, raw in found]
 
 
@@ -134,7 +135,7 @@ def frequent_columns(docs: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["slice", "raw"])
 
     hot = np.zeros(1 << (SKETCH_BITS - 3), np.uint8)
-    found = _summed_slices(docs.select("text").mapInArrow(run, "slice int, raw binary"), 16, "counts")
+    found = _summed_slices(docs.select("text").mapInArrow(released(run), "slice int, raw binary"), 16, "counts")
     mean = sum(float(x.sum()) for _, x in found) / (1 << SKETCH_BITS)
     for k, x in found:
         hot[k * size // 8 : (k + 1) * size // 8] = np.packbits(x >= max(FREQUENT, 4 * mean), bitorder="little")
@@ -160,7 +161,7 @@ def _set_table(scratch: Scratch, docs: DataFrame) -> DataFrame:
                 seen.add(sign)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, words.rows), pa.array(ns, pa.int64()), pa.array(ss, pa.int64()), pa.array(bits, pa.binary())], names=["doc_id", "n", "s", "bits"])
 
-    return scratch.table(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n bigint, s bigint, bits binary"), "ngram-sets")
+    return scratch.table(docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {id_type}, n bigint, s bigint, bits binary"), "ngram-sets")
 
 
 def first_columns(s: np.ndarray, hot: np.ndarray, percent: int) -> np.ndarray:
@@ -262,8 +263,8 @@ def _shared_columns(spark: SparkSession, scratch: Scratch, docs: DataFrame, perc
                 part = slice(lo, lo + FOUND)
                 yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(s[part]), pa.nulls(len(s[part]), pa.int64()), pa.array(n[part])], names=["h", "s", "t", "n"])
 
-    entries = docs.select("text").mapInArrow(deal, "block int, low binary, place binary, sets binary, sizes binary")
-    return scratch.table(entries.repartition(parts, "block").mapInArrow(product, "h bigint, s bigint, t bigint, n bigint"), "ngram-columns")
+    entries = docs.select("text").mapInArrow(released(deal), "block int, low binary, place binary, sets binary, sizes binary")
+    return scratch.table(entries.repartition(parts, "block").mapInArrow(released(product), "h bigint, s bigint, t bigint, n bigint"), "ngram-columns")
 
 
 def _few_each(pairs: DataFrame, most: int) -> DataFrame:
@@ -372,7 +373,7 @@ def _remaining_pairs(spark: SparkSession, lists: DataFrame, sets: DataFrame, per
         if found:
             yield flush()
 
-    met = dealt.mapInArrow(run, "s bigint, t bigint, rank bigint")
+    met = dealt.mapInArrow(released(run), "s bigint, t bigint, rank bigint")
     return _few_each(met, nearest) if nearest else met.select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"))
 
 
@@ -411,7 +412,7 @@ def _bloom(spark: SparkSession, hashes: DataFrame):
 
     bits = np.zeros(1 << (BLOOM_BITS - 3), np.uint8)
     size = len(bits) // 8
-    for k, x in _summed_slices(hashes.mapInArrow(run, "slice int, raw binary"), 8, "bits"):
+    for k, x in _summed_slices(hashes.mapInArrow(released(run), "slice int, raw binary"), 8, "bits"):
         bits[k * size : (k + 1) * size] = x
     return spark.sparkContext.broadcast(bits)
 
@@ -437,7 +438,7 @@ def _compared(spark: SparkSession, scratch: Scratch, docs: DataFrame, sets: Data
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(4)], names=["a", "b", "rep_a", "rep_b"]).filter(pa.array(keep, pa.bool_()))
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    left = sized.select("a", "b", "rep_a", "rep_b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(bounded, f"a bigint, b bigint, rep_a {id_type}, rep_b {id_type}")
+    left = sized.select("a", "b", "rep_a", "rep_b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(released(bounded), f"a bigint, b bigint, rep_a {id_type}, rep_b {id_type}")
     left = scratch.table(left, "ngram-bounded")
     wanted = scratch.table(left.select(F.col("a").alias("s"), F.col("rep_a").alias("rep")).union(left.select("b", "rep_b")).distinct(), "ngram-wanted")
     bloom = _bloom(spark, wanted.select(F.xxhash64("rep")))
@@ -456,7 +457,7 @@ def _compared(spark: SparkSession, scratch: Scratch, docs: DataFrame, sets: Data
                     [picked.column(0).slice(i, j - i), pa.array([_signature(s) if len(s) else None for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["doc_id", "s", "grams"]
                 )
 
-    grams = docs.select("doc_id", "text", F.xxhash64("doc_id")).mapInArrow(arrays, f"doc_id {id_type}, s bigint, grams binary")
+    grams = docs.select("doc_id", "text", F.xxhash64("doc_id")).mapInArrow(released(arrays), f"doc_id {id_type}, s bigint, grams binary")
     grams = grams.join(wanted, (grams.s == wanted.s) & grams.doc_id.eqNullSafe(wanted.rep)).select(grams.s, "grams")
     grams = scratch.table(grams, "ngram-arrays", codec="none")
 
@@ -475,20 +476,14 @@ def _compared(spark: SparkSession, scratch: Scratch, docs: DataFrame, sets: Data
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     pairs = left.join(grams.select(F.col("s").alias("a"), F.col("grams").alias("grams_a")), "a").join(grams.select(F.col("s").alias("b"), F.col("grams").alias("grams_b")), "b")
-    links = scratch.table(pairs.select("a", "b", "grams_a", "grams_b").mapInArrow(whole, "a bigint, b bigint"), "ngram-links")
+    links = scratch.table(pairs.select("a", "b", "grams_a", "grams_b").mapInArrow(released(whole), "a bigint, b bigint"), "ngram-links")
     scratch.drop(left, wanted, grams)
     bloom.destroy()
     return links
 
 
-def similar_components(spark: SparkSession, df: DataFrame, text: str = "text", id_col: str = "doc_id", percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id (the least id reachable by links, its own included) of every row.
-
-    A null or empty text, or one without words, has an empty set and is linked with nothing. Rows with equal
-    sets are linked, repeated rows too. Null ids are allowed: they count as no id when a component's least one
-    is taken, and a component of such rows alone has null. An empty table gives an empty result; columns other
-    than id and text aren't read. Sets are told apart by 64-bit hashes of n-grams and of whole sets.
-    """
+def _members(spark: SparkSession, df: DataFrame, text: str, id_col: str, percent: int) -> DataFrame:
+    """doc_id, n_shingles and c: the set's component, by the least signature in it; null for an empty set."""
     docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     scratch = Scratch(spark)
     table = _set_table(scratch, docs)
@@ -521,6 +516,19 @@ def similar_components(spark: SparkSession, df: DataFrame, text: str = "text", i
         members = members.withColumnRenamed("s", "c")
     members = scratch.table(members, "ngram-members")
     scratch.drop_but(members)
+    return members
+
+
+def similar_components(spark: SparkSession, df: DataFrame, text: str = "text", id_col: str = "doc_id", percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id (the least id reachable by links, its own included) of every row.
+
+    A null or empty text, or one without words, has an empty set and is linked with nothing. Rows with equal
+    sets are linked, repeated rows too. Null ids are allowed: they count as no id when a component's least one
+    is taken, and a component of such rows alone has null. An empty table gives an empty result; columns other
+    than id and text aren't read. Sets are told apart by 64-bit hashes of n-grams and of whole sets.
+    """
+    with arrow_batches(spark, BATCH):
+        members = _members(spark, df, text, id_col, percent)
     least = members.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("least"))
     return members.join(least, "c", "left").select("doc_id", "n_shingles", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textscan import text_array
+from .textscan import released, text_array
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -426,4 +426,4 @@ def encode_column(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
                     names=names + [n for n, *_ in extra],
                 )
 
-    return df.select(*[f"`{n}`" for n in names], f"`{text}`").mapInArrow(run, schema)
+    return df.select(*[f"`{n}`" for n in names], f"`{text}`").mapInArrow(released(run), schema)

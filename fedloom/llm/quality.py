@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textscan import Words, mix, sequence_mix, slices, text_array
+from .textscan import Words, mix, released, sequence_mix, slices, text_array
 
 BITS = 20
 #: The bound on labelled rows that the fit uses, those with the least hash of their id.
@@ -89,7 +89,7 @@ def _descend(rows: list[np.ndarray], ratio: np.ndarray, y: np.ndarray, cost: flo
     for f in rows:
         x = ratio[f]
         norm = math.sqrt(float(x @ x)) or 1.0
-        xs.append(x / norm)
+        xs.append((x / norm).astype(np.float32))
     alpha = np.zeros(len(y))
     # both classes weigh alike
     limit = np.where(y > 0, cost * len(y) / (2 * max(1, (y > 0).sum())), cost * len(y) / (2 * max(1, (y < 0).sum())))
@@ -184,9 +184,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int
                 )
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    found = picked.mapInArrow(run, f"doc_id {id_type}, y int, f binary").collect()
+    found = picked.mapInArrow(released(run), f"doc_id {id_type}, y int, f binary").collect()
     found.sort(key=lambda r: (r["doc_id"], r["f"]))
-    return fit([(np.frombuffer(r["f"], np.int32), r["y"]) for r in found])
+    examples = [(np.frombuffer(r["f"], np.int32), r["y"]) for r in found]
+    del found
+    return fit(examples)
 
 
 def score_quality(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -215,7 +217,7 @@ def score_quality(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     from pyspark.sql import types as T
 
     schema = T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

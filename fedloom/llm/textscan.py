@@ -8,7 +8,8 @@ the batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def released(run: Callable) -> Callable:
+    """run, a function over Arrow batches, after whose last one the Python worker returns free memory to the system: workers outlive tasks and stages."""
+
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return inner
+
+
 def text_array(column) -> pa.Array:
     """Nulls as empty texts, with 32- or 64-bit offsets."""
     if isinstance(column, pa.ChunkedArray):
