@@ -24,21 +24,22 @@ def vectors(updates: DataFrame) -> DataFrame:
 
 
 def _distances(v: DataFrame, blocks: int) -> DataFrame:
-    rows = v.withColumn("_b", F.pmod(F.xxhash64("client"), F.lit(blocks)).cast("int"))
+    # a map by coordinate is made once for each client, for pairs whose coordinates differ
+    key = lambda x: F.concat_ws("\0", x["idx"].cast("string"), x["param"])
+    rows = v.select("grp", "client", "k", F.transform("v", lambda x: x["value"]).alias("v"), F.map_from_entries(F.transform("v", lambda x: F.struct(key(x), x["value"]))).alias("m"))
+    rows = rows.withColumn("_b", F.pmod(F.xxhash64("client"), F.lit(blocks)).cast("int"))
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    a = rows.select("grp", F.col("client").alias("a"), F.col("v").alias("va"), F.col("k").alias("ka"), F.col("_b").alias("i"), F.explode(every).alias("j"))
-    b = rows.select("grp", F.col("client").alias("b"), F.col("v").alias("vb"), F.col("k").alias("kb"), F.col("_b").alias("j"), F.explode(every).alias("i"))
+    a = rows.select("grp", F.col("client").alias("a"), F.col("v").alias("va"), F.col("m").alias("ma"), F.col("k").alias("ka"), F.col("_b").alias("i"), F.explode(every).alias("j"))
+    b = rows.select("grp", F.col("client").alias("b"), F.col("v").alias("vb"), F.col("m").alias("mb"), F.col("k").alias("kb"), F.col("_b").alias("j"), F.explode(every).alias("i"))
     square = lambda x, y: (x - y) * (x - y)
-    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
-    alike = total(F.zip_with("va", "vb", lambda x, y: square(x["value"], y["value"])))
-
-    def keyed(name: str):
-        return F.map_from_entries(F.transform(name, lambda x: F.struct(F.concat_ws("\0", x["idx"].cast("string"), x["param"]), x["value"])))
-
-    shared = F.filter(F.map_values(F.map_zip_with(keyed("va"), keyed("vb"), lambda _, x, y: square(x, y))), lambda x: x.isNotNull())
-    mixed = F.when(F.size(shared) > 0, total(shared))
-    dist = F.sqrt(F.when((F.col("ka") == F.col("kb")) & (F.size("va") == F.size("vb")), alike).otherwise(mixed))
-    return a.join(b, ["grp", "i", "j"]).where("a < b").select("grp", "a", "b", dist.alias("dist")).where("dist IS NOT NULL")
+    alike = F.zip_with("va", "vb", square)
+    shared = F.map_values(F.map_zip_with("ma", "mb", lambda _, x, y: square(x, y)))
+    squares = F.when((F.col("ka") == F.col("kb")) & (F.size("va") == F.size("vb")), alike).otherwise(shared)
+    # null until a shared coordinate comes
+    add = lambda s, x: F.when(x.isNull(), s).otherwise(F.coalesce(s, F.lit(0.0)) + x)
+    dist = F.sqrt(F.aggregate(squares, F.lit(None).cast("double"), add))
+    # exploded, so that it is evaluated once for each pair
+    return a.join(b, ["grp", "i", "j"]).where("a < b").select("grp", "a", "b", F.explode(F.array_compact(F.array(dist))).alias("dist"))
 
 
 def pairwise_distance(updates: DataFrame, blocks: int = BLOCKS) -> DataFrame:
