@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -108,17 +108,74 @@ def run_length_decode(runs: DataFrame, group: Sequence[str], value: str = "value
     return runs.withColumn("_a", at).select(*group, F.explode(F.sequence(F.col("_a"), F.col("_a") + F.col("n") - 1)).alias("pos"), value)
 
 
+def _choice(n: Column, share: float) -> Column:
+    """struct(saving, order, method) of the method that saves most for n values; the first one on ties."""
+    raw = (4 * n).cast("double")
+    ways = [("top_k", 12 * keep_count(n, share) + 8), ("quantization", n + 16), ("sign", n + 12)]
+    return F.array_max(F.array(*[F.struct((1 - size / raw).alias("saving"), F.lit(-i).alias("order"), F.lit(name).alias("method")) for i, (name, size) in enumerate(ways)]))
+
+
 def method_choice(updates: DataFrame, share: float = 0.1, group: Sequence[str] = GROUP) -> DataFrame:
-    """The method that saves the most bytes (float32 input, int64 positions) and what it saves; null if none saves any."""
+    """The method that saves the most bytes (float32 input, int64 positions) and what it saves; null and 0 if none saves any."""
     sizes = updates.groupBy(*group).agg(F.count("value").alias("n"))
-    raw = (4 * F.col("n")).cast("double")
-    k = keep_count(F.col("n"), share)
-    ways = [("top_k", 12 * k + 8), ("quantization", F.col("n") + 16), ("sign", F.col("n") + 12)]
-    options = F.array(*[F.struct((1 - size / raw).alias("saving"), F.lit(-i).alias("order"), F.lit(name).alias("method")) for i, (name, size) in enumerate(ways)])
-    best = F.array_max(options)
+    best = _choice(F.col("n"), share)
     return sizes.select(*group, F.when(best["saving"] > 0, best["method"]).alias("method"), F.when(best["saving"] > 0, best["saving"]).otherwise(0.0).alias("saving"))
 
 
+def compress_adaptive(updates: DataFrame, share: float = 0.1, levels: int = 256, group: Sequence[str] = GROUP) -> DataFrame:
+    """The rows that each group's chosen method sends, with method and restored; a group for which none saves any is sent as it is. One shuffle on the group."""
+    over = W.partitionBy(*group)
+    x = quantize(updates, levels, group).withColumnRenamed("restored", "_q").drop("code", "lo", "hi")
+    x = sign_compress(x, group).withColumnRenamed("restored", "_s").drop("bit", "scale")
+    x = x.withColumn("_n", F.count("value").over(over)).withColumn("_r", F.row_number().over(over.orderBy(F.abs("value").desc(), "idx")))
+    best = _choice(F.col("_n"), share)
+    x = x.withColumn("method", F.when(best["saving"] > 0, best["method"]))
+    x = x.where(F.col("method").isNull() | (F.col("method") != "top_k") | (F.col("_r") <= keep_count(F.col("_n"), share)))
+    value = F.when(F.col("method") == "quantization", F.col("_q")).when(F.col("method") == "sign", F.col("_s")).otherwise(F.col("value"))
+    return x.withColumn("restored", value).drop("_q", "_s", "_n", "_r")
+
+
+def compress(updates: DataFrame, method: str = "top_k", share: float = 0.1, levels: int = 256, seed: int = 0, least: float = 0.01, group: Sequence[str] = GROUP) -> DataFrame:
+    """The rows that a method sends, with what they give back (restored): random_k, quantization, log_quantization, sign, pow2, sparse, adaptive; any other name is top_k."""
+    if method == "random_k":
+        return random_k(updates, share, seed, group).withColumn("restored", F.col("value") * F.col("norm_scale"))
+    if method == "quantization":
+        return quantize(updates, levels, group)
+    if method == "log_quantization":
+        return quantize_log(updates, levels, group)
+    if method == "sign":
+        return sign_compress(updates, group)
+    if method == "pow2":
+        return quantize_pow2(updates, min(levels, 8), group)
+    if method == "sparse":
+        return threshold(updates, least).where("value <> 0").withColumn("restored", F.col("value"))
+    if method == "adaptive":
+        return compress_adaptive(updates, share, levels, group)
+    return top_k(updates, share, group).withColumn("restored", F.col("value"))
+
+
+def decompress(packed: DataFrame, catalog: DataFrame, on: Sequence[str]) -> DataFrame:
+    """All coordinates of a catalogue with the values that were sent for them, 0 where none was."""
+    return scatter(packed.select(*on, F.col("restored").alias("value")), catalog, on)
+
+
+def encode(rows: DataFrame, group: Sequence[str], order: Sequence[str], how: str = "plain", value: str = "value", piece: int = 65_536) -> DataFrame:
+    """run_length: as run_length_encode; any other name: (group, piece, values), the values in order in arrays of bounded length."""
+    if how == "run_length":
+        return run_length_encode(rows, group, order, value)
+    placed = rows.withColumn("_p", F.row_number().over(W.partitionBy(*group).orderBy(*order)) - 1).withColumn("piece", F.floor(F.col("_p") / piece))
+    packed = placed.groupBy(*group, "piece").agg(F.array_sort(F.collect_list(F.struct("_p", F.col(value).alias("_v")))).alias("_a"))
+    return packed.select(*group, "piece", F.transform("_a", lambda x: x["_v"]).alias("values"))
+
+
+def decode(coded: DataFrame, group: Sequence[str], how: str = "plain", value: str = "value", piece: int = 65_536) -> DataFrame:
+    """(group, pos, value) of what encode gave; positions count from 0."""
+    if how == "run_length":
+        return run_length_decode(coded, group, value)
+    flat = coded.select(*group, "piece", F.posexplode("values").alias("_i", value))
+    return flat.select(*group, (F.col("piece") * piece + F.col("_i")).cast("bigint").alias("pos"), value)
+
+
 def update_similarity(updates: DataFrame, keys: Sequence[str] = ("client",), coordinate: Sequence[str] = ("param", "idx"), least: float = 0.95) -> DataFrame:
     """Similarity of each round's update to the client's one before, 1 - min(1, |diff| / |update|), and whether sending can be skipped. A client's first update is sent."""
     over = W.partitionBy(*keys, *coordinate).orderBy("round")
@@ -129,3 +186,8 @@ def update_similarity(updates: DataFrame, keys: Sequence[str] = ("client",), coo
     )
     sim = F.when(F.col("_d").isNull(), None).when(F.col("_n") == 0, 1.0).otherwise(1 - F.least(F.lit(1.0), F.col("_d") / (F.col("_n") + 1e-10)))
     return sums.withColumn("similarity", sim).withColumn("skipped", F.coalesce(F.col("similarity") >= least, F.lit(False))).drop("_d", "_n")
+
+
+def skip_ratio(similarity: DataFrame, keys: Sequence[str] = ("client",)) -> DataFrame:
+    """Share of each client's updates that needn't be sent."""
+    return similarity.groupBy(*keys).agg(F.avg(F.col("skipped").cast("double")).alias("skipped_ratio"))

@@ -122,6 +122,64 @@ def dp_sgd_steps(epochs: int, batch_size: int, dataset_size: int) -> tuple[int,
     return epochs * (dataset_size // batch_size), batch_size / dataset_size
 
 
-def budget(total_epsilon: Column, spent: Column) -> Column:
-    """struct(remaining, ratio, exhausted)."""
-    return F.struct(F.greatest(F.lit(0.0), total_epsilon - spent).alias("remaining"), F.least(F.lit(1.0), spent / total_epsilon).alias("ratio"), (total_epsilon - spent <= 0).alias("exhausted"))
+def budget(total_epsilon: Column, spent: Column, total_delta: Column | None = None, spent_delta: Column | None = None) -> Column:
+    """struct(remaining, ratio, exhausted), and remaining_delta if deltas are given; used up as soon as either is."""
+    parts = [F.greatest(F.lit(0.0), total_epsilon - spent).alias("remaining"), F.least(F.lit(1.0), spent / total_epsilon).alias("ratio")]
+    gone = total_epsilon - spent <= 0
+    if total_delta is not None:
+        parts.append(F.greatest(F.lit(0.0), total_delta - spent_delta).alias("remaining_delta"))
+        gone = gone | (total_delta - spent_delta <= 0)
+    return F.struct(*parts, gone.alias("exhausted"))
+
+
+def budget_trace(log: DataFrame, key: str, order: str, total: float, floor: float = 0.0) -> DataFrame:
+    """key, order, left: the budget after each entry of (key, order, spent), never below floor. Spending isn't negative, so the running sum decides."""
+    over = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    return log.withColumn("left", F.greatest(F.lit(floor), F.lit(total) - F.sum("spent").over(over))).select(key, order, "left")
+
+
+def client_spent(rounds: Column, noise_multiplier: Column, target: Column, sample_rate: float = 0.01) -> Column:
+    """struct(spent, remaining) of a client after so many rounds, each rate / noise; nulls without noise."""
+    spent = F.try_divide(rounds * F.lit(sample_rate), noise_multiplier)
+    return F.struct(spent.alias("spent"), F.greatest(F.lit(0.0), target - spent).alias("remaining"))
+
+
+def spent_epsilon(log: DataFrame, orders_: DataFrame, kind: str = "rdp", delta: float = 1e-5) -> DataFrame:
+    """(epsilon) of a log by the named accountant: rdp, gdp (its mu) or simple."""
+    if kind == "rdp":
+        return rdp_epsilon(rdp_per_order(log, orders_), delta)
+    if kind == "gdp":
+        return gdp(log).select(F.col("mu").alias("epsilon"))
+    if kind == "simple":
+        return simple_epsilon(log, delta)
+    raise ValueError(f"unknown accountant {kind}")
+
+
+def accounting_summary(log: DataFrame, orders_: DataFrame, kind: str = "rdp", target_epsilon: float = 8.0, target_delta: float = 1e-5) -> DataFrame:
+    """One row: accountant, targets, spent_epsilon, steps, ratio and whether the budget is used up."""
+    steps = log.groupBy().agg(F.coalesce(F.sum("steps"), F.lit(0)).alias("steps"))
+    x = spent_epsilon(log, orders_, kind, target_delta).join(steps)
+    spent = F.coalesce("epsilon", F.lit(0.0))
+    state = budget(F.lit(target_epsilon), spent)
+    return x.select(F.lit(kind).alias("accountant"), F.lit(target_epsilon).alias("target_epsilon"), F.lit(target_delta).alias("target_delta"), spent.alias("spent_epsilon"), "steps", state["ratio"].alias("ratio"), state["exhausted"].alias("exhausted"))
+
+
+def run_epsilon(spark: SparkSession, runs: DataFrame, delta: float = 1e-5) -> DataFrame:
+    """run, steps, epsilon of (run, epochs, batch_size, dataset_size, noise_multiplier): the reference formula for each run, all runs in one pass."""
+    rate = F.col("batch_size") / F.col("dataset_size")
+    n = F.col("epochs") * F.floor(F.col("dataset_size") / F.col("batch_size"))
+    x = runs.select("run", n.cast("bigint").alias("steps"), rate.alias("_q"), F.col("noise_multiplier").alias("_z")).join(F.broadcast(orders(spark)))
+    alpha, qz = F.col("alpha"), F.col("_q") * F.col("_z")
+    # of a step; all steps of a run are alike
+    rdp = F.when(alpha < 2, 0.0).otherwise(0.5 * alpha * qz * qz + F.when(alpha > 2, (alpha - 1) * F.col("_q") * qz * qz * F.col("_z") / 6).otherwise(0.0))
+    x = x.withColumn("_r", rdp).withColumn("_e", F.col("_r") * alpha + math.log(delta) / (alpha - 1))
+    found = F.max((F.col("_e") > 0).cast("int")) == 1
+    eps = F.when(F.max("_r") == 0, 0.0).when(found, F.min_by("_e", F.when(F.col("_e") > 0, F.col("i")))).otherwise(F.col("steps") * 0.01)
+    return x.groupBy("run", "steps").agg(F.when(F.col("steps") == 0, 0.0).otherwise(eps).alias("epsilon"))
+
+
+def spent_by_rounds(accounting: str, sample_rate: float, noise_multiplier: float, steps: int, delta: float) -> float:
+    """What so many equal rounds have spent: simple (the reference formula) or standard (the usual bound, without subsampling)."""
+    if accounting == "standard":
+        return standard_rdp_epsilon(noise_multiplier, steps, delta) if steps and noise_multiplier else (math.inf if steps else 0.0)
+    return steps * sample_rate * noise_multiplier * math.sqrt(2 * math.log(1 / delta))

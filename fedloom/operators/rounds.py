@@ -21,6 +21,12 @@ def weight_shares(registry: DataFrame) -> DataFrame:
     return active.join(F.broadcast(total)).select("client", share.alias("share"))
 
 
+def default_weights(registry: DataFrame, sizes: DataFrame) -> DataFrame:
+    """A client's weight where it has one above 0, else the number n of its rows in sizes, else 1."""
+    known = registry.join(sizes.select("client", F.col("n").cast("double").alias("_n")), "client", "left")
+    return known.withColumn("weight", F.when(F.col("weight") > 0, F.col("weight")).otherwise(F.coalesce("_n", F.lit(1.0)))).drop("_n")
+
+
 def upsert(registry: DataFrame, changes: DataFrame) -> DataFrame:
     """Changed clients replace, new ones are added."""
     return registry.join(changes.select("client"), "client", "left_anti").unionByName(changes)
@@ -84,6 +90,16 @@ def metrics_summary(log: DataFrame) -> DataFrame:
     )
 
 
+def experiment_summary(log: DataFrame) -> DataFrame:
+    """Of each metric of (round, name, value): rounds, best (the greatest, whatever the metric) and last."""
+    return log.groupBy("name").agg(F.count_distinct("round").alias("rounds"), F.max("value").alias("best"), F.max_by("value", "round").alias("last"))
+
+
+def progress(history: DataFrame, total: int) -> DataFrame:
+    """One row of (round, clients, seconds): rounds done, their share of the total, mean seconds and mean clients of a round."""
+    return history.groupBy().agg(F.count("*").alias("done"), (F.count("*") / F.lit(float(total))).alias("share"), F.avg("seconds").alias("avg_seconds"), F.avg("clients").alias("avg_clients"))
+
+
 def classification_report(pairs: DataFrame) -> DataFrame:
     """accuracy, and precision, recall and f1 weighted by support, of (label, pred); 0 where a share has no base."""
     cells = pairs.groupBy("label", "pred").agg(F.count("*").alias("n"))
@@ -97,6 +113,16 @@ def classification_report(pairs: DataFrame) -> DataFrame:
     return x.groupBy().agg((F.sum("hit") / n).alias("accuracy"), *[(F.sum(F.col(k) * F.col("support")) / n).alias(name) for k, name in (("p", "precision"), ("r", "recall"), ("f", "f1"))])
 
 
+def extract_features(rows: DataFrame, places: Sequence[int], column: str = "features") -> DataFrame:
+    """The named places (from 0) of an array column, in their order; null where the array is shorter."""
+    return rows.withColumn(column, F.array(*[F.get(column, F.lit(i)) for i in places]))
+
+
+def present_embeddings(rows: DataFrame, column: str = "embedding") -> DataFrame:
+    """Parties that sent an embedding."""
+    return rows.where(F.col(column).isNotNull())
+
+
 def combine_embeddings(rows: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """(sample, dim, value): weighted over parties; the weights of absent parties count too. Without weights the plain mean."""
     if weights is None:

@@ -8,12 +8,20 @@ for each round.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+class Rule(NamedTuple):
+    """State columns before the first round, and step(state, value, t), which gives those after one; the column value is what a round applies."""
+
+    start: dict[str, float]
+    step: Callable[[Column, Column, Column], dict[str, Column]]
+
+
 def fold(deltas: DataFrame, keys: Sequence[str], start: dict[str, Column], step: Callable[[Column, Column, Column], dict[str, Column]]) -> DataFrame:
     """keys, round and state columns after each round. step(state, value, t) gives the next state, t counts from 1."""
     rounds = deltas.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("round", "value"))).alias("_rs"))
@@ -32,9 +40,37 @@ def fold(deltas: DataFrame, keys: Sequence[str], start: dict[str, Column], step:
     return rounds.select(*keys, F.explode(states).alias("_s")).select(*keys, "_s.*")
 
 
+def advance(state: DataFrame | None, delta: DataFrame, keys: Sequence[str], rule: Rule) -> DataFrame:
+    """keys, t and state columns after one more round, from those after the last one (None before the first).
+
+    Rounds in a loop thus cost the same each, whatever their number. A coordinate without a delta keeps its state and has the value 0; t counts a
+    coordinate's own rounds.
+    """
+    names = list(rule.start)
+    zero = F.struct(*[F.lit(v).cast("double").alias(k) for k, v in rule.start.items()])
+    if state is None:
+        joined = delta.select(*keys, F.col("value").alias("_d"), F.lit(0).alias("_t"), zero.alias("_s"))
+    else:
+        old = state.select(*keys, F.col("t").alias("_t"), F.struct(*names).alias("_s"))
+        joined = old.join(delta.select(*keys, F.col("value").alias("_d")), list(keys), "full").withColumn("_t", F.coalesce("_t", F.lit(0))).withColumn("_s", F.coalesce("_s", zero))
+    t = (F.col("_t") + 1).cast("int")
+    new = rule.step(F.col("_s"), F.col("_d"), t)
+    kept = {k: F.lit(0.0) if k == "value" else F.col("_s")[k] for k in names}
+    met = F.col("_d").isNotNull()
+    return joined.select(*keys, F.when(met, t).otherwise(F.col("_t")).alias("t"), *[F.when(met, new[k].cast("double")).otherwise(kept[k]).alias(k) for k in names])
+
+
+def fold_rule(deltas: DataFrame, keys: Sequence[str], rule: Rule) -> DataFrame:
+    return fold(deltas, keys, {k: F.lit(v) for k, v in rule.start.items()}, rule.step)
+
+
+def momentum_rule(m: float = 0.9) -> Rule:
+    return Rule({"value": 0.0, "b": 0.0}, lambda s, v, t: {"value": m * s["b"] + v, "b": m * s["b"] + v})
+
+
 def momentum(deltas: DataFrame, keys: Sequence[str], m: float = 0.9) -> DataFrame:
     """b = m b + delta from 0."""
-    return fold(deltas, keys, {"value": F.lit(0.0)}, lambda s, v, t: {"value": m * s["value"] + v})
+    return fold_rule(deltas, keys, momentum_rule(m)).drop("b")
 
 
 def running_average(deltas: DataFrame, keys: Sequence[str], decay: float = 0.99, from_first: bool = True) -> DataFrame:
@@ -46,16 +82,28 @@ def running_average(deltas: DataFrame, keys: Sequence[str], decay: float = 0.99,
     return fold(deltas, keys, {"value": F.lit(0.0)}, step)
 
 
-def adam(deltas: DataFrame, keys: Sequence[str], lr: float = 0.01, b1: float = 0.9, b2: float = 0.99, eps: float = 1e-8, tau: float = 1e-7) -> DataFrame:
+def gradient_estimate(deltas: DataFrame, keys: Sequence[str], m: float = 0.9, decay: float = 0.99) -> DataFrame:
+    """m times the running average before a round plus (1 - m) times the round's value; the value itself in the first round."""
+    avg = running_average(deltas, keys, decay).withColumnRenamed("value", "_e")
+    joined = deltas.withColumn("round", F.col("round").cast("bigint")).join(avg, [*keys, "round"])
+    before = F.lag("_e").over(W.partitionBy(*keys).orderBy("round"))
+    return joined.withColumn("_b", before).select(*keys, "round", F.coalesce(m * F.col("_b") + (1 - m) * F.col("value"), F.col("value")).alias("value"))
+
+
+def adam_rule(lr: float = 0.01, b1: float = 0.9, b2: float = 0.99, eps: float = 1e-8, tau: float = 1e-7) -> Rule:
     def step(s: Column, v: Column, t: Column) -> dict[str, Column]:
         m, n = b1 * s["m"] + (1 - b1) * v, b2 * s["v"] + (1 - b2) * v * v
         m_hat, n_hat = m / (1 - F.pow(F.lit(b1), t)), n / (1 - F.pow(F.lit(b2), t))
         return {"m": m, "v": n, "value": lr * m_hat / (F.sqrt(n_hat) + eps + tau)}
 
-    return fold(deltas, keys, {k: F.lit(0.0) for k in ("m", "v", "value")}, step)
+    return Rule({k: 0.0 for k in ("m", "v", "value")}, step)
 
 
-def yogi(deltas: DataFrame, keys: Sequence[str], lr: float = 0.01, b1: float = 0.9, b2: float = 0.99, eps: float = 1e-8, v0: float = 1e-3) -> DataFrame:
+def adam(deltas: DataFrame, keys: Sequence[str], lr: float = 0.01, b1: float = 0.9, b2: float = 0.99, eps: float = 1e-8, tau: float = 1e-7) -> DataFrame:
+    return fold_rule(deltas, keys, adam_rule(lr, b1, b2, eps, tau))
+
+
+def yogi_rule(lr: float = 0.01, b1: float = 0.9, b2: float = 0.99, eps: float = 1e-8, v0: float = 1e-3) -> Rule:
     """The second moment moves by the sign of v - (1 - b2) delta^2."""
     def step(s: Column, v: Column, t: Column) -> dict[str, Column]:
         sq = (1 - b2) * v * v
@@ -64,7 +112,28 @@ def yogi(deltas: DataFrame, keys: Sequence[str], lr: float = 0.01, b1: float = 0
         m_hat, n_hat = m / (1 - F.pow(F.lit(b1), t)), F.abs(n) / (1 - F.pow(F.lit(b2), t))
         return {"m": m, "v": n, "value": lr * m_hat / (F.sqrt(n_hat) + eps)}
 
-    return fold(deltas, keys, {"m": F.lit(0.0), "v": F.lit(v0), "value": F.lit(0.0)}, step)
+    return Rule({"m": 0.0, "v": v0, "value": 0.0}, step)
+
+
+def yogi(deltas: DataFrame, keys: Sequence[str], lr: float = 0.01, b1: float = 0.9, b2: float = 0.99, eps: float = 1e-8, v0: float = 1e-3) -> DataFrame:
+    return fold_rule(deltas, keys, yogi_rule(lr, b1, b2, eps, v0))
+
+
+def adagrad_rule(lr: float = 0.01, eps: float = 1e-8, start: float = 0.1) -> Rule:
+    def step(s: Column, v: Column, t: Column) -> dict[str, Column]:
+        g = s["g"] + v * v
+        return {"g": g, "value": lr * v / (F.sqrt(g) + eps)}
+
+    return Rule({"g": start, "value": 0.0}, step)
+
+
+def control_rule(control_lr: float = 1.0) -> Rule:
+    """Updates corrected by the server's control (clients' controls stay 0), which then moves against the corrected mean."""
+    def step(s: Column, v: Column, t: Column) -> dict[str, Column]:
+        fixed = v + s["c"]
+        return {"c": s["c"] - control_lr * fixed, "value": fixed}
+
+    return Rule({"c": 0.0, "value": 0.0}, step)
 
 
 def adagrad(deltas: DataFrame, keys: Sequence[str], lr: float = 0.01, eps: float = 1e-8, start: float = 0.1) -> DataFrame:

@@ -7,6 +7,7 @@ few numbers for each client.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -15,8 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..plans.session import new_path, work_table
-from . import aggregate, privacy, robust, rounds
+from ..plans.session import work_table
+from ..sources import weights as weights_io
+from . import aggregate, compress, privacy, robust, rounds, state
 
 
 def client_sums(data: DataFrame, features: Sequence[str], label: str, client: str = "client") -> DataFrame:
@@ -59,20 +61,40 @@ def combined(spark: SparkSession, updates: DataFrame, settings: Settings) -> Dat
         return robust.geometric_median(spark, updates)
     if settings.rounds.strategy == "fednova":
         return aggregate.weighted_mean(updates, weight=aggregate.nova_weight())
-    if settings.rounds.strategy in ("fedavg", "fedprox"):
-        return aggregate.weighted_mean(updates)
-    raise ValueError(f"unknown strategy {settings.rounds.strategy}")
+    return aggregate.weighted_mean(updates)
+
+
+def server_rule(strategy: str) -> state.Rule | None:
+    """What the server does with a round's mean before it is added; None adds it as it is. Clients of a round are never late, so async is the plain mean."""
+    rules = {"fedavgm": state.momentum_rule, "fedadam": state.adam_rule, "fedyogi": state.yogi_rule, "fedadagrad": state.adagrad_rule, "scaffold": state.control_rule}
+    return rules[strategy]() if strategy in rules else None
+
+
+def client_step(updates: DataFrame, settings: Settings, seed: int) -> DataFrame:
+    """What clients send: clipped, compressed to what the server restores, and perturbed, each if set."""
+    if settings.privacy:
+        updates = privacy.clip(updates, ["client"], settings.privacy.max_norm)
+    if settings.compression:
+        c = settings.compression
+        packed = compress.compress(updates, c.method, c.share, c.levels, seed)
+        updates = compress.decompress(packed, updates.drop("value"), ["client", "param", "idx"]).select(updates.columns)
+    if settings.privacy:
+        updates = privacy.add_gaussian(updates, settings.privacy.noise_multiplier * settings.privacy.max_norm, seed)
+    return updates
 
 
 def run_rounds(
-    spark: SparkSession, data: DataFrame, registry: DataFrame, features: Sequence[str], label: str, settings: Settings, epochs: int = 1, lr: float = 0.1, seed: int = 0, on_round: Callable[[int, list[float], float], None] | None = None
-) -> tuple[list[float], list[float]]:
+    spark: SparkSession, data: DataFrame, registry: DataFrame, features: Sequence[str], label: str, settings: Settings, epochs: int = 1, lr: float = 0.1, seed: int = 0,
+    on_round: Callable[[int, list[float], float], bool | None] | None = None, checkpoints: str | None = None, resume: bool = False,
+) -> tuple[list[float], list[float]]:
     """Weights (features, then the constant) and the mean squared error before each round.
 
-    Each round samples clients, trains them from the last weights, clips and perturbs if privacy is set,
-    combines the updates and adds the result. A round with fewer than min_clients clients changes nothing.
-    Rounds end early after early_stopping rounds without an error lower by min_delta. Only the model's few
-    numbers come to the driver.
+    Each round samples clients, trains them from the last weights, clips, compresses and perturbs if set, combines
+    the updates, lets the strategy's rule act on the mean, and adds the result. A round with fewer than min_clients
+    clients changes nothing. Rounds end early after early_stopping rounds without an error lower by min_delta, when
+    the privacy budget is used up, or when on_round returns False. Only the model's few numbers come to the driver.
+    With a folder for checkpoints, every checkpoint_every rounds the weights, the strategy's state, the registry and
+    the history are written there; resume goes on after the last of these as if nothing had happened.
     """
     sums = work_table(spark, client_sums(data, features, label), "client-sums")
     total_y = data.agg(F.sum(F.col(label).cast("double") ** 2)).first()[0] or 0.0
@@ -80,30 +102,48 @@ def run_rounds(
     whole = sums.agg(F.sum("n").alias("n"), *[F.sum(F.col("xx")[i]).alias(f"a{i}") for i in range(d * d)], *[F.sum(F.col("xy")[i]).alias(f"b{i}") for i in range(d)]).first()
     n = whole["n"] or 1
     a, b = np.array([whole[f"a{i}"] or 0.0 for i in range(d * d)]).reshape(d, d), np.array([whole[f"b{i}"] or 0.0 for i in range(d)])
-    weights, errors = np.zeros(d), []
+    weights, history, first = np.zeros(d), [], 0
+    held = None
+    if resume:
+        last, tables = weights_io.load_run(spark, checkpoints)
+        registry, held, first = tables["registry"], tables.get("state"), last + 1
+        history = [(h["round"], h["error"], h["clients"], h["seconds"]) for h in tables["history"].orderBy("round").collect()]
+        for row in tables["weights"].collect():
+            weights[row["idx"]] = row["value"]
     best, idle = np.inf, 0
-    r = settings.rounds
-    path = new_path(spark, "rounds")
-    for t in range(r.rounds):
+    r, rule = settings.rounds, server_rule(settings.rounds.strategy)
+    for h in history:
+        best, idle = (h[1], 0) if h[1] < best - r.min_delta else (best, idle + 1)
+    enabled = registry.where("enabled")
+    known = enabled.count() if settings.privacy else 0
+    for t in range(first, r.rounds):
+        began = time.monotonic()
         error = float((weights @ a @ weights - 2 * weights @ b + total_y) / n)
-        errors.append(error)
-        if on_round:
-            on_round(t, weights.tolist(), error)
         best, idle = (error, 0) if error < best - r.min_delta else (best, idle + 1)
-        if r.early_stopping and idle >= r.early_stopping:
+        go_on = on_round is None or on_round(t, weights.tolist(), error) is not False
+        spent_up = False
+        if settings.privacy:
+            p = settings.privacy
+            rate = min(1.0, r.clients_per_round / max(known, 1))
+            spent_up = privacy.spent_by_rounds(p.accounting, rate, p.noise_multiplier, t + 1, p.delta) > p.epsilon
+        if not go_on or spent_up or r.early_stopping and idle >= r.early_stopping:
+            history.append((t, error, 0, time.monotonic() - began))
             break
         sample = rounds.sample_uniform if r.sampling == "uniform" else rounds.sample_weighted
-        chosen = sample(registry.where("enabled"), r.clients_per_round, seed + t)
+        chosen = sample(enabled, r.clients_per_round, seed + t)
         updates = local_updates(sums.join(chosen.select("client"), "client", "left_semi"), weights.tolist(), epochs, lr)
-        if settings.privacy:
-            updates = privacy.clip(updates, ["client"], settings.privacy.max_norm)
-            updates = privacy.add_gaussian(updates, settings.privacy.noise_multiplier * settings.privacy.max_norm, seed + t)
-        updates = work_table(spark, updates, "round-updates")
-        if updates.select("client").distinct().count() < r.min_clients:
-            continue
-        for row in combined(spark, updates, settings).collect():
-            weights[row["idx"]] += row["value"]
-        if r.checkpoint_every and t % r.checkpoint_every == 0:
-            rows = [(i, float(v)) for i, v in enumerate(weights)]
-            spark.createDataFrame(rows, "idx int, value double").write.mode("overwrite").parquet(f"{path}/round={t}")
-    return weights.tolist(), errors
+        updates = work_table(spark, client_step(updates, settings, seed + t), "round-updates")
+        clients = updates.select("client").distinct().count()
+        if clients >= r.min_clients:
+            change = combined(spark, updates, settings)
+            if rule:
+                held = change = work_table(spark, state.advance(held, change, ("param", "idx"), rule), "round-state")
+            for row in change.collect():
+                weights[row["idx"]] += row["value"]
+        history.append((t, error, clients, time.monotonic() - began))
+        if checkpoints and (t + 1) % r.checkpoint_every == 0:
+            rows = [("weights", i, float(v)) for i, v in enumerate(weights)]
+            tables = {"weights": spark.createDataFrame(rows, "param string, idx int, value double"), "registry": registry}
+            tables["history"] = spark.createDataFrame(history, "round int, error double, clients int, seconds double")
+            weights_io.save_run(checkpoints, t, tables | ({"state": held} if held is not None else {}))
+    return weights.tolist(), [h[1] for h in history]

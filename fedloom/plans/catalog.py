@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import Rounds, Settings
 from ..functions.columns import client_mu, r6, staleness_weight
 from ..operators import aggregate as agg
 from ..operators import compress as cmp
@@ -15,6 +16,7 @@ from ..operators import robust as byz
 from ..operators import rounds as orc
 from ..operators import secure as sec
 from ..operators import state as st
+from ..operators import training
 from ..sources import weights as io
 from . import bindings as b
 from .bindings import with_sql
@@ -227,13 +229,7 @@ def variance_reduction_fold(s, d):
 
 @query(f"{DELTAS}, e AS (SELECT param, round, t, value AS r, value AS g FROM deltas WHERE t = 1 UNION ALL SELECT x.param, x.round, x.t, 0.99 * e.r + (1 - 0.99) * x.value, x.value FROM e JOIN deltas x ON x.param = e.param AND x.t = e.t + 1) SELECT param, CAST(round AS BIGINT) AS round, round(coalesce(0.9 * lag(r) OVER (PARTITION BY param ORDER BY t) + (1 - 0.9) * g, g), 6) + 0.0 AS value FROM e")
 def gradient_estimate(s, d):
-    from pyspark.sql import Window as W
-
-    x = b.deltas(s, d)
-    avg = st.running_average(x, ["param"]).withColumnRenamed("value", "est")
-    j = x.withColumn("round", F.col("round").cast("bigint")).join(avg, ["param", "round"])
-    before = F.lag("est").over(W.partitionBy("param").orderBy("round"))
-    return out(j.withColumn("value", F.coalesce(0.9 * before + (1 - 0.9) * F.col("value"), F.col("value"))), "param", "round", value="value")
+    return out(st.gradient_estimate(b.deltas(s, d), ["param"]), "param", "round", value="value")
 
 
 @query(f"{DELTAS} SELECT param, CAST(round AS BIGINT) AS round, round(0.01 * value / (sqrt(0.1 + sum(value * value) OVER (PARTITION BY param ORDER BY round)) + 1e-8), 6) + 0.0 AS value FROM deltas")
@@ -452,8 +448,46 @@ def update_similarity(s, d):
 
 @query(f"{_SIM} SELECT client, round(avg(CASE WHEN coalesce(similarity >= 0.5, false) THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS skipped_ratio FROM q GROUP BY client")
 def skip_ratio(s, d):
-    x = cmp.update_similarity(b.daily(s, d), least=0.5).groupBy("client").agg(F.avg(F.col("skipped").cast("double")).alias("r"))
-    return out(x, "client", skipped_ratio="r")
+    return out(cmp.skip_ratio(cmp.update_similarity(b.daily(s, d), least=0.5)), "client", skipped_ratio="skipped_ratio")
+
+
+_SENT = f"""{B1}, p AS (SELECT *, min(value) OVER g AS lo, max(value) OVER g AS hi, avg(abs(value)) OVER g AS m, count(*) OVER g AS n, row_number() OVER (PARTITION BY client ORDER BY abs(value) DESC, idx) AS r
+FROM b1 WINDOW g AS (PARTITION BY client))"""
+_QUANT = "lo + round_even((value - lo) / (hi - lo + 1e-10) * 255, 0) / 255.0 * (hi - lo)"
+
+
+@query(f"{_SENT}, c AS (SELECT *, CASE WHEN 1 - (n + 12) / (4.0 * n) > 1 - (12 * greatest(1, CAST(floor(n * 0.5) AS INT)) + 8) / (4.0 * n) THEN 'sign' ELSE 'top_k' END AS method FROM p) SELECT client, idx, method, round(CASE WHEN method = 'sign' THEN CASE WHEN value > 0 THEN m ELSE -m END ELSE value END, 6) + 0.0 AS restored FROM c WHERE method = 'sign' OR r <= greatest(1, CAST(floor(n * 0.5) AS INT))")
+def adaptive_compression(s, d):
+    return out(cmp.compress(b.vectors(s, d), "adaptive", 0.5), "client", "idx", "method", restored="restored")
+
+
+@query("WITH o AS (SELECT o_orderkey AS client, 0 AS idx, o_totalprice AS value FROM orders UNION ALL SELECT o_orderkey, 1, -o_totalprice FROM orders WHERE o_orderkey % 3 = 0) SELECT client, idx, CAST(NULL AS VARCHAR) AS method, round(value, 6) + 0.0 AS restored FROM o")
+def adaptive_compression_none(s, d):
+    """Groups of one or two values, for which no method saves a byte."""
+    o = read_table(s, d, "orders").select(F.col("o_orderkey").alias("client"), F.lit("price").alias("param"), F.posexplode(F.when(F.col("o_orderkey") % 3 == 0, F.array("o_totalprice", -F.col("o_totalprice"))).otherwise(F.array("o_totalprice"))).alias("idx", "value"))
+    return out(cmp.compress(o, "adaptive", 0.5), "client", "idx", "method", restored="restored")
+
+
+_METHODS = ("top_k", "quantization", "sign", "sparse", "dft")
+
+
+@query(f"""{_SENT}, k AS (SELECT *, r <= greatest(1, CAST(floor(n * 0.1) AS INT)) AS big FROM p)
+SELECT client, idx, round(CASE WHEN big THEN value ELSE 0 END, 6) + 0.0 AS top_k, round({_QUANT}, 6) + 0.0 AS quantization, round(CASE WHEN value > 0 THEN m ELSE -m END, 6) + 0.0 AS sign,
+round(CASE WHEN abs(value) > 0.01 THEN value ELSE 0 END, 6) + 0.0 AS sparse, round(CASE WHEN big THEN value ELSE 0 END, 6) + 0.0 AS dft FROM k""")
+def compressor_dispatch(s, d):
+    """What each method named gives back at every coordinate; names that aren't known are top_k."""
+    on = ["client", "param", "idx"]
+    u = b.vectors(s, d)
+    x = u.select(*on)
+    for m in _METHODS:
+        x = cmp.decompress(cmp.compress(u, m), x, on).withColumnRenamed("value", m)
+    return out(x, "client", "idx", **{m: m for m in _METHODS})
+
+
+@query(f"{B1} SELECT client, CAST(idx AS BIGINT) AS pos, round(value, 6) + 0.0 AS value FROM b1")
+def coder_roundtrip(s, d):
+    packed = cmp.encode(b.vectors(s, d), ["client"], ["idx"], piece=10)
+    return out(cmp.decode(packed, ["client"], piece=10), "client", "pos", value="value")
 
 
 # -- privacy
@@ -585,6 +619,106 @@ def hash_commitment(s, d):
     return sec.commitment(x, ("client",), places=6)
 
 
+# -- budgets
+
+
+@query("SELECT r_regionkey, round(greatest(0.0, 2.0 - 0.25 * r_regionkey), 6) + 0.0 AS remaining, round(greatest(0.0, 3.0 - r_regionkey), 6) + 0.0 AS remaining_delta, 2.0 - 0.25 * r_regionkey <= 0 OR 3.0 - r_regionkey <= 0 AS exhausted FROM region")
+def privacy_budget_both(s, d):
+    k = F.col("r_regionkey")
+    x = read_table(s, d, "region").select("r_regionkey", dp.budget(F.lit(2.0), F.lit(0.25) * k, F.lit(3.0), k.cast("double")).alias("x")).select("r_regionkey", "x.*")
+    return out(x, "r_regionkey", remaining="remaining", remaining_delta="remaining_delta", exhausted="exhausted")
+
+
+@query("SELECT user_id, event_id, round(greatest(0.5, 8.0 - sum(0.001 * (1 + event_id % 10)) OVER (PARTITION BY user_id ORDER BY event_id)), 6) + 0.0 AS left_over FROM events")
+def budget_trace(s, d):
+    e = read_table(s, d, "events").select("user_id", "event_id", (F.lit(0.001) * (1 + F.col("event_id") % 10)).alias("spent"))
+    return out(dp.budget_trace(e, "user_id", "event_id", 8.0, 0.5), "user_id", "event_id", left_over="left")
+
+
+@query("SELECT c_custkey AS client, round((c_custkey % 50) * 0.01 / nullif((c_custkey % 4) * 0.5, 0), 6) + 0.0 AS spent, round(greatest(0.0, 0.3 - (c_custkey % 50) * 0.01 / nullif((c_custkey % 4) * 0.5, 0)), 6) + 0.0 * nullif((c_custkey % 4) * 0.5, 0) AS remaining FROM customer")
+def client_privacy_spent(s, d):
+    k = F.col("client")
+    c = read_table(s, d, "customer").select(F.col("c_custkey").alias("client"))
+    x = c.select("client", dp.client_spent((k % 50).cast("double"), (k % 4) * F.lit(0.5), F.lit(0.3)).alias("x")).select("client", "x.*")
+    return out(x.withColumn("remaining", F.when(F.col("spent").isNotNull(), F.col("remaining"))), "client", spent="spent", remaining="remaining")
+
+
+@query(f"{_LOG}, t AS (SELECT sum(steps * q * z) * sqrt(2 * ln(1 / 1e-5)) AS e, sum(steps) AS steps FROM log) SELECT 'simple' AS accountant, 8.0::DOUBLE AS target_epsilon, round(e, 6) + 0.0 AS spent_epsilon, CAST(steps AS BIGINT) AS steps, round(least(1.0, e / 8.0), 6) + 0.0 AS ratio, e >= 8.0 AS exhausted FROM t")
+def accounting_summary(s, d):
+    x = dp.accounting_summary(_log(s, d), dp.orders(s), "simple").withColumn("steps", F.col("steps").cast("bigint"))
+    return out(x, "accountant", target_epsilon="target_epsilon", spent_epsilon="spent_epsilon", steps="steps", ratio="ratio", exhausted="exhausted")
+
+
+@query("""WITH u AS (SELECT c_custkey AS run, 1 + c_custkey % 5 AS epochs, 10 + c_custkey % 90 AS bs, 100 + c_custkey AS n, 0.1 * (1 + c_custkey % 30) AS z FROM customer),
+o AS (SELECT CAST(x - 1 AS INT) AS i, 1 + x / 10.0 AS alpha FROM range(1, 100) t(x) UNION ALL SELECT CAST(99 + x - 12 AS INT), x FROM range(12, 64) t(x)),
+e AS (SELECT run, CAST(epochs * (n // bs) AS BIGINT) AS steps, bs / n AS q, z, i, alpha FROM u, o),
+f AS (SELECT run, steps, i, CASE WHEN alpha < 2 THEN 0 ELSE 0.5 * alpha * q * q * z * z + CASE WHEN alpha > 2 THEN (alpha - 1) * q * q * q * z * z * z / 6 ELSE 0 END END * alpha + ln(1e-5) / (alpha - 1) AS eps FROM e)
+SELECT run, steps, round(CASE WHEN steps = 0 THEN 0 WHEN count(*) FILTER (eps > 0) > 0 THEN arg_min(eps, i) FILTER (eps > 0) ELSE steps * 0.01 END, 6) + 0.0 AS epsilon FROM f GROUP BY run, steps""")
+def run_epsilon(s, d):
+    k = F.col("c_custkey")
+    runs = read_table(s, d, "customer").select(k.alias("run"), (1 + k % 5).alias("epochs"), (10 + k % 90).alias("batch_size"), (100 + k).alias("dataset_size"), (F.lit(0.1) * (1 + k % 30)).alias("noise_multiplier"))
+    return out(dp.run_epsilon(s, runs), "run", "steps", epsilon="epsilon")
+
+
+# -- whole rounds
+
+_T, _LR = 4, 0.3
+
+
+def _rounds_sql(stats: tuple[str, ...], start: tuple[str, ...], change: str, then: tuple[str, ...]) -> str:
+    """All clients take part with one step each, so a round's mean is a step over all rows: d0, d1. stats and then name a strategy's state of both coordinates ({i})."""
+    cols = [x.format(i=i) for i in (0, 1) for x in stats]
+    first = "".join(f", {v}::DOUBLE AS {c}" for c, v in zip(cols, start * 2, strict=True))
+    later = "".join(", " + e.format(i=i) for i in (0, 1) for e in then)
+    return f"""WITH RECURSIVE x AS (SELECT l_quantity / 50 AS a, l_extendedprice / 100000 AS y FROM lineitem),
+g AS (SELECT count(*) AS n, sum(a * a) AS aa, sum(a) AS sa, sum(a * y) AS ay, sum(y) AS sy FROM x),
+r AS (SELECT 0 AS t, 0.0::DOUBLE AS w0, 0.0::DOUBLE AS w1{first}
+UNION ALL SELECT t + 1, w0 + {change.format(i=0)}, w1 + {change.format(i=1)}{later}
+FROM (SELECT r.*, -{_LR} * (aa * w0 + sa * w1 - ay) / n AS d0, -{_LR} * (sa * w0 + n * w1 - sy) / n AS d1 FROM r, g) WHERE t < {_T})
+SELECT CAST(t AS INT) AS round, CAST(unnest([0, 1]) AS INT) AS idx, round(unnest([w0, w1]), 6) + 0.0 AS value FROM r"""
+
+
+def _rounds(strategy: str, resumed: bool = False):
+    def run(s: SparkSession, d: str) -> DataFrame:
+        x = read_table(s, d, "lineitem").select((F.col("l_suppkey") % 10).alias("client"), (F.col("l_quantity") / 50).alias("a"), (F.col("l_extendedprice") / 100000).alias("y"))
+        registry = s.range(10).select(F.col("id").alias("client"), F.lit(True).alias("enabled"), F.lit(1.0).alias("weight"))
+        seen: dict[int, list[float]] = {}
+        path = new_path(s, "run") if resumed else None
+
+        def go(rounds: int, **more) -> None:
+            settings = Settings(Rounds(rounds=rounds, strategy=strategy, checkpoint_every=2))
+            seen[rounds], _ = training.run_rounds(s, x, registry, ["a"], "y", settings, lr=_LR, on_round=lambda t, w, e: seen.update({t: w}), checkpoints=path, **more)
+
+        if resumed:
+            go(2)
+        go(_T, resume=resumed)
+        rows = [(t, i, float(v)) for t, w in seen.items() for i, v in enumerate(w)]
+        return out(s.createDataFrame(rows, "round int, idx int, value double"), "round", "idx", value="value")
+
+    return run
+
+
+_MOMENTS = ("m{i}", "v{i}")
+_PLAIN = _rounds_sql((), (), "d{i}", ())
+_YOGI = "0.99 * v{i} + sign(v{i} - (1 - 0.99) * d{i} * d{i}) * (1 - 0.99) * d{i} * d{i}"
+_STEP = "0.01 * ((0.9 * m{{i}} + (1 - 0.9) * d{{i}}) / (1 - pow(0.9, t + 1))) / (sqrt({} / (1 - pow(0.99, t + 1))) + {})"
+_SQUARE = "(0.99 * v{i} + (1 - 0.99) * d{i} * d{i})"
+_FIRST = "0.9 * m{i} + (1 - 0.9) * d{i}"
+_ROUND_SQL = {
+    "fedavg": _PLAIN,
+    "fednova": _PLAIN,
+    "async": _PLAIN,
+    "fedavgm": _rounds_sql(("b{i}",), ("0",), "0.9 * b{i} + d{i}", ("0.9 * b{i} + d{i}",)),
+    "fedadam": _rounds_sql(_MOMENTS, ("0", "0"), _STEP.format(_SQUARE, "1e-8 + 1e-7"), (_FIRST, _SQUARE)),
+    "fedyogi": _rounds_sql(_MOMENTS, ("0", "0.001"), _STEP.format(f"abs({_YOGI})", "1e-8"), (_FIRST, _YOGI)),
+    "fedadagrad": _rounds_sql(("q{i}",), ("0.1",), "0.01 * d{i} / (sqrt(q{i} + d{i} * d{i}) + 1e-8)", ("q{i} + d{i} * d{i}",)),
+    "scaffold": _rounds_sql(("c{i}",), ("0",), "d{i} + c{i}", ("c{i} - (d{i} + c{i})",)),
+}
+for _name, _text in _ROUND_SQL.items():
+    query(_text, f"rounds_{_name}")(_rounds(_name))
+query(_ROUND_SQL["fedadam"], "rounds_resumed")(_rounds("fedadam", True))
+
+
 # -- rounds, metrics, vertical
 
 
@@ -693,8 +827,8 @@ def round_metric_means(s, d):
 
 @query(f"{B4}, m AS (SELECT round, param, avg(value) AS v FROM b4 GROUP BY ALL) SELECT param AS name, round(max(v), 6) + 0.0 AS best, round(arg_max(v, round), 6) + 0.0 AS last FROM m GROUP BY param")
 def experiment_best(s, d):
-    m = b.daily(s, d).groupBy("round", "param").agg(F.avg("value").alias("v"))
-    return out(m.groupBy(F.col("param").alias("name")).agg(F.max("v").alias("a"), F.max_by("v", "round").alias("z")), "name", best="a", last="z")
+    m = b.daily(s, d).groupBy("round", F.col("param").alias("name")).agg(F.avg("value").alias("value"))
+    return out(orc.experiment_summary(m), "name", best="best", last="last")
 
 
 @query("WITH c AS (SELECT quality AS label, toxic AS pred, count(*) AS n FROM labels GROUP BY ALL), l AS (SELECT label, sum(n) AS support, coalesce(sum(n) FILTER (label = pred), 0) AS hit FROM c GROUP BY label), p AS (SELECT pred AS label, sum(n) AS called FROM c GROUP BY pred), x AS (SELECT *, coalesce(hit / nullif(called, 0), 0) AS pr, hit / support AS re FROM l LEFT JOIN p USING (label)), y AS (SELECT *, coalesce(2 * pr * re / nullif(pr + re, 0), 0) AS f FROM x) SELECT round(sum(hit) / sum(support), 6) + 0.0 AS accuracy, round(sum(pr * support) / sum(support), 6) + 0.0 AS precision, round(sum(re * support) / sum(support), 6) + 0.0 AS recall, round(sum(f * support) / sum(support), 6) + 0.0 AS f1 FROM y")
@@ -720,6 +854,37 @@ def registry_upsert_remove(s, d):
     return out(orc.remove(changed, r.where("client % 7 = 0")), "client", "enabled", weight="weight")
 
 
+@query("SELECT vec_id AS client, round(CAST(embedding[4] AS DOUBLE), 6) + 0.0 AS f3, round(CAST(embedding[1] AS DOUBLE), 6) + 0.0 AS f0, CAST(NULL AS DOUBLE) AS beyond FROM embeddings")
+def extract_features(s, d):
+    e = read_table(s, d, "embeddings").select(F.col("vec_id").alias("client"), F.col("embedding").cast("array<double>").alias("features"))
+    x = orc.extract_features(e, (3, 0, 900))
+    return out(x, "client", f3=r6(F.col("features")[0]), f0=r6(F.col("features")[1]), beyond=F.col("features")[2])
+
+
+@query("SELECT c_custkey AS client, round(CASE WHEN c_acctbal > 0 THEN c_acctbal ELSE coalesce(n, 1) END, 6) + 0.0 AS weight FROM customer LEFT JOIN (SELECT o_custkey, CAST(count(*) AS DOUBLE) AS n FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey")
+def default_weights(s, d):
+    r = read_table(s, d, "customer").select(F.col("c_custkey").alias("client"), F.col("c_acctbal").alias("weight"))
+    sizes = read_table(s, d, "orders").groupBy(F.col("o_custkey").alias("client")).agg(F.count("*").alias("n"))
+    return out(orc.default_weights(r, sizes), "client", weight="weight")
+
+
+@query(f"{B4}, m AS (SELECT round, param AS name, avg(value) AS v FROM b4 GROUP BY ALL), l AS (SELECT max(round) AS r FROM m) SELECT round, name, round(v, 6) + 0.0 AS value FROM m, l WHERE name = 'click' AND round >= r - 2")
+def metric_log(s, d):
+    """Two parts of a log that are appended one after the other, one metric's last three rounds read back."""
+    path = new_path(s, "log")
+    m = b.daily(s, d).groupBy("round", F.col("param").alias("name")).agg(F.avg("value").alias("value"))
+    io.append_log(m.where("round % 2 = 0"), path)
+    io.append_log(m.where("round % 2 = 1"), path)
+    last = io.read_log(s, path).agg(F.max("round")).first()[0] or 0
+    return out(io.read_log(s, path, "click", [last - 2, last - 1, last]), "round", "name", value="value")
+
+
+@query(f"{B4}, h AS (SELECT round, count(DISTINCT client) AS clients, sum(w) AS seconds FROM b4 GROUP BY round) SELECT count(*) AS done, round(count(*) / 100.0, 6) + 0.0 AS share, round(avg(seconds), 6) + 0.0 AS avg_seconds, round(avg(clients), 6) + 0.0 AS avg_clients FROM h")
+def round_progress(s, d):
+    h = b.daily(s, d).groupBy("round").agg(F.count_distinct("client").alias("clients"), F.sum("w").alias("seconds"))
+    return out(orc.progress(h, 100), "done", share="share", avg_seconds="avg_seconds", avg_clients="avg_clients")
+
+
 # -- sources and sinks
 
 _B2 = f"{B2} SELECT client, idx, round(value, 6) + 0.0 AS value FROM b2"

@@ -1,11 +1,16 @@
-"""Weights and checkpoints as files, and their JSON form."""
+"""Weights, checkpoints and logs as files, and the JSON form of weights."""
 
 from __future__ import annotations
 
+import time
+import uuid
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WEIGHTS = "round int, param string, idx int, value double"
+_INDEX = "round int, folder string, at double, tables string"
 _JSON = "map<string,array<double>>"
 
 
@@ -47,3 +52,35 @@ def from_json(rows: DataFrame, keys: tuple[str, ...], json: Column | str = "json
 def clients_data(spark: SparkSession, path: str, client_col: str, client) -> DataFrame:
     """One client's rows; the filter reaches the scan."""
     return spark.read.parquet(path).where(F.col(client_col) == client)
+
+
+def save_run(path: str, round_: int, tables: dict[str, DataFrame]) -> None:
+    """Named tables of a run after a round. The round is entered in an index last of all, so a write that broke off is never read."""
+    folder = f"{path}/{uuid.uuid4().hex}"
+    for name, table in tables.items():
+        table.write.parquet(f"{folder}/{name}")
+    spark = next(iter(tables.values())).sparkSession
+    spark.createDataFrame([(round_, folder, time.time(), ",".join(tables))], _INDEX).coalesce(1).write.mode("append").parquet(f"{path}/index")
+
+
+def load_run(spark: SparkSession, path: str, round_: int | None = None) -> tuple[int, dict[str, DataFrame]]:
+    """A round's tables by name, the last round's if none is named, the last write of it if there are several."""
+    index = spark.read.schema(_INDEX).parquet(f"{path}/index")
+    at = index.where(F.col("round") == round_) if round_ is not None else index
+    found = at.orderBy(F.desc("round"), F.desc("at")).first()
+    if found is None:
+        raise ValueError(f"no checkpoint of round {round_}")
+    return found["round"], {name: spark.read.parquet(f"{found['folder']}/{name}") for name in found["tables"].split(",")}
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Add entries of (round, name, value, ...) to a log."""
+    rows.write.mode("append").parquet(path)
+
+
+def read_log(spark: SparkSession, path: str, name: str | None = None, rounds: Sequence[int] | None = None) -> DataFrame:
+    """Entries of a log, of one metric and of some rounds if these are named (an empty list names none); both filters reach the scan."""
+    rows = spark.read.parquet(path)
+    if name is not None:
+        rows = rows.where(F.col("name") == name)
+    return rows.where(F.col("round").isin(list(rounds))) if rounds else rows

@@ -34,9 +34,20 @@ def windowed_mean(stream: DataFrame, width: str, late: str) -> DataFrame:
     return g.select(F.col("window.start").alias("start"), "param", "idx", "value", "n")
 
 
-def partial_rounds(stream: DataFrame, least: int = 3, wait_ms: int = 60_000) -> DataFrame:
+def buffered(stream: DataFrame, current_round: int, most: int = 10, method: str = "decay", base: float = 0.99) -> DataFrame:
+    """Admitted updates, weighing less the later they are: their staleness is fixed on arrival."""
+    return admit(stream, current_round, most).withColumn("w", staleness_weight(F.col("w"), F.col("staleness"), method, base))
+
+
+def pending(updates: DataFrame, released: DataFrame, keys: tuple[str, ...] = ("param", "idx")) -> DataFrame:
+    """Admitted updates of coordinates that no partial round has released yet."""
+    return updates.join(released.select(*keys), list(keys), "left_anti")
+
+
+def partial_rounds(stream: DataFrame, least: int = 3, wait_ms: int = 60_000, current_round: int | None = None, most: int = 10, method: str = "decay", base: float = 0.99) -> DataFrame:
     """(param, idx, value, n, reason): a coordinate's mean as soon as `least` updates came or wait_ms passed since the first.
 
+    With a current round, updates over `most` rounds old are dropped and the others weigh by their staleness (buffered).
     The state of a coordinate is three numbers (weighted sum, weights, count), whatever the number of updates.
     """
 
@@ -61,6 +72,8 @@ def partial_rounds(stream: DataFrame, least: int = 3, wait_ms: int = 60_000) ->
         if fresh:
             state.setTimeoutDuration(wait_ms)
 
+    if current_round is not None:
+        stream = buffered(stream, current_round, most, method, base)
     return stream.groupBy("param", "idx").applyInPandasWithState(
         step, "param string, idx int, value double, n bigint, reason string", "total double, w double, n bigint", "append", GroupStateTimeout.ProcessingTimeTimeout
     )

@@ -37,3 +37,18 @@ def test_windows_close(spark, stream):
 def test_partial_round_by_count(spark, stream):
     rows = ran(spark, st.partial_rounds(stream[0], least=10), "append", "partial").collect()
     assert [(r["n"], r["reason"]) for r in rows] == [(18, "count")]
+
+
+def test_partial_round_weighs_by_staleness(spark, stream):
+    live, batch = stream
+    rows = ran(spark, st.partial_rounds(live, least=3, current_round=5, most=3), "append", "late").collect()
+    kept = [(r["value"], r["w"] * 0.99 ** (5 - r["round"])) for r in batch.collect() if 5 - r["round"] <= 3]
+    assert [r["n"] for r in rows] == [len(kept)]
+    assert rows[0]["value"] == pytest.approx(sum(v * w for v, w in kept) / sum(w for _, w in kept))
+
+
+def test_pending_updates_are_those_of_open_rounds(spark, stream):
+    _, batch = stream
+    held = st.buffered(batch, 5, 3)
+    none, one = spark.createDataFrame([], "param string, idx int"), spark.createDataFrame([("p", 0)], "param string, idx int")
+    assert st.pending(held, none).count() == 12 and st.pending(held, one).count() == 0
