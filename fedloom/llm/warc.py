@@ -61,13 +61,18 @@ def page_record(page_id, url: str | None, payload: bytes, digest: str, refers_to
 
 
 def _inflate(raw: bytes, at: int) -> tuple[bytes, int] | None:
-    """A whole gzip member's bytes and the offset behind it; None if it is damaged or breaks off."""
-    z = zlib.decompressobj(31)
+    """A whole gzip member's bytes and the offset behind it; None if it is damaged or breaks off.
+
+    It is fed pieces that double in length, so the work goes with the member's size, whatever follows it.
+    """
+    z, view, parts, size = zlib.decompressobj(31), memoryview(raw), [], 1 << 12
     try:
-        out = z.decompress(memoryview(raw)[at:])
+        while not z.eof and at < len(raw):
+            parts.append(z.decompress(view[at : at + size]))
+            at, size = min(at + size, len(raw)), min(2 * size, 1 << 20)
     except zlib.error:
         return None
-    return (out, len(raw) - len(z.unused_data)) if z.eof else None
+    return (b"".join(parts), at - len(z.unused_data)) if z.eof else None
 
 
 def parse(raw: bytes, at: int = 0, limit: int | None = None) -> tuple[dict[str, str], bytes, int] | str:
@@ -108,6 +113,8 @@ def salvage(raw: bytes) -> Iterator[tuple[str, int, int, dict[str, str] | str, b
     Headers may have any length, but a plain record right behind a gap is found only if they keep to HEADER_LIMIT.
     """
     at, gap, why, n = 0, -1, "", len(raw)
+    # the next member and the next version line; looked for again only once they are passed
+    member = line = -1
     while at < n:
         found: tuple[dict[str, str], bytes, int] | str
         if raw.startswith(MAGIC, at):
@@ -123,10 +130,13 @@ def salvage(raw: bytes) -> Iterator[tuple[str, int, int, dict[str, str] | str, b
         if isinstance(found, str):
             if gap < 0:
                 gap, why = at, found
-            a = raw.find(MAGIC, at + 1)
-            m = VERSION.search(raw, at + 1)
-            b = m.start() if m else -1
-            at = min((x for x in (a, b) if x >= 0), default=n)
+            if member <= at:
+                member = raw.find(MAGIC, at + 1)
+                member = n if member < 0 else member
+            if line <= at:
+                m = VERSION.search(raw, at + 1)
+                line = m.start() if m else n
+            at = min(member, line)
             continue
         if gap >= 0:
             yield "gap", gap, at - gap, why, b""

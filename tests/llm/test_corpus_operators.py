@@ -1,5 +1,6 @@
 """Operators that compare or move documents, against SQL and brute force."""
 
+import gzip
 import hashlib
 import random
 import re
@@ -263,6 +264,16 @@ def payloads(records):
     return [x[4] for x in records if x[0] == "record"]
 
 
+@pytest.mark.parametrize("size", [0, 1, 4_000, 4_096, 12_288, 100_000, 3_000_000])
+def test_members_end_where_they_end(size):
+    block = np.random.default_rng(size).bytes(size)
+    raw = b"xyz" + gzip.compress(block) + gzip.compress(b"next") + b"junk" * 5_000
+    stop = len(gzip.compress(block, mtime=0)) + 3
+    assert warc._inflate(raw, 3) == (block, stop)
+    assert warc._inflate(raw, stop)[0] == b"next"
+    assert warc._inflate(raw[: stop - 1], 3) is None and warc._inflate(b"", 0) is None
+
+
 @pytest.mark.parametrize("packed", [False, True])
 def test_salvage_skips_damage_and_logs_gaps(packed):
     wrap = warc.member if packed else (lambda x: x)
