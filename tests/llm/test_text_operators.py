@@ -164,6 +164,16 @@ def test_notice_matches_by_brute_force():
             assert got.get(k, []) == sorted(want)
 
 
+def test_each_notice_gives_its_label_and_two_fifths_of_it_do_not(package):
+    long = [(label, text.split()) for label, text in license_scan.NOTICES if len(text.split()) >= 15]
+    whole = [f"some words before {' '.join(w)} and after" for _, w in long]
+    part = [f"some words before {' '.join(w[: len(w) * 2 // 5])} and after" for _, w in long]
+    rows = {r["doc_id"]: r["labels"].split(",") for r in license_scan.scan_licenses(documents(package, list(enumerate(whole + part)))).collect()}
+    for k, (label, _) in enumerate(long):
+        assert label in rows[k]
+        assert label in license_scan.PHRASES.values() or label not in rows[k + len(long)]
+
+
 def test_notices_are_covered_by_one_chain(package):
     far = "word " * 40
     one, two = "This work is licensed under the terms below ", "see the GNU General Public License version 3 "
