@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from fedloom.config import Compression, Defense, Privacy, Rounds, Settings
-from fedloom.operators import training
+from fedloom.operators import state, training
+from fedloom.sources import weights
 
 
 def test_settings_are_checked_and_come_back():
@@ -98,3 +99,29 @@ def test_clients_send_what_compression_restores(world, method, share):
         else:
             want = v.min() + np.rint((v - v.min()) / (np.ptp(v) + 1e-10) * 15) / 15 * np.ptp(v)
         assert [got[client, i] for i in range(3)] == pytest.approx(want.tolist())
+
+
+def test_advance_equals_the_fold_and_keeps_absent_coordinates(spark):
+    rows = [("p", r, float(r * r - 3)) for r in range(4)]
+    deltas = spark.createDataFrame([*rows, ("q", 1, 2.0)], "param string, round int, value double")
+    want = {r["param"]: r["value"] for r in state.adam(deltas, ["param"]).orderBy("round").collect()}
+    held = None
+    for r in range(4):
+        held = state.advance(held, deltas.where(f"round = {r}").drop("round"), ["param"], state.adam_rule())
+        if r == 1:
+            second = {x["param"]: (x["t"], x["value"]) for x in held.collect()}
+    last = {x["param"]: (x["t"], x["value"], x["m"]) for x in held.collect()}
+    assert last["p"][:2] == (4, pytest.approx(want["p"])) and second["q"] == (1, pytest.approx(want["q"]))
+    assert last["q"] == (1, 0.0, pytest.approx(0.2))
+
+
+def test_runs_are_read_only_once_they_are_whole(spark, tmp_path):
+    path, one = f"{tmp_path}/run", lambda v: {"weights": spark.createDataFrame([(v,)], "value double")}
+    weights.save_run(path, 1, one(1.0))
+    weights.save_run(path, 3, one(3.0))
+    weights.save_run(path, 1, one(1.5))
+    spark.range(1).write.parquet(f"{path}/broken-off/weights")
+    assert weights.load_run(spark, path)[0] == 3
+    assert weights.load_run(spark, path, 1)[1]["weights"].first()["value"] == 1.5
+    with pytest.raises(ValueError, match="2"):
+        weights.load_run(spark, path, 2)
