@@ -159,6 +159,13 @@ def decompress(packed: DataFrame, catalog: DataFrame, on: Sequence[str]) -> Data
     return scatter(packed.select(*on, F.col("restored").alias("value")), catalog, on)
 
 
+def sent_share(packed: DataFrame, updates: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
+    """group, n, sent and share: how many of a group's values a method sent. Groups of which none was sent stay."""
+    n = updates.groupBy(*group).agg(F.count("*").alias("n"))
+    sent = n.join(packed.groupBy(*group).agg(F.count("*").alias("sent")), list(group), "left").withColumn("sent", F.coalesce("sent", F.lit(0)))
+    return sent.withColumn("share", F.col("sent") / F.col("n"))
+
+
 def encode(rows: DataFrame, group: Sequence[str], order: Sequence[str], how: str = "plain", value: str = "value", piece: int = 65_536) -> DataFrame:
     """run_length: as run_length_encode; any other name: (group, piece, values), the values in order in arrays of bounded length."""
     if how == "run_length":

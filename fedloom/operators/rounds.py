@@ -113,6 +113,13 @@ def classification_report(pairs: DataFrame) -> DataFrame:
     return x.groupBy().agg((F.sum("hit") / n).alias("accuracy"), *[(F.sum(F.col(k) * F.col("support")) / n).alias(name) for k, name in (("p", "precision"), ("r", "recall"), ("f", "f1"))])
 
 
+def evaluation(rows: DataFrame) -> DataFrame:
+    """classification_report of (label, pred, loss) with the mean loss of all rows; all 0 without rows."""
+    loss = rows.groupBy().agg(F.avg("loss").alias("loss"))
+    both = classification_report(rows).join(F.broadcast(loss))
+    return both.select(*[F.coalesce(k, F.lit(0.0)).alias(k) for k in both.columns])
+
+
 def extract_features(rows: DataFrame, places: Sequence[int], column: str = "features") -> DataFrame:
     """The named places (from 0) of an array column, in their order; null where the array is shorter."""
     return rows.withColumn(column, F.array(*[F.get(column, F.lit(i)) for i in places]))

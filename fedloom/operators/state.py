@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import aggregate
+
 
 class Rule(NamedTuple):
     """State columns before the first round, and step(state, value, t), which gives those after one; the column value is what a round applies."""
@@ -73,6 +75,26 @@ def momentum(deltas: DataFrame, keys: Sequence[str], m: float = 0.9) -> DataFram
     return fold_rule(deltas, keys, momentum_rule(m)).drop("b")
 
 
+def momentum_rounds(updates: DataFrame, keys: Sequence[str], m: float = 0.9, weight: Column | str = "w", globals_: DataFrame | None = None, mu: float = 0.0) -> DataFrame:
+    """Momentum over each round's mean of updates (keys + round, client, value): weighed as asked, such as by nova_weight(), and drawn toward global values by mu if there are any.
+
+    Updates that controls correct are given as control_correction leaves them. Rounds without an update of a coordinate don't count for it.
+    """
+    mean = aggregate.weighted_mean(updates, (*keys, "round"), weight=weight)
+    return momentum(mean if globals_ is None else aggregate.toward(mean, globals_, mu, keys), keys, m)
+
+
+def cluster_rounds(updates: DataFrame, cluster: str, keys: Sequence[str], start: DataFrame | None = None) -> DataFrame:
+    """keys, round and the global value after it: the start (0 where it has none) plus, of all rounds so far, the plain means of clusters' weighted means.
+
+    One shuffle by cluster, round and coordinate, combined before it; the sum over rounds has a row for each round.
+    """
+    change = aggregate.hierarchical_mean(updates, cluster, ("round", *keys))
+    over = W.partitionBy(*keys).orderBy("round").rowsBetween(W.unboundedPreceding, 0)
+    moved = change.select(*keys, "round", F.sum("value").over(over).alias("value"))
+    return moved if start is None else aggregate.apply_delta(moved, start, keys, strict=False)
+
+
 def running_average(deltas: DataFrame, keys: Sequence[str], decay: float = 0.99, from_first: bool = True) -> DataFrame:
     """r = d r + (1 - d) value, from the first value or from 0."""
     def step(s: Column, v: Column, t: Column) -> dict[str, Column]:

@@ -262,6 +262,41 @@ def scaffold_correction(s, d):
     return out(st.control_correction(u, own, agg.weighted_mean(u), ["grp", "idx"]), "grp", "client", "idx", value="value")
 
 
+# momentum is a sum of the rounds so far, each less by 0.9 for every round since
+_MOMENTUM = """ SELECT a.param, CAST(a.round AS BIGINT) AS round, round(sum(pow(0.9, a.t - c.t) * c.value), 6) + 0.0 AS value
+FROM x a JOIN x c ON a.param = c.param AND c.t <= a.t GROUP BY a.param, a.round"""
+_TURN = "row_number() OVER (PARTITION BY param ORDER BY round) AS t"
+
+
+@query(f"{B4}, x AS (SELECT param, round, sum(value * w / (1 + client % 5)) / sum(w / (1 + client % 5)) AS value, {_TURN} FROM b4 GROUP BY param, round){_MOMENTUM}")
+def fednova_momentum(s, d):
+    u = b.daily(s, d).withColumn("steps", 1 + F.col("client") % 5)
+    return out(st.momentum_rounds(u, ["param"], weight=agg.nova_weight()), "param", "round", value="value")
+
+
+@query(f"{B4}, g AS (SELECT param, avg(value) AS gv FROM b4 GROUP BY param), x AS (SELECT param, round, 0.9 * sum(value * w) / sum(w) + 0.1 * any_value(gv) AS value, {_TURN} FROM b4 JOIN g USING (param) GROUP BY param, round){_MOMENTUM}")
+def fedprox_momentum(s, d):
+    u = b.daily(s, d)
+    return out(st.momentum_rounds(u, ["param"], globals_=u.groupBy("param").agg(F.avg("value").alias("value")), mu=0.1), "param", "round", value="value")
+
+
+@query(f"""{B4}, g AS (SELECT param, avg(value) AS gv FROM b4 GROUP BY param), o AS (SELECT client, param, 0.5 * avg(value) AS ov FROM b4 WHERE client % 2 = 0 GROUP BY ALL),
+x AS (SELECT param, round, sum((value - coalesce(ov, 0) + gv) * w) / sum(w) AS value, {_TURN} FROM b4 JOIN g USING (param) LEFT JOIN o USING (client, param) GROUP BY param, round){_MOMENTUM}""")
+def scaffold_momentum(s, d):
+    u = b.daily(s, d)
+    own = u.where("client % 2 = 0").groupBy("client", "param").agg((0.5 * F.avg("value")).alias("value"))
+    fixed = st.control_correction(u, own, u.groupBy("param").agg(F.avg("value").alias("value")), ["param"])
+    return out(st.momentum_rounds(fixed, ["param"]), "param", "round", value="value")
+
+
+@query(f"""{B4}, m AS (SELECT round, param, client % 4 AS cluster, sum(value * w) / sum(w) AS v FROM b4 GROUP BY ALL), g AS (SELECT round, param, avg(v) AS v FROM m GROUP BY ALL)
+SELECT param, round, round(length(param) + sum(v) OVER (PARTITION BY param ORDER BY round), 6) + 0.0 AS value FROM g""")
+def cluster_rounds(s, d):
+    u = b.daily(s, d).withColumn("cluster", F.col("client") % 4)
+    start = u.select("param", F.length("param").cast("double").alias("value")).distinct()
+    return out(st.cluster_rounds(u, "cluster", ["param"], start), "param", "round", value="value")
+
+
 # -- faulty clients
 
 _DIST = f"{B1}, dist AS (SELECT x.grp, x.client AS a, y.client AS b, sqrt(sum((x.value - y.value) * (x.value - y.value))) AS dist FROM b1 x JOIN b1 y ON x.grp = y.grp AND x.idx = y.idx AND x.client < y.client GROUP BY ALL)"
@@ -396,6 +431,17 @@ def quantize_pow2(s, d):
     return out(cmp.quantize_pow2(b.vectors(s, d)), "client", "idx", "code", restored="restored")
 
 
+@query(_SQL["quantize_pow2"].replace(" * CASE WHEN value > 0 THEN 1 ELSE -1 END", ""))
+def quantize_pow2_unsigned(s, d):
+    return out(cmp.quantize_pow2(b.vectors(s, d), signed=False), "client", "idx", "code", restored="restored")
+
+
+@query(f"{B1} SELECT client, count(*) AS n, count(*) FILTER (abs(value) > 0.5) AS sent, round(count(*) FILTER (abs(value) > 0.5) / count(*), 6) + 0.0 AS share FROM b1 GROUP BY client")
+def sent_share(s, d):
+    u = b.vectors(s, d)
+    return out(cmp.sent_share(cmp.compress(u, "sparse", least=0.5), u), "client", "n", "sent", share="share")
+
+
 @query(f"{B1} SELECT client, idx, CAST(value > 0 AS INT) AS bit, round((2 * CAST(value > 0 AS INT) - 1) * avg(abs(value)) OVER (PARTITION BY client), 6) + 0.0 AS restored FROM b1")
 def sign_compress(s, d):
     return out(cmp.sign_compress(b.vectors(s, d)), "client", "idx", "bit", restored="restored")
@@ -837,6 +883,13 @@ def weighted_precision_recall_f1(s, d):
     return out(x, accuracy="accuracy", precision="precision", recall="recall", f1="f1")
 
 
+@query(f"SELECT x.*, loss FROM ({_SQL['weighted_precision_recall_f1']}) x, (SELECT round(avg((quality - toxic) * (quality - toxic)), 6) + 0.0 AS loss FROM labels) y")
+def evaluation_with_loss(s, d):
+    gap = F.col("quality") - F.col("toxic")
+    x = orc.evaluation(read_table(s, d, "labels").select(F.col("quality").alias("label"), F.col("toxic").alias("pred"), (gap * gap).cast("double").alias("loss")))
+    return out(x, accuracy="accuracy", precision="precision", recall="recall", f1="f1", loss="loss")
+
+
 @query(f"{with_sql('registry')} SELECT client FROM registry WHERE enabled")
 def active_clients(s, d):
     return b.registry(s, d).where("enabled").select("client")

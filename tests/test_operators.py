@@ -309,3 +309,21 @@ def test_noise_and_samples_ignore_partitions(spark):
     reg = spark.range(500).select(F.col("id").alias("client"), (F.col("id") % 3).cast("double").alias("weight"))
     drawn = [r["client"] for r in orc.sample_with_replacement(reg, 3000, 4).collect()]
     assert len(drawn) == 3000 and abs(np.mean([c % 3 == 2 for c in drawn]) - 2 / 3) < 0.05
+
+
+def test_cluster_rounds_and_momentum_rounds(spark):
+    rows = [(0, 1, "a", 1.0, 1.0, "x"), (0, 2, "a", 3.0, 1.0, "x"), (0, 3, "a", 8.0, 5.0, "y"), (1, 1, "a", 4.0, 2.0, "x"), (1, 2, "b", 5.0, 1.0, "y")]
+    u = spark.createDataFrame(rows, "round int, client int, param string, value double, w double, cluster string")
+    start = spark.createDataFrame([("a", 10.0)], "param string, value double")
+    assert set(map(tuple, st.cluster_rounds(u, "cluster", ["param"], start).select("param", "round", "value").collect())) == {("a", 0, 15.0), ("a", 1, 19.0), ("b", 1, 5.0)}
+    assert st.cluster_rounds(u.limit(0), "cluster", ["param"]).isEmpty()
+    got = {(r["param"], r["round"]): r["value"] for r in st.momentum_rounds(u, ["param"], 0.5).collect()}
+    assert got[("a", 0)] == pytest.approx(44 / 7) and got[("a", 1)] == pytest.approx(22 / 7 + 4) and got[("b", 1)] == 5.0
+
+
+def test_sent_share_and_evaluation_of_nothing(spark):
+    u = spark.createDataFrame([(1, "a", 0, 0.0), (1, "a", 1, 2.0), (2, "a", 0, 0.0)], "client int, param string, idx int, value double")
+    share = cmp.sent_share(cmp.compress(u, "sparse"), u)
+    assert {(r["client"], r["n"], r["sent"], r["share"]) for r in share.collect()} == {(1, 2, 1, 0.5), (2, 1, 0, 0.0)}
+    none = spark.createDataFrame([], "label int, pred int, loss double")
+    assert tuple(orc.evaluation(none).first()) == (0.0,) * 5
