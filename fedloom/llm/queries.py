@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.session import read_table, ship_package
-from . import license_scan, media, mixing, ngram_join, order_minhash, piece_codec, pii, quality, substring_dedup, warc
+from . import license_scan, media, mixing, ngram_join, order_minhash, piece_codec, pii, quality, substring_dedup, vector_join, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,6 +77,11 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.edited_neighbours(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op13_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return vector_join.similar_vectors(spark, read_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -89,6 +94,7 @@ def queries() -> dict[str, Query]:
         "op8_media": op8_media,
         "op9_pii": op9_pii,
         "op10_fingerprints": op10_fingerprints,
+        "op13_vectors": op13_vectors,
     }
 
 
@@ -98,4 +104,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_ngram_join": ngram_join.JOIN_SQL,
         "op4_mixing": mixing.MIX_SQL,
         "op5_warc": WARC_SQL,
+        "op13_vectors": vector_join.VECTOR_SQL,
     }
