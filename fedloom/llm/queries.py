@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.session import read_table, ship_package
-from . import license_scan, media, mixing, ngram_join, order_minhash, piece_codec, pii, quality, substring_dedup, vector_join, warc
+from . import lexical_search, license_scan, media, mixing, ngram_join, order_minhash, piece_codec, pii, quality, substring_dedup, token_align, vector_join, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,6 +77,16 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.edited_neighbours(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return lexical_search.rank_documents(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return token_align.align_tokens(spark, read_table(spark, sf_dir, "documents"))
+
+
 def op13_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return vector_join.similar_vectors(spark, read_table(spark, sf_dir, "embeddings"))
@@ -94,6 +104,8 @@ def queries() -> dict[str, Query]:
         "op8_media": op8_media,
         "op9_pii": op9_pii,
         "op10_fingerprints": op10_fingerprints,
+        "op11_search": op11_search,
+        "op12_alignment": op12_alignment,
         "op13_vectors": op13_vectors,
     }
 
@@ -104,5 +116,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_ngram_join": ngram_join.JOIN_SQL,
         "op4_mixing": mixing.MIX_SQL,
         "op5_warc": WARC_SQL,
+        "op11_search": lexical_search.SEARCH_SQL,
         "op13_vectors": vector_join.VECTOR_SQL,
     }
