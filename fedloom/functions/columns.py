@@ -26,6 +26,11 @@ def ratio(a: Column | str, b: Column | str) -> Column:
     return c(a) / F.nullif(c(b), F.lit(0).cast("double"))
 
 
+def present(value: Column | str, weight: Column | str) -> Column:
+    """The weight where there is a value, so that absent values count nowhere."""
+    return F.when(c(value).isNotNull(), c(weight))
+
+
 def l2(x: Column | str) -> Column:
     """Aggregate: Euclidean norm."""
     return F.sqrt(F.sum(c(x) * c(x)))

@@ -2,7 +2,8 @@
 
 Updates have the columns keys + (client, param, idx, value) and, where weights count, w; `by` names the columns
 that one aggregate stands for, by default the group, the parameter and the coordinate within it. All are partial aggregations with one
-shuffle on `by`.
+shuffle on `by`. A null value is an absent one: neither it nor its weight counts anywhere. Repeated rows count each for itself;
+last_rows leaves one of each coordinate.
 """
 
 from __future__ import annotations
@@ -13,20 +14,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import c, keep_count, l2, ratio
+from ..functions.columns import c, keep_count, l2, present, ratio
 
 BY = ("grp", "param", "idx")
 
 
 def weighted_mean(updates: DataFrame, by: Sequence[str] = BY, value: str = "value", weight: Column | str = "w") -> DataFrame:
-    """Sum of value times weight over the sum of weights; null where the weights sum to 0."""
-    w = c(weight)
+    """Sum of value times weight over the sum of weights of present values; null where these sum to 0."""
+    w = present(value, weight)
     return updates.groupBy(*by).agg(ratio(F.sum(c(value) * w), F.sum(w)).alias("value"))
 
 
+def last_rows(updates: DataFrame, order: str | None = None, keys: Sequence[str] = ("grp", "client", "param", "idx")) -> DataFrame:
+    """One row of each key: the last by `order`, or that of the greatest value if no order is named; a null value is no row. Partial aggregation, no sort."""
+    rest = [k for k in updates.columns if k not in keys]
+    last = F.max_by(F.struct(*rest), F.struct(*([order] if order else []), "value"))
+    return updates.where("value IS NOT NULL").groupBy(*keys).agg(last.alias("_x")).select(*keys, "_x.*").select(*updates.columns)
+
+
 def minibatch_mean(updates: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """As weighted_mean; the raw weighted sum where the weights don't sum to more than 0."""
-    total, w = F.sum(F.col("value") * F.col("w")), F.sum("w")
+    total, w = F.sum(F.col("value") * F.col("w")), F.sum(present("value", "w"))
     return updates.groupBy(*by).agg(F.when(w > 0, ratio(total, w)).otherwise(total).alias("value"))
 
 
@@ -35,14 +43,14 @@ def coordinate_median(updates: DataFrame, by: Sequence[str] = BY) -> DataFrame:
 
 
 def trimmed_mean(updates: DataFrame, share: float | None = None, faulty: int = 1, guarded: bool = True, by: Sequence[str] = BY) -> DataFrame:
-    """Mean without the k least and k greatest of n values, k = max(1, int(n share)), share = faulty / n if none is given.
+    """Mean without the k least and k greatest of n values that are present, k = max(1, int(n share)), share = faulty / n if none is given.
 
     Weights don't count. Where n <= 2k: the plain mean if guarded, else null.
     """
     over = W.partitionBy(*by)
     n = F.count("value").over(over)
     k = keep_count(n, share) if share is not None else F.greatest(F.lit(1), F.lit(faulty)).cast("int")
-    ranked = updates.withColumn("_n", n).withColumn("_k", k).withColumn("_r", F.row_number().over(over.orderBy("value", "client")))
+    ranked = updates.withColumn("_n", n).withColumn("_k", k).withColumn("_r", F.row_number().over(over.orderBy(F.asc_nulls_last("value"), "client")))
     inside = (F.col("_r") > F.col("_k")) & (F.col("_r") <= F.col("_n") - F.col("_k"))
     kept = F.avg(F.when(inside, F.col("value")))
     return ranked.groupBy(*by).agg((F.when(F.max(F.col("_n") <= 2 * F.col("_k")), F.avg("value")).otherwise(kept) if guarded else kept).alias("value"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.columns import ratio, staleness_weight
+from ..functions.columns import present, ratio, staleness_weight
 
 
 def admit(stream: DataFrame, current_round: int, most: int = 10) -> DataFrame:
@@ -22,15 +22,15 @@ def admit(stream: DataFrame, current_round: int, most: int = 10) -> DataFrame:
 
 
 def staleness_mean(updates: DataFrame, by: tuple[str, ...], method: str = "decay", base: float = 0.99) -> DataFrame:
-    """Weighted mean in which late updates weigh less; on a stream with output mode complete or update."""
-    w = staleness_weight(F.col("w"), F.col("staleness"), method, base)
+    """Weighted mean of present values in which late updates weigh less; on a stream with output mode complete or update."""
+    w = present("value", staleness_weight(F.col("w"), F.col("staleness"), method, base))
     return updates.groupBy(*by).agg(ratio(F.sum(F.col("value") * w), F.sum(w)).alias("value"))
 
 
 def windowed_mean(stream: DataFrame, width: str, late: str) -> DataFrame:
     """Means of event-time windows, for streams whose rounds are stretches of time."""
     timed = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    g = timed.groupBy(F.window("ts", width), "param", "idx").agg(ratio(F.sum(F.col("value") * F.col("w")), F.sum("w")).alias("value"), F.count("*").alias("n"))
+    g = timed.groupBy(F.window("ts", width), "param", "idx").agg(ratio(F.sum(F.col("value") * F.col("w")), F.sum(present("value", "w"))).alias("value"), F.count("*").alias("n"))
     return g.select(F.col("window.start").alias("start"), "param", "idx", "value", "n")
 
 
