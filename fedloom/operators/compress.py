@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import keep_count, uniform
+from .selection import kth_largest, percentiles, with_state
 
 GROUP = ("client", "param")
 
@@ -22,11 +23,13 @@ def top_k(updates: DataFrame, share: float = 0.1, group: Sequence[str] = GROUP)
 
 
 def top_k_global(updates: DataFrame, share: float = 0.1, by: Sequence[str] = ("client",)) -> DataFrame:
-    """Values of at least the k-th largest magnitude over all parameters of a client; ties stay."""
-    over = W.partitionBy(*by)
-    ranked = updates.withColumn("_k", keep_count(F.count("value").over(over), share))
-    ranked = ranked.withColumn("_r", F.rank().over(over.orderBy(F.abs("value").desc())))
-    return ranked.where("_r <= _k").drop("_r", "_k")
+    """Values of at least the k-th largest magnitude over all parameters of a client; ties stay.
+
+    The magnitude is found by radix selection, so no task sees a client's whole model.
+    """
+    sizes = updates.select(*by, F.abs("value").alias("value"))
+    cut = kth_largest(sizes, by, keep_count(F.col("n"), share)).withColumnRenamed("value", "_t")
+    return with_state(updates, cut, by, F.col("idx")).where(F.abs("value") >= F.col("_t")).drop("_t")
 
 
 def scatter(sparse: DataFrame, catalog: DataFrame, on: Sequence[str], value: str = "value") -> DataFrame:
@@ -84,9 +87,12 @@ def threshold(updates: DataFrame, least: float = 0.01, absolute: bool = True) ->
 
 
 def percentile_sparsify(updates: DataFrame, share: float = 0.1, by: Sequence[str] = ("client",)) -> DataFrame:
-    """Values above the (1 - share) percentile of a client's magnitudes over all parameters; the rest become 0."""
-    cut = updates.groupBy(*by).agg(F.percentile(F.abs("value"), 1 - share).alias("_t"))
-    return updates.join(cut, list(by)).withColumn("value", F.when(F.abs("value") > F.col("_t"), F.col("value")).otherwise(0.0)).drop("_t")
+    """Values above the (1 - share) percentile of a client's magnitudes over all parameters; the rest become 0.
+
+    The percentile is found by radix selection, so no task sees a client's whole model.
+    """
+    cut = percentiles(updates.select(*by, F.abs("value").alias("value")), by, 1 - share).withColumnRenamed("value", "_t")
+    return with_state(updates, cut, by, F.col("idx")).withColumn("value", F.when(F.abs("value") > F.col("_t"), F.col("value")).otherwise(0.0)).drop("_t")
 
 
 def value_frequencies(rows: DataFrame, value: str = "value") -> DataFrame:
@@ -135,8 +141,12 @@ def compress_adaptive(updates: DataFrame, share: float = 0.1, levels: int = 256,
     return x.withColumn("restored", value).drop("_q", "_s", "_n", "_r")
 
 
-def compress(updates: DataFrame, method: str = "top_k", share: float = 0.1, levels: int = 256, seed: int = 0, least: float = 0.01, group: Sequence[str] = GROUP) -> DataFrame:
-    """The rows that a method sends, with what they give back (restored): random_k, quantization, log_quantization, sign, pow2, sparse, adaptive; any other name is top_k."""
+def compress(updates: DataFrame, method: str = "top_k", share: float = 0.1, levels: int | None = None, seed: int = 0, least: float = 0.01, group: Sequence[str] = GROUP) -> DataFrame:
+    """The rows that a method sends, with what they give back (restored): random_k, quantization, log_quantization, sign, pow2, sparse, adaptive; any other name is top_k.
+
+    levels: 8 for pow2 and 256 for the other quantisers unless given.
+    """
+    levels = levels if levels is not None else (8 if method == "pow2" else 256)
     if method == "random_k":
         return random_k(updates, share, seed, group).withColumn("restored", F.col("value") * F.col("norm_scale"))
     if method == "quantization":
@@ -146,7 +156,7 @@ def compress(updates: DataFrame, method: str = "top_k", share: float = 0.1, leve
     if method == "sign":
         return sign_compress(updates, group)
     if method == "pow2":
-        return quantize_pow2(updates, min(levels, 8), group)
+        return quantize_pow2(updates, levels, group)
     if method == "sparse":
         return threshold(updates, least).where("value <> 0").withColumn("restored", F.col("value"))
     if method == "adaptive":

@@ -10,74 +10,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.session import Scratch, work_table
-from .aggregate import BY, weighted_mean
+from ..plans.session import Scratch
+from .aggregate import BY, last_rows, weighted_mean
+from .distances import TILE, pair_sums
 
 SUBSETS = 200_000
-BLOCKS = 4
-
-
-def vectors(updates: DataFrame) -> DataFrame:
-    """(grp, client, v, k): a client's values by parameter and coordinate as one array of structs, and a hash of which these are. Null values count as absent."""
-    rows = updates.where("value IS NOT NULL").groupBy("grp", "client").agg(F.array_sort(F.collect_list(F.struct("param", "idx", "value"))).alias("v"))
-    return rows.withColumn("k", F.xxhash64(F.transform("v", lambda x: F.struct(x["param"], x["idx"]))))
-
-
-def _distances(v: DataFrame, blocks: int) -> DataFrame:
-    # a map by coordinate is made once for each client, for pairs whose coordinates differ
-    key = lambda x: F.concat_ws("\0", x["idx"].cast("string"), x["param"])
-    rows = v.select("grp", "client", "k", F.transform("v", lambda x: x["value"]).alias("v"), F.map_from_entries(F.transform("v", lambda x: F.struct(key(x), x["value"]))).alias("m"))
-    rows = rows.withColumn("_b", F.pmod(F.xxhash64("client"), F.lit(blocks)).cast("int"))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    a = rows.select("grp", F.col("client").alias("a"), F.col("v").alias("va"), F.col("m").alias("ma"), F.col("k").alias("ka"), F.col("_b").alias("i"), F.explode(every).alias("j"))
-    b = rows.select("grp", F.col("client").alias("b"), F.col("v").alias("vb"), F.col("m").alias("mb"), F.col("k").alias("kb"), F.col("_b").alias("j"), F.explode(every).alias("i"))
-    square = lambda x, y: (x - y) * (x - y)
-    alike = F.zip_with("va", "vb", square)
-    shared = F.map_values(F.map_zip_with("ma", "mb", lambda _, x, y: square(x, y)))
-    squares = F.when((F.col("ka") == F.col("kb")) & (F.size("va") == F.size("vb")), alike).otherwise(shared)
-    # null until a shared coordinate comes
-    add = lambda s, x: F.when(x.isNull(), s).otherwise(F.coalesce(s, F.lit(0.0)) + x)
-    dist = F.sqrt(F.aggregate(squares, F.lit(None).cast("double"), add))
-    # exploded, so that it is evaluated once for each pair
-    return a.join(b, ["grp", "i", "j"]).where("a < b").select("grp", "a", "b", F.explode(F.array_compact(F.array(dist))).alias("dist"))
-
-
-def pairwise_distance(updates: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+
+
+def pairwise_distance(updates: DataFrame, tile: int = TILE, order: str | None = None) -> DataFrame:
     """(grp, a, b, dist) for a < b: Euclidean distances between the clients of a group over the coordinates of all parameters that both have; no row if they share none.
 
-    Every pair is the operator's result; whole vectors meet once, so rows grow with pairs and not with pairs
-    times coordinates. A group's pairs are dealt over blocks x blocks tasks.
+    Every pair is the operator's result. Null values are absent; of repeated rows of a coordinate the last by `order`
+    counts, or that of the greatest value if no order is named.
     """
-    return _distances(vectors(updates), blocks)
+    return pair_sums(updates, tile, order=order).select("grp", "a", "b", F.sqrt("total").alias("dist"))
 
 
-def krum_scores(updates: DataFrame, faulty: int = 1) -> DataFrame:
+def krum_scores(updates: DataFrame, faulty: int = 1, order: str | None = None) -> DataFrame:
     """(grp, client, n, k, score): the sum of a client's k = n - 2 - faulty least distances to others."""
-    return _scores(work_table(updates.sparkSession, vectors(updates), "krum-vectors"), faulty)
-
-
-def _scores(v: DataFrame, faulty: int) -> DataFrame:
-    d = _distances(v, BLOCKS)
+    d = pairwise_distance(updates, order=order)
     both = d.select("grp", F.explode(F.array(F.struct(F.col("a").alias("client"), F.col("b").alias("other")), F.struct(F.col("b").alias("client"), F.col("a").alias("other")))).alias("x"), "dist").select("grp", "x.*", "dist")
-    n = v.groupBy("grp").agg(F.count("*").alias("n"))
     ranked = both.withColumn("_r", F.row_number().over(W.partitionBy("grp", "client").orderBy("dist", "other")))
-    joined = ranked.join(n, "grp").withColumn("k", F.col("n") - 2 - faulty)
+    joined = ranked.join(_members(updates), "grp").withColumn("k", F.col("n") - 2 - faulty)
     return joined.groupBy("grp", "client", "n", "k").agg(F.sum(F.when(F.col("_r") <= F.col("k"), F.col("dist")).otherwise(0.0)).alias("score"))
 
 
-def krum_survivors(updates: DataFrame, faulty: int = 1, multi: bool = True) -> DataFrame:
+def _members(updates: DataFrame) -> DataFrame:
+    """(grp, n, only): how many clients with a value a group has, and one of them."""
+    return updates.where("value IS NOT NULL").groupBy("grp").agg(F.count_distinct("client").alias("n"), F.min("client").alias("only"))
+
+
+def krum_survivors(updates: DataFrame, faulty: int = 1, multi: bool = True, order: str | None = None) -> DataFrame:
     """(grp, client): the one of least score, or the n - faulty - 1 of least scores; ties by client. All of a group where k < 1."""
-    v = work_table(updates.sparkSession, vectors(updates), "krum-vectors")
-    s = _scores(v, faulty).withColumn("_r", F.row_number().over(W.partitionBy("grp").orderBy("score", "client")))
+    s = krum_scores(updates, faulty, order).withColumn("_r", F.row_number().over(W.partitionBy("grp").orderBy("score", "client")))
     most = F.col("n") - faulty - 1 if multi else F.lit(1)
     chosen = s.where((F.col("k") < 1) | (F.col("_r") <= most)).select("grp", "client")
-    alone = v.groupBy("grp").agg(F.count("*").alias("n"), F.first("client").alias("client")).where("n = 1").select("grp", "client")
+    alone = _members(updates).where("n = 1").select("grp", F.col("only").alias("client"))
     return chosen.union(alone)
 
 
-def krum_mean(updates: DataFrame, faulty: int = 1, multi: bool = True, base: Callable[[DataFrame], DataFrame] = weighted_mean) -> DataFrame:
-    """What base makes of the survivors' updates: a defence around any aggregator."""
-    return base(updates.join(krum_survivors(updates, faulty, multi), ["grp", "client"], "left_semi"))
+def krum_mean(updates: DataFrame, faulty: int = 1, multi: bool = True, base: Callable[[DataFrame], DataFrame] = weighted_mean, order: str | None = None) -> DataFrame:
+    """What base makes of the survivors' updates, one row of each coordinate: a defence around any aggregator."""
+    return base(last_rows(updates, order).join(krum_survivors(updates, faulty, multi, order), ["grp", "client"], "left_semi"))
 
 
 def subset_search(spark: SparkSession, updates: DataFrame, faulty: int = 1, metric: str = "variance") -> DataFrame:
