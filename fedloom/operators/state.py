@@ -1,12 +1,13 @@
 """Aggregation with state across rounds.
 
-Deltas have the columns keys + (round, value). Linear recurrences with growing sums are windows; the others fold
-a coordinate's rounds in order, in one pass over an array of as many items as there are rounds, and give a row
-for each round.
+Deltas have the columns keys + (round, value), a value for each of a key's rounds. Linear recurrences are parallel
+scans over blocks of rounds (scan.linear_scan), sums are windows, Yogi is a stream of rows with its state beside it.
+fold is for short histories: it goes over an array of a key's rounds.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
@@ -15,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import aggregate
+from .scan import linear_scan, streamed
 
 
 class Rule(NamedTuple):
@@ -70,9 +72,13 @@ def momentum_rule(m: float = 0.9) -> Rule:
     return Rule({"value": 0.0, "b": 0.0}, lambda s, v, t: {"value": m * s["b"] + v, "b": m * s["b"] + v})
 
 
+def _rounds(deltas: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return deltas.where("value IS NOT NULL").select(*keys, F.col("round").cast("bigint").alias("round"), F.col("value").alias("_v"))
+
+
 def momentum(deltas: DataFrame, keys: Sequence[str], m: float = 0.9) -> DataFrame:
-    """b = m b + delta from 0."""
-    return fold_rule(deltas, keys, momentum_rule(m)).drop("b")
+    """b = m b + delta from 0. A round without a value doesn't count."""
+    return linear_scan(_rounds(deltas, keys), keys, {"value": (m, F.col("_v"))}).select(*keys, "round", "value")
 
 
 def momentum_rounds(updates: DataFrame, keys: Sequence[str], m: float = 0.9, weight: Column | str = "w", globals_: DataFrame | None = None, mu: float = 0.0) -> DataFrame:
@@ -97,11 +103,13 @@ def cluster_rounds(updates: DataFrame, cluster: str, keys: Sequence[str], start:
 
 def running_average(deltas: DataFrame, keys: Sequence[str], decay: float = 0.99, from_first: bool = True) -> DataFrame:
     """r = d r + (1 - d) value, from the first value or from 0."""
-    def step(s: Column, v: Column, t: Column) -> dict[str, Column]:
-        new = decay * s["value"] + (1 - decay) * v
-        return {"value": F.when(t == 1, v).otherwise(new) if from_first else new}
-
-    return fold(deltas, keys, {"value": F.lit(0.0)}, step)
+    x = _rounds(deltas, keys)
+    scanned = linear_scan(x, keys, {"value": (decay, (1 - decay) * F.col("_v"))})
+    if from_first:
+        # the first value counts whole: what it lacks fades with the rounds since
+        first = x.groupBy(*keys).agg((decay * F.min_by("_v", "round")).alias("_f"))
+        scanned = scanned.join(first, list(keys)).withColumn("value", F.col("value") + F.pow(F.lit(decay), F.col("_t") - 1) * F.col("_f"))
+    return scanned.select(*keys, "round", "value")
 
 
 def gradient_estimate(deltas: DataFrame, keys: Sequence[str], m: float = 0.9, decay: float = 0.99) -> DataFrame:
@@ -122,7 +130,10 @@ def adam_rule(lr: float = 0.01, b1: float = 0.9, b2: float = 0.99, eps: float =
 
 
 def adam(deltas: DataFrame, keys: Sequence[str], lr: float = 0.01, b1: float = 0.9, b2: float = 0.99, eps: float = 1e-8, tau: float = 1e-7) -> DataFrame:
-    return fold_rule(deltas, keys, adam_rule(lr, b1, b2, eps, tau))
+    """keys, round, m, v and value: both moments are scans, the step follows from them and the number of rounds so far."""
+    x = linear_scan(_rounds(deltas, keys), keys, {"m": (b1, (1 - b1) * F.col("_v")), "v": (b2, (1 - b2) * F.col("_v") * F.col("_v"))})
+    m_hat, n_hat = F.col("m") / (1 - F.pow(F.lit(b1), F.col("_t"))), F.col("v") / (1 - F.pow(F.lit(b2), F.col("_t")))
+    return x.select(*keys, "round", "m", "v", (lr * m_hat / (F.sqrt(n_hat) + eps + tau)).alias("value"))
 
 
 def yogi_rule(lr: float = 0.01, b1: float = 0.9, b2: float = 0.99, eps: float = 1e-8, v0: float = 1e-3) -> Rule:
@@ -138,7 +149,16 @@ def yogi_rule(lr: float = 0.01, b1: float = 0.9, b2: float = 0.99, eps: float =
 
 
 def yogi(deltas: DataFrame, keys: Sequence[str], lr: float = 0.01, b1: float = 0.9, b2: float = 0.99, eps: float = 1e-8, v0: float = 1e-3) -> DataFrame:
-    return fold_rule(deltas, keys, yogi_rule(lr, b1, b2, eps, v0))
+    """keys, round, m, v and value. The second moment's sign depends on itself, so it isn't a scan: each key's rows stream by with their state."""
+
+    def step(state: list[float], row: tuple) -> list[float]:
+        _, m, n, t = state
+        sq = (1 - b2) * row[0] * row[0]
+        m, n, t = b1 * m + (1 - b1) * row[0], b2 * n + ((n > sq) - (n < sq)) * sq, t + 1
+        return [lr * (m / (1 - b1**t)) / (math.sqrt(abs(n) / (1 - b2**t)) + eps), m, n, t]
+
+    x = streamed(_rounds(deltas, keys), keys, "round", ["_v"], ["value", "m", "v"], [0.0, 0.0, v0, 0.0], step)
+    return x.select(*keys, "round", "m", "v", "value")
 
 
 def adagrad_rule(lr: float = 0.01, eps: float = 1e-8, start: float = 0.1) -> Rule:
