@@ -32,7 +32,7 @@ from ..plans.session import Scratch
 from .textscan import byte_offsets, released, slices, text_array
 
 MARK = "▁"
-CHUNK = 8 << 20
+CHUNK = 3 << 20
 
 #: Groups of a chunk's stretches, from the interval tables ta and tb (k: order, seg: stretch, id, s, e: range).
 GROUP_SQL = """
@@ -82,11 +82,11 @@ class Tokenizers:
 
     def encode(self, bodies: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """(ids of all, number of each's) for both tokenizers."""
-        out = []
-        for ids in ([self.first.encode_ordinary(" " + x) for x in bodies], self.second.encode(bodies, num_threads=1)):
+        def flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
             n = np.fromiter(map(len, ids), np.int64, len(ids))
-            out.append((np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum())), n))
-        return out
+            return np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum())), n
+
+        return [flat([self.first.encode_ordinary(" " + x) for x in bodies]), flat(self.second.encode(bodies, num_threads=1))]
 
 
 _made: dict[bytes, Tokenizers] = {}
@@ -268,13 +268,14 @@ def align_tokens(spark: SparkSession, df: DataFrame, text: str = "text", id_col:
 
     def run(batches):
         tok = tokenizers(*shipped.value)
-        with duckdb.connect(":memory:", config={"threads": 1, "temp_directory": "", "preserve_insertion_order": False}) as con:
-            chunk = TaskContext.get().partitionId() << 32
-            for batch in batches:
-                texts = text_array(batch.column(1))
-                for i, j in slices(texts, chunk_size):
-                    yield _chunk(con, tok, batch.column(0), texts, i, j, chunk)
-                    chunk += 1
+        chunk = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            texts = text_array(batch.column(1))
+            for i, j in slices(texts, chunk_size):
+                with duckdb.connect(":memory:", config={"threads": 1, "temp_directory": "", "preserve_insertion_order": False}) as con:
+                    out = _chunk(con, tok, batch.column(0), texts, i, j, chunk)
+                yield out
+                chunk += 1
 
     figures = "".join(f"{k} array<bigint>, " for k in FIGURES)
     blobs = "".join(f"{k} binary, " for k in BLOBS)
