@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.selection import with_state
 from ..plans.session import Scratch, arrow_batches
 from .components import components
 from .textscan import Words, mix, ngrams, released, signed, slices, text_array
@@ -197,7 +198,7 @@ def _shared_columns(spark: SparkSession, scratch: Scratch, docs: DataFrame, perc
     A clash of columns adds pairs to be compared, never removes one. Equal sets of a batch travel once.
     """
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = 2 * parts
+    blocks = 4 * parts
     hot_bits = spark.sparkContext.broadcast(frequent_columns(docs))
 
     def dealt(sets: dict[int, tuple[int, np.ndarray]]) -> pa.RecordBatch:
@@ -234,37 +235,45 @@ def _shared_columns(spark: SparkSession, scratch: Scratch, docs: DataFrame, perc
             yield dealt(held)
 
     def product(batches):
-        held: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        # rows come block by block, and one block is held at a time
+        at, found = -1, []
         for batch in batches:
             for block, low, place, sets_, sizes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if block != at and found:
+                    yield from multiplied(at, found)
+                    found = []
+                at = block
                 x = np.zeros((len(low) // 5, 8), np.uint8)
                 x[:, :5] = np.frombuffer(low, np.uint8).reshape(-1, 5)
-                at = np.frombuffer(place, np.uint16)
-                held.setdefault(block, []).append((x.view(np.uint64).ravel(), np.frombuffer(sets_, np.int64)[at], np.frombuffer(sizes, np.int32)[at]))
-        for block, found in held.items():
-            h, s, n = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort((s, h))
-            h, s, n = h[order], s[order], n[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
-            h, s, n = h[new], s[new], n[new]
-            begin = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            count = np.diff(np.append(begin, len(h)))
-            keep = np.flatnonzero(np.repeat(count > 1, count))
-            h, s, n, total = h[keep], s[keep], n[keep], np.repeat(count, count)[keep]
-            place = (np.arange(int(count.sum())) - np.repeat(begin, count))[keep]
-            a, b = _small_pairs(s, n, place, total, percent)
-            for lo in range(0, len(a), FOUND):
-                part = slice(lo, lo + FOUND)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(a[part]), pa.int64()), pa.array(a[part]), pa.array(b[part]), pa.nulls(len(a[part]), pa.int64())], names=["h", "s", "t", "n"])
-            large = total > SMALL
-            key, s, n = signed(h[large] | np.uint64(block) << np.uint64(40)), s[large], n[large].astype(np.int64)
-            for lo in range(0, len(s), FOUND):
-                part = slice(lo, lo + FOUND)
-                yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(s[part]), pa.nulls(len(s[part]), pa.int64()), pa.array(n[part])], names=["h", "s", "t", "n"])
+                held = np.frombuffer(place, np.uint16)
+                found.append((x.view(np.uint64).ravel(), np.frombuffer(sets_, np.int64)[held], np.frombuffer(sizes, np.int32)[held]))
+        if found:
+            yield from multiplied(at, found)
+
+    def multiplied(block, found):
+        h, s, n = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((s, h))
+        h, s, n = h[order], s[order], n[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
+        h, s, n = h[new], s[new], n[new]
+        begin = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        count = np.diff(np.append(begin, len(h)))
+        keep = np.flatnonzero(np.repeat(count > 1, count))
+        h, s, n, total = h[keep], s[keep], n[keep], np.repeat(count, count)[keep]
+        place = (np.arange(int(count.sum())) - np.repeat(begin, count))[keep]
+        a, b = _small_pairs(s, n, place, total, percent)
+        for lo in range(0, len(a), FOUND):
+            part = slice(lo, lo + FOUND)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(a[part]), pa.int64()), pa.array(a[part]), pa.array(b[part]), pa.nulls(len(a[part]), pa.int64())], names=["h", "s", "t", "n"])
+        large = total > SMALL
+        key, s, n = signed(h[large] | np.uint64(block) << np.uint64(40)), s[large], n[large].astype(np.int64)
+        for lo in range(0, len(s), FOUND):
+            part = slice(lo, lo + FOUND)
+            yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(s[part]), pa.nulls(len(s[part]), pa.int64()), pa.array(n[part])], names=["h", "s", "t", "n"])
 
     entries = docs.select("text").mapInArrow(released(deal), "block int, low binary, place binary, sets binary, sizes binary")
-    return scratch.table(entries.repartition(parts, "block").mapInArrow(released(product), "h bigint, s bigint, t bigint, n bigint"), "ngram-columns")
+    return scratch.table(entries.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(released(product), "h bigint, s bigint, t bigint, n bigint"), "ngram-columns")
 
 
 def _few_each(pairs: DataFrame, most: int) -> DataFrame:
@@ -277,7 +286,8 @@ def _hub_pairs(lists: DataFrame, hubs: int, percent: int) -> DataFrame:
     """(a, b): each set beside at most so many hubs. A column's hub is its least set by hash; a set takes the least ones over all its columns, which sets of one group mostly have in common."""
     rank = F.xxhash64("s")
     hub = lists.groupBy("h").agg(F.min_by(F.struct(F.col("s").alias("t"), F.col("n").alias("m"), rank.alias("rank")), rank).alias("hub"))
-    met = lists.join(hub, "h").select("s", "n", "hub.*").where((F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (F.col("s") != F.col("t")))
+    # a column of many sets is dealt by set, its one hub goes to each part
+    met = with_state(lists, hub, ["h"], F.col("s")).select("s", "n", "hub.*").where((F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (F.col("s") != F.col("t")))
     return _few_each(met, hubs)
 
 
@@ -290,7 +300,7 @@ def _remaining_pairs(spark: SparkSession, lists: DataFrame, sets: DataFrame, per
     column that both show.
     """
     main = lists.groupBy("h", "c").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.max("k").alias("most"), F.sum("k").alias("total"))
-    open_ = lists.join(main.where("most < total"), "h")
+    open_ = with_state(lists, main.where("most < total"), ["h"], F.col("s"))
     shown = open_.groupBy("s").agg(F.slice(F.array_sort(F.collect_list("h")), 1, SHOWN).alias("shown"))
     others = F.ceil((F.col("total") - F.col("most")) / TILE).cast("int")
     mains = F.ceil(F.col("most") / TILE).cast("int")
@@ -508,7 +518,7 @@ def _members(spark: SparkSession, df: DataFrame, text: str, id_col: str, percent
         if turn != "all":
             lists = columns.where("h IS NOT NULL").join(comps.withColumnRenamed("node", "s"), "s", "left").select("h", "s", "n", F.coalesce("component", "s").alias("c"))
             mixed = lists.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("h")
-            lists = scratch.table(lists.join(mixed, "h", "left_semi"), "ngram-lists")
+            lists = scratch.table(with_state(lists, mixed, ["h"], F.col("s")), "ngram-lists")
     members = table.select("doc_id", F.col("n").alias("n_shingles"), "s")
     if comps is not None:
         members = members.join(comps.withColumnRenamed("node", "s"), "s", "left").select("doc_id", "n_shingles", F.coalesce("component", "s").alias("c"))

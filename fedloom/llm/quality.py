@@ -15,13 +15,16 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.session import Scratch
 from .textscan import Words, mix, released, sequence_mix, slices, text_array
 
 BITS = 20
-#: The bound on labelled rows that the fit uses, those with the least hash of their id.
+#: The bounds on labelled rows that the fit uses, those with the least hash of their id, and on their features (4 bytes each).
 TRAIN_ROWS = 4000
+TRAIN_FEATURES = 16_000_000
 ALPHA = 1.0
 COST = 1.0
 EPOCHS = 12
@@ -85,18 +88,15 @@ class Model:
 def _descend(rows: list[np.ndarray], ratio: np.ndarray, y: np.ndarray, cost: float, epochs: int) -> tuple[np.ndarray, float]:
     """Dual coordinate descent for the hinge loss over unit rows with a constant last feature."""
     w, b = np.zeros(len(ratio)), 0.0
-    xs = []
-    for f in rows:
-        x = ratio[f]
-        norm = math.sqrt(float(x @ x)) or 1.0
-        xs.append((x / norm).astype(np.float32))
+    norms = [math.sqrt(float(ratio[f] @ ratio[f])) or 1.0 for f in rows]
     alpha = np.zeros(len(y))
     # both classes weigh alike
     limit = np.where(y > 0, cost * len(y) / (2 * max(1, (y > 0).sum())), cost * len(y) / (2 * max(1, (y < 0).sum())))
     order = np.random.default_rng(7)
     for _ in range(epochs):
         for i in order.permutation(len(y)):
-            f, x = rows[i], xs[i]
+            f = rows[i]
+            x = (ratio[f] / norms[i]).astype(np.float32)
             gradient = y[i] * (w[f] @ x + b) - 1
             new = min(max(alpha[i] - gradient / (float(x @ x) + 1), 0.0), limit[i])
             if new != alpha[i]:
@@ -163,15 +163,17 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int = TRAIN_ROWS) -> Model:
-    """A model from labelled documents that aren't held out, limit of them at most (those of least id hash); null labels and ids don't count.
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int = TRAIN_ROWS, most: int = TRAIN_FEATURES) -> Model:
+    """A model from labelled documents that aren't held out; null labels and ids don't count.
 
-    Of repeated labels of a document the largest counts. The sample's features come to the driver; nothing
-    else does.
+    The sample is of `limit` ids at most, those of least hash, and of them as many as have `most` features together;
+    the first one counts whatever it has. Of several rows of an id the one of least text hash is taken, of repeated
+    labels of a document the largest counts. The sample's features come to the driver; nothing else does.
     """
     rows = labels.where(f"{label} IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias("y"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    picked = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("doc_id", "y", "text")
+    # many rows of one id are brought down to one before the shuffle
+    picked = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def run(batches):
         for batch in batches:
@@ -184,11 +186,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int
                 )
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    found = picked.mapInArrow(released(run), f"doc_id {id_type}, y int, f binary").collect()
-    found.sort(key=lambda r: (r["doc_id"], r["f"]))
-    examples = [(np.frombuffer(r["f"], np.int32), r["y"]) for r in found]
-    del found
-    return fit(examples)
+    found = picked.mapInArrow(released(run), f"doc_id {id_type}, y int, f binary")
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.table(found.withColumn("n", F.octet_length("f") / 4).withColumn("turn", F.xxhash64("doc_id")), "quality-sample")
+    # a row for each id of the sample, without its features
+    before = F.coalesce(F.sum("n").over(W.orderBy("turn", "doc_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    kept = found.select("doc_id", "turn", "n").withColumn("before", before).where((F.col("before") == 0) | (F.col("before") + F.col("n") <= most))
+    table = found.join(F.broadcast(kept.select("doc_id")), "doc_id").select("doc_id", "y", "f").toArrow()
+    scratch.drop(found)
+    ids, labels_, raw = (table.column(k) for k in range(3))
+    order = sorted(range(table.num_rows), key=lambda i: ids[i].as_py())
+    return fit([(np.frombuffer(raw[i].as_buffer(), np.int32), labels_[i].as_py()) for i in order])
 
 
 def score_quality(df: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -26,8 +26,7 @@ MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
 END = b"\r\n\r\n"
 ARCHIVE_BYTES = 4 << 20
-#: How far headers are searched for while looking for the next record in plain, damaged bytes; nowhere else.
-HEADER_LIMIT = 64 << 10
+SALTS = 32
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -75,16 +74,21 @@ def _inflate(raw: bytes, at: int) -> tuple[bytes, int] | None:
     return (b"".join(parts), at - len(z.unused_data)) if z.eof else None
 
 
-def parse(raw: bytes, at: int = 0, limit: int | None = None) -> tuple[dict[str, str], bytes, int] | str:
-    """Headers (lower-case names), block and the offset behind the record at this offset, or what is wrong. limit: of the headers' bytes."""
+def parse(raw: bytes, at: int = 0, end: int | None = None) -> tuple[dict[str, str], bytes, int] | str:
+    """Headers (lower-case names), block and the offset behind the record at this offset, or what is wrong. end: where its headers end, if that is known, -1 if nowhere."""
     m = VERSION.match(raw, at)
     if not m:
         return "no version line"
-    end = raw.find(END, m.end() - 2, len(raw) if limit is None else at + limit)
+    end = raw.find(END, m.end() - 2) if end is None else end
     if end < 0:
         return "headers break off"
     headers: dict[str, str] = {}
-    for line in raw[m.end() : end].split(b"\r\n"):
+    place = m.end()
+    # line by line: a version line within the headers of another ends them at once
+    while place < end:
+        stop = raw.find(b"\r\n", place, end)
+        stop = end if stop < 0 else stop
+        line, place = raw[place:stop], stop + 2
         if not line:
             continue
         name, colon, value = line.partition(b":")
@@ -110,11 +114,12 @@ def parse(raw: bytes, at: int = 0, limit: int | None = None) -> tuple[dict[str,
 def salvage(raw: bytes) -> Iterator[tuple[str, int, int, dict[str, str] | str, bytes]]:
     """("record", offset, length, headers, block) and ("gap", offset, length, reason, b"") in order; together they cover all bytes.
 
-    Headers may have any length, but a plain record right behind a gap is found only if they keep to HEADER_LIMIT.
+    Headers may have any length. What was looked for (a member, a version line, an end of headers) is remembered until
+    it is passed, so the work goes with the number of bytes.
     """
     at, gap, why, n = 0, -1, "", len(raw)
     # the next member and the next version line; looked for again only once they are passed
-    member = line = -1
+    member = line = ending = -1
     while at < n:
         found: tuple[dict[str, str], bytes, int] | str
         if raw.startswith(MAGIC, at):
@@ -126,7 +131,12 @@ def salvage(raw: bytes) -> Iterator[tuple[str, int, int, dict[str, str] | str, b
                 if not isinstance(found, str):
                     found = (found[0], found[1], inflated[1]) if found[2] == len(inflated[0]) else "bytes behind the record in its member"
         else:
-            found = parse(raw, at, HEADER_LIMIT if gap >= 0 else None)
+            if ending < at and ending < n:
+                ending = raw.find(END, at)
+                ending = n if ending < 0 else ending
+            m = VERSION.match(raw, at)
+            # a version line's own line end may begin the end of empty headers
+            found = parse(raw, at, (ending if ending < n else -1) if m and ending >= m.end() - 2 else None) if m else "no version line"
         if isinstance(found, str):
             if gap < 0:
                 gap, why = at, found
@@ -154,12 +164,14 @@ def write_archives(spark: SparkSession, pages: DataFrame, id_col: str = "page_id
     Of rows whose payloads (null: empty) of at least min_bytes are equal, those with the largest id are
     responses, all others revisit it; a null id is smaller than any; if all ids are null, all are responses.
     Repeated rows make repeated records. The largest id of each digest is pre-aggregated before the shuffle
-    and joined back, so a payload that a third of all rows share is dealt to many tasks.
+    and joined back where it stands for several rows, in SALTS copies: a payload that a third of all rows share is
+    dealt to many tasks by id and address.
     """
     rows = pages.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{url}`").alias("url") if url in pages.columns else F.lit(None).cast("string").alias("url"), F.coalesce(F.col(f"`{payload}`"), F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha1(F.col("payload").cast("binary"))))
-    newest = rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.max("id").alias("newest")).withColumnRenamed("digest", "of")
-    joined = rows.join(newest, rows.digest == newest.of, "left")
+    newest = rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.max("id").alias("newest"), F.count("*").alias("n")).where("n > 1")
+    newest = newest.select(F.col("digest").alias("of"), "newest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("of_salt"))
+    joined = rows.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int")).join(newest, (F.col("digest") == F.col("of")) & (F.col("salt") == F.col("of_salt")), "left")
     refers = F.when(F.col("newest").isNotNull() & (F.col("id").isNull() | (F.col("id") < F.col("newest"))), F.col("newest"))
     records = joined.select("id", "url", "payload", "digest", refers.alias("refers"))
 

@@ -336,3 +336,28 @@ def test_gaps_in_own_archives_are_errors(package, monkeypatch):
 def test_query_has_a_row_for_each_row(package, data, name):
     table = "pages" if "warc" in name else "documents"
     assert queries.queries()[name](package, data).count() == read_table(package, data, table).count()
+
+
+# -- bounds
+
+
+def test_long_headers_are_read_behind_damage():
+    """A version line is enough, whatever the headers' length; many false ones take no longer than their bytes."""
+    payload = b"x" * 100
+    plain = warc.page_record(7, "http://a/" + "b" * 70_000, payload, warc.digest32(payload), None)
+    found = list(warc.salvage(b"damaged" + plain))
+    assert [(x[0], x[1]) for x in found] == [("gap", 0), ("record", 7)]
+    assert found[1][4] == payload
+    false = b"WARC/1.1\r\nA: b\r\n" * 20_000
+    found = list(warc.salvage(b"?" + false + plain))
+    assert [x[0] for x in found] == ["gap", "record"] and found[1][4] == payload
+    assert [x[0] for x in warc.salvage(b"?" + false)] == ["gap"]
+    assert [x[0] for x in warc.salvage(b"?WARC/1.1\r\n\r\n" + plain)] == ["gap", "record"]
+
+
+def test_a_hot_payload_is_dealt_by_id(package):
+    rows = [(k, "u", "same") for k in range(500)] + [(None, "u", "same"), (600, None, None), (601, None, "")]
+    df = package.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.page_records(package, df).collect()}
+    assert got[499] == ("response", None) and got[0] == ("revisit", 499) and got[None] == ("revisit", 499)
+    assert got[600] == ("revisit", 601) and got[601] == ("response", None)

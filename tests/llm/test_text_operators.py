@@ -493,3 +493,21 @@ def test_held_out_names_and_secrets(package):
     wrong = sum(bool(got[k]) for k in range(len(planted), len(planted) + len(clean)))
     print(dict(hit), wrong)
     assert hit["secret"] >= 0.9 * hit["all secret"] and hit["name"] >= 0.95 * hit["all name"] and wrong <= 4
+
+
+def test_training_is_bounded_in_rows_and_features(package, monkeypatch):
+    """One row for each id, the one of least text hash; features end at the bound."""
+    texts = [f"Good plain words number {k} of the set." for k in range(40)]
+    docs = package.createDataFrame([(k % 4, t) for k, t in enumerate(texts)] + [(9, "lone text")], "doc_id bigint, text string")
+    labels = package.createDataFrame([(k, k % 2, 0) for k in range(12)], "doc_id bigint, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda examples: seen.append(examples))
+    allowed = sum(zlib.crc32(str(k).encode()) % 3 != 1 for k in (0, 1, 2, 3, 9))
+    quality.train(docs, labels)
+    assert len(seen[-1]) == allowed
+    quality.train(docs, labels.where("doc_id < 4"), limit=2)
+    assert len(seen[-1]) == 2
+    quality.train(docs, labels, most=60)
+    assert 1 <= len(seen[-1]) < allowed and sum(len(f) for f, _ in seen[-1][1:]) <= 60
+    quality.train(docs, labels, most=1)
+    assert len(seen[-1]) == 1
