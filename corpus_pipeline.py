@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fedloom.llm import mixing, ngram_join, piece_codec, pii, quality
-from fedloom.plans.session import read_table, ship_package, work_table
+from fedloom.plans.session import Scratch, read_table, ship_package
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -85,10 +85,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other over documents, each written as Parquet in the shared folder and read again."""
+    """The stages one after the other over documents, each written as Parquet in the shared folder and read again; what a stage read is deleted once it is written."""
     docs = read_table(spark, sf_dir, "documents")
+    scratch = Scratch(spark)
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = work_table(spark, docs, f"pipeline-{name}")
+            docs = scratch.table(docs, f"pipeline-{name}")
+            scratch.drop(before)
     return docs
