@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,25 +24,25 @@ DIGIT = 16
 SALTS = 16
 
 
-def _order_bits(x: pd.Series) -> pd.Series:
-    v = x.to_numpy(np.float64) + 0.0
+def _order_bits(x: pa.Array) -> pa.Array:
+    v = x.to_numpy(zero_copy_only=False) + 0.0
     v = np.where(np.isnan(v), np.nan, v)
     bits = v.view(np.int64)
-    return pd.Series(np.where(bits < 0, ~bits, bits | np.int64(-(2**63))))
+    return pa.array(np.where(bits < 0, ~bits, bits | np.int64(-(2**63))))
 
 
 def order_bits(x: Column) -> Column:
     """Bits that, read as an unsigned number, order as the doubles do; -0 counts as 0, NaN is the greatest."""
-    return F.pandas_udf(_order_bits, "bigint")(x)
+    return F.arrow_udf(_order_bits, "bigint")(x)
 
 
-def _from_order_bits(x: pd.Series) -> pd.Series:
-    bits = x.to_numpy(np.int64)
-    return pd.Series(np.where(bits < 0, bits & np.int64(2**63 - 1), ~bits).view(np.float64))
+def _from_order_bits(x: pa.Array) -> pa.Array:
+    bits = x.to_numpy(zero_copy_only=False)
+    return pa.array(np.where(bits < 0, bits & np.int64(2**63 - 1), ~bits).view(np.float64), from_pandas=False)
 
 
 def from_order_bits(x: Column | str) -> Column:
-    return F.pandas_udf(_from_order_bits, "double")(x)
+    return F.arrow_udf(_from_order_bits, "double")(x)
 
 
 def with_state(rows: DataFrame, state: DataFrame, by: Sequence[str], salt: Column) -> DataFrame:
