@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.client_state import ClientState
 from . import aggregate
 from .scan import linear_scan, streamed
 
@@ -200,6 +201,36 @@ def control_correction(updates: DataFrame, client_controls: DataFrame, control:
     return joined.withColumn("value", F.when(F.col("_c").isNull(), F.col("value")).otherwise(fixed)).drop("_ci", "_c")
 
 
+def client_controls(deltas: DataFrame, own: DataFrame, control: DataFrame | None, on: Sequence[str], lr: float = 1.0, steps: Column | int = 1) -> DataFrame:
+    """client, on and value: the controls of clients that took part, c_i - c - delta / (steps lr); missing controls are 0.
+
+    deltas (client, on, value) are what a client's local weights differ from the global ones by; steps may be a column of it.
+    """
+    n = F.greatest(steps if isinstance(steps, Column) else F.lit(steps), F.lit(1))
+    x = deltas.withColumn("_d", F.col("value") / (n * lr)).drop("value").join(own.select("client", *on, F.col("value").alias("_ci")), ["client", *on], "left")
+    x = x.join(control.select(*on, F.col("value").alias("_c")), list(on), "left") if control is not None else x.withColumn("_c", F.lit(0.0))
+    return x.select("client", *on, (F.coalesce("_ci", F.lit(0.0)) - F.coalesce("_c", F.lit(0.0)) - F.col("_d")).alias("value"))
+
+
+def control_round(deltas: DataFrame, state: ClientState, control: DataFrame | None, version: int, on: Sequence[str], lr: float = 1.0, control_lr: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """One round with moving client controls: (corrected deltas, the server's next control).
+
+    deltas have client, on, value and w. They are corrected by the controls as they stand, the server's control moves
+    against their weighted mean, and the clients that took part get new controls, written as a version of `state` of
+    which only their buckets are rewritten.
+    """
+    own = state.read()
+    zero = deltas.select(*on).distinct().withColumn("value", F.lit(0.0)) if control is None else control
+    fixed = control_correction(deltas, own, zero, on)
+    mean = aggregate.weighted_mean(fixed, on)
+    moved = zero.join(mean.withColumnRenamed("value", "_m"), list(on), "full").select(*on, (F.coalesce("value", F.lit(0.0)) - control_lr * F.coalesce("_m", F.lit(0.0))).alias("value"))
+    new = client_controls(deltas.select("client", *on, "value"), own, zero, on, lr)
+    # a client's rows are replaced together, so what it has of coordinates without a delta goes along
+    rest = own.select("client", *on, "value").join(deltas.select("client").distinct(), "client", "left_semi").join(new.select("client", *on), ["client", *on], "left_anti")
+    state.write(new.unionByName(rest), version)
+    return fixed, moved
+
+
 def early_stopping(metrics: DataFrame, key: str, patience: int, min_delta: float) -> DataFrame:
     """best and counter after each round and whether to stop there; the first round seeds best."""
     def step(s: Column, v: Column, t: Column) -> dict[str, Column]:
