@@ -5,10 +5,14 @@ Masks and coefficients come from a hash; they show the arithmetic and are no cry
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.session import ship_package
+
 P = (1 << 61) - 1
 SCALE = 1_000_000
 _D = "decimal(38,0)"
@@ -66,6 +70,37 @@ def reconstruct(shares: DataFrame, xs: list[int], threshold: int, keys: tuple[st
     return terms.groupBy(*keys).agg(field(F.sum("_t")).alias("secret"))
 
 
+def _double_bits(x: pa.Array) -> pa.Array:
+    return pa.array(x.to_numpy(zero_copy_only=False).view(np.int64))
+
+
+def _bits_double(x: pa.Array) -> pa.Array:
+    return pa.array(x.to_numpy(zero_copy_only=False).view(np.float64), from_pandas=False)
+
+
+def limbs(values: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """keys, limb and secret: a double's 64 bits as two limbs of 32, each below the field's prime. Null values have none."""
+    ship_package(values.sparkSession)
+    bits = values.where("value IS NOT NULL").select(*keys, F.arrow_udf(_double_bits, "bigint")(F.col("value").cast("double")).alias("_b"))
+    low = F.lit((1 << 32) - 1)
+    parts = F.array(F.struct(F.lit(0).alias("limb"), F.col("_b").bitwiseAND(low).alias("v")), F.struct(F.lit(1).alias("limb"), F.shiftrightunsigned("_b", 32).alias("v")))
+    return bits.select(*keys, F.explode(parts).alias("x")).select(*keys, "x.limb", F.col("x.v").cast(_D).alias("secret"))
+
+
+def share_doubles(values: DataFrame, threshold: int, shares: int, seed: int, keys: tuple[str, ...]) -> DataFrame:
+    """keys, limb, x and y: shares of the exact bits of doubles. Nothing can be added up in this form; fixed point (encode) is for sums."""
+    return share(limbs(values, keys), threshold, shares, seed, (*keys, "limb"))
+
+
+def reconstruct_doubles(shares: DataFrame, xs: list[int], threshold: int, keys: tuple[str, ...]) -> DataFrame:
+    """keys and value, bit by bit what was shared: NaN, infinities and the negative zero too."""
+    ship_package(shares.sparkSession)
+    found = reconstruct(shares, xs, threshold, (*keys, "limb"))
+    limb = lambda k: F.max(F.when(F.col("limb") == k, F.col("secret"))).cast("bigint")
+    whole = found.groupBy(*keys).agg(F.shiftleft(limb(1), 32).bitwiseOR(limb(0)).alias("_b"))
+    return whole.select(*keys, F.arrow_udf(_bits_double, "double")("_b").alias("value"))
+
+
 def shared_sum(shares: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Shares of the sum over clients: added point by point."""
     return shares.groupBy(*keys, "x").agg(field(F.sum("y")).alias("y"))
