@@ -966,6 +966,9 @@ def weights_by_param_roundtrip(s, d):
     return out(io.load_weights(s, path), "param", "idx", value="value")
 
 
+from . import catalog_large  # noqa: E402, F401  registers further queries
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
