@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import combinations
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.session import Scratch
+from ..plans.session import Scratch, ship_package
 from .aggregate import BY, last_rows, weighted_mean
 from .distances import TILE, pair_sums
+from .subsets import CLIENTS, best_subset, rank, unrank
 
 SUBSETS = 200_000
 
@@ -58,24 +60,51 @@ def subset_search(spark: SparkSession, updates: DataFrame, faulty: int = 1, metr
     """(subset, client, score) of the clients kept: of all subsets of n - faulty clients the first of least score.
 
     variance: summed over coordinates; max_dist: the greatest distance within. All clients, subset -1, if there
-    are fewer than 2 faulty + 1. Subsets are counted on the driver, SUBSETS of them at most.
+    are fewer than 2 faulty + 1. CLIENTS clients at most; branch and bound on their distances (subsets.py). Where some
+    clients lack coordinates, variances don't follow from distances: subsets are then taken one by one, by number,
+    SUBSETS of them at most.
     """
-    ids = [r[0] for r in updates.select("client").distinct().orderBy("client").limit(SUBSETS + 1).collect()]
+    rows = last_rows(updates.withColumn("grp", F.lit(0)))
+    sizes = rows.groupBy("client").agg(F.count("*").alias("n")).orderBy("client").limit(CLIENTS + 1).collect()
+    ids = [r["client"] for r in sizes]
     if len(ids) < 2 * faulty + 1:
         return updates.select(F.lit(-1).alias("subset"), "client", F.lit(0.0).alias("score")).distinct()
-    if comb(len(ids), faulty) > SUBSETS:
-        raise ValueError(f"more than {SUBSETS} subsets")
-    kind = updates.schema["client"].dataType.simpleString()
-    rows = [(k, i) for k, s in enumerate(combinations(ids, len(ids) - faulty)) for i in s]
-    subsets = spark.createDataFrame(rows, f"subset int, client {kind}")
-    if metric == "max_dist":
-        d = pairwise_distance(updates.withColumn("grp", F.lit(0)))
-        pairs = subsets.withColumnRenamed("client", "a").join(d, "a").join(subsets.withColumnRenamed("client", "b"), ["subset", "b"])
-        scores = pairs.groupBy("subset").agg(F.max("dist").alias("score"))
-    else:
-        scores = subsets.join(updates, "client").groupBy("subset", "param", "idx").agg(F.var_pop("value").alias("v")).groupBy("subset").agg(F.sum("v").alias("score"))
+    if len(ids) > CLIENTS:
+        raise ValueError(f"more than {CLIENTS} clients")
+    kind, size = updates.schema["client"].dataType.simpleString(), len(ids) - faulty
+    place = {c: i for i, c in enumerate(ids)}
+    d, shared = np.zeros((len(ids), len(ids))), 0
+    for r in pair_sums(rows).collect():
+        i, j = place[r["a"]], place[r["b"]]
+        d[i, j] = d[j, i] = r["total"] ** 0.5 if metric == "max_dist" else r["total"]
+        shared += r["shared"]
+    n = [r["n"] for r in sizes]
+    if metric != "max_dist" and not (min(n) == max(n) and shared == comb(len(ids), 2) * n[0]):
+        return _each_subset(spark, rows, ids, faulty)
+    cost, members = best_subset(spark, d, size, metric)
+    score = cost if metric == "max_dist" else cost / size**2
+    return spark.createDataFrame([(rank(members, len(ids)), ids[i], score) for i in members], f"subset bigint, client {kind}, score double").withColumn("subset", F.col("subset").cast("int" if comb(len(ids), faulty) < 1 << 31 else "bigint"))
+
+
+def _each_subset(spark: SparkSession, rows: DataFrame, ids: list, faulty: int) -> DataFrame:
+    """As subset_search by variance, over all subsets, which tasks make from their numbers."""
+    n, size = len(ids), len(ids) - faulty
+    if comb(n, faulty) > SUBSETS:
+        raise ValueError(f"more than {SUBSETS} subsets of clients that lack coordinates")
+    ship_package(spark)
+    client = rows.schema["client"].dataType.simpleString()
+
+    def members(batches):
+        for batch in batches:
+            chosen = [unrank(k, n, size) for k in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chosen, pa.list_(pa.int32()))], names=["subset", "members"])
+
+    table = spark.createDataFrame(list(enumerate(ids)), f"place int, client {client}")
+    subsets = spark.range(comb(n, faulty)).mapInArrow(members, "subset bigint, members array<int>").select(F.col("subset").cast("int").alias("subset"), F.explode("members").alias("place"))
+    subsets = subsets.join(F.broadcast(table), "place").select("subset", "client")
+    scores = subsets.join(rows, "client").groupBy("subset", "param", "idx").agg(F.var_pop("value").alias("v")).groupBy("subset").agg(F.sum("v").alias("score"))
     best = scores.groupBy().agg(F.min_by(F.struct("subset", "score"), F.struct("score", "subset")).alias("x")).select("x.*")
-    return subsets.join(best, "subset").select("subset", "client", "score")
+    return subsets.join(F.broadcast(best), "subset").select("subset", "client", "score")
 
 
 def subset_mean(spark: SparkSession, updates: DataFrame, faulty: int = 1, metric: str = "variance", base: Callable[[DataFrame], DataFrame] = weighted_mean) -> DataFrame:
