@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.session import ship_package
+from ..plans.session import ship_package, work_table
 
 P = (1 << 61) - 1
 SCALE = 1_000_000
@@ -109,12 +109,19 @@ def shared_sum(shares: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 def masked(values: DataFrame, clients: DataFrame, seed: int, neighbours: int = 8) -> DataFrame:
     """(client, param, idx, masked): each encoded value plus its client's masks, which cancel in the sum over clients.
 
-    Clients stand in a ring by id, a registry of bounded size; each shares a mask with the next `neighbours` ones
-    (with all if there are no more): + at the first, - at the second. Masks come from the pair, the parameter
-    and the coordinate, so a value's masks are made where the value is: rows grow with values alone. All
-    clients must have the same coordinates.
+    Clients stand in a ring by hash; each shares a mask with the next `neighbours` ones (with all if there are no
+    more): + at the first, - at the second. Places in the ring come from counts of 16 ^ 3 pieces of it, so no task
+    orders all clients, and the ring is written once. Masks come from the pair, the parameter and the coordinate, so a
+    value's masks are made where the value is: rows grow with values alone. All clients must have the same coordinates.
     """
-    ring = clients.select("client").distinct().withColumn("_r", F.row_number().over(W.orderBy("client")) - 1)
+    spark = values.sparkSession
+    rows = clients.select("client").distinct().withColumn("_h", F.md5(F.col("client").cast("string").cast("binary"))).withColumn("_p", F.substring("_h", 1, 3))
+    rows = work_table(spark, rows, "ring-clients")
+    sums = rows.groupBy("_p").agg(F.count("*").alias("_k"))
+    line = W.orderBy("_p")  # over the pieces, whose number is fixed
+    sums = sums.select("_p", (F.sum("_k").over(line) - F.col("_k")).alias("_before"))
+    ring = rows.join(sums, "_p").withColumn("_r", F.col("_before") + F.row_number().over(W.partitionBy("_p").orderBy("_h", "client")) - 1).select("client", "_r")
+    ring = work_table(spark, ring, "ring")
     n = ring.groupBy().agg(F.count("*").cast("int").alias("_n"))
     steps = F.sequence(F.lit(1), F.least(F.lit(neighbours), F.col("_n") - 1))
     pairs = ring.join(F.broadcast(n)).where("_n > 1").select(F.col("client").alias("i"), F.explode(F.transform(steps, lambda d: (F.col("_r") + d) % F.col("_n"))).alias("_r"))

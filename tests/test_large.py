@@ -342,3 +342,70 @@ def test_shared_doubles_keep_every_bit(spark):
         assert np.array([got[k] for k in range(len(x))]).tobytes() == np.array(x).tobytes() and len(got) == len(x)
     with pytest.raises(ValueError):
         sec.reconstruct_doubles(shares, [1, 2], 3, ("client",))
+
+
+# -- subsets
+
+
+def brute_subset(x, faulty, metric):
+    n, best = len(x), None
+    for k, s in enumerate(itertools.combinations(range(n), n - faulty)):
+        y = x[list(s)]
+        score = y.var(0).sum() if metric == "variance" else max(math.dist(a, b) for a in y for b in y)
+        if best is None or score < best[0] * (1 - 1e-10):
+            best = (score, k, set(s))
+    return best
+
+
+def client_rows(spark, x):
+    return spark.createDataFrame([(0, f"c{c:02d}", "p", i, float(v), 1.0, 1) for c, row in enumerate(x) for i, v in enumerate(row)], SCHEMA)
+
+
+@pytest.mark.parametrize("metric", ["variance", "max_dist"])
+def test_subsets_by_brute_force(spark, metric):
+    rng = np.random.default_rng(11)
+    for x in (rng.normal(size=(9, 3)), rng.integers(0, 2, (8, 2)).astype(float), np.zeros((7, 2))):
+        want = brute_subset(x, 3, metric)
+        got = byz.subset_search(spark, client_rows(spark, x), 3, metric).collect()
+        assert {int(r["client"][1:]) for r in got} == want[2] and {r["subset"] for r in got} == {want[1]}
+        assert got[0]["score"] == pytest.approx(want[0], abs=1e-12)
+
+
+@pytest.mark.parametrize("metric", ["variance", "max_dist"])
+def test_thirty_clients_with_ten_faulty(spark, metric):
+    """Some thirty million subsets, of which hardly any are looked at."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(30, 4))
+    bad = set(rng.choice(30, 10, replace=False).tolist())
+    for c in bad:
+        x[c] += rng.normal(size=4) * 8 + 10
+    got = byz.subset_search(spark, client_rows(spark, x), 10, metric).collect()
+    assert {int(r["client"][1:]) for r in got} == set(range(30)) - bad
+
+
+def test_subsets_where_clients_lack_coordinates(spark):
+    rng = np.random.default_rng(13)
+    rows = [(0, c, p, 0, float(rng.normal()), 1.0, 1) for c in "abcdef" for p in "xyz" if (c, p) not in {("a", "x"), ("d", "z")}]
+    of = {(c, p): v for _, c, p, _, v, *_ in rows}
+    best = min(((sum(np.var([of[c, p] for c in s if (c, p) in of]) for p in "xyz"), k, s) for k, s in enumerate(itertools.combinations("abcdef", 4))), key=lambda z: z[:2])
+    got = byz.subset_search(spark, spark.createDataFrame(rows, SCHEMA), 2).collect()
+    assert {r["client"] for r in got} == set(best[2]) and {r["subset"] for r in got} == {best[1]}
+
+
+def test_numbers_of_subsets():
+    from fedloom.operators.subsets import rank, unrank
+
+    for k, s in enumerate(itertools.combinations(range(7), 3)):
+        assert rank(list(s), 7) == k and unrank(k, 7, 3) == list(s)
+
+
+@pytest.mark.parametrize("clients", [1, 2, 5, 40])
+def test_masks_cancel_over_the_ring(spark, clients):
+    rows = [(c, "p", i, c + i / 8) for c in range(clients) for i in range(3)]
+    df = spark.createDataFrame(rows, "client int, param string, idx int, value double")
+    m = sec.masked(df, df.select("client"), 3, neighbours=4)
+    total = {r["idx"]: r["value"] for r in m.groupBy("idx").agg(sec.field(F.sum("masked")).alias("t")).select("idx", sec.decode(F.col("t")).alias("value")).collect()}
+    assert total == pytest.approx({i: sum(c + i / 8 for c in range(clients)) for i in range(3)})
+    if clients > 1:
+        plain = {(r["client"], r["idx"]) for r in m.join(df.withColumn("plain", sec.encode(F.col("value"))), ["client", "param", "idx"]).where("masked = plain").collect()}
+        assert not plain
