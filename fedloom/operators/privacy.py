@@ -119,6 +119,62 @@ def optimal_noise(target_epsilon: float, sample_rate: float, steps: int, delta:
     return lo
 
 
+def noise_for_target(runs: DataFrame, kind: str = "simple", delta: float = 1e-5, rounds: int = 50) -> DataFrame:
+    """run and noise of (run, target_epsilon, sample_rate, steps): bisection in [0.01, 10] for each run by the named accountant, all runs in one pass.
+
+    simple and rdp (the reference formulas, which grow with the noise): the largest multiplier within the target.
+    gdp: its mu doesn't depend on the noise, so 10 if the target allows it and 0.01 if not. standard: the usual bound
+    without subsampling, which falls as noise grows: the least multiplier within the target.
+    """
+    if kind not in ("simple", "rdp", "gdp", "standard"):
+        raise ValueError(f"unknown accountant {kind}")
+    q, n = F.col("sample_rate"), F.col("steps")
+    alphas = F.array(*[F.lit(a) for a in ORDERS])
+
+    def spent(s: Column) -> Column:
+        if kind == "simple":
+            return n * q * s * math.sqrt(2 * math.log(1 / delta))
+        if kind == "gdp":
+            return n * q
+        if kind == "standard":
+            return F.array_min(F.transform(alphas, lambda a: n * a / (2 * s * s) + math.log(1 / delta) / (a - 1)))
+        qz = q * s
+        rdp = lambda a: F.when(a < 2, 0.0).otherwise(0.5 * a * qz * qz + F.when(a > 2, (a - 1) * q * qz * qz * s / 6).otherwise(0.0))
+        eps = F.filter(F.transform(alphas, lambda a: rdp(a) * a + math.log(delta) / (a - 1)), lambda e: e > 0)
+        return F.coalesce(F.get(eps, F.lit(0)), n * 0.01)
+
+    def step(state: Column, _: Column) -> Column:
+        mid = (state["lo"] + state["hi"]) / 2
+        up = spent(mid) > F.col("target_epsilon") if kind == "standard" else spent(mid) <= F.col("target_epsilon")
+        return F.struct(F.when(up, mid).otherwise(state["lo"]).alias("lo"), F.when(up, state["hi"]).otherwise(mid).alias("hi"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(F.lit(0.01).alias("lo"), F.lit(10.0).alias("hi")), step)
+    return runs.withColumn("_f", found).select("run", (F.col("_f.hi") if kind == "standard" else F.col("_f.lo")).alias("noise"))
+
+
+def dp_step(updates: DataFrame, most: float, noise_multiplier: float, seed: int, by: Sequence[str] = ("client",), lr: float | None = None) -> DataFrame:
+    """One private step: whole updates scaled to a norm of `most` at most, noise of noise_multiplier times that on every value, and, with a rate, minus that many times the result."""
+    noisy = add_gaussian(clip(updates, by, most), noise_multiplier * most, seed)
+    return noisy if lr is None else noisy.withColumn("value", -lr * F.col("value"))
+
+
+def spent_so_far(log: DataFrame, order: str = "step", delta: float = 1e-5, total: float | None = None) -> DataFrame:
+    """order, steps and epsilon after each entry of a log (order, sample_rate, noise_multiplier, steps) by the simple accountant, and whether a total is used up.
+
+    Running sums are cut by stretches of the order: a table of stretch sums, and a window within each stretch.
+    """
+    cost = F.col("steps") * F.col("sample_rate") * F.col("noise_multiplier") * math.sqrt(2 * math.log(1 / delta))
+    x = log.withColumn("_c", cost).withColumn("_p", F.floor(F.col(order) / 4096))
+    sums = x.groupBy("_p").agg(F.sum("_c").alias("_c"), F.sum("steps").alias("_s"))
+    line = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)  # a row for 4,096 entries
+    before = sums.select("_p", F.coalesce(F.sum("_c").over(line), F.lit(0.0)).alias("_c0"), F.coalesce(F.sum("_s").over(line), F.lit(0)).alias("_s0"))
+    within = W.partitionBy("_p").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    x = x.withColumn("_c1", F.sum("_c").over(within)).withColumn("_s1", F.sum("steps").over(within)).join(before, "_p")
+    eps = F.col("_c0") + F.col("_c1")
+    out = [F.col(order), (F.col("_s0") + F.col("_s1")).cast("bigint").alias("steps"), eps.alias("epsilon")]
+    return x.select(*out, *([(eps >= total).alias("exhausted")] if total is not None else []))
+
+
 def dp_sgd_steps(epochs: int, batch_size: int, dataset_size: int) -> tuple[int, float]:
     """Steps and sampling rate of a run."""
     return epochs * (dataset_size // batch_size), batch_size / dataset_size

@@ -67,6 +67,16 @@ def sample_with_replacement(registry: DataFrame, k: int, seed: int) -> DataFrame
     return met.groupBy("draw").agg(F.min_by("client", F.struct("_hi", "_h")).alias("client"))
 
 
+def sample(registry: DataFrame, k: int, seed: int, how: str = "uniform") -> DataFrame:
+    """k enabled clients by the named way: uniform, weighted or with_replacement; any other name is uniform."""
+    active = registry.where("enabled")
+    if how == "weighted":
+        return sample_weighted(active, k, seed).select("client")
+    if how == "with_replacement":
+        return sample_with_replacement(active, k, seed).select("client")
+    return sample_uniform(active, k, seed).select("client")
+
+
 def latest_updates(updates: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """The last update of each key wins."""
     return updates.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(order)))).where("_r = 1").drop("_r")
@@ -95,6 +105,12 @@ def experiment_summary(log: DataFrame) -> DataFrame:
     return log.groupBy("name").agg(F.count_distinct("round").alias("rounds"), F.max("value").alias("best"), F.max_by("value", "round").alias("last"))
 
 
+def experiment_totals(history: DataFrame) -> DataFrame:
+    """One row of (round, clients, seconds): rounds, clients over all rounds, and mean and whole duration; 0 without rounds."""
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    return history.groupBy().agg(F.count("*").alias("rounds"), F.coalesce(F.sum("clients"), F.lit(0)).cast("bigint").alias("clients"), zero(F.avg("seconds")).alias("mean_seconds"), zero(F.sum("seconds")).alias("seconds"))
+
+
 def progress(history: DataFrame, total: int) -> DataFrame:
     """One row of (round, clients, seconds): rounds done, their share of the total, mean seconds and mean clients of a round."""
     return history.groupBy().agg(F.count("*").alias("done"), (F.count("*") / F.lit(float(total))).alias("share"), F.avg("seconds").alias("avg_seconds"), F.avg("clients").alias("avg_clients"))
@@ -139,6 +155,16 @@ def combine_embeddings(rows: DataFrame, weights: DataFrame | None = None) -> Dat
     return joined.join(F.broadcast(total)).select("sample", "dim", ratio("_s", "_t").alias("value"))
 
 
+def aggregate_embeddings(own: DataFrame, others: DataFrame, weights: Sequence[float] | None = None) -> DataFrame:
+    """(sample, dim, value): a party's own embedding and those of others, (sample, dim, place, value) with place from 1; weights by place, the own one first, alike if none are given.
+
+    What a party lacks has no weight there.
+    """
+    both = own.select("sample", "dim", F.lit(0).alias("place"), "value").unionByName(others.select("sample", "dim", "place", "value"))
+    w = F.get(F.array(*[F.lit(float(x)) for x in weights]), F.col("place").cast("int")) if weights else F.lit(1.0)
+    return both.groupBy("sample", "dim").agg(ratio(F.sum(F.col("value") * w), F.sum(F.when(F.col("value").isNotNull(), w))).alias("value"))
+
+
 def local_embedding(rows: DataFrame, keys: Sequence[str] = ("client",)) -> DataFrame:
     """Column means over a party's samples."""
     return rows.groupBy(*keys, "dim").agg(F.avg("value").alias("value"))

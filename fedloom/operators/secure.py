@@ -133,6 +133,11 @@ def masked(values: DataFrame, clients: DataFrame, seed: int, neighbours: int = 8
     return values.join(met, "client", "left").select("client", "param", "idx", field(encode(F.col("value")) + mask).alias("masked"))
 
 
+def client_masks(coordinates: DataFrame, seed: int) -> DataFrame:
+    """(client, param, idx, mask): a number of the field for each coordinate of a client, by a hash of the seed and both; the same seed gives the same mask."""
+    return coordinates.select("client", "param", "idx", coefficient(seed, 0, "client", "param", "idx").alias("mask"))
+
+
 def commitment(values: DataFrame, by: tuple[str, ...], places: int | None = None) -> DataFrame:
     """SHA-256 of the values by parameter and coordinate, joined by commas; as many places of each as given, all of them (the shortest text that gives the number back) if none are."""
     named = values if "param" in values.columns else values.withColumn("param", F.lit(None).cast("string"))

@@ -201,6 +201,12 @@ def control_correction(updates: DataFrame, client_controls: DataFrame, control:
     return joined.withColumn("value", F.when(F.col("_c").isNull(), F.col("value")).otherwise(fixed)).drop("_ci", "_c")
 
 
+def zero_controls(catalog: DataFrame, on: Sequence[str], clients: DataFrame | None = None) -> DataFrame:
+    """Controls of 0 for every coordinate of a catalogue, for each client if any are given."""
+    zero = catalog.select(*on).distinct().withColumn("value", F.lit(0.0))
+    return zero if clients is None else clients.select("client").distinct().join(F.broadcast(zero)).select("client", *on, "value")
+
+
 def client_controls(deltas: DataFrame, own: DataFrame, control: DataFrame | None, on: Sequence[str], lr: float = 1.0, steps: Column | int = 1) -> DataFrame:
     """client, on and value: the controls of clients that took part, c_i - c - delta / (steps lr); missing controls are 0.
 

@@ -966,7 +966,7 @@ def weights_by_param_roundtrip(s, d):
     return out(io.load_weights(s, path), "param", "idx", value="value")
 
 
-from . import catalog_large  # noqa: E402, F401  registers further queries
+from . import catalog_large, catalog_small  # noqa: E402, F401  register further queries
 
 
 def queries() -> dict[str, Query]:

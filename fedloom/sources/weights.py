@@ -49,6 +49,22 @@ def from_json(rows: DataFrame, keys: tuple[str, ...], json: Column | str = "json
     return flat.select(*keys, "param", F.posexplode("_v").alias("idx", "value"))
 
 
+def updates_to_json(updates: DataFrame, keys: tuple[str, ...] = ("client", "round")) -> DataFrame:
+    """keys and json of updates' descriptions: all further columns but the weights (param, idx, value), null ones left out."""
+    rest = [k for k in updates.columns if k not in (*keys, "param", "idx", "value")]
+    return updates.select(*keys, *rest).distinct().select(*keys, F.to_json(F.struct(*keys, *rest)).alias("json"))
+
+
+def updates_from_json(rows: DataFrame, schema: str, json: Column | str = "json") -> DataFrame:
+    """Descriptions as columns again, null where one lacks a field."""
+    return rows.select(F.from_json(json, schema).alias("_x")).select("_x.*")
+
+
+def data_sizes(rows: DataFrame, client_col: str) -> DataFrame:
+    """(client, n): how many rows each client has."""
+    return rows.groupBy(F.col(client_col).alias("client")).agg(F.count("*").alias("n"))
+
+
 def clients_data(spark: SparkSession, path: str, client_col: str, client) -> DataFrame:
     """One client's rows; the filter reaches the scan."""
     return spark.read.parquet(path).where(F.col(client_col) == client)
@@ -79,7 +95,7 @@ def append_log(rows: DataFrame, path: str) -> None:
 
 
 def read_log(spark: SparkSession, path: str, name: str | None = None, rounds: Sequence[int] | None = None) -> DataFrame:
-    """Entries of a log, of one metric and of some rounds if these are named (an empty list names none); both filters reach the scan."""
+    """Entries of a log, of one metric and of some rounds if these are named (none or an empty list: all rounds); both filters reach the scan."""
     rows = spark.read.parquet(path)
     if name is not None:
         rows = rows.where(F.col("name") == name)
