@@ -37,18 +37,23 @@ def to_bytes(weights: DataFrame, shapes: DataFrame, keys: Sequence[str] = ("clie
     total = shapes.agg(F.sum("n").cast("bigint").alias("_total"))
     # a row for every piece, so that one without values is there too
     every = weights.select(*keys).distinct().join(F.broadcast(total)).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_total") - 1) / piece)))).where("_total > 0")
-    rows = every.join(x, [*keys, "piece"], "left")
+    rows = every.join(x, [*keys, "piece"], "left").groupBy(*keys, "piece", "_total").agg(F.collect_list(F.struct("_at", "value")).alias("x"))
     kinds = dict(rows.dtypes)
+    names = [*keys, "piece"]
 
-    def pack(table: pa.Table) -> pa.Table:
-        first = int(table.column("piece")[0].as_py()) * piece
-        out = np.full(min(piece, int(table.column("_total")[0].as_py()) - first), np.nan, "<f4")
-        at, value = table.column("_at").combine_chunks(), table.column("value").combine_chunks()
-        there = at.is_valid()
-        out[at.filter(there).to_numpy() - first] = value.filter(there).fill_null(np.nan).to_numpy()
-        return pa.table({k: table.column(k).slice(0, 1) for k in [*keys, "piece"]} | {"data": pa.array([out.tobytes()], pa.binary())})
-
-    return rows.groupBy(*keys, "piece").applyInArrow(pack, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", piece bigint, data binary")
+    def pack(batches):
+        for batch in batches:
+            data = []
+            for k in range(batch.num_rows):
+                first, total, x = int(batch.column(len(keys))[k].as_py()) * piece, int(batch.column(len(keys) + 1)[k].as_py()), batch.column(len(keys) + 2)[k].values
+                out = np.full(min(piece, total - first), np.nan, "<f4")
+                at, value = x.field("_at"), x.field("value")
+                there = at.is_valid()
+                out[at.filter(there).to_numpy() - first] = value.filter(there).fill_null(np.nan).to_numpy()
+                data.append(out.tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(data, pa.binary())], names=[*names, "data"])
+
+    return rows.select(*names, "_total", "x").mapInArrow(pack, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", piece bigint, data binary")
 
 
 def from_bytes(pieces: DataFrame, shapes: DataFrame, keys: Sequence[str] = ("client",), piece: int = PIECE) -> DataFrame:
