@@ -5,7 +5,7 @@ MAX_REPEATS times. A document's virtual finish time is its source's cumulative w
 divided by the source's target. All documents are then put in order of that time and taken as long as the
 running total stays within the budget.
 
-No step orders a whole source or table in one task. Queues are cut by hash prefix, and the line of times, however
+No step orders a whole source, all sources or a table in one task. Queues are cut by hash prefix, and the line of times, however
 long, into COARSE x FINE pieces of 1 - 1 / (1 + time): a small table of sums for each piece gives what lies
 before it, and only within a piece are rows ordered.
 """
@@ -25,26 +25,44 @@ COARSE, FINE = 8192, 1024  # pieces of the line of times, and of one of them
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS) -> DataFrame:
+def _in_order(spark: SparkSession, rows: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """rows with, for each name in sums, the sum of that column over the rows before each in this order.
+
+    Rows are dealt by ranges of the order; a table with a row for each range has what lies before it, and only within
+    a range are rows ordered. Which range a row is in is written, so that both sides see the same.
+    """
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = work_table(spark, rows.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "mix-sources")
+    line = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
+    ranges = dealt.groupBy("_range").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    ranges = ranges.select("_range", *[F.coalesce(F.sum(f"_{n}").over(line), F.lit(0)).alias(f"_{n}") for n in sums])
+    within = W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    out = dealt.withColumns({f"_in_{n}": F.coalesce(F.sum(c).over(within), F.lit(0)) for n, c in sums.items()}).join(F.broadcast(ranges), "_range")
+    return out.withColumns({n: F.col(f"_{n}") + F.col(f"_in_{n}") for n in sums}).drop("_range", *[f"_{n}" for n in sums], *[f"_in_{n}" for n in sums])
+
+
+def source_targets(spark: SparkSession, sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MAX_REPEATS) -> DataFrame:
     """Of rows (skey, snull, source_size), one for each source: also target and budget.
 
     Sources in code-point order, null last, have the weights in turn and share the sum of all sizes. A target
     stops at repeats times its source's size; the rest is shared by weight again until none is above. Sources
-    are ordered by the level at which they stop, so running sums give the last round at once.
+    are ordered by the level at which they stop, so running sums give the last round at once. No task orders all
+    sources; sums of sizes and weights are of whole numbers, so they don't depend on how sources are dealt.
     """
-    turn = F.row_number().over(W.orderBy("snull", "skey")) - 1
-    w = F.element_at(F.array(*[F.lit(x) for x in weights]), (turn % len(weights) + 1).cast("int"))
-    rows = sizes.withColumn("w", w.cast("double")).withColumn("cap", (F.col("source_size") * repeats).cast("double"))
-    everything = W.partitionBy()
-    rows = rows.withColumn("budget", F.sum("source_size").over(everything)).withColumn("all_w", F.sum("w").over(everything))
-    order = W.orderBy((F.col("cap") / F.col("w")).asc(), F.col("snull"), F.col("skey")).rowsBetween(W.unboundedPreceding, -1)
-    before_cap, before_w = F.coalesce(F.sum("cap").over(order), F.lit(0.0)), F.coalesce(F.sum("w").over(order), F.lit(0.0))
-    rows = rows.withColumn("level", (F.col("budget") - before_cap) / (F.col("all_w") - before_w))
-    rows = rows.withColumn("stops", F.col("cap") <= F.col("w") * F.col("level"))
-    held = F.coalesce(F.sum(F.when(F.col("stops"), F.col("cap"))).over(everything), F.lit(0.0))
-    free = F.coalesce(F.sum(F.when(~F.col("stops"), F.col("w"))).over(everything), F.lit(0.0))
-    rows = rows.withColumn("target", F.when(F.col("stops"), F.col("cap")).otherwise((F.col("budget") - held) * F.col("w") / free))
-    return rows.select("skey", "snull", "source_size", "target", "budget")
+    rows = _in_order(spark, sizes.withColumn("one", F.lit(1).cast("bigint")), [F.col("snull").asc(), F.col("skey").asc()], {"turn": "one"})
+    w = F.element_at(F.array(*[F.lit(x) for x in weights]), (F.col("turn") % len(weights) + 1).cast("int"))
+    rows = rows.select("skey", "snull", "source_size", w.cast("double").alias("w"), (F.col("source_size") * repeats).cast("double").alias("cap"))
+    rows = rows.withColumn("ratio", F.col("cap") / F.col("w"))
+    rows = _in_order(spark, rows, [F.col("ratio").asc(), F.col("snull").asc(), F.col("skey").asc()], {"before_cap": "cap", "before_w": "w"})
+    one = rows.groupBy().agg(F.sum("source_size").alias("budget"), F.sum("w").alias("all_w"))
+    rows = rows.join(F.broadcast(one))
+    rows = rows.withColumn("level", (F.col("budget") - F.col("before_cap")) / (F.col("all_w") - F.col("before_w")))
+    rows = work_table(spark, rows.withColumn("stops", F.col("cap") <= F.col("w") * F.col("level")), "mix-levels")
+    held = F.coalesce(F.sum(F.when(F.col("stops"), F.col("cap"))), F.lit(0.0))
+    free = F.coalesce(F.sum(F.when(~F.col("stops"), F.col("w"))), F.lit(0.0))
+    rows = rows.join(F.broadcast(rows.groupBy().agg(held.alias("held"), free.alias("free"))))
+    target = F.when(F.col("stops"), F.col("cap")).otherwise((F.col("budget") - F.col("held")) * F.col("w") / F.col("free"))
+    return rows.select("skey", "snull", "source_size", target.alias("target"), "budget")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -67,7 +85,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     ).withColumn("piece", F.substring("shuffled", 1, PREFIX))
     sized = work_table(spark, sized, "mix-sized")
     pieces = sized.groupBy("skey", "snull", "piece").agg(F.sum("size").alias("piece_size"))
-    targets = source_targets(sized.groupBy("skey", "snull").agg(F.sum("size").alias("source_size")))
+    targets = source_targets(spark, sized.groupBy("skey", "snull").agg(F.sum("size").alias("source_size")))
     earlier = W.partitionBy("skey", "snull").orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
     pieces = pieces.withColumn("before", F.coalesce(F.sum("piece_size").over(earlier), F.lit(0))).drop("piece_size")
     pieces = pieces.join(targets, ["skey", "snull"])
