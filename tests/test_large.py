@@ -409,3 +409,13 @@ def test_masks_cancel_over_the_ring(spark, clients):
     if clients > 1:
         plain = {(r["client"], r["idx"]) for r in m.join(df.withColumn("plain", sec.encode(F.col("value"))), ["client", "param", "idx"]).where("masked = plain").collect()}
         assert not plain
+
+
+def test_medians_of_small_and_large_groups_agree(spark):
+    rng = np.random.default_rng(15)
+    rows = [(g, f"c{c}", p, i, float(rng.normal()), float(rng.integers(1, 4)), 1) for g in range(3) for c in range(7) for p in "ab" if rng.random() < 0.8 for i in range(3)]
+    rows += [rows[0], (1, "c0", "a", 0, None, 1.0, 1), (9, "c0", "z", 0, 4.0, 1.0, 1)]
+    u = spark.createDataFrame(rows, SCHEMA)
+    one, other = ({(r["grp"], r["param"], r["idx"]): r["value"] for r in byz.geometric_median(spark, u, 30, held=h).collect()} for h in (1 << 20, 10))
+    assert one.keys() == other.keys() and one == pytest.approx(other, abs=1e-9)
+    assert byz.geometric_median(spark, u.limit(0)).count() == 0
