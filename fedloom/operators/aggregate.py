@@ -38,6 +38,12 @@ def minibatch_mean(updates: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     return updates.groupBy(*by).agg(F.when(w > 0, ratio(total, w)).otherwise(total).alias("value"))
 
 
+def round_metrics(updates: DataFrame, group: Sequence[str] = ("grp",)) -> DataFrame:
+    """group, num_clients, total_weight and avg_weight; a client counts once, with its greatest weight if it has several."""
+    clients = updates.groupBy(*group, "client").agg(F.max("w").alias("w"))
+    return clients.groupBy(*group).agg(F.count("*").alias("num_clients"), F.sum("w").alias("total_weight"), F.avg("w").alias("avg_weight"))
+
+
 def coordinate_median(updates: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     return updates.groupBy(*by).agg(F.median("value").alias("value"))
 

@@ -13,9 +13,14 @@ from ..functions.columns import ratio, uniform
 DIGITS = 3  # hex digits of the pieces that cumulative weights are summed in
 
 
+def active_clients(registry: DataFrame) -> DataFrame:
+    """Enabled clients; a null doesn't enable one."""
+    return registry.where("enabled")
+
+
 def weight_shares(registry: DataFrame) -> DataFrame:
     """(client, share) of enabled clients: weight over all weights, alike if these sum to 0. The total is one row, joined back."""
-    active = registry.where("enabled")
+    active = active_clients(registry)
     total = active.groupBy().agg(F.sum("weight").alias("_t"), F.count("*").alias("_n"))
     share = F.when(F.col("_t") == 0, 1 / F.col("_n")).otherwise(ratio("weight", "_t"))
     return active.join(F.broadcast(total)).select("client", share.alias("share"))
@@ -69,7 +74,7 @@ def sample_with_replacement(registry: DataFrame, k: int, seed: int) -> DataFrame
 
 def sample(registry: DataFrame, k: int, seed: int, how: str = "uniform") -> DataFrame:
     """k enabled clients by the named way: uniform, weighted or with_replacement; any other name is uniform."""
-    active = registry.where("enabled")
+    active = active_clients(registry)
     if how == "weighted":
         return sample_weighted(active, k, seed).select("client")
     if how == "with_replacement":

@@ -49,9 +49,9 @@ def out(df: DataFrame, *keys: str, **values) -> DataFrame:
 
 
 def untied(df: DataFrame, *keys: str) -> DataFrame:
-    """As out: means of prices are often exact halves of the sixth place, so both sides round a little beside it."""
+    """As out: means of prices are often exact halves of the sixth place, so both sides round them as decimals of nine places."""
     keys = keys or ("grp", "param", "idx")
-    return df.select(*keys, r6(F.col("value") + 1.7e-8).alias("value"))
+    return df.select(*keys, F.round(F.col("value").cast("decimal(30,9)"), 6).cast("double").alias("value"))
 
 
 B1, B2, B3, B4 = with_sql("b1"), with_sql("b1", "b2"), with_sql("b3"), with_sql("b4")
@@ -65,15 +65,14 @@ def fedavg_weighted_mean(s, d):
     return out(agg.weighted_mean(b.vectors(s, d)), "grp", "idx", value="value")
 
 
-@query(f"{B3} SELECT grp, param, idx, round(CASE WHEN sum(w) > 0 THEN sum(value * w) / sum(w) ELSE sum(value * w) END + 1.7e-8, 6) + 0.0 AS value FROM b3 GROUP BY grp, param, idx")
+@query(f"{B3} SELECT grp, param, idx, CAST(round(CAST(CASE WHEN sum(w) > 0 THEN sum(value * w) / sum(w) ELSE sum(value * w) END AS DECIMAL(30, 9)), 6) AS DOUBLE) AS value FROM b3 GROUP BY grp, param, idx")
 def fedavg_minibatch_mean(s, d):
     return untied(agg.minibatch_mean(b.lines(s, d)))
 
 
 @query(f"{B1}, c AS (SELECT DISTINCT grp, client, w FROM b1) SELECT grp, count(*) AS num_clients, round(sum(w), 6) + 0.0 AS total_weight, round(avg(w), 6) + 0.0 AS avg_weight FROM c GROUP BY grp")
 def fedavg_round_metrics(s, d):
-    c = b.vectors(s, d).select("grp", "client", "w").distinct()
-    return out(c.groupBy("grp").agg(F.count("*").alias("n"), F.sum("w").alias("t"), F.avg("w").alias("a")), "grp", num_clients="n", total_weight="t", avg_weight="a")
+    return out(agg.round_metrics(b.vectors(s, d)), "grp", "num_clients", total_weight="total_weight", avg_weight="avg_weight")
 
 
 @query(f"{B1} SELECT grp, idx, round(median(value), 6) + 0.0 AS value FROM b1 GROUP BY grp, idx")
@@ -332,18 +331,18 @@ def krum_wrapped(s, d):
     return out(byz.krum_mean(b.vectors(s, d)), "grp", "idx", value="value")
 
 
-@query(f"{_SCORE.replace(B1, B3).replace('b1', 'b3').replace('x.idx = y.idx', 'x.param = y.param AND x.idx = y.idx')} SELECT grp, param, idx, round(sum(value * w) / sum(w) + 1.7e-8, 6) + 0.0 AS value FROM b3 SEMI JOIN (SELECT grp, client FROM placed WHERE k < 1 OR place <= n - 2 UNION ALL SELECT grp, min(client) FROM b3 GROUP BY grp HAVING count(DISTINCT client) = 1) q USING (grp, client) GROUP BY grp, param, idx")
+@query(f"{_SCORE.replace(B1, B3).replace('b1', 'b3').replace('x.idx = y.idx', 'x.param = y.param AND x.idx = y.idx')} SELECT grp, param, idx, CAST(round(CAST(sum(value * w) / sum(w) AS DECIMAL(30, 9)), 6) AS DOUBLE) AS value FROM b3 SEMI JOIN (SELECT grp, client FROM placed WHERE k < 1 OR place <= n - 2 UNION ALL SELECT grp, min(client) FROM b3 GROUP BY grp HAVING count(DISTINCT client) = 1) q USING (grp, client) GROUP BY grp, param, idx")
 def krum_by_param(s, d):
     """Four parameters, of which many clients lack some."""
     return untied(byz.krum_mean(b.lines(s, d)))
 
 
-@query(f"{B3} SELECT grp, param, idx, round(median(value) + 1.7e-8, 6) + 0.0 AS value FROM b3 GROUP BY grp, param, idx")
+@query(f"{B3} SELECT grp, param, idx, CAST(round(CAST(median(value) AS DECIMAL(30, 9)), 6) AS DOUBLE) AS value FROM b3 GROUP BY grp, param, idx")
 def median_by_param(s, d):
     return untied(agg.coordinate_median(b.lines(s, d)))
 
 
-@query(f"{B3}, r AS (SELECT *, row_number() OVER (PARTITION BY grp, param, idx ORDER BY value, client) AS rn, count(*) OVER (PARTITION BY grp, param, idx) AS n FROM b3) SELECT grp, param, idx, round(CASE WHEN max(n) <= 2 THEN avg(value) ELSE avg(value) FILTER (rn > 1 AND rn <= n - 1) END + 1.7e-8, 6) + 0.0 AS value FROM r GROUP BY grp, param, idx")
+@query(f"{B3}, r AS (SELECT *, row_number() OVER (PARTITION BY grp, param, idx ORDER BY value, client) AS rn, count(*) OVER (PARTITION BY grp, param, idx) AS n FROM b3) SELECT grp, param, idx, CAST(round(CAST(CASE WHEN max(n) <= 2 THEN avg(value) ELSE avg(value) FILTER (rn > 1 AND rn <= n - 1) END AS DECIMAL(30, 9)), 6) AS DOUBLE) AS value FROM r GROUP BY grp, param, idx")
 def trimmed_mean_by_param(s, d):
     return untied(agg.trimmed_mean(b.lines(s, d)))
 
@@ -892,7 +891,7 @@ def evaluation_with_loss(s, d):
 
 @query(f"{with_sql('registry')} SELECT client FROM registry WHERE enabled")
 def active_clients(s, d):
-    return b.registry(s, d).where("enabled").select("client")
+    return orc.active_clients(b.registry(s, d)).select("client")
 
 
 @query(f"{with_sql('registry')} SELECT client, round(1000 * weight / sum(weight) OVER (), 6) + 0.0 AS share_per_mille FROM registry WHERE enabled")
