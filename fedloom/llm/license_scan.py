@@ -1,6 +1,7 @@
 """Licence scans by a generalised suffix automaton of licence tokens.
 
-The automaton holds every run of consecutive words of the licence notices below. Files are streamed through
+The automaton holds every run of consecutive words of the licence notices below, sentences as well as whole licences.
+Files are streamed through
 it for matching statistics (the longest run of notice words that ends at each word, and by suffix links the
 longest that each notice has). Long matches are chained into spans of each notice: in the order of the text
 and of the notice, with few words of text beyond the notice's own between them. A notice of which one span
@@ -61,6 +62,20 @@ NOTICES = [
     ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"),
     ("unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"),
 ]
+#: Whole licences and file headers, of the notices above by how they begin, and of other sentences as they stand.
+WHOLE = [
+    ("mit", ["Permission is hereby granted, free of charge", "The above copyright notice and this permission notice", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY"]),
+    ("bsd-2-clause", ["Redistribution and use in source", "Redistributions of source code", "Redistributions in binary form", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS"]),
+    ("bsd-3-clause", ["Redistribution and use in source", "Redistributions of source code", "Redistributions in binary form", "Neither the name of", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS"]),
+    ("isc", [
+        "Permission to use, copy, modify, and/or", "provided that the above copyright notice and this permission notice appear in all copies.", "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR",
+        "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ]),
+    ("apache", ["Licensed under the Apache License", "you may not use this file", "Unless required by applicable law"]),
+    ("gpl", ["This program is free software", "This program is distributed in the hope", "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."]),
+    ("mpl", ["This Source Code Form is subject", "If a copy of the MPL"]),
+    ("unlicense", ["This is free and unencumbered", "Anyone is free to copy"]),
+]
 MIN_MATCH = 4
 MIN_COVER = 0.6
 #: Between two matches of a chain: so many more words of text than of the notice at most.
@@ -72,6 +87,14 @@ def words_of(text: bytes) -> list[bytes]:
     return _WORD.findall(text.translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))))
 
 
+def templates() -> list[tuple[str, str]]:
+    """All notices, and the whole licences behind them."""
+    def named(part: str) -> str:
+        return next((text for _, text in NOTICES if text.startswith(part)), part)
+
+    return NOTICES + [(label, " ".join(map(named, parts))) for label, parts in WHOLE]
+
+
 class SuffixAutomaton:
     """Of several word sequences; each state knows an end (sequence, position) of its words."""
 
@@ -135,8 +158,9 @@ class Scanner:
     """The automaton of the notices and the pair filter before it."""
 
     def __init__(self, notices=None, phrases=None, min_match: int = MIN_MATCH, min_cover: float = MIN_COVER, max_gap: int = MAX_GAP):
-        self.notices = [(label, words_of(text.encode())) for label, text in (NOTICES if notices is None else notices)]
+        self.notices = [(label, words_of(text.encode())) for label, text in (templates() if notices is None else notices)]
         self.phrases = {tuple(words_of(p.encode())): label for p, label in (PHRASES if phrases is None else phrases).items()}
+        self.sentences = len(NOTICES) if notices is None else len(self.notices)  # those behind are whole licences
         self.min_match, self.min_cover, self.max_gap = min_match, min_cover, max_gap
         self.automaton = SuffixAutomaton([w for _, w in self.notices])
         pairs = [self._hash(w[i : i + 2]) for _, w in self.notices for i in range(len(w) - 1)]
@@ -198,6 +222,17 @@ class Scanner:
         """(share of the notice's words, notice, first word, end in the text) of each chain."""
         return [(words / len(self.notices[k][1]), k, a, b) for k, found in self.matches(segments).items() for words, a, b in self.chained(k, found)]
 
+    def covered(self, chains: list[tuple[float, int, int, int]]) -> list[tuple[int, int, str]]:
+        """(first word, end, label) of the chains that cover their notice well, by start. Of whole licences that stand over each other the best covered one counts."""
+        well = [(-share, a - b, a, b, k) for share, k, a, b in chains if share >= self.min_cover]
+        found = {(a, b, self.notices[k][0]) for *_, a, b, k in well if k < self.sentences}
+        taken: list[tuple[int, int]] = []
+        for *_, a, b, k in sorted(x for x in well if x[-1] >= self.sentences):
+            if all(b <= x or a >= y for x, y in taken):
+                taken.append((a, b))
+                found.add((a, b, self.notices[k][0]))
+        return sorted(found)
+
     def scan(self, texts: pa.Array):
         """For each text: words, base places (word, label) and chained spans of notices."""
         least = min(self.min_match, min((len(w) for _, w in self.notices), default=self.min_match))
@@ -261,7 +296,7 @@ def scan_licenses(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
             cols: list[list] = [[] for _ in _OUT]
             for n, base, chains in scanner.scan(text_array(batch.column(len(names)))):
                 first = {label for _, label in base}
-                whole = sorted({(a, b, scanner.notices[k][0]) for share, k, a, b in chains if share >= scanner.min_cover})
+                whole = scanner.covered(chains)
                 more = first | {label for _, _, label in whole}
                 starts = [a for a, _ in base]
                 score = max([0.5 if base else 0.0, *(c[0] for c in chains)])

@@ -511,3 +511,51 @@ def test_training_is_bounded_in_rows_and_features(package, monkeypatch):
     assert 1 <= len(seen[-1]) < allowed and sum(len(f) for f, _ in seen[-1][1:]) <= 60
     quality.train(docs, labels, most=1)
     assert len(seen[-1]) == 1
+
+
+def test_whole_licences_are_covered_as_one_span(package):
+    """Each licence as a whole, with a name filled in and a line changed, beside prose; three clauses aren't taken for two."""
+    whole = license_scan.templates()[len(license_scan.NOTICES) :]
+    texts = [f"Copyright 2020 Anna Kurz. {t.replace('IMPLIED', 'implied or other', 1)} and nothing else stands here" for _, t in whole]
+    rows = {r["doc_id"]: r for r in license_scan.scan_licenses(documents(package, list(enumerate(texts)))).collect()}
+    for k, (label, text) in enumerate(whole):
+        assert label in rows[k]["labels"].split(",")
+        spans = [x.split(":") for x in rows[k]["spans"].split(",")]
+        longest = max(int(b) - int(a) for name, a, b in spans if name == label)
+        assert longest >= 0.9 * len(license_scan.words_of(text.encode()))
+    three = [label for label, _ in whole].index("bsd-3-clause")
+    assert "bsd-2-clause" not in rows[three]["labels"].split(",")
+
+
+def brute_chain(scanner, matches):
+    """Most words of any chain, over all sequences of matches."""
+    best = 0
+
+    def go(last, words):
+        nonlocal best
+        best = max(best, words)
+        for a, p, n in matches:
+            if last is None:
+                go((a, p, n), n)
+            else:
+                a0, p0, n0 = last
+                gap, skip = a - a0 - n0, p - p0 - n0
+                if a0 < a and p0 < p and a0 + n0 < a + n and p0 + n0 < p + n and gap - skip <= scanner.max_gap:
+                    go((a, p, n), words + n + min(0, gap, skip))
+
+    go(None, 0)
+    return best
+
+
+def test_chains_by_brute_force():
+    rng = random.Random(8)
+    for _ in range(150):
+        notice = [rng.choice("abcd") for _ in range(rng.randint(6, 14))]
+        scanner = license_scan.Scanner([("x", " ".join(notice))], {}, min_match=2, max_gap=rng.randint(0, 3))
+        text = []
+        for _ in range(rng.randint(1, 4)):
+            i = rng.randrange(len(notice))
+            text += [rng.choice("abcde") for _ in range(rng.randint(0, 4))] + notice[i : i + rng.randint(1, 5)]
+        found = scanner.matches([(0, [w.encode() for w in text])]).get(0, [])
+        if found and len(found) < 14:
+            assert scanner.chained(0, found)[0][0] == brute_chain(scanner, found)
