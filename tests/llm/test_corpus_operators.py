@@ -69,13 +69,48 @@ def test_phrases_of_more_words_than_one_automaton_holds():
     assert np.flatnonzero(~(covers[0] | covers[1])).tolist() == [35] and not covers[0].all()
 
 
-def test_chosen_phrases_cover_the_same_words():
-    rng = np.random.default_rng(3)
-    for w in (2, 5, 35):
-        for _ in range(200):
-            hit = rng.random(120) < rng.random()
-            cover = lambda at: {x for i in at for x in range(i, i + w)}  # noqa: B023,E731
-            assert cover(np.flatnonzero(hit)) == cover(substring_dedup.phrase_positions(hit, w))
+def test_confirmed_passages_are_the_repeated_windows():
+    rng = random.Random(5)
+    for w in (2, 5):
+        for _ in range(60):
+            texts = [" ".join(rng.choice("abc") * rng.randint(1, 3) for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(1, 6))]
+            more = [rng.random() < 0.2 for _ in texts]
+            n = Counter()
+            for t, m in zip(texts, more, strict=True):
+                words = t.split()
+                for i in range(len(words) - w + 1):
+                    n[tuple(words[i : i + w])] += 1 + m
+            raw = "".join(texts).encode()
+            size = np.array([len(t) for t in texts])
+            text, start, length = substring_dedup._confirmed(np.frombuffer(raw, np.uint8), size, np.array(more), w)
+            found = Counter()
+            for s, k in zip(start.tolist(), length.tolist(), strict=True):
+                words = raw[s : s + k].decode().split()
+                found.update(tuple(words[i : i + w]) for i in range(len(words) - w + 1))
+            assert found == Counter({k for k, x in n.items() if x > 1})
+            assert all(size[:r].sum() <= s < size[: r + 1].sum() for r, s in zip(text.tolist(), start.tolist(), strict=True))
+
+
+def test_hot_anchors_and_many_automata(package, monkeypatch):
+    rng = random.Random(8)
+    hot = "u v w x"
+    rows = [(k, " ".join([*rng.choices("abcdefgh", k=rng.randint(0, 9)), hot, *rng.choices("abcdefgh", k=rng.randint(0, 9))])) for k in range(150)]
+    rows += [(k % 3, "one two three four five six seven") for k in range(40)]
+    want = Counter(zip([k for k, _ in rows], brute_dedup([t for _, t in rows], 6), strict=True))
+    monkeypatch.setattr(substring_dedup, "PHRASES", 7)
+    for least in (2, 50):
+        got = substring_dedup.remove_repeats(package, documents(package, rows), window=6, anchor=3, hot_least=least).collect()
+        assert Counter((r["doc_id"], (r["n_words"], r["n_removed"], r["kept_sha256"])) for r in got) == want
+
+
+def test_locating_needs_the_phrases(package):
+    """Without phrases no place is found: nothing but the automata knows one."""
+    rows = documents(package, [(k, " ".join(map(str, range(50)))) for k in range(4)])
+    docs = rows.selectExpr("doc_id", "text", "xxhash64(doc_id, text) AS k1", "xxhash64(text) AS k2")
+    anchors = substring_dedup._recurring_anchors(package, docs, 35, 8, 2, 1024)
+    phrases = substring_dedup._phrases(docs, anchors, 35, 8, 2)
+    assert substring_dedup._located(docs, phrases, anchors, 35, 8, 2).count() >= 4
+    assert substring_dedup._located(docs, phrases.limit(0), anchors, 35, 8, 2).count() == 0
 
 
 # -- n-gram join
