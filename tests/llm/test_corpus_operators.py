@@ -367,9 +367,9 @@ def test_gaps_in_own_archives_are_errors(package, monkeypatch):
 # -- the whole queries
 
 
-@pytest.mark.parametrize("name", sorted(queries.queries()))
+@pytest.mark.parametrize("name", sorted(set(queries.queries()) - {"op11_search"}))  # its rows are items and ranks
 def test_query_has_a_row_for_each_row(package, data, name):
-    table = "pages" if "warc" in name else "documents"
+    table = {"op5_warc": "pages", "op13_vectors": "embeddings"}.get(name, "documents")
     assert queries.queries()[name](package, data).count() == read_table(package, data, table).count()
 
 
