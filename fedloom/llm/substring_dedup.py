@@ -34,6 +34,7 @@ from .textscan import Words, mix, released, sequence_mix, slices, text_array
 WINDOW = 35
 ANCHOR = 8
 BLOOM_BITS = 26
+SLICE_BITS = 6
 SHARDS = BLOCKS = 2  # for each shuffle partition
 STRETCHES = 50_000  # of a shard, about
 PHRASES = 20_000  # of one automaton
@@ -73,9 +74,17 @@ def chosen_anchors(h: np.ndarray, at: np.ndarray, window: int, anchor: int) -> n
 
 
 def _places(x: np.ndarray):
+    """Bits of the filter, all three within the slice that the upper bits of the value's hash name."""
     h = mix(x + np.uint64(0x7F))
-    for shift in (0, 26, 38):
-        yield ((h >> np.uint64(shift)) & np.uint64((1 << BLOOM_BITS) - 1)).astype(np.int64)
+    bits = BLOOM_BITS - SLICE_BITS
+    inside = (h >> np.uint64(64 - SLICE_BITS)) << np.uint64(bits)
+    for shift in (0, 19, 38):
+        yield (inside | ((h >> np.uint64(shift)) & np.uint64((1 << bits) - 1))).astype(np.int64)
+
+
+def _range_of(x: np.ndarray, ranges: int) -> np.ndarray:
+    """Which of so many ranges of hashes a value is in: one range has bits in a few slices of the filter only."""
+    return ((mix(x + np.uint64(0x7F)) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
 def _tally(h: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -182,7 +191,7 @@ def _recurring_anchors(spark: SparkSession, docs: DataFrame, window: int, anchor
                     held.append(chosen_anchors(words.hashes(), at, window, anchor))
             if held:
                 h, n = _tally(np.concatenate(held))
-                out = [(k, h[at].tobytes(), n[at].astype(np.int32).tobytes()) for k, at in _groups((mix(h) % np.uint64(BLOCKS * parts)).astype(np.int64))]
+                out = [(k, h[at].tobytes(), n[at].astype(np.int32).tobytes()) for k, at in _groups(_range_of(h, BLOCKS * parts))]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "h", "n"])
 
     def meet(batches):
@@ -197,18 +206,18 @@ def _recurring_anchors(spark: SparkSession, docs: DataFrame, window: int, anchor
             for k in _places(h[n > 1]):
                 np.bitwise_or.at(bits, k >> 3, np.uint8(1) << (k & 7).astype(np.uint8))
             hot = (n >= hot_least) & (n * 16 > n.sum())
-            out.append((8 + block, np.concatenate(([n.sum()], h[hot].view(np.int64), n[hot])).astype(np.int64).tobytes()))
-        size = len(bits) // 8
-        out += [(k, bits[k * size : (k + 1) * size].tobytes()) for k in range(8) if bits[k * size : (k + 1) * size].any()]
+            out.append(((1 << SLICE_BITS) + block, np.concatenate(([n.sum()], h[hot].view(np.int64), n[hot])).astype(np.int64).tobytes()))
+        size = len(bits) >> SLICE_BITS
+        out += [(k, x.tobytes()) for k, x in enumerate(bits.reshape(-1, size)) if x.any()]
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([zlib.compress(x, 1) for _, x in out], pa.binary())], names=["slice", "raw"])
 
     rows = docs.select("text").mapInArrow(released(deal), "block int, h binary, n binary").repartition(parts, "block").mapInArrow(released(meet), "slice int, raw binary")
     bits = np.zeros(1 << (BLOOM_BITS - 3), np.uint8)
-    size = len(bits) // 8
+    size = len(bits) >> SLICE_BITS
     total, hot, count = 0, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for k, x in _summed_slices(rows, 8, "bits"):
-        if k < 8:
+    for k, x in _summed_slices(rows, min(parts, 1 << SLICE_BITS), "bits"):
+        if k < 1 << SLICE_BITS:
             bits[k * size : (k + 1) * size] = x
         else:
             x = np.frombuffer(x.tobytes(), np.int64)
