@@ -103,6 +103,15 @@ def test_hot_anchors_and_many_automata(package, monkeypatch):
         assert Counter((r["doc_id"], (r["n_words"], r["n_removed"], r["kept_sha256"])) for r in got) == want
 
 
+def test_long_and_periodic_texts(package):
+    rng = random.Random(4)
+    long = " ".join(str(rng.randrange(10**6)) for _ in range(100_000))
+    alone = " ".join(str(rng.randrange(10**6)) for _ in range(50_000))
+    rows = [(1, long), (2, f"x {long} y"), (3, "a " * 50_000), (4, "one line that stands here again and again\n" * 5_000), (5, alone)]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.remove_repeats(package, documents(package, rows), output="text").collect()}
+    assert got == {1: (100_000, 100_000, ""), 2: (100_002, 100_000, "x y"), 3: (50_000, 50_000, ""), 4: (40_000, 40_000, ""), 5: (50_000, 0, alone)}
+
+
 def test_locating_needs_the_phrases(package):
     """Without phrases no place is found: nothing but the automata knows one."""
     rows = documents(package, [(k, " ".join(map(str, range(50)))) for k in range(4)])
