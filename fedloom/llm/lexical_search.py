@@ -40,6 +40,8 @@ PIECE = 2048
 BLOCK_COST = 200_000
 ITEM_BYTES = 4 << 20
 AT_ONCE = 2  # shards that a task is handed at once
+ROW_GROUP = 8 << 20  # bytes after which a file's row group ends: of shards a task buffers no more, however many it has
+TEXTS = 2000  # texts that a task is handed at once
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _FAR = np.int64(1) << 60
@@ -232,7 +234,8 @@ def build_index(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple
                         shard += 1
 
     head = f"shard bigint, documents bigint, total bigint, ids array<{kind}>, {_SHARD_FIELDS}"
-    raw = scratch.table(docs.select("doc_id", "text").mapInArrow(released(collect), f"{head}, tf binary, n binary"), "lexical-postings")
+    with arrow_batches(spark, TEXTS):
+        raw = scratch.table(docs.select("doc_id", "text").mapInArrow(released(collect), f"{head}, tf binary, n binary"), "lexical-postings", row_group=ROW_GROUP)
     sums = raw.agg(F.coalesce(F.sum("documents"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     documents, total = int(sums[0]), int(sums[1])
 
@@ -250,7 +253,7 @@ def build_index(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple
 
     with arrow_batches(spark, AT_ONCE):
         index = raw.mapInArrow(released(cut), f"shard bigint, ids array<{kind}>, {_SHARD_FIELDS}, impact binary, block_at binary, block_end binary, block_top binary")
-        index = scratch.table(index, "lexical-index")
+        index = scratch.table(index, "lexical-index", row_group=ROW_GROUP)
     scratch.drop(raw)
     return index, documents, total
 

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from fedloom.llm import lexical_search as ls
@@ -116,3 +117,17 @@ def test_blocks_are_skipped():
     assert sorted(scores.tolist())[-10:] == sorted(whole.tolist())[-10:]
     assert (whole[got] == scores).all()
     assert shard.looked < len(docs) / 3
+
+
+def test_a_task_never_buffers_all_its_shards(package, monkeypatch):
+    from fedloom.plans.session import Scratch
+
+    monkeypatch.setattr(ls, "SHARD", 1 << 14)
+    monkeypatch.setattr(ls, "ROW_GROUP", 1 << 16)
+    rng = random.Random(3)
+    docs = documents(package, [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(500))) for i in range(200)]).coalesce(1)
+    index, _, _ = ls.build_index(package, docs, Scratch(package))
+    files = [pq.ParquetFile(f.removeprefix("file://")) for f in index.inputFiles()]
+    groups = [f.metadata.row_group(k) for f in files for k in range(f.num_row_groups)]
+    assert sum(g.num_rows for g in groups) > 20
+    assert max(g.num_rows for g in groups) <= 4
