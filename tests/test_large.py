@@ -59,6 +59,33 @@ def test_equal_clients_far_from_0_have_distance_0(spark):
     assert byz.pairwise_distance(spark.createDataFrame(rows, SCHEMA)).first()["dist"] == 0.0
 
 
+def test_pairs_of_clients_are_never_shuffled(spark):
+    rng = np.random.default_rng(8)
+    rows = [(g, c, p, i, float(rng.normal()), 1.0, 1) for g in range(2) for c in range(14) for p in "ab" if rng.random() < 0.7 for i in range(5)]
+    rows += [(0, 20 + c, p, i, v, 1.0, 1) for g, c, p, i, v, *_ in rows if g == 0 and c < 3]
+    u = spark.createDataFrame(rows, SCHEMA.replace("client string", "client int"))
+    plan = distances.pair_sums(u, tile=4)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("InArrow")]
+    of = {}
+    for g, c, p, i, v, *_ in rows:
+        of.setdefault((g, c), {})[p, i] = v
+    for faulty in (0, 1, 3, 11):
+        want = {}
+        for g, a in of:
+            n, k = (x := sum(h == g for h, _ in of)), x - 2 - faulty
+            d = sorted(math.dist([of[g, a][k] for k in s], [of[g, b][k] for k in s]) for h, b in of if h == g and b != a and (s := of[g, a].keys() & of[g, b].keys()))
+            if d:
+                want[g, a] = (n, k, sum(d[: max(k, 0)]))
+        parts = distances.far_sums(u, faulty + 1, tile=4)
+        assert parts.count() <= sum(-(-sum(h == g for h, _ in of) // 4) for g, _ in of) and parts.select(F.max(F.size("far"))).first()[0] <= faulty + 1
+        got = {(r["grp"], r["client"]): (r["n"], r["k"], r["score"]) for r in byz.krum_scores(u, faulty).collect()}
+        assert got.keys() == want.keys()
+        for key, x in want.items():
+            assert got[key] == pytest.approx(x)
+        # equal clients have equal scores
+        assert all(got[0, c][2] == got[0, 20 + c][2] for c in range(3) if (0, c) in got)
+
+
 # -- selection
 
 
