@@ -6,7 +6,8 @@ static table names. Updates get their staleness from the round that is current w
 is released as soon as `least` updates wait, or wait_ms after the first of them came, by a processing-time timer.
 
 Within a micro-batch a buffer's messages are taken in the order of seq, so releases by count don't depend on where
-micro-batches end. State is the waiting updates of a block, and they are gone when it is released.
+micro-batches end. State is the waiting updates of a block, in entries of HELD rows, and they are gone when it is
+released. All of a buffer's messages in a micro-batch are weighed, numbered and summed as arrays, never one by one.
 """
 
 from __future__ import annotations
@@ -14,15 +15,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..plans.session import ship_package
+
 WIDTH = 4096
 KEY = ("grp", "param", "block")
 OUT = "grp bigint, param string, block bigint, release bigint, idx int, value double, n bigint, reason string"
-_ITEM = "seq bigint, idx int, value double, w double"
+_ITEM = "data binary"
+HELD = 1 << 15  # waiting rows of an entry of the state
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -45,24 +50,28 @@ def rocksdb_state(spark: SparkSession):
     return settings(spark, spark_sql_streaming_stateStore_providerClass=ROCKS)
 
 
-def stale(weight: float, staleness: int, method: str, base: float, most: int, threshold: int = 5) -> float:
-    """As functions.columns.staleness_weight, for one number."""
+def stale(weight: np.ndarray, staleness: np.ndarray, method: str, base: float, most: int, threshold: int = 5) -> np.ndarray:
+    """As functions.columns.staleness_weight, for arrays."""
     if method == "decay":
-        return weight * base**staleness
+        return weight * np.power(base, staleness.astype(np.float64))
     if method == "linear":
-        return weight * max(0.0, 1 - staleness / most)
+        return weight * np.maximum(0.0, 1 - staleness / most)
     if method == "quadratic":
-        return weight * max(0.0, 1 - (staleness / most) ** 2)
+        return weight * np.maximum(0.0, 1 - (staleness / most) ** 2)
     if method == "threshold":
-        return weight if staleness <= threshold else weight * base ** (staleness - threshold)
+        return np.where(staleness <= threshold, weight, weight * np.power(base, (staleness - threshold).astype(np.float64)))
     return weight
 
 
+#: A row that waits.
+_ROW = np.dtype([("idx", "<i4"), ("value", "<f8"), ("w", "<f8")])
+
+
 class Buffer(StatefulProcessor):
     """The waiting updates of one block."""
 
-    def __init__(self, least: int, wait_ms: int | None, most: int, method: str, base: float):
-        self.least, self.wait_ms, self.most, self.method, self.base = least, wait_ms, most, method, base
+    def __init__(self, least: int, wait_ms: int | None, most: int, method: str, base: float, width: int):
+        self.least, self.wait_ms, self.most, self.method, self.base, self.width = max(1, least), wait_ms, most, method, base, width
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -70,46 +79,82 @@ class Buffer(StatefulProcessor):
         #: The current round, updates waiting, releases so far, and the timer that is set, 0 if none is.
         self.head = handle.getValueState("head", "current bigint, n bigint, released bigint, timer bigint")
 
-    def _release(self, key: tuple, items: list[tuple], n: int, number: int, reason: str) -> pd.DataFrame:
-        x = pd.DataFrame(items, columns=["seq", "idx", "value", "w"])
-        x = x[x["value"].notna()]
-        x["vw"] = x["value"] * x["w"]
-        g = x.groupby("idx", as_index=False)[["vw", "w"]].sum()
-        g["value"] = [v / w if w else None for v, w in zip(g["vw"], g["w"], strict=True)]
-        out = pd.DataFrame({"idx": g["idx"], "value": g["value"]})
-        for name, value in zip(KEY, key, strict=True):
-            out[name] = value
-        return out.assign(release=number, n=n, reason=reason)[[*KEY, "release", "idx", "value", "n", "reason"]]
+    def _waiting(self) -> Iterator[np.ndarray]:
+        """Rows that wait, some at a time."""
+        for item in self.waiting.get():
+            yield np.frombuffer(item[0], _ROW)
+
+    def _release(self, key: tuple, parts: Iterator[tuple[np.ndarray, np.ndarray]], first: int, n: np.ndarray, reason: str) -> Iterator[pd.DataFrame]:
+        """Weighted means by coordinate of the releases first, first + 1 and so on, of n updates each, from pieces of (release less first, rows)."""
+        sums = None
+        for release, x in parts:
+            release, x = release[there := ~np.isnan(x["value"])], x[there]
+            at = release * self.width + x["idx"] % self.width
+            places, at = np.unique(at, return_inverse=True)
+            new = pd.DataFrame({"vw": np.bincount(at, x["value"] * x["w"], len(places)), "w": np.bincount(at, x["w"], len(places)), "idx": 0}, index=places)
+            new.loc[:, "idx"] = x["idx"][np.unique(at, return_index=True)[1]] if len(x) else 0
+            sums = new if sums is None else pd.concat([sums, new]).groupby(level=0).agg({"vw": "sum", "w": "sum", "idx": "first"})
+        if sums is None:
+            return
+        release = (sums.index.to_numpy() // self.width).astype(np.int64)
+        w = sums["w"].to_numpy()
+        value = np.divide(sums["vw"].to_numpy(), w, out=np.full(len(w), np.nan), where=w != 0)
+        out = pd.DataFrame({"release": first + release, "idx": sums["idx"].to_numpy().astype(np.int32), "value": pd.array(value, dtype="Float64"), "n": n[release]})
+        out.loc[w == 0, "value"] = pd.NA
+        out = out.assign(reason=reason, **dict(zip(KEY, key, strict=True)))[[*KEY, "release", "idx", "value", "n", "reason"]]
+        for lo in range(0, len(out), HELD):
+            yield out.iloc[lo : lo + HELD]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         current, n, released, timer = self.head.get() if self.head.exists() else (None, 0, 0, 0)
-        items: list[tuple] = []
-        kept = n > 0  # what waits from earlier batches is read only when it is released
-        x = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        for seq, message in x.groupby("seq", sort=True):
-            rounds = message.loc[message["kind"] == "round", "round"]
-            if len(rounds):
-                current = int(rounds.max())
-            message = message[message["kind"] == "update"]
-            if not len(message):
-                continue
-            lag = (current if current is not None else int(message["round"].iloc[0])) - message["round"].astype(int)
-            message = message[lag <= self.most]
-            if not len(message):
-                continue
-            lag = lag[lag <= self.most]
-            items += [(int(seq), int(i), v, stale(w, s, self.method, self.base, self.most)) for i, v, w, s in zip(message["idx"], message["value"], message["w"], lag, strict=True)]
-            n += 1
-            if n >= self.least:
-                before = [tuple(i) for i in self.waiting.get()] if kept else []
-                yield self._release(key, before + items, n, released, "count")
-                if kept:
-                    self.waiting.clear()
-                if timer:
-                    self.handle.deleteTimer(timer)
-                items, n, released, timer, kept = [], 0, released + 1, 0, False
-        if items:
-            self.waiting.appendList(items)
+        # numbers only, of all the key's messages in this micro-batch
+        names = {"seq": np.int64, "opens": bool, "round": np.int64, "idx": np.int32, "value": np.float64, "w": np.float64}
+        parts = []
+        for x in rows:
+            opens = x["kind"] == "round"
+            # only a round's message has no coordinate
+            x = x.assign(opens=opens, round=x["round"].astype(np.int64), idx=x["idx"].mask(opens, 0).astype(np.int32), w=x["w"].fillna(0.0))[opens | (x["kind"] == "update")]
+            parts.append([x[c].to_numpy(kind) for c, kind in names.items()])
+        seq, opens, round_, idx, value, w = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.argsort(seq, kind="stable")
+        seq, opens, round_, idx, value, w = (c[order] for c in (seq, opens, round_, idx, value, w))
+        # the round that is current at each seq: the greatest one that it, or else the last seq before it, opens
+        _, begins, message = np.unique(seq, return_index=True, return_inverse=True)
+        low = np.iinfo(np.int64).min
+        now = np.maximum.reduceat(np.where(opens, round_, low), begins) if len(begins) else np.zeros(0, np.int64)
+        last = np.maximum.accumulate(np.where(now > low, np.arange(len(now)), -1))
+        known = np.where(last >= 0, now[last], low if current is None else current)
+        current = int(known[-1]) if len(known) and known[-1] > low else current
+        updates = np.flatnonzero(~opens)
+        message, round_ = message[updates], round_[updates]
+        # before any round is known, an update's first row stands for it
+        first = round_[np.unique(message, return_index=True)[1]] if len(updates) else round_
+        own = first[np.unique(message, return_inverse=True)[1]] if len(updates) else first
+        lag = np.where(known[message] > low, known[message], own) - round_
+        updates, message, lag = updates[kept := lag <= self.most], message[kept], lag[kept]
+        items = np.empty(len(updates), _ROW)
+        items["idx"], items["value"] = idx[updates], value[updates]
+        items["w"] = stale(w[updates], lag, self.method, self.base, self.most)
+        new, number = np.unique(message, return_inverse=True)
+        number = number + n  # of each row's update among those that wait and come
+        whole, n_before = (n + len(new)) // self.least, n
+        if whole:
+            done = number < whole * self.least
+
+            def parts_of() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                if n_before:
+                    yield from ((np.zeros(len(x), np.int64), x) for x in self._waiting())
+                yield number[done] // self.least, items[done]
+
+            yield from self._release(key, parts_of(), released, np.full(whole, self.least, np.int64), "count")
+            if n_before:
+                self.waiting.clear()
+            if timer:
+                self.handle.deleteTimer(timer)
+            items, released, timer = items[~done], released + whole, 0
+        n = n + len(new) - whole * self.least
+        if len(items):
+            self.waiting.appendList([(items[lo : lo + HELD].tobytes(),) for lo in range(0, len(items), HELD)])
         if n and not timer and self.wait_ms is not None:
             timer = timerValues.getCurrentProcessingTimeInMs() + self.wait_ms
             self.handle.registerTimer(timer)
@@ -118,7 +163,7 @@ class Buffer(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         current, n, released, _ = self.head.get()
         if n:
-            yield self._release(key, [tuple(i) for i in self.waiting.get()], n, released, "time")
+            yield from self._release(key, ((np.zeros(len(x), np.int64), x) for x in self._waiting()), released, np.array([n], np.int64), "time")
             self.waiting.clear()
             released += 1
         self.head.update((current, 0, released, 0))
@@ -143,12 +188,13 @@ def moving_rounds(
     1, as their staleness is below 0. Before any round is known, updates aren't late. Null values weigh nothing. Needs
     the RocksDB store (rocksdb_state) while the stream starts.
     """
+    ship_package(log.sparkSession)
     updates = log.where("kind = 'update'").withColumn("block", F.floor(F.col("idx") / width).cast("bigint"))
     rounds = log.where("kind = 'round'").select("seq", "kind", "grp", "round").join(F.broadcast(blocks) if not blocks.isStreaming else blocks, "grp")
     cols = [F.col("grp").cast("bigint").alias("grp"), "param", "block", "seq", "kind", F.col("round").cast("bigint").alias("round"), F.col("idx").cast("int").alias("idx"), "value", "w"]
     none = [F.lit(None).cast("int").alias("idx"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("double").alias("w")]
     both = updates.select(*cols).unionByName(rounds.select("grp", "param", "block", "seq", "kind", "round", *none).select(*cols))
-    return both.groupBy(*KEY).transformWithStateInPandas(Buffer(least, wait_ms, most, method, base), OUT, "append", "processingTime")
+    return both.groupBy(*KEY).transformWithStateInPandas(Buffer(least, wait_ms, most, method, base, width), OUT, "append", "processingTime")
 
 
 def run_to_end(stream: DataFrame, checkpoint: str, path: str) -> None:

@@ -217,6 +217,35 @@ def test_a_restart_loses_and_repeats_nothing(spark):
     assert [v for _, v, _ in released(spark, out2)] == pytest.approx([v for _, v, _ in got])
 
 
+def test_a_hundred_thousand_updates_of_a_buffer_take_seconds(spark):
+    """By definition, one update after the other; a loop of frames took a minute and more."""
+    rng = np.random.default_rng(2)
+    n = 100_000
+    round_, value, w = rng.integers(0, 40, n), rng.normal(size=n), rng.random(n)
+    opens = rng.random(n) < 0.01
+    log, found, chk = (new_path(spark, x) for x in ("log", "found", "chk"))
+    rows = [(i, "round", 0, int(round_[i]), None, None, None, None) if opens[i] else (i, "update", 0, int(round_[i]), "p", i % 3, None if i % 17 == 0 else float(value[i]), float(w[i])) for i in range(n)]
+    spark.createDataFrame(rows, LOG).coalesce(1).write.parquet(log)
+    blocks = spark.createDataFrame([(0, "p", 0)], "grp bigint, param string, block bigint")
+    began = time.time()
+    moving.run_to_end(moving.moving_rounds(spark.readStream.schema(LOG).parquet(log), blocks, 7, None, most=10), chk, found)
+    assert time.time() - began < 30
+    current, waiting, want, release = None, [], {}, 0
+    for seq, kind, _, r, _, idx, v, weight in rows:
+        if kind == "round":
+            current = r
+        elif (lag := (r if current is None else current) - r) <= 10:
+            waiting.append((idx, v, weight * 0.99**lag))
+            if len(waiting) == 7:
+                for i in {i for i, x, _ in waiting if x is not None}:
+                    here = [(x, y) for j, x, y in waiting if j == i and x is not None]
+                    want[release, i] = sum(x * y for x, y in here) / sum(y for _, y in here)
+                waiting, release = [], release + 1
+    got = {(r["release"], r["idx"]): r["value"] for r in spark.read.parquet(found).collect()}
+    assert got.keys() == want.keys()
+    assert max(abs(got[k] - want[k]) for k in want) < 1e-9
+
+
 def test_a_round_is_released_when_its_time_is_over(spark):
     """Without any further message, by a timer of a running stream."""
     log = new_path(spark, "log")
