@@ -9,11 +9,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import uniform
+from ..plans.session import ship_package
 from .selection import percentiles
 
 #: 1.1 to 10.9 in steps of a tenth, then 12 to 63.
@@ -128,28 +131,44 @@ def noise_for_target(runs: DataFrame, kind: str = "simple", delta: float = 1e-5,
     """
     if kind not in ("simple", "rdp", "gdp", "standard"):
         raise ValueError(f"unknown accountant {kind}")
-    q, n = F.col("sample_rate"), F.col("steps")
-    alphas = F.array(*[F.lit(a) for a in ORDERS])
+    spark = runs.sparkSession
+    ship_package(spark)
+    alphas = np.array(ORDERS, np.float64)
 
-    def spent(s: Column) -> Column:
+    def spent(s: np.ndarray, q: np.ndarray, n: np.ndarray) -> np.ndarray:
         if kind == "simple":
             return n * q * s * math.sqrt(2 * math.log(1 / delta))
         if kind == "gdp":
             return n * q
         if kind == "standard":
-            return F.array_min(F.transform(alphas, lambda a: n * a / (2 * s * s) + math.log(1 / delta) / (a - 1)))
-        qz = q * s
-        rdp = lambda a: F.when(a < 2, 0.0).otherwise(0.5 * a * qz * qz + F.when(a > 2, (a - 1) * q * qz * qz * s / 6).otherwise(0.0))
-        eps = F.filter(F.transform(alphas, lambda a: rdp(a) * a + math.log(delta) / (a - 1)), lambda e: e > 0)
-        return F.coalesce(F.get(eps, F.lit(0)), n * 0.01)
-
-    def step(state: Column, _: Column) -> Column:
-        mid = (state["lo"] + state["hi"]) / 2
-        up = spent(mid) > F.col("target_epsilon") if kind == "standard" else spent(mid) <= F.col("target_epsilon")
-        return F.struct(F.when(up, mid).otherwise(state["lo"]).alias("lo"), F.when(up, state["hi"]).otherwise(mid).alias("hi"))
-
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(F.lit(0.01).alias("lo"), F.lit(10.0).alias("hi")), step)
-    return runs.withColumn("_f", found).select("run", (F.col("_f.hi") if kind == "standard" else F.col("_f.lo")).alias("noise"))
+            found = np.full(len(s), np.inf)
+            for a in alphas.tolist():
+                np.minimum(found, n * a / (2 * s * s) + math.log(1 / delta) / (a - 1), out=found)
+            return found
+        qz, found, there = q * s, n * 0.01, np.zeros(len(s), bool)
+        for a in alphas.tolist():
+            # the first order whose epsilon is above 0 counts
+            rdp = 0.0 if a < 2 else 0.5 * a * qz * qz + ((a - 1) * q * qz * qz * s / 6 if a > 2 else 0.0)
+            eps = rdp * a + math.log(delta) / (a - 1) + np.zeros(len(s))
+            found = np.where(~there & (eps > 0), eps, found)
+            there |= eps > 0
+        return found
+
+    def run(batches):
+        for batch in batches:
+            target, q, n = (batch.column(k).cast(pa.float64()).to_numpy(zero_copy_only=False) for k in (1, 2, 3))
+            lo, hi = np.full(len(q), 0.01), np.full(len(q), 10.0)
+            with np.errstate(invalid="ignore", over="ignore"):
+                for _ in range(rounds):
+                    mid = (lo + hi) / 2
+                    up = spent(mid, q, n) > target if kind == "standard" else spent(mid, q, n) <= target
+                    lo, hi = np.where(up, mid, lo), np.where(up, hi, mid)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hi if kind == "standard" else lo)], names=["run", "noise"])
+
+    rows = runs.select("run", *[F.col(c).cast("double").alias(c) for c in ("target_epsilon", "sample_rate", "steps")])
+    # few bytes and much work: the number of tasks doesn't follow the size
+    rows = rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "run")
+    return rows.mapInArrow(run, f"run {rows.schema['run'].dataType.simpleString()}, noise double")
 
 
 def dp_step(updates: DataFrame, most: float, noise_multiplier: float, seed: int, by: Sequence[str] = ("client",), lr: float | None = None) -> DataFrame:

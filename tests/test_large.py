@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fedloom.operators import aggregate as agg
 from fedloom.operators import coding, distances, scan, selection, transforms
+from fedloom.operators import privacy as dp
 from fedloom.operators import robust as byz
 from fedloom.operators import secure as sec
 from fedloom.operators import state as st
@@ -475,3 +476,24 @@ def test_medians_of_small_and_large_groups_agree(spark):
     one, other = ({(r["grp"], r["param"], r["idx"]): r["value"] for r in byz.geometric_median(spark, u, 30, held=h).collect()} for h in (1 << 20, 10))
     assert one.keys() == other.keys() and one == pytest.approx(other, abs=1e-9)
     assert byz.geometric_median(spark, u.limit(0)).count() == 0
+
+
+def test_pieces_of_a_code_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(coding, "PIECE", 64)
+    df = spark.range(1000).select(F.lit(0).alias("g"), F.col("id").alias("i"), (F.col("id") % 5).cast("double").alias("value"))
+    table = coding.code_table(df, ["g"])
+    for how in ("huffman", "arithmetic"):
+        coded = coding.entropy_encode(df, table, ["g"], "i", how, piece=1 << 40)
+        assert coded.agg(F.max("n")).first()[0] == 64
+        assert [r["value"] for r in coding.entropy_decode(coded, table, ["g"], how).orderBy("pos").collect()] == [float(i % 5) for i in range(1000)]
+
+
+def test_noise_of_many_runs_is_searched_in_seconds(spark):
+    runs = spark.range(200_000).select(F.col("id").alias("run"), (1.0 + F.col("id") % 20).alias("target_epsilon"), F.lit(0.01).alias("sample_rate"), (100 + F.col("id") % 900).alias("steps"))
+    began = time.time()
+    got = {r["run"]: r["noise"] for r in dp.noise_for_target(runs, "standard").where("run % 1000 = 7").collect()}
+    assert time.time() - began < 25
+    for run, z in got.items():
+        steps, target = 100 + run % 900, 1.0 + run % 20
+        spent = [min(steps * a / (2 * s * s) + math.log(1e5) / (a - 1) for a in dp.ORDERS) for s in (z, z - 1e-9)]
+        assert z > 9.9999 or spent[0] <= target * (1 + 1e-9) and spent[1] > target * (1 - 1e-9)
