@@ -234,12 +234,13 @@ def range_read(raw: bytes, n: int, known: Sequence[str | None], counts: Sequence
 def entropy_encode(rows: DataFrame, table: DataFrame, group: Sequence[str], order: str, how: str = "huffman", value: str = "value", piece: int = PIECE) -> DataFrame:
     """group, piece, n and data: the values of each stretch of `piece` numbers of the order, an integer, as one binary.
 
+    A stretch has PIECE numbers at most, whatever `piece` is: no task holds a group.
     how: huffman or arithmetic. Null values are symbols too; rows of one order have no defined place among them.
     """
     if how not in ("huffman", "arithmetic"):
         raise ValueError(f"unknown coder {how}")
     ship_package(rows.sparkSession)
-    group = list(group)
+    group, piece = list(group), min(piece, PIECE)
     x = rows.select(*group, F.floor(F.col(order) / piece).cast("bigint").alias("piece"), F.struct(F.col(order).alias("o"), _symbol(value).alias("s")).alias("x"))
     pieces = x.groupBy(*group, "piece").agg(F.array_sort(F.collect_list("x")).alias("x")).select(*group, "piece", F.transform("x", lambda s: s["s"]).alias("values"))
     met = with_state(pieces, table, group, F.col("piece")).select(*group, "piece", "values", "symbols", "counts", "lengths")
