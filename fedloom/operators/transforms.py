@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import keep_count
 from ..plans.session import Scratch, ship_package
+from .runs import whole_groups
 from .selection import kth_largest, with_state
 
 GROUP = ("client", "param")
@@ -29,18 +30,27 @@ def _kind(rows: DataFrame, group: Sequence[str]) -> str:
     return ", ".join(f"`{g}` {kinds[g]}" for g in group)
 
 
-def _repeated(table: pa.Table, group: Sequence[str], n: int) -> dict[str, pa.Array]:
-    at = pa.array(np.zeros(n, np.int64))
-    return {g: table.column(g).combine_chunks().take(at) for g in group}
+def _by_blocks(rows: DataFrame, keys: Sequence[str], one: Callable[[pa.Table, np.ndarray, np.ndarray], tuple[np.ndarray, dict[str, np.ndarray]]], schema: str, named: Sequence[str]) -> DataFrame:
+    """What `one` makes of many whole groups at once: of (rows, where groups begin and end) each result's group and the columns beside `named`."""
+
+    def run(batches):
+        for table, starts in whole_groups(batches, keys):
+            group, cols = one(table, starts, np.append(starts[1:], table.num_rows))
+            of = pa.array(starts[group])
+            taken = {k: table.column(k).combine_chunks().take(of) for k in named} | {k: pa.array(v) for k, v in cols.items()}
+            yield from pa.table(taken).to_batches(1 << 16)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def haar_steps(x: np.ndarray, levels: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """(details of each level, what is left): pairs by lifting, an odd last number is carried on as it is."""
+    """(details of each level, what is left) of each row: pairs by lifting, an odd last number is carried on as it is."""
     details = []
     for _ in range(levels):
-        a, b = x[0::2], x[1::2]
-        d = (b - a[: len(b)]) * -ROOT
-        x = np.append((a[: len(b)] + b) * ROOT, a[len(b) :])
+        a, b = x[..., 0::2], x[..., 1::2]
+        m = b.shape[-1]
+        d = (b - a[..., :m]) * -ROOT
+        x = np.concatenate(((a[..., :m] + b) * ROOT, a[..., m:]), axis=-1)
         details.append(d)
     return details, x
 
@@ -48,10 +58,10 @@ def haar_steps(x: np.ndarray, levels: int) -> tuple[list[np.ndarray], np.ndarray
 def haar_back(details: list[np.ndarray], x: np.ndarray, sizes: list[int]) -> np.ndarray:
     """sizes: of the numbers before each level."""
     for d, n in zip(details[::-1], sizes[::-1], strict=True):
-        out = np.empty(n)
+        out = np.empty((*x.shape[:-1], n))
         m = n // 2
-        out[0 : 2 * m : 2], out[1 : 2 * m : 2] = (x[:m] + d) * ROOT, (x[:m] - d) * ROOT
-        out[2 * m :] = x[m:]
+        out[..., 0 : 2 * m : 2], out[..., 1 : 2 * m : 2] = (x[..., :m] + d) * ROOT, (x[..., :m] - d) * ROOT
+        out[..., 2 * m :] = x[..., m:]
         x = out
     return x
 
@@ -65,18 +75,26 @@ def _passes(rows: DataFrame, bits: int) -> int:
     return n
 
 
-def _haar_block(group: list[str], bits: int, below: int) -> Callable[[pa.Table], pa.Table]:
-    """A block's details, whose levels come after the `below` ones of earlier passes, and what is left."""
-
-    def block(table: pa.Table) -> pa.Table:
-        idx = table.column("idx").to_numpy()
-        first = int(idx.min() >> bits << bits)
-        v = np.zeros(int(idx.max()) - first + 1)
-        v[idx - first] = table.column("value").to_numpy()
-        details, left = haar_steps(v, bits)
-        level = np.concatenate([np.full(len(d), below + k + 1) for k, d in enumerate(details)] + [np.zeros(1)])
-        pos = np.concatenate([(first >> k + 1) + np.arange(len(d)) for k, d in enumerate(details)] + [[first >> bits]])
-        return pa.table(_repeated(table, group, len(level)) | {"level": pa.array(level.astype(np.int32)), "pos": pa.array(pos.astype(np.int64)), "value": pa.array(np.append(np.concatenate(details), left))})
+def _haar_block(bits: int, below: int) -> Callable[[pa.Table, np.ndarray, np.ndarray], tuple[np.ndarray, dict[str, np.ndarray]]]:
+    """Blocks' details, whose levels come after the `below` ones of earlier passes, and what is left."""
+
+    def block(table: pa.Table, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        idx, value = table.column("idx").to_numpy(), table.column("value").to_numpy()
+        of = np.repeat(np.arange(len(starts)), ends - starts)
+        first = np.minimum.reduceat(idx, starts) >> bits << bits
+        size = np.maximum.reduceat(idx, starts) - first + 1
+        found = []
+        for n in np.unique(size).tolist():  # blocks of one length together
+            mine = np.flatnonzero(size == n)
+            here = size[of] == n
+            v = np.zeros((len(mine), n))
+            v[np.searchsorted(mine, of[here]), (idx - first[of])[here]] = value[here]
+            details, left = haar_steps(v, bits)
+            for level, shift, x in [*((below + k + 1, k + 1, d) for k, d in enumerate(details)), (0, bits, left)]:
+                m = x.shape[1]
+                found.append((np.repeat(mine, m), np.full(x.size, level, np.int32), ((first[mine] >> shift)[:, None] + np.arange(m)).ravel(), x.ravel()))
+        group, *cols = (np.concatenate(x) for x in zip(*found, strict=True))
+        return group, dict(zip(("level", "pos", "value"), cols, strict=True))
 
     return block
 
@@ -95,8 +113,7 @@ def haar(rows: DataFrame, group: Sequence[str] = GROUP, bits: int = HAAR_BITS) -
     parts = []
     passes = _passes(x, bits)
     for p in range(passes):
-
-        done = x.withColumn("_block", F.shiftright("idx", bits)).groupBy(*group, "_block").applyInArrow(_haar_block(group, bits, p * bits), schema)
+        done = _by_blocks(x.withColumn("_block", F.shiftright("idx", bits)), [*group, "_block"], _haar_block(bits, p * bits), schema, group)
         done = scratch.table(done, "haar")
         parts.append(done.where("level > 0") if p + 1 < passes else done)
         x = done.where("level = 0").select(*group, F.col("pos").alias("idx"), "value")
@@ -123,22 +140,30 @@ def haar_inverse(coefficients: DataFrame, sizes: DataFrame, group: Sequence[str]
         rows = mine.unionByName(left.select(*group, F.col("idx").alias("_block"), F.lit(0).alias("level"), F.col("idx").alias("pos"), "value"))
         rows = with_state(rows, sizes.select(*group, n.alias("_n")), group, F.col("_block"))
 
-        def block(table: pa.Table) -> pa.Table:
-            first = int(table.column("_block")[0].as_py()) << bits
-            here = [min(int(table.column("_n")[0].as_py()) - first, 1 << bits)]
-            for _ in range(bits):
-                here.append(-(-here[-1] // 2))
+        def block(table: pa.Table, starts: np.ndarray, ends: np.ndarray, bits: int = bits) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+            of = np.repeat(np.arange(len(starts)), ends - starts)
+            first = table.column("_block").to_numpy()[starts] << bits
+            size = np.minimum(table.column("_n").to_numpy()[starts] - first, 1 << bits)
             level, pos, value = (table.column(k).to_numpy() for k in ("level", "pos", "value"))
-            details = []
-            for k in range(bits):
-                d = np.zeros(here[k] // 2)
-                at = level == k + 1
-                d[pos[at] - (first >> k + 1)] = value[at]
-                details.append(d)
-            out = haar_back(details, value[level == 0], here[:-1])
-            return pa.table(_repeated(table, group, len(out)) | {"idx": pa.array(first + np.arange(len(out))), "value": pa.array(out)})
-
-        new = scratch.table(rows.groupBy(*group, "_block").applyInArrow(block, schema), "haar")
+            found = []
+            for n in np.unique(size).tolist():
+                mine = np.flatnonzero(size == n)
+                here = [n]
+                for _ in range(bits):
+                    here.append(-(-here[-1] // 2))
+                of_size = size[of] == n
+                details = []
+                for k in range(bits + 1):
+                    at = np.flatnonzero(of_size & (level == (k + 1 if k < bits else 0)))
+                    d = np.zeros((len(mine), here[k] // 2 if k < bits else 1))
+                    d[np.searchsorted(mine, of[at]), pos[at] - (first[of[at]] >> (k + 1 if k < bits else bits))] = value[at]
+                    details.append(d)
+                out = haar_back(details[:-1], details[-1], here[:-1])
+                found.append((np.repeat(mine, n), (first[mine, None] + np.arange(n)).ravel(), out.ravel()))
+            group, idx, value = (np.concatenate(x) for x in zip(*found, strict=True))
+            return group, {"idx": idx, "value": value}
+
+        new = scratch.table(_by_blocks(rows, [*group, "_block"], block, schema, group), "haar")
         scratch.drop(left)
         left = new
     return left
@@ -150,14 +175,23 @@ def dft(rows: DataFrame, group: Sequence[str] = GROUP, block: int = DFT_BLOCK) -
     group = list(group)
     x = rows.select(*group, F.floor(F.col("idx") / block).cast("bigint").alias("block"), (F.col("idx") % block).cast("int").alias("at"), F.coalesce("value", F.lit(0.0)).cast("double").alias("value"))
 
-    def one(table: pa.Table) -> pa.Table:
-        at = table.column("at").to_numpy()
-        v = np.zeros(int(at.max()) + 1)
-        v[at] = table.column("value").to_numpy()
-        z = np.fft.rfft(v)
-        return pa.table(_repeated(table, [*group, "block"], len(z)) | {"k": pa.array(np.arange(len(z), dtype=np.int32)), "re": pa.array(z.real), "im": pa.array(z.imag), "n": pa.array(np.full(len(z), len(v), np.int32))})
-
-    return x.groupBy(*group, "block").applyInArrow(one, f"{_kind(x, group)}, block bigint, k int, re double, im double, n int")
+    def one(table: pa.Table, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        at, value = table.column("at").to_numpy(), table.column("value").to_numpy()
+        of = np.repeat(np.arange(len(starts)), ends - starts)
+        size = np.maximum.reduceat(at, starts) + 1
+        found = []
+        for n in np.unique(size).tolist():  # blocks of one length together
+            mine = np.flatnonzero(size == n)
+            here = size[of] == n
+            v = np.zeros((len(mine), n))
+            v[np.searchsorted(mine, of[here]), at[here]] = value[here]
+            z = np.fft.rfft(v, axis=1)
+            k = np.tile(np.arange(z.shape[1], dtype=np.int32), len(mine))
+            found.append((np.repeat(mine, z.shape[1]), k, z.real.ravel(), z.imag.ravel(), np.full(z.size, n, np.int32)))
+        group, *cols = (np.concatenate(x) for x in zip(*found, strict=True))
+        return group, dict(zip(("k", "re", "im", "n"), cols, strict=True))
+
+    return _by_blocks(x, [*group, "block"], one, f"{_kind(x, group)}, block bigint, k int, re double, im double, n int", [*group, "block"])
 
 
 def dft_inverse(coefficients: DataFrame, catalog: DataFrame, group: Sequence[str] = GROUP, block: int = DFT_BLOCK) -> DataFrame:
@@ -167,17 +201,22 @@ def dft_inverse(coefficients: DataFrame, catalog: DataFrame, group: Sequence[str
     sizes = catalog.groupBy(*group, F.floor(F.col("idx") / block).cast("bigint").alias("block")).agg((F.max(F.col("idx") % block) + 1).cast("int").alias("n"))
     rows = sizes.join(coefficients.select(*group, "block", "k", "re", "im"), [*group, "block"], "left")
 
-    def one(table: pa.Table) -> pa.Table:
-        n = int(table.column("n")[0].as_py())
-        z = np.zeros(n // 2 + 1, np.complex128)
-        k = table.column("k").combine_chunks()
-        if k.null_count == 0:
-            z[k.to_numpy()] = table.column("re").to_numpy() + 1j * table.column("im").to_numpy()
-        out = np.fft.irfft(z, n)
-        first = int(table.column("block")[0].as_py()) * block
-        return pa.table(_repeated(table, group, n) | {"idx": pa.array(first + np.arange(n)), "value": pa.array(out)})
-
-    return rows.groupBy(*group, "block").applyInArrow(one, f"{_kind(sizes, group)}, idx bigint, value double")
+    def one(table: pa.Table, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        of = np.repeat(np.arange(len(starts)), ends - starts)
+        size, first = table.column("n").to_numpy()[starts], table.column("block").to_numpy()[starts] * block
+        there = table.column("k").combine_chunks().is_valid().to_numpy(zero_copy_only=False)
+        k, re, im = (table.column(c).combine_chunks().fill_null(0).to_numpy() for c in ("k", "re", "im"))
+        found = []
+        for n in np.unique(size).tolist():
+            mine = np.flatnonzero(size == n)
+            here = (size[of] == n) & there
+            z = np.zeros((len(mine), n // 2 + 1), np.complex128)
+            z[np.searchsorted(mine, of[here]), k[here]] = re[here] + 1j * im[here]
+            found.append((np.repeat(mine, n), (first[mine, None] + np.arange(n)).ravel(), np.fft.irfft(z, n, axis=1).ravel()))
+        group, idx, value = (np.concatenate(x) for x in zip(*found, strict=True))
+        return group, {"idx": idx, "value": value}
+
+    return _by_blocks(rows, [*group, "block"], one, f"{_kind(sizes, group)}, idx bigint, value double", group)
 
 
 def largest(coefficients: DataFrame, share: float, group: Sequence[str] = GROUP, complex_: bool = False) -> DataFrame:

@@ -497,3 +497,14 @@ def test_noise_of_many_runs_is_searched_in_seconds(spark):
         steps, target = 100 + run % 900, 1.0 + run % 20
         spent = [min(steps * a / (2 * s * s) + math.log(1e5) / (a - 1) for a in dp.ORDERS) for s in (z, z - 1e-9)]
         assert z > 9.9999 or spent[0] <= target * (1 + 1e-9) and spent[1] > target * (1 - 1e-9)
+
+
+def test_transforms_of_many_short_vectors_take_seconds(spark):
+    n = 20_000
+    u = spark.range(n * 9).select((F.col("id") % n).alias("client"), F.floor(F.col("id") / n).cast("int").alias("idx"), F.sin(F.col("id")).alias("value"))
+    sizes = u.groupBy("client").agg(F.count("*").alias("n"))
+    began = time.time()
+    for back in (transforms.haar_inverse(transforms.haar(u, ("client",), 1), sizes, ("client",), 1), transforms.dft_inverse(transforms.dft(u, ("client",), 2), u, ("client",), 2)):
+        met = back.withColumnRenamed("value", "v").join(u, ["client", "idx"]).agg(F.count("*"), F.max(F.abs(F.col("v") - F.col("value")))).first()
+        assert met[0] == 9 * n and met[1] < 1e-12
+    assert time.time() - began < 45
