@@ -18,9 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fedloom.llm import mixing, ngram_join, piece_codec, pii, quality
-from fedloom.plans.session import Scratch, read_table, ship_package
+from fedloom.plans.session import Scratch, arrow_batches, read_table, ship_package, work_table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+BATCH = 1000  # texts that redaction gets at once: both sides of the pipe to Python hold that many
 
 
 def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +56,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with each span of personal data replaced by its kind in brackets, and n_chars of the new text (a null text stays as it is)."""
     ship_package(spark)
-    clean = pii.find_personal_data(docs.select(*COLUMNS), output="redacted")
+    # written here, as the number of rows that Python gets at once holds only until then
+    with arrow_batches(spark, BATCH):
+        clean = work_table(spark, pii.find_personal_data(docs.select(*COLUMNS), output="redacted"), "pipeline-redacted")
     return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("bigint"))).select(*COLUMNS)
 
 

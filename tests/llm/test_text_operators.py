@@ -252,6 +252,21 @@ def test_field_finds_secrets_and_leaves_prose(package, odd, none):
     assert pii.find_personal_data(none).count() == 0
 
 
+def test_redaction_hands_back_a_slice_at_a_time():
+    class Frame:
+        columns, schema = ["doc_id", "text"], None
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    texts = [f"{k} a@b.co " + "plain words " * 20_000 if k % 7 else None for k in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    out = list(pii.find_personal_data(Frame(), output="redacted")(iter([batch.slice(1)])))
+    assert max(b.nbytes for b in out) <= textscan.CHUNK + 1000
+    rows = [r for b in out for r in b.to_pylist()]
+    assert rows == [{"doc_id": k, "text": t and t.replace("a@b.co", "[email]")} for k, t in enumerate(texts)][1:]
+
+
 def test_viterbi_by_brute_force():
     import itertools
 
