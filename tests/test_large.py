@@ -87,6 +87,43 @@ def test_pairs_of_clients_are_never_shuffled(spark):
         assert all(got[0, c][2] == got[0, 20 + c][2] for c in range(3) if (0, c) in got)
 
 
+def test_what_distances_shuffle_grows_as_the_clients(spark):
+    rng = np.random.default_rng(3)
+    rows = [(0, f"c{c}", p, i, v, 1.0, 1) for c in range(40) for p in "ab" if rng.random() < 0.8 for i in range(0, 9, 2) if rng.random() < 0.9 for v in (float(rng.normal()), 0.5)]
+    u = spark.createDataFrame([r for k, r in enumerate(rows) if k % 2 == 0 or r[4] != 0.5], SCHEMA)
+    of = {}
+    for _, c, p, i, v, *_ in u.collect():
+        of.setdefault(c, {})[p, i] = v
+    want = {(a, b): math.dist([of[a][k] for k in sorted(s)], [of[b][k] for k in sorted(s)]) for a in of for b in of if a < b and (s := of[a].keys() & of[b].keys())}
+    parts = distances.far_sums(u, 2, tile=1)
+    # forty tiles, of which each has met all others
+    assert parts.groupBy("client").count().agg(F.max("count")).first()[0] <= distances.PARTS
+    met = {c: sum(c in k for k in want) for c in of}
+    assert {r["client"]: r["m"] for r in parts.groupBy("client").agg(F.sum("m").alias("m")).collect()} == met
+    for tile in (1, 7):
+        found = distances.pair_sums(u, tile=tile, width=4).collect()
+        assert {(r["a"], r["b"]): math.sqrt(r["total"]) for r in found} == pytest.approx(want)
+
+
+def test_a_cell_reads_blocks_from_a_file(monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(30, 20))
+    found = []
+    for held in (1 << 20, 100):
+        monkeypatch.setattr(distances, "HELD", held)
+        cell = distances.Cell(True)
+        for t in range(3):
+            for k in range(2):
+                cell.add(True, t, ("p", k), list(range(10 * t, 10 * t + 10)), np.arange(10), x[10 * t : 10 * t + 10, 10 * k : 10 * k + 10])
+        assert (cell.file is None) == (held > 100)
+        found.append({(a, b): total for a, b, total, _ in cell.pairs()})
+    assert found[0].keys() == found[1].keys() == {(a, b) for a in range(3) for b in range(a, 3)}
+    for (a, b), total in found[0].items():
+        assert (total == found[1][a, b]).all()
+        want = ((x[10 * a : 10 * a + 10, None] - x[None, 10 * b : 10 * b + 10]) ** 2).sum(2)
+        assert (np.triu(total, 1) if a == b else total) == pytest.approx(np.triu(want, 1) if a == b else want)
+
+
 # -- selection
 
 
