@@ -266,7 +266,7 @@ def dft_roundtrip(s, d):
 @query(f"{B3} SELECT grp, client, param, idx, round(CAST(CAST(value AS FLOAT) AS DOUBLE), 2) + 0.0 AS value FROM b3")
 def raw_bytes_roundtrip(s, d):
     """Four parameters of four numbers, in pieces of five; what a client lacks comes back as NaN and is left out."""
-    u = b.lines(s, d)
+    u = work_table(s, b.lines(s, d).drop("w", "steps"), "raw-lines")  # read several times
     shapes = u.groupBy("param").agg((F.max("idx") + 1).alias("n"))
     back = raw.from_bytes(raw.to_bytes(u, shapes, ("grp", "client"), 5), shapes, ("grp", "client"), 5).where(~F.isnan("value"))
     return back.select("grp", "client", "param", "idx", (F.round(F.col("value").cast("double"), 2) + F.lit(0.0)).alias("value"))
@@ -274,7 +274,7 @@ def raw_bytes_roundtrip(s, d):
 
 @query(f"{B3}, p AS (SELECT DISTINCT param FROM b3), k AS (SELECT DISTINCT grp, client FROM b3) SELECT grp, client, CAST((SELECT count(*) FROM p) * 16 AS BIGINT) AS bytes, 1::BIGINT AS pieces FROM k")
 def raw_bytes_layout(s, d):
-    u = b.lines(s, d)
+    u = work_table(s, b.lines(s, d).drop("w", "steps"), "raw-lines")  # read several times
     shapes = u.groupBy("param").agg((F.max("idx") + 1).alias("n"))
     return raw.to_bytes(u, shapes, ("grp", "client")).groupBy("grp", "client").agg(F.sum(F.octet_length("data")).cast("bigint").alias("bytes"), F.count("*").alias("pieces"))
 

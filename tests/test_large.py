@@ -427,6 +427,27 @@ def test_raw_bytes_are_float32_by_name(spark):
         raw.to_bytes(df.withColumn("idx", F.col("idx") + 1), table).collect()
 
 
+def test_pieces_of_one_number_are_unpacked_by_many_tasks(spark):
+    """Each client's file is a piece of number 0; client 3 lacks all but one value, client 5 all."""
+    rows = [(c, p, i, c + i / 8) for c in range(60) for p, n in (("a", 3), ("b", 4)) for i in range(n) if c != 3 or (p, i) == ("b", 2)]
+    rows = [(c, p, i, None if c == 5 else v) for c, p, i, v in rows]
+    df = spark.createDataFrame(rows, "client int, param string, idx int, value double")
+    table = spark.createDataFrame([("a", 3), ("b", 4)], "param string, n int")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        back = raw.from_bytes(raw.to_bytes(df, table), table).select("*", F.spark_partition_id().alias("task")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len({r["task"] for r in back}) > 1
+    assert len(back) == 60 * 7
+    got = {(r["client"], r["param"], r["idx"]): r["value"] for r in back if not math.isnan(r["value"])}
+    assert got == {(c, p, i): v for c, p, i, v in rows if v is not None}
+
+
 def test_shared_doubles_keep_every_bit(spark):
     x = [0.0, -0.0, 1 / 3, -1e308, 5e-324, float("inf"), float("-inf"), float("nan"), 2.0**53 + 1]
     df = spark.createDataFrame([(k, v) for k, v in enumerate(x)] + [(99, None)], "client int, value double")
