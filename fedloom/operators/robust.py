@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.session import Scratch, ship_package
+from ..plans.session import Scratch, ship_package, work_table
 from .aggregate import BY, last_rows, weighted_mean
-from .distances import TILE, far_sums, pair_sums
+from .distances import TILE, bound_sums, far_sums_of, gathered, pair_sums
 from .subsets import CLIENTS, best_subset, rank, unrank
 
 SUBSETS = 200_000
@@ -31,10 +31,14 @@ def pairwise_distance(updates: DataFrame, tile: int = TILE, order: str | None =
 
 def krum_scores(updates: DataFrame, faulty: int = 1, order: str | None = None) -> DataFrame:
     """(grp, client, n, k, score): the sum of a client's k = n - 2 - faulty least distances to others."""
+    return _scores(gathered(updates, order=order), _members(updates), faulty)
+
+
+def _scores(blocks: DataFrame, members: DataFrame, faulty: int, chosen: DataFrame | None = None) -> DataFrame:
     # k leaves out no more than the faulty + 1 greatest, so a tile needs to hand over only these and one sum
-    parts = far_sums(updates, max(0, faulty + 1), order=order)
+    parts = far_sums_of(blocks, max(0, faulty + 1), chosen=chosen)
     found = parts.groupBy("grp", "client").agg(F.sum("m").cast("int").alias("_m"), F.flatten(F.collect_list("far")).alias("_far"), F.flatten(F.collect_list(F.array("high", "low"))).alias("_sums"))
-    joined = found.join(_members(updates), "grp").withColumn("k", F.col("n") - 2 - faulty)
+    joined = found.join(members, "grp").withColumn("k", F.col("n") - 2 - faulty)
     out = F.greatest(F.lit(0), F.col("_m") - F.col("k")).cast("int")
     near = F.concat("_sums", F.slice(F.sort_array("_far", asc=False), out + 1, F.greatest(F.lit(0), F.size("_far") - out)))
 
@@ -47,23 +51,51 @@ def krum_scores(updates: DataFrame, faulty: int = 1, order: str | None = None) -
     return joined.select("grp", "client", "n", "k", F.when(F.col("k") < 1, F.lit(0.0)).otherwise(total).alias("score"))
 
 
+def _score_bounds(blocks: DataFrame, members: DataFrame, faulty: int) -> DataFrame:
+    """(grp, client, n, k, low, high): bounds of krum_scores. A client whose bounds aren't finite may have no score."""
+    sums = bound_sums(blocks).groupBy("grp", "client").agg(F.sum("m").alias("m"), F.sum("low").alias("low"), F.sum("high").alias("high"), F.max("top").alias("top")).where("m > 0")
+    sums = sums.join(members, "grp").withColumn("k", F.col("n") - 2 - faulty)
+    out = F.greatest(F.lit(0), F.col("m") - F.col("k"))
+    # each of the greatest distances, which don't count, is the mean at least
+    low, high = F.col("low") - out * F.col("top"), F.col("high") - out * F.col("low") / F.col("m")
+    finite = F.col("high") < float("inf")
+    return sums.select("grp", "client", "n", "k", F.when(finite, low - F.abs(low) * 1e-9).otherwise(float("-inf")).alias("low"), F.when(finite, high + F.abs(high) * 1e-9).otherwise(float("inf")).alias("high"))
+
+
 def _members(updates: DataFrame) -> DataFrame:
     """(grp, n, only): how many clients with a value a group has, and one of them."""
     return updates.where("value IS NOT NULL").groupBy("grp").agg(F.count_distinct("client").alias("n"), F.min("client").alias("only"))
 
 
 def krum_survivors(updates: DataFrame, faulty: int = 1, multi: bool = True, order: str | None = None) -> DataFrame:
-    """(grp, client): the one of least score, or the n - faulty - 1 of least scores; ties by client. All of a group where k < 1."""
-    s = krum_scores(updates, faulty, order).withColumn("_r", F.row_number().over(W.partitionBy("grp").orderBy("score", "client")))
+    """(grp, client): the one of least score, or the n - faulty - 1 of least scores; ties by client. All of a group where k < 1.
+
+    Bounds of all scores settle most clients' places; scores are taken only of those that may be on either side of the cut.
+    """
+    scratch = Scratch(updates.sparkSession)
+    blocks, members = scratch.table(gathered(updates, order=order), "krum-blocks"), scratch.table(_members(updates), "krum-members")
     most = F.col("n") - faulty - 1 if multi else F.lit(1)
-    chosen = s.where((F.col("k") < 1) | (F.col("_r") <= most)).select("grp", "client")
-    alone = _members(updates).where("n = 1").select("grp", F.col("only").alias("client"))
+    group, by = W.partitionBy("grp"), lambda c: W.partitionBy("grp").orderBy(c)
+    # the greatest score that is kept is between the greatest of so many least bounds of either kind
+    near = _score_bounds(blocks, members, faulty).withColumn("_low", F.row_number().over(by("low"))).withColumn("_high", F.row_number().over(by("high")))
+    cut = lambda c: F.when(F.count("*").over(group) <= most, float("inf")).otherwise(F.max(F.when(F.col(f"_{c}") <= most, F.col(c))).over(group))
+    near = near.withColumn("_from", cut("low")).withColumn("_to", cut("high"))
+    sure = F.when(F.col("k") < 1, F.col("high") < float("inf")).otherwise(F.col("high") < F.col("_from"))
+    near = near.withColumn("sure", sure).where("sure OR k < 1 OR low <= _to").withColumn("rest", most - F.count(F.when(F.col("sure"), 1)).over(group))
+    near = scratch.table(near.select("grp", "client", "sure", "rest"), "krum-near")
+    chosen, asked = near.where("sure").select("grp", "client"), near.where("NOT sure")
+    if not asked.isEmpty():
+        s = _scores(blocks, members, faulty, asked.select("grp", "client")).join(asked.groupBy("grp").agg(F.first("rest").alias("rest")), "grp")
+        s = s.withColumn("_r", F.row_number().over(W.partitionBy("grp").orderBy("score", "client")))
+        chosen = chosen.union(s.where((F.col("k") < 1) | (F.col("_r") <= F.col("rest"))).select("grp", "client"))
+    alone = members.where("n = 1").select("grp", F.col("only").alias("client"))
     return chosen.union(alone)
 
 
 def krum_mean(updates: DataFrame, faulty: int = 1, multi: bool = True, base: Callable[[DataFrame], DataFrame] = weighted_mean, order: str | None = None) -> DataFrame:
     """What base makes of the survivors' updates, one row of each coordinate: a defence around any aggregator."""
-    return base(last_rows(updates, order).join(krum_survivors(updates, faulty, multi, order), ["grp", "client"], "left_semi"))
+    rows = work_table(updates.sparkSession, last_rows(updates, order), "krum-rows")
+    return base(rows.join(krum_survivors(rows, faulty, multi), ["grp", "client"], "left_semi"))
 
 
 def subset_search(spark: SparkSession, updates: DataFrame, faulty: int = 1, metric: str = "variance") -> DataFrame:

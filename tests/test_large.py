@@ -105,6 +105,78 @@ def test_what_distances_shuffle_grows_as_the_clients(spark):
         assert {(r["a"], r["b"]): math.sqrt(r["total"]) for r in found} == pytest.approx(want)
 
 
+def _krum(rows, faulty, multi):
+    """Survivors by definition, from (grp, client, param, idx, value)."""
+    of = {}
+    for g, c, p, i, v, *_ in rows:
+        of.setdefault((g, c), {})[p, i] = v
+    out = set()
+    for g in {g for g, _ in of}:
+        mine = {c: x for (h, c), x in of.items() if h == g}
+        far = {c: sorted(math.dist([x[k] for k in s], [y[k] for k in s]) for b, y in mine.items() if b != c and (s := sorted(x.keys() & y.keys()))) for c, x in mine.items()}
+        k, most = len(mine) - 2 - faulty, len(mine) - faulty - 1 if multi else 1
+        met = sorted((math.fsum(d[: max(k, 0)]), c) for c, d in far.items() if d)
+        out |= {(g, c) for _, c in (met if k < 1 else met[:most])} | ({(g, c) for c in mine} if len(mine) == 1 else set())
+    return out
+
+
+def _clients(rng, n, spread=1.0, offset=0.0):
+    rows = [(g, c, p, i, float(offset + spread * rng.normal()), 1.0, 1) for g in range(2) for c in range(n) for p in "abc" if rng.random() < 0.7 for i in range(4) if rng.random() < 0.95]
+    return rows + [(0, n + c, p, i, v, 1.0, 1) for g, c, p, i, v, *_ in rows if g == 0 and c < 5]
+
+
+INT_CLIENTS = SCHEMA.replace("client string", "client int")
+
+
+@pytest.mark.parametrize(("spread", "offset"), [(1.0, 0.0), (1e-3, 1e9), (1e-140, 0.0), (1e60, 1e60)])
+def test_bounds_hold_the_sums_of_distances(spark, spread, offset):
+    rows = _clients(np.random.default_rng(13), 23, spread, offset)
+    u = spark.createDataFrame(rows, INT_CLIENTS)
+    exact = {(r["grp"], r["client"]): (r["m"], r["s"]) for r in distances.far_sums(u, 0, tile=5).groupBy("grp", "client").agg(F.sum("m").alias("m"), F.sum(F.col("high") + F.col("low")).alias("s")).collect()}
+    found = distances.bound_sums(distances.gathered(u), tile=5).groupBy("grp", "client").agg(F.sum("m").alias("m"), F.sum("low").alias("low"), F.sum("high").alias("high")).where("m > 0").collect()
+    assert {(r["grp"], r["client"]): r["m"] for r in found} == {k: m for k, (m, _) in exact.items()}
+    for r in found:
+        s = exact[r["grp"], r["client"]][1]
+        assert r["low"] <= s * (1 + 1e-12) and r["high"] >= s * (1 - 1e-12)
+        # clients share few coordinates and some none, so bounds are some thousandths apart
+        assert spread == 1e-140 or r["high"] - r["low"] < 0.05 * s
+
+
+def test_krum_takes_distances_of_few_clients(spark, monkeypatch):
+    asked, scores = [], byz._scores
+    monkeypatch.setattr(byz, "_scores", lambda *args: asked.append(args[3].count()) or scores(*args))
+    rng = np.random.default_rng(2)
+    rows = [(0, c, "p", i, float(rng.normal() * (3 if c % 50 == 0 else 1)), 1.0, 1) for c in range(600) for i in range(3)]
+    u = spark.createDataFrame(rows, INT_CLIENTS)
+    for multi in (True, False):
+        asked.clear()
+        assert {(r["grp"], r["client"]) for r in byz.krum_survivors(u, 1, multi).collect()} == _krum(rows, 1, multi)
+        assert sum(asked) < 60
+
+
+@pytest.mark.parametrize("faulty", [0, 1, 5, 30])
+def test_krum_by_bounds_keeps_who_is_near_by_definition(spark, faulty):
+    rows = _clients(np.random.default_rng(faulty), 28)
+    # ties of all clients, a group of one, a client that shares nothing
+    rows += [(2, c, "a", 0, 7.0, 1.0, 1) for c in range(9)] + [(3, 1, "a", 0, 1.0, 1.0, 1), (1, 99, "z", 0, 1.0, 1.0, 1)]
+    u = spark.createDataFrame(rows, INT_CLIENTS)
+    for multi in (True, False):
+        assert {(r["grp"], r["client"]) for r in byz.krum_survivors(u, faulty, multi).collect()} == _krum(rows, faulty, multi)
+
+
+def test_krum_of_values_too_large_for_bounds(spark):
+    rows = [(0, c, "p", i, float((c % 7) * 10.0 ** (c % 3) + i) * 1e151, 1.0, 1) for c in range(12) for i in range(2)]
+    got = {(r["grp"], r["client"]) for r in byz.krum_survivors(spark.createDataFrame(rows, INT_CLIENTS)).collect()}
+    assert got == _krum(rows, 1, True)
+
+
+def test_blocks_have_no_null_lists(spark):
+    rows = [(0, c, "p", i, v, 1.0, 1) for c in range(4) for i in range(0, 9, 1 + c % 2) for v in (0.5 if c < 2 else 1 / 3,)]
+    found = distances.gathered(spark.createDataFrame(rows, INT_CLIENTS))
+    # Spark looks at a batch's size after each row, and for lists that are null so far it goes through all rows again
+    assert found.where("i IS NULL OR f IS NULL OR d IS NULL").count() == 0 and found.where("size(f) + size(d) > 0").count() == 4
+
+
 def test_a_cell_reads_blocks_from_a_file(monkeypatch):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(30, 20))
